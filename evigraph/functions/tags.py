@@ -21,7 +21,7 @@ def tags(text: Column, rules: Iterable[Rule], fallback: str | None = None) -> Co
     hits = F.array_distinct(hits)
     if fallback is None:
         return hits
-    return F.when(F.size(hits) == 0, F.array(F.lit(fallback))).otherwise(hits)
+    return F.transform(F.array(hits), lambda x: F.when(F.size(x) == 0, F.array(F.lit(fallback))).otherwise(x))[0]
 
 
 def first_tag(text: Column, rules: Iterable[Rule], default: str | None = None) -> Column:
