@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any
+from .text import contains_any, let
 
 Rule = tuple[str, Sequence[str]]
 
@@ -21,7 +21,7 @@ def tags(text: Column, rules: Iterable[Rule], fallback: str | None = None) -> Co
     hits = F.array_distinct(hits)
     if fallback is None:
         return hits
-    return F.transform(F.array(hits), lambda x: F.when(F.size(x) == 0, F.array(F.lit(fallback))).otherwise(x))[0]
+    return let(hits, lambda x: F.when(F.size(x) == 0, F.array(F.lit(fallback))).otherwise(x))
 
 
 def first_tag(text: Column, rules: Iterable[Rule], default: str | None = None) -> Column:

@@ -80,3 +80,12 @@ def hash_id(prefix: str, *parts: Column, sep: str = "|", digits: int = 12) -> Co
     """``prefix`` plus the first hex digits of the SHA-1 of the joined parts."""
     joined = F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit(prefix), F.substring(F.sha1(joined), 1, digits))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda.
+
+    The optimiser may otherwise paste a column's expression into the lambda and run it
+    again for every element.
+    """
+    return F.transform(F.array(value), body)[0]

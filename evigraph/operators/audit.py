@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import Rule, tags
-from ..functions.text import blank, map_value, match_text
+from ..functions.text import blank, let, map_value, match_text
 from ..functions.vocab import EVIDENCE_GROUPS, LABEL_GROUP
 from .replay import flag, rate
 from .retrieve import DEFAULT, evidence_profile, top_k
@@ -232,8 +232,7 @@ def family_tags(text: Column, group: Column, rules: Mapping[str, Sequence[Rule]]
     parts += [F.when(group == g, F.array(F.lit(family))).otherwise(none) for g, family in always.items()]
     found = F.array_distinct(F.concat(*parts, none))
     fallback = F.array(map_value(group, FALLBACK_FAMILY, "general_detail"))
-    # one reference to ``found``: the fallback is appended and dropped again when not needed
-    return F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, fallback).otherwise(x))[0]
+    return let(found, lambda x: F.when(F.size(x) == 0, fallback).otherwise(x))
 
 
 def family_priority(col: Column, priority: Mapping[str, int] = FAMILY_PRIORITY) -> Column:

@@ -42,7 +42,7 @@ def direction_violations(edges: DataFrame, rules=DIRECTION_RULES) -> DataFrame:
 
 def safe_name(col: Column) -> Column:
     """Identifier check of labels and relation types."""
-    return F.coalesce(col.rlike("^[A-Za-z][A-Za-z0-9_]*$"), F.lit(False))
+    return F.coalesce(col.rlike("^[A-Za-z][A-Za-z0-9_]*\\z"), F.lit(False))
 
 
 def normalize_mode(col: Column) -> Column:
