@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import q_audit, q_docs, q_graph, q_replay, q_retrieve  # noqa: F401
+from . import q_audit, q_docs, q_graph, q_rank, q_replay, q_retrieve  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
