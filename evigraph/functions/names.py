@@ -104,12 +104,12 @@ def match_table(predicted: DataFrame, expected: DataFrame, family: bool = True,
     return out.distinct().withColumn("exact", F.col("name") == F.col("expected"))
 
 
-def case_hits(names: DataFrame, truths: DataFrame, table: DataFrame) -> DataFrame:
-    """Per case: does any of its names match any of its truths (``exact_hit``, ``family_hit``)?
+def case_hits(names: DataFrame, truths: DataFrame, table: DataFrame, *kinds: str) -> DataFrame:
+    """Per case (and kind): does any of its names match any of its truths (``exact_hit``, ``family_hit``)?
 
-    ``names``: ``case_id, name``; ``truths``: ``case_id, expected``.  Each name row meets
-    only the truths its spelling matches, not all truths of the case.
+    ``names``: ``case_id, name`` plus the ``kinds`` columns; ``truths``: ``case_id, expected``.
+    Each name row meets only the truths its spelling matches, not all truths of the case.
     """
-    hit = names.select("case_id", "name").distinct().join(table, "name").join(
+    hit = names.select("case_id", *kinds, "name").distinct().join(table, "name").join(
         truths.select("case_id", "expected").distinct(), ["case_id", "expected"], "left_semi")
-    return hit.groupBy("case_id").agg(F.max("exact").alias("exact_hit"), F.lit(True).alias("family_hit"))
+    return hit.groupBy("case_id", *kinds).agg(F.max("exact").alias("exact_hit"), F.lit(True).alias("family_hit"))

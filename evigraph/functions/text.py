@@ -7,18 +7,22 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Python's str.strip() treats as white space; Java's \s is ASCII only.
+# Characters that count as white space (the full Unicode set, not only ASCII), as a regex
+# class and as a plain string for the much cheaper trim and translate.
 WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(col, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def clean_text(col: Column) -> Column:
     """Strip, collapse runs of blanks and tabs, blank becomes NULL."""
-    return F.nullif(F.regexp_replace(strip(col), "[ \\t]{2,}", " "), F.lit(""))
+    s = strip(col)
+    runs = F.contains(s, F.lit("  ")) | F.contains(s, F.lit("\t"))
+    return F.nullif(F.when(runs, F.regexp_replace(s, "[ \\t]{2,}", " ")).otherwise(s), F.lit(""))
 
 
 def blank(col: Column) -> Column:
@@ -33,13 +37,12 @@ def text_or(col: Column, default: str = "") -> Column:
 
 def lookup_key(col: Column) -> Column:
     """Key of the alias dictionaries: lower case, full-width punctuation folded, no spaces."""
-    folded = F.translate(F.lower(strip(col)), "（），：", "(),:")
-    return F.regexp_replace(folded, f"[{WS}]+", "")
+    return F.translate(F.lower(col), "（），：" + WS_CHARS, "(),:")
 
 
 def vocabulary_key(col: Column) -> Column:
     """Key of mode, cost and lab-test spellings: punctuation and spaces removed."""
-    return F.regexp_replace(F.lower(strip(col)), f"[{WS}\\-_()/（）,，.;；:+\\[\\]]+", "")
+    return F.translate(F.lower(col), "-_()/（）,，.;；:+[]" + WS_CHARS, "")
 
 
 def match_text(col: Column, drop: str = " -_/", fold: Mapping[str, str] | None = None) -> Column:

@@ -68,43 +68,43 @@ def reclass_conflicts(rules: DataFrame) -> DataFrame:
     return keyed.groupBy("label", "akey").agg(F.count(F.lit(1)).alias("n_action")).where("n_action > 1")
 
 
-def _candidates(mentions: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
-    arr = F.array(*[clean_text(F.col(n)) for n in names])
-    return mentions.select(*key, "label", F.posexplode(arr).alias("cpos", "cname")).where("cname IS NOT NULL").withColumn(
-        "akey", lookup_key(F.col("cname")))
+def _lookups(mentions: DataFrame, alias: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """One left join per candidate name; a dictionary below the broadcast limit costs no shuffle."""
+    out, found = mentions, []
+    for i, n in enumerate(names):
+        d = alias.select("label", F.col("akey").alias(f"_k{i}"), F.col("canonical").alias(f"_c{i}"))
+        out = out.withColumn(f"_k{i}", lookup_key(F.col(n))).join(d, ["label", f"_k{i}"], "left")
+        found.append(F.col(f"_c{i}"))
+    return out, found
 
 
-def alias_resolve(mentions: DataFrame, alias: DataFrame, key: Sequence[str], names: Sequence[str],
-                  fallback: str) -> DataFrame:
+def alias_resolve(mentions: DataFrame, alias: DataFrame, names: Sequence[str], fallback: str) -> DataFrame:
     """First candidate name found in the dictionary decides; otherwise the mention keeps its own name.
 
-    ``key`` identifies a mention, ``names`` are its candidate columns in order.
+    ``names`` are the candidate columns of a mention in order.
     """
-    hit = _candidates(mentions, key, names).join(alias, ["label", "akey"])
-    best = hit.groupBy(*key).agg(F.min_by("canonical", "cpos").alias("_found"))
+    joined, found = _lookups(mentions, alias, names)
     own = F.coalesce(*[clean_text(F.col(n)) for n in names], F.col(fallback))
-    return mentions.join(best, list(key), "left").select(
-        *mentions.columns,
-        F.coalesce("_found", own).alias("canonical"),
-        F.when(F.col("_found").isNotNull(), "alias").otherwise("self").alias("method"))
+    hit = F.coalesce(*found) if len(found) > 1 else found[0]
+    return joined.select(
+        *mentions.columns, F.coalesce(hit, own).alias("canonical"),
+        F.when(hit.isNotNull(), "alias").otherwise("self").alias("method"))
 
 
-def alias_resolve_strict(mentions: DataFrame, alias: DataFrame, key: Sequence[str], names: Sequence[str],
+def alias_resolve_strict(mentions: DataFrame, alias: DataFrame, names: Sequence[str],
                          fallback: str) -> tuple[DataFrame, DataFrame]:
     """As :func:`alias_resolve`, but a mention that matches two canonical names is rejected.
 
     Returns (resolved, rejects).
     """
-    hit = _candidates(mentions, key, names).join(alias, ["label", "akey"])
-    seen = hit.groupBy(*key).agg(F.min("canonical").alias("_lo"), F.max("canonical").alias("_hi"))
-    joined = mentions.join(seen, list(key), "left")
-    clash = F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False))
+    joined, found = _lookups(mentions, alias, names)
+    lo = F.least(*found) if len(found) > 1 else found[0]
+    hi = F.greatest(*found) if len(found) > 1 else found[0]
+    clash = F.coalesce(lo != hi, F.lit(False))
     own = F.coalesce(*[clean_text(F.col(n)) for n in names], F.col(fallback))
     resolved = joined.where(~clash).select(
-        *mentions.columns, F.coalesce("_lo", own).alias("canonical"),
-        F.when(F.col("_lo").isNotNull(), "alias").otherwise("self").alias("method"))
-    rejects = joined.where(clash).select(
-        *mentions.columns, F.col("_lo").alias("first_canonical"), F.col("_hi").alias("last_canonical"))
+        *mentions.columns, F.coalesce(lo, own).alias("canonical"), F.when(lo.isNotNull(), "alias").otherwise("self").alias("method"))
+    rejects = joined.where(clash).select(*mentions.columns, lo.alias("first_canonical"), hi.alias("last_canonical"))
     return resolved, rejects
 
 
@@ -276,7 +276,7 @@ def apply_aliases(nodes: DataFrame, edges: DataFrame, alias: DataFrame, delete_n
     is_gone = F.coalesce("_d1", "_d2", F.lit(False))
     deleted = hit.where(is_gone).select("node_id", "label", "name")
     left = hit.where(~is_gone).select(*nodes.columns)
-    resolved, rejects = alias_resolve_strict(left, alias, ["node_id"], ["canonical_name", "name"], "node_id")
+    resolved, rejects = alias_resolve_strict(left, alias, ["canonical_name", "name"], "node_id")
     moved = resolved.withColumns({
         "new_label": F.col("label"), "new_id": node_hash(F.col("label"), F.col("canonical")),
         "name": F.when(F.col("method") == "alias", F.col("canonical")).otherwise(F.col("name"))})

@@ -57,15 +57,16 @@ def is_stop_accepted(stop_reason: Column) -> Column:
     return F.coalesce(stop_reason == ACCEPTED, F.lit(False))
 
 
-def name_match(predicted: DataFrame, truths: DataFrame, ratio: float | None = FAMILY_RATIO) -> DataFrame:
+def name_match(predicted: DataFrame, truths: DataFrame, ratio: float | None = FAMILY_RATIO, *kinds: str) -> DataFrame:
     """``case_id, exact_hit, family_hit`` for cases whose predicted names match a truth.
 
-    ``predicted``: ``case_id, name``; ``truths``: ``case_id, name``, both raw text.
+    ``predicted``: ``case_id, name`` and optional ``kinds`` columns that are matched apart;
+    ``truths``: ``case_id, name``, both raw text.
     """
-    p = predicted.select("case_id", name_key(F.col("name")).alias("name")).where("name <> ''")
+    p = predicted.select("case_id", *kinds, name_key(F.col("name")).alias("name")).where("name <> ''").distinct()
     e = truths.select("case_id", name_key(F.col("name")).alias("expected")).where("expected <> ''")
     table = match_table(p.select("name"), e.select(F.col("expected").alias("name")), True, ratio)
-    return case_hits(p, e, table)
+    return case_hits(p, e, table, *kinds)
 
 
 def red_flag_hit(flags: DataFrame, confirmed: DataFrame, revealed: DataFrame) -> DataFrame:
@@ -91,13 +92,17 @@ def case_facts(replay: DataFrame, turns: DataFrame, truths: DataFrame, hypothese
     ``replay``: case columns plus ``answer`` and ``stop_reason``; ``hypotheses``:
     ``case_id, name, rank``.
     """
-    answer = name_match(replay.where(~blank(F.col("answer"))).select("case_id", F.col("answer").alias("name")), truths, ratio)
-    hyp = name_match(hypotheses, truths, ratio).select("case_id", F.col("family_hit").alias("hypothesis_hit"))
-    top3 = name_match(hypotheses.where("rank <= 3"), truths, ratio).select("case_id", F.col("family_hit").alias("top3_hit"))
+    said = replay.where(~blank(F.col("answer"))).select("case_id", F.col("answer").alias("name"), F.lit("answer").alias("kind"))
+    guess = hypotheses.select("case_id", "name", F.when(F.col("rank") <= 3, "top3").otherwise("later").alias("kind"))
+    hit = name_match(said.unionByName(guess), truths, ratio, "kind")
+    of = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
+    answer = hit.groupBy("case_id").agg(
+        of("answer", "exact_hit").alias("exact_hit"), of("answer", "family_hit").alias("family_hit"), of("top3", "family_hit").alias("top3_hit"),
+        F.max(F.when(F.col("kind") != "answer", F.col("family_hit"))).alias("hypothesis_hit"))
     n = turns.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_turns"))
     red = red_flag_hit(flags, confirmed, turns.where("revealed_id IS NOT NULL").select("case_id", F.col("revealed_id").alias("name")))
     out = replay
-    for part in (n, revealed_slots(turns), answer, hyp, top3, red):
+    for part in (n, revealed_slots(turns), answer, red):
         out = out.join(part, "case_id", "left")
     false = F.lit(False)
     return out.withColumns({

@@ -9,7 +9,6 @@ from ..operators import checks, graph
 from .registry import query
 
 ORD = ["chunk_id", "pos", "pk", "sk", "local_id"]
-MENTION = ["chunk_id", "pos", "pk", "sk", "local_id"]
 
 # SQL pieces shared by several checks
 SQL_KEY = "regexp_replace(lower(trim({c})), '\\s+', '', 'g')"
@@ -38,7 +37,7 @@ remap AS (SELECT e.*, s.node_id AS ns, t.node_id AS nt,
 
 
 def resolved(t):
-    return graph.alias_resolve(t.chunk_node, graph.alias_index(t.alias_file), MENTION, ["name", "alt_name"], "local_id")
+    return graph.alias_resolve(t.chunk_node, graph.alias_index(t.alias_file), ["name", "alt_name"], "local_id")
 
 
 def typed_edges(t):
@@ -373,8 +372,7 @@ j AS (SELECT m.*, a.canonical AS c1, b.canonical AS c2 FROM m LEFT JOIN alias a
 SELECT chunk_id, pos, pk, sk, CASE WHEN c1 <> c2 THEN 'reject' WHEN c1 IS NULL AND c2 IS NULL THEN 'self' ELSE 'alias' END AS outcome,
   CASE WHEN c1 <> c2 THEN least(c1, c2) ELSE coalesce(c1, c2, name) END AS canonical FROM j""")
 def alias_resolve_strict(t):
-    ok, bad = graph.alias_resolve_strict(strict_mentions(t), graph.alias_index(t.alias_file), ["chunk_id", "pos", "pk", "sk"],
-                                         ["name", "alt_name"], "local_id")
+    ok, bad = graph.alias_resolve_strict(strict_mentions(t), graph.alias_index(t.alias_file), ["name", "alt_name"], "local_id")
     cols = ["chunk_id", "pos", "pk", "sk"]
     return ok.select(*cols, F.col("method").alias("outcome"), "canonical").unionByName(
         bad.select(*cols, F.lit("reject").alias("outcome"), F.col("first_canonical").alias("canonical")))
@@ -435,7 +433,7 @@ SELECT {SQL_NID} AS node_id, label, canonical AS canonical_name, arg_min(name, n
 FROM (SELECT *, {SQL_CANON} AS canonical FROM g_node) GROUP BY label, canonical""")
 def remerge_graph(t):
     alias = graph.alias_index(t.alias_file.where("file = 1"))
-    r = graph.alias_resolve(t.g_node, alias, ["node_id"], ["canonical_name", "name"], "node_id")
+    r = graph.alias_resolve(t.g_node, alias, ["canonical_name", "name"], "node_id")
     return graph.remerge_nodes(r.withColumn("new_id", graph.node_hash(F.col("label"), F.col("canonical"))))
 
 

@@ -6,29 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import blank, clean_text, lookup_key, strip
 from ..functions.vocab import ALIAS_FILE_LABEL
 
-NODE = T.StructType.fromDDL(
-    "id string, label string, name string, canonical_name string, definition string, aliases array<string>, weight double, "
-    "detail_required string, acquisition_mode string, evidence_cost string, attributes map<string,string>")
-EDGE = T.StructType.fromDDL(
-    "id string, type string, source_id string, target_id string, weight double, detail_required string, "
-    "condition_text string, attributes map<string,string>")
-CHUNK_RECORD = T.StructType([
-    T.StructField("record_type", T.StringType()), T.StructField("run_id", T.StringType()), T.StructField("chunk_id", T.StringType()),
-    T.StructField("relative_path", T.StringType()), T.StructField("heading_path", T.ArrayType(T.StringType())),
-    T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()), T.StructField("status", T.StringType()),
-    T.StructField("extraction", T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("edges", T.ArrayType(EDGE))])),
-    T.StructField("error_type", T.StringType()), T.StructField("error_code", T.StringType()), T.StructField("retryable", T.BooleanType()),
-    T.StructField("chunk_text", T.StringType())])
-GRAPH = T.StructType([T.StructField("summary", T.MapType(T.StringType(), T.StringType())),
-                      T.StructField("nodes", T.ArrayType(NODE)), T.StructField("edges", T.ArrayType(EDGE))])
-ALIAS_FILE = T.StructType.fromDDL(
-    "merge_groups array<struct<canonical_name:string, aliases:array<string>, confidence:string, reason:string>>, DELETE array<string>")
-CASE = T.StructType.fromDDL(
+# Schemas are fixed text; nothing is inferred from the files.
+NODE = ("struct<id:string, label:string, name:string, canonical_name:string, definition:string, aliases:array<string>, weight:double, "
+        "detail_required:string, acquisition_mode:string, evidence_cost:string, attributes:map<string,string>>")
+EDGE = ("struct<id:string, type:string, source_id:string, target_id:string, weight:double, detail_required:string, "
+        "condition_text:string, attributes:map<string,string>>")
+CHUNK_RECORD = (
+    "record_type string, run_id string, chunk_id string, relative_path string, heading_path array<string>, line_start int, "
+    f"line_end int, status string, extraction struct<nodes:array<{NODE}>, edges:array<{EDGE}>>, error_type string, "
+    "error_code string, retryable boolean, chunk_text string")
+GRAPH = f"summary map<string,string>, nodes array<{NODE}>, edges array<{EDGE}>"
+ALIAS_FILE = ("merge_groups array<struct<canonical_name:string, aliases:array<string>, confidence:string, reason:string>>, "
+              "DELETE array<string>")
+CASE = (
     "case_id string, title string, true_disease_phase string, chief_complaint string, behavior_style string, "
     "true_conditions array<string>, slot_truth_map map<string, struct<node_id:string, value:string, group:string, node_label:string, "
     "mention_style:string, reveal_only_if_asked:boolean, aliases:array<string>>>, hidden_slots array<string>, red_flags array<string>, "
@@ -41,12 +35,12 @@ def file_name(col: Column) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """One row per text file below ``root``: ``path`` relative to it, ``text``."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root))
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     base = root.rstrip("/").split("://")[-1].lstrip("/").removeprefix("file:")
     return df.select(F.substring_index("_metadata.file_path", f"{base}/", -1).alias("path"), F.col("value").alias("text"))
 
 
-def scan_tagged_jsonl(spark: SparkSession, path: str, schema: T.StructType = CHUNK_RECORD, tag: str | None = None,
+def scan_tagged_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_RECORD, tag: str | None = None,
                       strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records of one tag, and the counts per tag (bad lines count as ``bad_row``).
 
@@ -57,17 +51,16 @@ def scan_tagged_jsonl(spark: SparkSession, path: str, schema: T.StructType = CHU
         df = reader.schema(schema).option("mode", "FAILFAST").json(path)
         counts = df.groupBy("record_type").agg(F.count(F.lit(1)).alias("n"))
     else:
-        full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-        df = reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+        df = reader.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
         kind = F.when(F.col("_bad").isNotNull(), "bad_row").otherwise(F.col("record_type"))
         counts = df.select(kind.alias("record_type"), "chunk_id").groupBy("record_type").agg(F.count(F.lit(1)).alias("n"))
         df = df.where("_bad IS NULL").drop("_bad")
     return (df.where(F.col("record_type") == tag) if tag else df), counts
 
 
-def scan_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Node, edge and summary frames of graph JSON objects."""
-    df = spark.read.schema(GRAPH).option("multiLine", True).json(path)
+def scan_graph_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node, edge and summary frames of graph JSON: one object per file, or per line for sharded graphs."""
+    df = spark.read.schema(GRAPH).option("multiLine", multi_line).json(path)
     return (df.select(F.inline("nodes")), df.select(F.inline("edges")), df.select(F.explode("summary")))
 
 
@@ -95,14 +88,13 @@ def scan_alias_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def reclass_rows(payload: DataFrame) -> DataFrame:
     """``{label: {target or DELETE: [names]}}`` text as ``(label, name, action)`` rows."""
-    schema = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    one = payload.select(F.explode(F.from_json("value", schema)).alias("label", "targets"))
+    one = payload.select(F.explode(F.from_json("value", "map<string, map<string, array<string>>>")).alias("label", "targets"))
     two = one.select("label", F.explode("targets").alias("action", "names"))
     return two.select("label", F.explode("names").alias("name"), "action").where(~blank(F.col("name")))
 
 
 def scan_reclass_rules(spark: SparkSession, path: str) -> DataFrame:
-    return reclass_rows(spark.read.option("wholetext", True).text(path))
+    return reclass_rows(spark.read.text(path, wholetext=True))
 
 
 def requirement_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
