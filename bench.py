@@ -15,24 +15,17 @@ from evigraph.session import local_session
 
 HEADLINE = (
     "r1_candidates",
-    "competition_rerank",
-    "r2_evidence",
-    "evidence_profile",
     "merge_nodes",
-    "merge_edges",
     "apply_aliases",
     "graph_quality_report",
     "family_catalog",
     "benchmark_summary",
-    "cohort_summary",
-    "focused_metrics",
-    "acceptance_timeline",
     "repeat_flags",
-    "fold_mentions",
     "cooldown_filter",
+    "fold_mentions",
+    "suspicious_nodes",
     "clean_documents",
     "sections",
-    "suspicious_nodes",
 )
 
 

@@ -143,11 +143,12 @@ def sections(docs: DataFrame, path: str = "path", text: str = "text", title: Col
     df = df.withColumn("_p", F.aggregate("_h", start, step)["all"])
     n = F.size("_l")
     none = F.array().cast("array<string>")
-    lead = F.when((n > 0) & (F.coalesce(F.get("_h", F.lit(0))["at"], n) > 0), F.array(F.struct(
-        F.lit(0).alias("from"), F.coalesce(F.get("_h", F.lit(0))["at"], n).alias("to"), F.lit(0).alias("level"), none.alias("heading_path"), F.lit(-1).alias("h"))))
-    own = F.transform("_h", lambda h, i: F.struct(
-        h["at"].alias("from"), F.coalesce(F.get("_h", i + 1)["at"], n).alias("to"), h["level"].alias("level"), F.get("_p", i).alias("heading_path"), i.alias("h")))
-    df = df.withColumn("_s", F.concat(F.coalesce(lead, F.slice(own, 1, 0)), own))
+    lead = F.when((n > 0) & (F.coalesce(F.get("_h", F.lit(0))["at"], n) > 0), F.struct(
+        F.lit(0).alias("from"), F.coalesce(F.get("_h", F.lit(0))["at"], n).alias("to"), F.lit(0).alias("level"), none.alias("heading_path"), F.lit(-1).alias("h")))
+    own = let(F.struct(F.col("_h").alias("h"), F.col("_p").alias("p"), n.alias("n")), lambda z: F.transform(z["h"], lambda h, i: F.struct(
+        h["at"].alias("from"), F.coalesce(F.get(z["h"], i + 1)["at"], z["n"]).alias("to"), h["level"].alias("level"),
+        F.get(z["p"], i).alias("heading_path"), i.alias("h"))))
+    df = df.withColumn("_s", F.filter(F.concat(F.array(lead), own), lambda x: x.isNotNull()))
     base = F.lit("") if title is None else title
     first_level = F.transform("_h", lambda h: F.when(h["level"] == 1, h["name"]))
     df = df.withColumn("_title", first_level)
