@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from .exact_dedup import SQL as SQL7
-from .exact_dedup import op7_exact_dedup
-from .mixing import SQL as SQL5
-from .mixing import op5_source_mix
+from . import chat, exact_dedup, language_model, lattice, mixing, packing, quality, shingle_join, toxicity, url_filter
 
-QUERIES = {f.__name__: f for f in (op5_source_mix, op7_exact_dedup)}
-ORACLES = {"op5_source_mix": SQL5, "op7_exact_dedup": SQL7}
+QUERIES = {f.__name__: f for f in (
+    lattice.op1_near_vectors,
+    url_filter.op2_url_filter,
+    chat.op3_chat_format,
+    language_model.op4_language_model,
+    mixing.op5_source_mix,
+    toxicity.op6_toxicity,
+    exact_dedup.op7_exact_dedup,
+    packing.op8_packing,
+    shingle_join.op9_shingle_join,
+    quality.op10_quality,
+)}
+ORACLES = {
+    "op1_near_vectors": lattice.SQL,
+    "op3_chat_format": chat.SQL,
+    "op5_source_mix": mixing.SQL,
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op9_shingle_join": shingle_join.SQL,
+}
