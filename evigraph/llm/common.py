@@ -55,12 +55,21 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             at = to
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The texts with NULL as empty, in buffers of their own.
+
+    Casting a slice to large strings leaves an offset that string kernels misread, so the
+    rows are copied first.
+    """
+    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, in order, and for each word the index of its text.
 
     Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; NULL has none.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

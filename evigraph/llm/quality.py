@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, read, split_words, text_slices
+from .common import bucket, compact, read, split_words, text_slices
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "long_words", "short_words", "upper", "digit", "white", "punctuation", "symbol",
@@ -68,7 +68,7 @@ def _bytes(texts: pa.Array) -> np.ndarray:
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of ``FEATURES`` per text."""
     n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = _bytes(texts)
     byte_owner = np.repeat(np.arange(n), size)
