@@ -5,22 +5,25 @@ more.  A set of ``n`` shingles then shares at least ``T = ceil(0.8 n)`` with any
 
 1. Texts become sets of 64-bit shingle hashes.  Equal sets are one *class*; only its
    representative goes on.
-2. Candidates: two linked sets share ``slack`` of their first ``n - T + slack`` hashes (in
-   hash order).  These beginnings, about a third of all hashes, are listed by hash; a list
-   is sent as one row per batch of documents, however many of them hold the hash, and is
-   read as a stream.  A document whose beginning holds fewer than ``slack`` shared hashes
-   cannot link and leaves.  The rest is cut into *blocks*: connected by shared lists.
-3. Search: the texts of a block come together once.  Every document queries the block's
-   inverted lists with DivideSkip: its longest lists are set aside, the short ones are
-   merged, documents that occur ``T`` minus the number of long lists times are looked up
-   in the long lists by binary search, and those that reach the overlap are linked.
-   Documents already known to be connected to the query need no lookup.
-4. A block with more than ``WEIGHT`` hashes is cut into chunks by a hash of the id.  Chunks
-   are searched, then one document of each connected part of every chunk, and last all
-   documents outside the block's largest part against all chunks, in groups of at most
-   two chunks.  Together these see every pair that is not yet connected.
-
-Links are returned as edges to the smallest connected document, never as all pairs.
+2. First filter.  Two linked sets share ``slack`` of their first ``n - T + slack`` hashes (in
+   hash order).  These beginnings, about a third of all hashes, are listed by ranges of
+   the hash; each batch of documents sends a hash once, however many of them hold it.  A
+   set whose beginning holds fewer than ``slack`` shared hashes cannot link and leaves.
+3. Second filter.  The whole sets of the rest are listed, so every hash has its number of
+   sets.  A set with fewer than ``T`` shared hashes leaves.  Linked sets have one of their
+   ``n - T + 1`` rarest hashes in common, so the rest falls apart into *blocks* connected by
+   those; passages that many texts share are not rare and connect nothing.
+4. Search.  The sets of a block come together.  Every set queries the block's inverted
+   lists with DivideSkip: its longest lists are set aside, the short ones are merged,
+   sets that occur ``T`` minus the number of long lists times are looked up in the long
+   lists by binary search, and those that reach the overlap are linked.  Sets already
+   known to be connected to the query need no lookup.
+5. A block with more than ``WEIGHT`` hashes is cut into chunks by a hash of the node.  Chunks
+   are searched, then one set of each connected part of every chunk, and last all sets
+   outside the block's largest part against all chunks, in groups of at most two chunks.
+   Together these see every pair that is not yet connected.
+
+Links are returned as edges to the smallest connected node, never as all pairs.
 
 Defined cases: NULL and empty texts, and texts without words, have an empty set, link with
 nothing and are their own component; texts of one to four words have one shingle; the
@@ -36,7 +39,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ MU = 0.02
 
 _FACTORS = np.random.default_rng(97).integers(1, 2**63, size=WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SET_SCHEMA = "rid long, doc_id long, row_key long, n long, class binary, beginning array<long>"
+SET_SCHEMA = "node long, doc_id long, n long, class binary, short long"
 
 
 def needed(n: int, similar: int = SIMILAR) -> int:
@@ -99,90 +101,152 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    """Identity of a set: 128 bits of a digest of its sorted hashes."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
+def _short(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rid = TaskContext.get().partitionId() << 40
     for batch in text_slices(batches, limit=8 << 20):
         sets = shingle_sets(batch.column("text"))
-        n = [len(s) for s in sets]
-        begin = [s[: k - needed(k) + slack(k)].view(np.int64) for s, k in zip(sets, n)]
+        digests = [_digest(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(rid, rid + len(n)), pa.int64()), batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()),
-             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-             pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, begin)]), pa.int32()), pa.array(np.concatenate([*begin, np.zeros(0, np.int64)])))],
-            names=["rid", "doc_id", "row_key", "n", "class", "beginning"])
-        rid += len(n)
+            [batch.column("node"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+             pa.array([_short(d) if d else None for d in digests], pa.int64())], names=["node", "doc_id", "n", "class", "short"])
 
 
-def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of one batch: its first document goes on for all, the others are tied to it.
+# -- first filter: shared hashes of the beginnings
 
-    ``hash, rid, other, several``: a head (``other`` NULL) stands for its list, which has
-    ``several`` documents here or not; a tied document has met its head ``other``.
-    """
-    for batch in batches:
-        lists = batch.column("beginning")
-        rid = np.repeat(batch.column("rid").to_numpy(), np.diff(lists.offsets.to_numpy()))
-        h = lists.flatten().to_numpy()
-        order = np.lexsort((rid, h))
-        h, rid = h[order], rid[order]
-        if not len(h):
-            continue
-        new = np.r_[True, h[1:] != h[:-1]]
-        at = np.flatnonzero(new)
-        size = np.diff(np.r_[at, len(h)])
-        tied = np.flatnonzero(~new)
-        head = rid[at][np.cumsum(new) - 1][tied]
-        # Tied documents need no list any more; they spread by their own id.
-        spread = _mixed(rid[tied].view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[h[at], spread]), pa.array(np.r_[rid[at], rid[tied]]),
-             pa.array(np.r_[rid[at] * 0, head], mask=np.r_[np.ones(len(at), bool), np.zeros(len(tied), bool)]), pa.array(np.r_[size > 1, np.ones(len(tied), bool)])],
-            names=["hash", "rid", "other", "several"])
+BEGIN_SCHEMA = "range int, ids binary, owner binary, hashes binary, several binary"
 
 
-def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``rid, other, shared`` from heads sorted by hash: how often a document shares a hash, and with whom.
+def _beginnings(ranges: int):
+    """Beginnings of the distinct sets of a slice, by range of the hash; every hash goes on once.
 
-    A list is read as a stream; only its first document is remembered.
+    ``ids`` of the sets (their digests' first half), and for each hash its ``owner`` among
+    them and whether ``several`` sets of the slice have it.  The sets beside the owner are
+    sent as ids without hashes: they share it for certain.
     """
-    last_hash = last_rid = None
-    last_counted = True
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=8 << 20):
+            once = {_short(_digest(s)): s for s in shingle_sets(batch.column("text")) if len(s)}
+            if not once:
+                continue
+            ids = np.fromiter(once, np.int64, len(once))
+            begin = [s[: len(s) - needed(len(s)) + slack(len(s))] for s in once.values()]
+            flat = np.concatenate(begin)
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(b) for b in begin])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            new = np.r_[True, flat[1:] != flat[:-1]]
+            several = np.r_[~new[1:], False][new]
+            rows = [(0, ids[owner[~new]].tobytes(), b"", b"", b"")] if (~new).any() else []
+            flat, owner = flat[new], owner[new]
+            part = _range_of(flat, ranges)
+            ends = np.searchsorted(part, np.arange(ranges + 1))
+            for r in range(ranges):
+                cut = slice(ends[r], ends[r + 1])
+                if ends[r] < ends[r + 1]:
+                    held, place = np.unique(owner[cut], return_inverse=True)
+                    rows.append((r, ids[held].tobytes(), place.astype("<u4").tobytes(), flat[cut].tobytes(), several[cut].tobytes()))
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+                names=["range", "ids", "owner", "hashes", "several"])
+    return run
+
+
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, shared`` over the ranges of one task: how many of a set's hashes other sets have too."""
+    ids, hashes, several, certain = [], [], [], []
     for batch in batches:
-        other = batch.column("other")
-        tied = other.is_valid().to_numpy(zero_copy_only=False)
-        out = [batch.column("rid").to_numpy()[tied], other.drop_null().to_numpy()]
-        h, rid = batch.column("hash").to_numpy()[~tied], batch.column("rid").to_numpy()[~tied]
-        several = batch.column("several").to_numpy(zero_copy_only=False)[~tied]
-        if len(h):
-            new = np.r_[last_hash is None or h[0] != last_hash, h[1:] != h[:-1]]
-            at = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            heads = rid[at][np.maximum(group, 0)] if len(at) else rid * 0
-            size = np.diff(np.r_[at, len(h)])
-            if not new[0]:  # the list goes on from the batch before
-                heads = np.where(group < 0, last_rid, heads)
-                if not last_counted:
-                    out = [np.r_[out[0], last_rid], np.r_[out[1], last_rid]]
-                    last_counted = True
-            first_of_list = new
-            counted = several | ~first_of_list
-            if len(at):
-                counted[at] |= size > 1
-            out = [np.r_[out[0], rid[counted]], np.r_[out[1], heads[counted]]]
-            if len(at):
-                last_rid, last_counted = rid[at[-1]], bool(counted[at[-1]])
-            last_hash = h[-1]
-        if len(out[0]):
-            pairs, count = np.unique(np.stack([out[0], out[1]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(count)], names=["rid", "other", "shared"])
-
-
-def _shared(sets: DataFrame) -> DataFrame:
-    heads = sets.filter("n > 0").select("rid", "beginning").mapInArrow(_heads, "hash long, rid long, other long, several boolean")
-    dealt = heads.repartition("hash").sortWithinPartitions("hash", "rid")
-    met = dealt.mapInArrow(_listed, "rid long, other long, shared long")
-    return met.groupBy("rid", "other").agg(F.sum("shared").alias("shared"))
-
+        for i, o, h, s in zip(*[batch.column(c).to_pylist() for c in ("ids", "owner", "hashes", "several")]):
+            own = np.frombuffer(i, np.int64)
+            if not h:
+                certain.append(own)
+                continue
+            ids.append(own[np.frombuffer(o, "<u4")])
+            hashes.append(np.frombuffer(h, np.uint64))
+            several.append(np.frombuffer(s, bool))
+    found = certain
+    if ids:
+        i, h, s = np.concatenate(ids), np.concatenate(hashes), np.concatenate(several)
+        order = np.lexsort((i, h))
+        i, h, s = i[order], h[order], s[order]
+        head = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])]  # one set, sent by two batches, is one
+        s = np.logical_or.reduceat(s, np.flatnonzero(head))
+        i, h = i[head], h[head]
+        same = h[1:] == h[:-1]
+        found = [*certain, i[np.r_[False, same] | np.r_[same, False] | s]]
+    if found:
+        unique, count = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(count)], names=["id", "shared"])
+
+
+# -- second filter: numbers of sets of all hashes
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        sets = shingle_sets(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+             pa.array([_digest(s) for s in sets], pa.binary())], names=["node", "n", "hashes", "digest"])
+
+
+def _by_range(ranges: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "hashes"):
+            nodes, parts, cuts = [], [], []
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+                h = np.frombuffer(raw, np.uint64)
+                part = _range_of(h, ranges)
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                nodes += [node] * len(at)
+                parts += part[at].tolist()
+                cuts += [raw[8 * a:8 * b] for a, b in zip(at, np.r_[at[1:], len(h)])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(nodes, pa.int64()), pa.array(cuts, pa.binary())],
+                                             names=["range", "node", "hashes"])
+    return run
+
+
+def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, range, often``: one byte for each hash, the number of sets that have it (255: or more)."""
+    tables = list(batches)
+    cuts = [c for b in tables for c in b.column("hashes").to_pylist()]
+    if not cuts:
+        return
+    flat = np.frombuffer(b"".join(cuts), np.uint64)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = np.minimum(count, 255).astype(np.uint8)[place].tobytes()
+    ends = np.cumsum([0, *[len(c) // 8 for c in cuts]])
+    yield pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([b.column("node") for b in tables]), pa.concat_arrays([b.column("range") for b in tables]),
+         pa.array([often[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["node", "range", "often"])
+
+
+def _rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, hashes``: of sets with enough shared hashes, the shared ones among the ``n - T + 1`` rarest."""
+    for batch in text_slices(batches, "hashes"):
+        nodes, lists = [], []
+        for node, raw, often in zip(*[batch.column(c).to_pylist() for c in ("node", "hashes", "often")]):
+            h, f = np.frombuffer(raw, np.uint64), np.frombuffer(often, np.uint8)
+            t = needed(len(h))
+            if np.count_nonzero(f > 1) >= t:
+                rare = np.lexsort((h, f))[: len(h) - t + 1]
+                nodes.append(node)
+                lists.append(h[rare[f[rare] > 1]].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+
+# -- search
 
 class Search:
     """Inverted lists over some sets, searched with DivideSkip."""
@@ -238,58 +302,47 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _connect(rid: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges ``rid, smallest connected rid`` of one group; with two sides only pairs across them are searched."""
+def _connect(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges ``node, smallest connected node`` of one group; with two sides only pairs across them are searched."""
     index = np.flatnonzero(side == side.max())
     queries = np.flatnonzero(side == side.min())
     search = Search([sets[i] for i in index])
-    parent = list(range(len(rid)))
-    roots = np.arange(len(rid))
-    for q in queries:
-        own = _root(parent, int(q))
-        for i in search.linked(sets[q], roots[index] == roots[q]):
-            a, b = _root(parent, own), _root(parent, int(index[i]))
+    root = np.arange(len(node))
+    for q in queries.tolist():
+        for i in search.linked(sets[q], root[index] == root[q]).tolist():
+            a, b = root[q], root[index[i]]
             if a != b:
-                low, high = (a, b) if rid[a] <= rid[b] else (b, a)
-                parent[high] = low
-                roots[(roots == roots[high])] = roots[low]
-    return [(int(rid[i]), int(rid[r])) for i in range(len(rid)) if (r := _root(parent, i)) != i]
+                low, high = (a, b) if node[a] <= node[b] else (b, a)
+                root[root == high] = low
+    return [(int(node[i]), int(node[r])) for i, r in enumerate(root) if r != i]
 
 
 def _search_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of all groups of rows sorted by ``g1, g2, g3``; a group has at most about two chunks."""
-    group, rows = None, []
+    group, rows = None, {}
 
     def done():
-        out = []
-        if len(rows) > 1:
-            # One row may stand for several equal ones; the first is enough.
-            once = {}
-            for r in rows:
-                once.setdefault((r[0], r[1]), r)
-            unique = list(once.values())
-            out = _connect(np.array([r[0] for r in unique]), np.array([r[1] for r in unique]), [r[2] for r in unique])
-        cols = list(zip(*out)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rid", "root"])
+        out = _connect(np.array([n for n, _ in rows]), np.array([s for _, s in rows]), list(rows.values())) if len(rows) > 1 else []
+        columns = list(zip(*out)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "root"])
 
-    for batch in text_slices(batches):
-        sets = shingle_sets(batch.column("text"))
-        keys = list(zip(*[batch.column(c).to_pylist() for c in ("g1", "g2", "g3")]))
-        for key, rid, side, s in zip(keys, batch.column("rid").to_pylist(), batch.column("side").to_pylist(), sets):
+    for batch in text_slices(batches, "hashes"):
+        keys = zip(*[batch.column(c).to_pylist() for c in ("g1", "g2", "g3")])
+        for key, node, side, raw in zip(keys, *[batch.column(c).to_pylist() for c in ("node", "side", "hashes")]):
             if key != group:
                 if rows:
                     yield done()
-                group, rows = key, []
-            rows.append((rid, side, s))
+                group, rows = key, {}
+            rows.setdefault((node, side), np.frombuffer(raw, np.uint64))
     if rows:
         yield done()
 
 
-def _search(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges from searching the groups of ``rid, row_key, g1, g2, g3, side``."""
-    full = rows.join(texts, "row_key").select("g1", "g2", "g3", "side", "rid", "text")
-    full = full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "rid")
-    return stored(full.mapInArrow(_search_groups, "rid long, root long"), "found")
+def _search(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Edges from searching the groups of ``node, g1, g2, g3, side``."""
+    full = rows.join(whole.select("node", "hashes"), "node").select("g1", "g2", "g3", "side", "node", "hashes")
+    full = full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "node")
+    return stored(full.mapInArrow(_search_groups, "node long, root long"), "found")
 
 
 def _least_slack(n: Column, similar: int = SIMILAR) -> Column:
@@ -297,81 +350,89 @@ def _least_slack(n: Column, similar: int = SIMILAR) -> Column:
     return 1 + F.floor(SLACK * F.ceil(n * similar / 100))
 
 
-def class_links(sets: DataFrame, texts: DataFrame, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
-    """Representatives ``rid, class, doc_id`` and edges ``rid, root`` between them.
-
-    ``sets`` as made by ``shingle_table``, ``texts`` has ``row_key, text``.
-    """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rid", "row_key", "n"))
-    classes = sets.filter("n > 0").groupBy("class").agg(first.alias("f"))
-    classes = stored(classes.select("class", "f.rid", "f.doc_id", "f.row_key", "f.n"), "classes")
-    shared = stored(_shared(sets), "shared")
-    enough = shared.groupBy("rid").agg(F.sum("shared").alias("shared")).join(sets.select("rid", "class", "n"), "rid")
-    able = stored(enough.filter(F.col("shared") >= _least_slack(F.col("n"))).select("rid", "class"), "able")
-    # From here on a class is its representative.
-    place = able.alias("a").join(classes.alias("c"), "class").select(F.col("a.rid").alias("rid"), F.col("c.rid").alias("rep"))
-    place = stored(place, "place")
-    pairs = shared.filter("rid <> other").select("rid", "other").join(place, "rid").select("other", F.col("rep").alias("a"))
-    pairs = pairs.join(place.select(F.col("rid").alias("other"), F.col("rep").alias("b")), "other")
-    blocks = components(pairs, "a", "b").select(F.col("id").alias("rid"), F.col("component_id").alias("block"))
-    members = blocks.join(classes.select("rid", "row_key", "n"), "rid")
-    heavy = members.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.ceil(F.col("n") / weight).cast("int").alias("chunks"))
-    members = stored(members.join(stored(heavy, "heavy"), "block"), "members")
-    chunk = F.pmod(F.xxhash64("rid"), "chunks").cast("long")
-    zero = F.lit(0).cast("long")
-    found = _search(members.select("rid", "row_key", F.col("block").alias("g1"), chunk.alias("g2"), zero.alias("g3"), F.lit(0).alias("side")), texts)
+def _ranges(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def candidate_blocks(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored ``node, n, hashes`` of the sets that pass both filters, and ``node, block``."""
+    ranges = _ranges(texts.sparkSession)
+    dealt = texts.select("text").mapInArrow(_beginnings(ranges), BEGIN_SCHEMA).repartition(ranges, "range")
+    shared = stored(dealt.mapInArrow(_shared, "id long, shared long"), "shared").groupBy("id").agg(F.sum("shared").alias("shared"))
+    able = classes.withColumnRenamed("short", "id").join(shared, "id").filter(F.col("shared") >= _least_slack(F.col("n")))
+    able = stored(able.select("node", "class"), "able")
+    whole = texts.join(able, "node").select("node", "text").mapInArrow(_whole, "node long, n long, hashes binary, digest binary")
+    # A row of another text with the same 64-bit key is not the one meant.
+    whole = stored(whole.join(able.select("node", F.col("class").alias("digest")), ["node", "digest"], "left_semi").drop("digest"), "whole")
+    cut = whole.select("node", "hashes").mapInArrow(_by_range(ranges), "range int, node long, hashes binary").repartition(ranges, "range")
+    often = cut.mapInArrow(_frequencies, "node long, range int, often binary")
+    often = often.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("range", "often"))).alias("o"))
+    often = often.select("node", F.unhex(F.array_join(F.transform("o", lambda x: F.hex(x["often"])), "")).alias("often"))
+    rare = whole.join(often, "node").select("node", "hashes", "often").mapInArrow(_rarest, "node long, hashes array<long>")
+    rare = stored(rare, "rare")
+    lists = rare.select("node", F.explode("hashes").alias("hash"))
+    first = stored(lists.groupBy("hash").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last"), "first")
+    pairs = lists.join(first, "hash").filter("node <> first").select("node", "first")
+    blocks = components(pairs, "node", "first").select(F.col("id").alias("node"), F.col("component_id").alias("block"))
+    return whole, blocks
+
+
+def class_links(texts: DataFrame, classes: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """Edges ``node, root`` between representatives; ``texts`` has ``node, text``, ``classes`` ``class, node, n``."""
+    whole, blocks = candidate_blocks(texts, classes)
+    members = stored(blocks.join(classes.select("node", "n"), "node"), "members")
+    chunks = members.groupBy("block").agg(F.ceil(F.sum("n") / weight).cast("long").alias("chunks"))
+    members = stored(members.join(stored(chunks, "chunks"), "block"), "members")
+    chunk, zero, one_side = F.pmod(F.xxhash64("node"), "chunks"), F.lit(0).cast("long"), F.lit(0).alias("side")
+    found = _search(members.select("node", F.col("block").alias("g1"), chunk.alias("g2"), zero.alias("g3"), one_side), whole)
     large = members.filter("chunks > 1")
     if large.isEmpty():
-        return classes, found
-    # One document of each connected part of every chunk, chunked anew.
-    inner = large.join(found.select("rid", "root"), "rid", "left").filter("root IS NULL")
-    again = F.pmod(F.xxhash64("rid", F.lit(1)), F.ceil(F.sum("n").over(_by_block()) / weight).cast("int")).cast("long")
-    second = _search(inner.select("rid", "row_key", F.col("block").alias("g1"), again.alias("g2"), zero.alias("g3"), F.lit(0).alias("side")), texts)
+        return found
+    # One set of each connected part of every chunk, chunked anew.
+    heads = stored(large.join(found, "node", "left").filter("root IS NULL").select("node", "block", "n"), "heads")
+    again = heads.groupBy("block").agg(F.ceil(F.sum("n") / weight).cast("long").alias("chunks"))
+    heads = heads.join(again, "block").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
+    second = _search(heads.select("node", F.col("block").alias("g1"), F.col("chunk").alias("g2"), zero.alias("g3"), one_side), whole)
     found = stored(found.unionByName(second), "found")
-    # All documents outside the largest part, in blocks of queries, against every chunk.
-    parts = components(found, "rid", "root").select(F.col("id").alias("rid"), "component_id")
-    large = large.join(parts, "rid", "left").withColumn("part", F.coalesce("component_id", "rid"))
+    # All sets outside the largest part, in runs of queries, against every chunk.
+    parts = components(found, "node", "root").select(F.col("id").alias("node"), "component_id")
+    large = large.join(parts, "node", "left").withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
+    large = stored(large, "large")
     size = large.groupBy("block", "part").agg(F.count("*").alias("size"))
     top = size.groupBy("block").agg(F.max(F.struct("size", "part")).alias("t")).select("block", F.col("t.part").alias("top"))
-    large = stored(large.join(top, "block").drop("component_id"), "large")
-    queries = large.filter("part <> top")
-    runs = queries.groupBy("block").agg(F.ceil(F.sum("n") / weight).cast("int").alias("runs"))
-    index = large.join(runs, "block").select("rid", "row_key", F.col("block").alias("g1"), F.pmod(F.xxhash64("rid"), "chunks").cast("long").alias("g2"),
-                                             F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).cast("long").alias("g3"), F.lit(1).alias("side"))
-    asked = queries.join(runs, "block").select("rid", "row_key", F.col("block").alias("g1"),
-                                               F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long").alias("g2"),
-                                               F.pmod(F.xxhash64("rid", F.lit(2)), "runs").cast("long").alias("g3"), F.lit(0).alias("side"))
-    third = _search(index.unionByName(asked), texts)
-    return classes, stored(found.unionByName(third), "found")
-
-
-def _by_block():
-    from pyspark.sql import Window
+    queries = stored(large.join(top, "block").filter("part <> top").drop("top"), "queries")
+    runs = stored(queries.groupBy("block").agg(F.ceil(F.sum("n") / weight).cast("long").alias("runs")), "runs")
+    index = large.join(runs, "block").select("node", F.col("block").alias("g1"), chunk.alias("g2"),
+                                             F.explode(F.sequence(zero, F.col("runs") - 1)).alias("g3"), F.lit(1).alias("side"))
+    asked = queries.join(runs, "block").select("node", F.col("block").alias("g1"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("g2"),
+                                               F.pmod(F.xxhash64("node", F.lit(2)), "runs").alias("g3"), one_side)
+    third = _search(index.unionByName(asked), whole)
+    return stored(found.unionByName(third), "found")
 
-    return Window.partitionBy("block")
 
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = WEIGHT) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component_id, kept`` of every row; one row of a component is kept.
 
-def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stored sets of every row, and ``row_key, text`` to find texts again."""
+    Rows that repeat id and text have one ``row_key`` and are kept or not together.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row_key", row_key("doc_id", "text"))
-    return stored(rows.mapInArrow(_sets, SET_SCHEMA), "sets"), rows.select("row_key", "text")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = WEIGHT) -> DataFrame:
-    """``doc_id, row_key, n_shingles, component_id, kept`` of every row; one row of a component is kept."""
-    sets, texts = shingle_table(docs, id_col, text_col)
-    classes, links = class_links(sets, texts, weight)
-    parts = components(links, "rid", "root").select(F.col("id").alias("rid"), F.col("component_id").alias("part"))
-    named = classes.select("class", "rid", "doc_id").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    rows = rows.withColumn("node", row_key("doc_id", "text"))
+    sets = stored(rows.mapInArrow(_sets, SET_SCHEMA), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "node", "n", "short"))
+    classes = sets.filter("n > 0").groupBy("class").agg(first.alias("f"))
+    classes = stored(classes.select("class", "f.node", "f.doc_id", "f.n", "f.short"), "classes")
+    links = class_links(rows.select("node", "text"), classes, weight)
+    parts = components(links, "node", "root").select(F.col("id").alias("node"), F.col("component_id").alias("part"))
+    named = classes.select("class", "node", "doc_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     named = stored(named, "named")
-    key = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rid"))
-    least = named.groupBy("part").agg(key.alias("k")).select("part", F.col("k.doc_id").alias("component_id"), F.col("k.rid").alias("keep"))
+    key = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "node"))
+    least = stored(named.groupBy("part").agg(key.alias("k")).select("part", F.col("k.doc_id").alias("component_id"), F.col("k.node").alias("keep")), "least")
     named = stored(named.join(least, "part").select("class", "component_id", "keep"), "named")
-    out = sets.select("rid", "doc_id", "row_key", "n", "class").join(named, "class", "left")
+    out = sets.join(named, "class", "left")
     alone = F.col("keep").isNull()
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      F.coalesce(F.col("keep") == F.col("rid"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("node").alias("row_key"), F.col("n").alias("n_shingles"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      F.coalesce(F.col("keep") == F.col("node"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
