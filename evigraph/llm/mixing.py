@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import SPACE_CLASS, read, row_key, stored
 
 # Weights of the sources in their order, repeating; no source is used more often than MOST.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,20 +36,14 @@ STEP = 1327217885
 
 
 def word_count(text: Column) -> Column:
-    """Number of maximal runs outside white space; NULL has none.
-
-    Bytes are counted by removing classes of characters, which needs no array of words:
-    a word starts at every non-space that follows a space or the beginning.
-    """
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    words = F.btrim(F.regexp_replace(spaced, " {2,}", " "), F.lit(" "))
-    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Number of maximal runs outside white space; NULL has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, size`` of every row, stored: the texts are read once."""
-    return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                              word_count(F.col(text_col)).alias("size")), "sizes")
+    """``row_key, doc_id, source, size`` of every row, stored: the texts are read once."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    return stored(rows.select(row_key("doc_id", "text").alias("row_key"), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -86,20 +80,20 @@ def _positions(sized: DataFrame, buckets: int) -> DataFrame:
     total = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select("source", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_b").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_b").orderBy("_key", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.alias("r").join(total.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r._b") == F.col("t._b")))
-    return joined.select("r.doc_id", "r.source", "r.size", (F.col("_base") + F.col("_in")).alias("start"))
+    return joined.select("r.row_key", "r.source", "r.size", (F.col("_base") + F.col("_in")).alias("start"))
 
 
 def pieces(sized: DataFrame, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
-    """Which words of which document lie in which block: ``source, block, doc_id, size, skip, words``."""
+    """Which words of which row lie in which block: ``source, block, row_key, skip, words``."""
     at = _positions(sized, buckets)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     at = at.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest("start", F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return at.select("source", "block", "doc_id", "size", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
+    return at.select("source", "block", "row_key", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
 
 
 def schedule(spark, shares: DataFrame, block: int = BLOCK, run: int = RUN, most: int = MOST) -> DataFrame:
@@ -133,27 +127,48 @@ def schedule(spark, shares: DataFrame, block: int = BLOCK, run: int = RUN, most:
     return out.filter(F.col("pass") < most)
 
 
+def drawn(sized: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``row_key, doc_id, source, size, copies, taken``: words taken from all rows of one key together."""
+    uses = schedule(sized.sparkSession, shares, block).groupBy("source", "block").agg(F.count("*").alias("uses"))
+    cut = pieces(sized, block)
+    both = cut.alias("c").join(uses.alias("u"), F.col("c.source").eqNullSafe(F.col("u.source")) & (F.col("c.block") == F.col("u.block")))
+    taken = both.groupBy("c.row_key").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    once = sized.groupBy("row_key", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    return once.join(taken, "row_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         block: int = BLOCK) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row."""
     sized = sizes(docs, id_col, text_col, source_col)
     shares = stored(targets(sized), "targets")
-    uses = schedule(docs.sparkSession, shares, block).groupBy("source", "block").agg(F.count("*").alias("uses"))
-    cut = pieces(sized, block)
-    drawn = cut.alias("c").join(uses.alias("u"), F.col("c.source").eqNullSafe(F.col("u.source")) & (F.col("c.block") == F.col("u.block")))
-    # Rows that repeat id, source and size share what their positions take, evenly.
-    who = ["doc_id", "source", "size"]
-    taken = drawn.groupBy("c.doc_id", "c.source", "c.size").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.size") == F.col("t.size"))
-    once = sized.groupBy(*who).agg(F.count("*").alias("copies"))
-    out = once.alias("s").join(taken.alias("t"), same, "left").select(
-        "s.doc_id", "s.source", "s.size", "copies", F.coalesce("taken", F.lit(0)).alias("all_taken"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    share = F.floor(F.col("all_taken") / F.col("copies")) + F.when(
-        F.col("copy") <= F.pmod("all_taken", "copies"), 1).otherwise(0)
-    joined = out.withColumn("taken", share).alias("o").join(
-        F.broadcast(shares).alias("w"), F.col("o.source").eqNullSafe(F.col("w.source")))
-    return joined.select("o.doc_id", "o.source", "o.size", "w.source_size", "w.target", F.col("o.taken").cast("long").alias("taken"))
+    # Rows that repeat id and text share what their positions take, evenly.
+    out = drawn(sized, shares, block).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    more = F.when(F.col("copy") <= F.pmod("taken", "copies"), 1).otherwise(0)
+    out = out.withColumn("taken", (F.floor(F.col("taken") / F.col("copies")) + more).cast("long"))
+    joined = out.alias("o").join(F.broadcast(shares).alias("w"), F.col("o.source").eqNullSafe(F.col("w.source")))  # a row per source
+    return joined.select("o.doc_id", "o.source", "o.size", "w.source_size", "w.target", "o.taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns.
+
+    The slots of a source go through its stream in order, so a row is taken whole some
+    times, and at most one row of a source also in part: its first words, joined by
+    spaces.  A row taken 0 times is gone.
+    """
+    sized = sizes(docs, id_col, text_col, source_col)
+    shares = stored(targets(sized), "targets")
+    taken = drawn(sized, shares, block).filter("taken > 0").select(
+        F.col("row_key").alias("_key"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("copies")).alias("_taken"))
+    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).join(taken, "_key")
+    times = F.ceil(F.col("_taken") / F.col("_size"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    part = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    words = F.filter(F.split(F.col(text_col), SPACE_CLASS), lambda w: w != "")
+    cut = F.when(part >= F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(part, F.lit(1)).cast("int")), " "))
+    return rows.withColumn(text_col, cut).select(*docs.columns)
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SHORTEST, LONGEST = 3, 12
 # A term must be this pure, and its chance of arising by luck among all candidates below LUCK.
 PURE, LUCK = 0.8, 0.05
+# Scores from here on mean toxic.
+REJECT = 0.7
 # Labelled rows learned from (smallest hashes of the id), terms and exception phrases kept (most frequent first).
 TRAIN_ROWS, MAX_TERMS, MAX_PHRASES = 30000, 5000, 2000
 
@@ -223,6 +225,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` that score below ``reject``, all columns as they are, without a shuffle."""
+    terms, phrases, curve = model.terms, model.phrases, model.curve
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _ready(terms, phrases, curve)
+        for batch in text_slices(batches, text_col):
+            yield batch.filter(pa.array([ready.score(t) < reject for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_model(docs: DataFrame, labels: DataFrame) -> Model:
     """Learned from the ids whose crc32 modulo 3 is not 1."""
     return learn(docs, labels.filter((bucket("doc_id", 3) != 1) & F.col("doc_id").isNotNull()))
@@ -232,4 +246,4 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = score(docs, training_model(docs, labels))
     return scored.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score",
-                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+                         (F.col("score") >= REJECT).cast("int").alias("predicted"))
