@@ -39,6 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,57 +194,85 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- second filter: numbers of sets of all hashes
 
+WHOLE_SCHEMA = "batch long, nodes binary, sizes binary, hashes binary"
+
+
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets, one row for a slice of texts: its nodes, the sizes of their sets, and the sets on end.
+
+    A row of another text with the same 64-bit key is not the one meant and is left out.
+    """
+    batch_id = TaskContext.get().partitionId() << 32
     for batch in text_slices(batches):
         sets = shingle_sets(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-             pa.array([_digest(s) for s in sets], pa.binary())], names=["node", "n", "hashes", "digest"])
+        rows = [(n, s) for n, s, c in zip(batch.column("node").to_pylist(), sets, batch.column("class").to_pylist()) if _digest(s) == c]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch_id]), pa.array([np.array([n for n, _ in rows], np.int64).tobytes()], pa.binary()),
+                 pa.array([np.array([len(s) for _, s in rows], np.int32).tobytes()], pa.binary()),
+                 pa.array([np.concatenate([s for _, s in rows]).tobytes()], pa.binary())], names=["batch", "nodes", "sizes", "hashes"])
+            batch_id += 1
+
+
+def _rows(batch: pa.RecordBatch, *columns: str):
+    return zip(*[batch.column(c).to_pylist() for c in columns])
 
 
 def _by_range(ranges: int):
+    """``range, batch, hashes``: the hashes of a slice that lie in a range, in the order of its sets."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "hashes"):
-            nodes, parts, cuts = [], [], []
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+        for batch in batches:
+            for key, raw in _rows(batch, "batch", "hashes"):
                 h = np.frombuffer(raw, np.uint64)
                 part = _range_of(h, ranges)
-                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                nodes += [node] * len(at)
-                parts += part[at].tolist()
-                cuts += [raw[8 * a:8 * b] for a, b in zip(at, np.r_[at[1:], len(h)])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(nodes, pa.int64()), pa.array(cuts, pa.binary())],
-                                             names=["range", "node", "hashes"])
+                h = h[np.argsort(part, kind="stable")]
+                ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=ranges))
+                cuts = [h[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(ranges), pa.int32()), pa.array([key] * ranges, pa.int64()), pa.array(cuts, pa.binary())], names=["range", "batch", "hashes"])
     return run
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, range, often``: one byte for each hash, the number of sets that have it (255: or more)."""
-    tables = list(batches)
-    cuts = [c for b in tables for c in b.column("hashes").to_pylist()]
-    if not cuts:
+    """``batch, range, often``: for each hash one byte, the number of sets that have it (255: or more)."""
+    rows = [r for batch in batches for r in _rows(batch, "batch", "range", "hashes")]
+    if not rows:
         return
-    flat = np.frombuffer(b"".join(cuts), np.uint64)
-    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, place, count = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), return_inverse=True, return_counts=True)
     often = np.minimum(count, 255).astype(np.uint8)[place].tobytes()
-    ends = np.cumsum([0, *[len(c) // 8 for c in cuts]])
+    ends = np.cumsum([0, *[len(r[2]) // 8 for r in rows]])
     yield pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([b.column("node") for b in tables]), pa.concat_arrays([b.column("range") for b in tables]),
-         pa.array([often[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["node", "range", "often"])
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+         pa.array([often[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["batch", "range", "often"])
 
 
-def _rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rarest(ranges: int):
     """``node, hashes``: of sets with enough shared hashes, the shared ones among the ``n - T + 1`` rarest."""
-    for batch in text_slices(batches, "hashes"):
-        nodes, lists = [], []
-        for node, raw, often in zip(*[batch.column(c).to_pylist() for c in ("node", "hashes", "often")]):
-            h, f = np.frombuffer(raw, np.uint64), np.frombuffer(often, np.uint8)
-            t = needed(len(h))
-            if np.count_nonzero(f > 1) >= t:
-                rare = np.lexsort((h, f))[: len(h) - t + 1]
-                nodes.append(node)
-                lists.append(h[rare[f[rare] > 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "hashes"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, sizes, raw, answer in _rows(batch, "nodes", "sizes", "hashes", "often"):
+                h = np.frombuffer(raw, np.uint64)
+                f = np.empty(len(h), np.uint8)
+                f[np.argsort(_range_of(h, ranges), kind="stable")] = np.frombuffer(answer, np.uint8)
+                kept, lists, at = [], [], 0
+                for node, n in zip(np.frombuffer(nodes, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist()):
+                    own, often, t = h[at:at + n], f[at:at + n], needed(n)
+                    at += n
+                    if np.count_nonzero(often > 1) >= t:
+                        rare = np.lexsort((own, often))[: n - t + 1]
+                        kept.append(node)
+                        lists.append(own[rare[often[rare] > 1]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "hashes"])
+    return run
+
+
+def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, hashes``: one row per set."""
+    for batch in batches:
+        for nodes, sizes, raw in _rows(batch, "nodes", "sizes", "hashes"):
+            ends = 8 * np.cumsum(np.r_[0, np.frombuffer(sizes, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())],
+                                             names=["node", "hashes"])
 
 
 # -- search
@@ -340,7 +369,7 @@ def _search_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _search(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """Edges from searching the groups of ``node, g1, g2, g3, side``."""
-    full = rows.join(whole.select("node", "hashes"), "node").select("g1", "g2", "g3", "side", "node", "hashes")
+    full = rows.join(whole, "node").select("g1", "g2", "g3", "side", "node", "hashes")
     full = full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "node")
     return stored(full.mapInArrow(_search_groups, "node long, root long"), "found")
 
@@ -355,26 +384,25 @@ def _ranges(spark) -> int:
 
 
 def candidate_blocks(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored ``node, n, hashes`` of the sets that pass both filters, and ``node, block``."""
+    """``node, hashes`` of the sets that pass the first filter, and ``node, block`` of those that pass both."""
     ranges = _ranges(texts.sparkSession)
     dealt = texts.select("text").mapInArrow(_beginnings(ranges), BEGIN_SCHEMA).repartition(ranges, "range")
     shared = stored(dealt.mapInArrow(_shared, "id long, shared long"), "shared").groupBy("id").agg(F.sum("shared").alias("shared"))
     able = classes.withColumnRenamed("short", "id").join(shared, "id").filter(F.col("shared") >= _least_slack(F.col("n")))
     able = stored(able.select("node", "class"), "able")
-    whole = texts.join(able, "node").select("node", "text").mapInArrow(_whole, "node long, n long, hashes binary, digest binary")
-    # A row of another text with the same 64-bit key is not the one meant.
-    whole = stored(whole.join(able.select("node", F.col("class").alias("digest")), ["node", "digest"], "left_semi").drop("digest"), "whole")
-    cut = whole.select("node", "hashes").mapInArrow(_by_range(ranges), "range int, node long, hashes binary").repartition(ranges, "range")
-    often = cut.mapInArrow(_frequencies, "node long, range int, often binary")
-    often = often.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("range", "often"))).alias("o"))
-    often = often.select("node", F.unhex(F.array_join(F.transform("o", lambda x: F.hex(x["often"])), "")).alias("often"))
-    rare = whole.join(often, "node").select("node", "hashes", "often").mapInArrow(_rarest, "node long, hashes array<long>")
+    whole = texts.join(able, "node").select("node", "class", "text").mapInArrow(_whole, WHOLE_SCHEMA)
+    whole = stored(whole, "whole")
+    cut = whole.select("batch", "hashes").mapInArrow(_by_range(ranges), "range int, batch long, hashes binary").repartition(ranges, "range")
+    often = cut.mapInArrow(_frequencies, "batch long, range int, often binary")
+    often = often.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("range", "often"))).alias("o"))  # a row per range
+    often = often.select("batch", F.unhex(F.array_join(F.transform("o", lambda x: F.hex(x["often"])), "")).alias("often"))
+    rare = whole.join(often, "batch").select("nodes", "sizes", "hashes", "often").mapInArrow(_rarest(ranges), "node long, hashes array<long>")
     rare = stored(rare, "rare")
     lists = rare.select("node", F.explode("hashes").alias("hash"))
     first = stored(lists.groupBy("hash").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last"), "first")
     pairs = lists.join(first, "hash").filter("node <> first").select("node", "first")
     blocks = components(pairs, "node", "first").select(F.col("id").alias("node"), F.col("component_id").alias("block"))
-    return whole, blocks
+    return whole.select("nodes", "sizes", "hashes").mapInArrow(_single, "node long, hashes binary"), blocks
 
 
 def class_links(texts: DataFrame, classes: DataFrame, weight: int = WEIGHT) -> DataFrame:
