@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,41 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return words.filter(full), owner[keep]
 
 
+# Tabulation hashing: a random number for each byte at each of the first places of a word.
+_PLACES = 48
+_RANDOM = np.random.default_rng(2024).integers(0, 2**64, size=(_PLACES + 1, 256), dtype=np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Bijective 64-bit mixing."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (large strings without NULL), by array operations.
+
+    Words longer than the table are hashed one by one.
+    """
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1]
+    size = np.diff(at)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], size)
+    values = _RANDOM[np.minimum(place, _PLACES), raw]
+    sums = np.cumsum(values, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), sums])
+    h = mixed(total[at[1:] - at[0]] - total[at[:-1] - at[0]] + size.astype(np.uint64) * _RANDOM[_PLACES, 0])
+    for i in np.flatnonzero(size > _PLACES):
+        h[i] = xxhash.xxh3_64_intdigest(raw[at[i] - at[0]:at[i + 1] - at[0]].tobytes())
+    return h
+
+
 def row_key(*cols: str) -> Column:
     """64-bit key of a row's id and text, for finding the row again; NULL is a value."""
     return F.xxhash64(*[F.col(c) for c in cols])

@@ -4,7 +4,8 @@ Tokens are words (A-Z lower-cased) and one end token per text.  Counting covers
 training texts: how often each token occurs, all tokens and all distinct ones.  From the
 counts come the vocabulary of the network (the ``SHORT`` most frequent words, in classes of
 ``MEMBERS`` by frequency, the end token, and ``SHAPES`` classes of all other words by their
-looks) and the base score.
+looks) and the base score.  A network token is a short word's place, or ``SHORT`` plus the
+look of any other word, or ``SHORT + SHAPES`` for the end; texts are stored as such tokens.
 
 The network is a gated recurrent unit whose output is factored: a softmax over classes
 from the state, and inside a class a softmax over its members from the state; a rarer word
@@ -32,15 +33,14 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, read, split_words, stored, text_slices
+from .common import bucket, read, split_words, stored, text_slices, word_hashes
 
 SHORT, MEMBERS, SHAPES = 1024, 32, 8
-HIDDEN, WINDOW, LANES, STEP = 24, 24, 128, 0.004
+HIDDEN, WINDOW, LANES, STEP = 16, 16, 512, 0.02
 KNOWN = 1 << 20
 # Texts scored side by side, and tokens read before they are scored.
 BATCH, TOKENS = 2048, 4_000_000
@@ -58,7 +58,7 @@ def keyed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), owner
     coded = words.dictionary_encode()
     spelled = coded.dictionary
-    key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in spelled.to_pylist()), np.uint64, len(spelled)).view(np.int64)
+    key = word_hashes(spelled).view(np.int64)
     key[key == END_KEY] = 0
     long_ = pc.greater(pc.binary_length(spelled), 8).to_numpy(zero_copy_only=False)
     marked = pc.match_substring_regex(spelled, r"[^0-9A-Za-z\x80-\xff]$").to_numpy(zero_copy_only=False)
@@ -69,7 +69,7 @@ def keyed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, limit=8 << 20):
+    for batch in text_slices(batches, limit=16 << 20):
         key, shape, _ = keyed(batch.column("text"))
         word, first, c = np.unique(key, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays(
@@ -101,12 +101,6 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
         return np.where(self.words[at] == key, at, -1)
 
-    def tokens(self, key: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        """Network input of every word: short-list place, or SHORT + shape; the end token is SHORT + SHAPES."""
-        at = self.find(key)
-        place = self.place[at] if len(self.place) else np.full(len(key), -1)
-        return np.where((at >= 0) & (place >= 0), place, SHORT + shape).astype(np.int32)
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals of the counts, and the words that make up at least a ``KNOWN``-th of the tokens."""
@@ -172,7 +166,7 @@ def fresh(vocab: Vocabulary) -> Network:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def forward(net: Network, tokens: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,24 +191,28 @@ def class_of(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < SHORT, tokens // MEMBERS, tokens - SHORT + SHORT // MEMBERS)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+_ONES = np.ones((max(MEMBERS, SHORT // MEMBERS + SHAPES + 1), 1), np.float32)
+
+
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores and their sums by row; scores stay far below the limit of the exponent."""
+    e = np.exp(np.minimum(x, 80.0, out=x))
+    return e, e @ _ONES[: e.shape[1]]
 
 
 def log_probs(net: Network, states: np.ndarray, target: np.ndarray, grad: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of class and, in the short list, member of each target; with ``grad``, also the gradient by state."""
     cls = class_of(target)
     rows = np.arange(len(target))
-    logp = _log_softmax(states @ net.wc + net.bc)
-    out = logp[rows, cls].astype(np.float64)
+    e, total = _shares(states @ net.wc + net.bc)
+    out = np.log(e[rows, cls] / total[:, 0]).astype(np.float64)
     back = None
     if grad is not None:
-        d = np.exp(logp)
-        d[rows, cls] -= 1
-        grad.wc += states.T @ d
-        grad.bc += d.sum(axis=0)
-        back = d @ net.wc.T
+        e /= total
+        e[rows, cls] -= 1
+        grad.wc += states.T @ e
+        grad.bc += e.sum(axis=0)
+        back = e @ net.wc.T
     order = np.argsort(cls, kind="stable")
     ends = np.searchsorted(cls[order], np.arange(SHORT // MEMBERS + 1))
     for g in range(SHORT // MEMBERS):
@@ -222,16 +220,16 @@ def log_probs(net: Network, states: np.ndarray, target: np.ndarray, grad: Networ
         if not len(at):
             continue
         own = states[at]
-        inner = _log_softmax(own @ net.ww[g] + net.bw[g])
+        e, total = _shares(own @ net.ww[g] + net.bw[g])
         member = target[at] - g * MEMBERS
         n = np.arange(len(at))
-        out[at] += inner[n, member]
+        out[at] += np.log(e[n, member] / total[:, 0])
         if grad is not None:
-            d = np.exp(inner)
-            d[n, member] -= 1
-            grad.ww[g] += own.T @ d
-            grad.bw[g] += d.sum(axis=0)
-            back[at] += d @ net.ww[g].T
+            e /= total
+            e[n, member] -= 1
+            grad.ww[g] += own.T @ e
+            grad.bw[g] += e.sum(axis=0)
+            back[at] += e @ net.ww[g].T
     return out, back
 
 
@@ -291,27 +289,85 @@ class Trainer:
             a -= np.float32(STEP * fix) * m / (np.sqrt(v) + 1e-6)
 
 
-def _runs(batches: Iterable[pa.RecordBatch], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch, tuple]]:
-    """Per slice of texts: tokens with the end tokens, tokens per text, the slice, keys and owners."""
-    for batch in text_slices(batches, limit=4 << 20):
-        key, shape, owner = keyed(batch.column("text"))
-        n = np.bincount(owner, minlength=batch.num_rows)
-        ends = np.cumsum(n)
-        tokens = np.insert(vocab.tokens(key, shape), ends, SHORT + SHAPES)
-        yield tokens, n + 1, batch, (key, shape, owner)
+def _encode(vocab):
+    """Texts as tokens, with what the task knows of their scores and the words it has to look up.
+
+    ``known`` tokens, ``base`` (sum of log10 counts) and ``tail`` (log10 shares of words outside
+    the short list in their class) are complete but for ``words`` and their ``times``.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Vocabulary = vocab.value
+        rid = TaskContext.get().partitionId() << 40
+        log_count = np.log10(known.counts + 0.5) if len(known.counts) else np.zeros(0)
+        end_log = np.log10(known.end_count + 0.5)
+        share = np.log10(known.shape_total + 0.5 * (known.shape_distinct + 1))
+        for batch in text_slices(batches, limit=8 << 20):
+            rows = batch.num_rows
+            key, shape, owner = keyed(batch.column("text"))
+            n = np.bincount(owner, minlength=rows)
+            place = known.find(key)
+            seen = place >= 0
+            short = np.full(len(key), -1)
+            short[seen] = known.place[place[seen]]
+            tokens = np.insert(np.where(short >= 0, short, SHORT + shape), np.cumsum(n), SHORT + SHAPES).astype("<i2")
+            ends = 2 * np.cumsum(np.r_[0, n + 1])
+            raw = tokens.tobytes()
+            add = lambda w, sel: np.bincount(owner[sel], weights=w, minlength=rows)
+            base = add(log_count[place[seen]], seen) + end_log
+            tail_seen = seen & (short < 0)
+            tail = add(log_count[place[tail_seen]], tail_seen) - add(share[shape[short < 0]], short < 0)
+            have = add(np.ones(seen.sum()), seen) + (known.end_count > 0)
+            rare_owner, rare_key = owner[~seen], key[~seen]
+            order = np.lexsort((rare_key, rare_owner))
+            rare_owner, rare_key = rare_owner[order], rare_key[order]
+            first = np.flatnonzero(np.r_[True, (rare_owner[1:] != rare_owner[:-1]) | (rare_key[1:] != rare_key[:-1])][:len(rare_key)])
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(rare_owner[first], minlength=rows))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(rid, rid + rows)), batch.column("doc_id"), batch.column("train"), pa.array(n + 1), pa.array(have.astype(np.int64)),
+                 pa.array(base), pa.array(tail), pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary()),
+                 pa.ListArray.from_arrays(offsets, pa.array(rare_key[first])),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[first, len(rare_key)]).astype(np.int32)))],
+                names=["rid", "doc_id", "train", "n_tokens", "known", "base", "tail", "tokens", "words", "times"])
+            rid += rows
+    return run
+
+
+ENCODED_SCHEMA = ("rid long, doc_id long, train boolean, n_tokens long, known long, base double, tail double, tokens binary, "
+                  "words array<long>, times array<int>")
+
+
+def encode(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The stored tokens of rows with ``doc_id, text, train``."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    return stored(texts.select("doc_id", "text", "train").mapInArrow(_encode(shared), ENCODED_SCHEMA), "encoded")
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """Tokens, lengths and rows of runs of texts with about ``TOKENS`` tokens."""
+    held, size = [], 0
+    for batch in text_slices(batches, "tokens", limit=2 << 20):
+        held.append(batch)
+        size += sum(len(x) for x in batch.column("tokens").to_pylist()) // 2
+        if size >= TOKENS:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
+    raw = [x for b in held for x in b.column("tokens").to_pylist()]
+    return np.frombuffer(b"".join(raw), "<i2").astype(np.int32), np.array([len(x) // 2 for x in raw]), held
 
 
 def _train(vocab, flat: np.ndarray, part: int):
     """Trains a copy of the network on the texts of a partition; the first eighth only if ``part`` is 0."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocab.value
-        trainer, seen = Trainer(fresh(known).filled(flat)), 0
-
-        def learn(tokens: np.ndarray, lengths: np.ndarray) -> int:
+        trainer, seen = Trainer(fresh(vocab.value).filled(flat)), 0
+        for tokens, lengths, _ in _blocks(batches):
             lanes = max(1, min(LANES, len(tokens) // (2 * WINDOW)))
             width = len(tokens) // lanes
-            if part == 0:
-                width = max(1, width // 8)
+            width = max(1, width // 8) if part == 0 else width
             start = np.zeros(len(tokens), bool)
             start[np.r_[0, np.cumsum(lengths)[:-1]]] = True
             grid = (np.arange(lanes) * (len(tokens) // lanes))[:, None] + np.arange(width)[None, :]
@@ -322,16 +378,7 @@ def _train(vocab, flat: np.ndarray, part: int):
             for at in range(0, width, WINDOW):
                 cut = slice(at, at + WINDOW)
                 state = trainer.window(before[cut], target[cut], state, first[cut])
-            return target.size
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for tokens, lengths, _, _ in _runs(batches, known):
-            held.append((tokens, lengths))
-            if sum(len(t) for t, _ in held) >= TOKENS:
-                seen += learn(np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held]))
-                held = []
-        if held:
-            seen += learn(np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held]))
+            seen += target.size
         if seen:
             yield _weighed(trainer.net.flat().astype(np.float64) * seen, seen)
     return run
@@ -352,13 +399,14 @@ def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _weighed(total, seen)
 
 
-def train(train_texts: DataFrame, vocab: Vocabulary) -> Network:
+def train(encoded: DataFrame, vocab: Vocabulary) -> Network:
     """Two rounds of local training and averaging; copies are summed in a tree of tasks."""
     schema = "part long, seen long, total binary"
     net = fresh(vocab)
-    shared = train_texts.sparkSession.sparkContext.broadcast(vocab)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocab)
+    texts = encoded.filter("train").select("tokens")
     for part in (0, 1):
-        copies = stored(train_texts.mapInArrow(_train(shared, net.flat(), part), schema), "copies")
+        copies = stored(texts.mapInArrow(_train(shared, net.flat(), part), schema), "copies")
         n = copies.count()
         while n > 16:  # sixteen copies to one
             n = -(-n // 16)
@@ -369,58 +417,13 @@ def train(train_texts: DataFrame, vocab: Vocabulary) -> Network:
     return net
 
 
-def _score(vocab, net_flat: np.ndarray):
-    """Per text: what the task knows, and the words whose counts it has to look up."""
+def _score(vocab, flat: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Vocabulary = vocab.value
-        net = fresh(known).filled(net_flat)
-        rid = TaskContext.get().partitionId() << 40
-        log_count = np.log10(known.counts + 0.5) if len(known.counts) else np.zeros(0)
-        end_log = np.log10(known.end_count + 0.5)
-        share = np.log10(known.shape_total + 0.5 * (known.shape_distinct + 1))
-        pending: list = []
-
-        def flush():
-            nonlocal rid
-            lengths = np.concatenate([p[1] for p in pending])
-            tokens = np.concatenate([p[0] for p in pending])
+        net = fresh(vocab.value).filled(flat)
+        for tokens, lengths, rows in _blocks(batches):
             found = network_scores(net, tokens, lengths)
-            at = 0
-            for toks, n, batch, (key, shape, owner) in pending:
-                rows = batch.num_rows
-                place = known.find(key)
-                is_known = place >= 0
-                short = np.zeros(len(key), bool)
-                short[is_known] = known.place[place[is_known]] >= 0
-                add = lambda w, sel: np.bincount(owner[sel], weights=w, minlength=rows)
-                base = add(log_count[place[is_known]], is_known) + end_log
-                tail = is_known & ~short
-                model = found[at:at + rows] + add(log_count[place[tail]], tail) - add(share[shape[~short]], ~short)
-                have = add(np.ones(is_known.sum()), is_known) + (known.end_count > 0)
-                rare_owner, rare_key = owner[~is_known], key[~is_known]
-                order = np.lexsort((rare_key, rare_owner))
-                rare_owner, rare_key = rare_owner[order], rare_key[order]
-                new = np.r_[True, (rare_owner[1:] != rare_owner[:-1]) | (rare_key[1:] != rare_key[:-1])][:len(rare_key)]
-                first = np.flatnonzero(new)
-                times = np.diff(np.r_[first, len(rare_key)])
-                ids = np.arange(rid, rid + rows)
-                per_text = np.bincount(rare_owner[first], minlength=rows)
-                offsets = np.r_[0, np.cumsum(per_text)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column("doc_id"), pa.array(n), pa.array(have.astype(np.int64)), pa.array(base), pa.array(model),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare_key[first])),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))],
-                    names=["rid", "doc_id", "n_tokens", "have", "base", "model", "words", "times"])
-                at += rows
-                rid += rows
-            pending.clear()
-
-        for item in _runs(batches, known):
-            pending.append(item)
-            if sum(len(p[0]) for p in pending) >= TOKENS:
-                yield from flush()
-        if pending:
-            yield from flush()
+            rids = np.concatenate([b.column("rid").to_numpy() for b in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(found)], names=["rid", "network"])
     return run
 
 
@@ -452,29 +455,29 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return stored(counted.groupBy("word").agg(F.max("shape").alias("shape"), F.sum("c").alias("c")), "counts")
 
 
-def score_texts(docs: DataFrame, net: Network, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of rows with ``doc_id, text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    schema = "rid long, doc_id long, n_tokens long, have long, base double, model double, words array<long>, times array<long>"
-    rows = stored(docs.mapInArrow(_score(shared, net.flat()), schema), "scored")
-    rare = rows.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", "w.words", "w.times")
-    looked = rare.join(counts.filter(F.col("c") * KNOWN < vocab.total).select(F.col("word").alias("words"), "c"), "words", "left")
+def score_texts(encoded: DataFrame, net: Network, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every encoded row."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vocab)
+    found = encoded.select("rid", "tokens").mapInArrow(_score(shared, net.flat()), "rid long, network double")
+    rare = encoded.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), "w.times")
+    looked = rare.join(counts.filter(F.col("c") * KNOWN < vocab.total).select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = looked.groupBy("rid").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"),
                                      F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    out = rows.drop("words", "times").join(sums, "rid", "left")
+    out = encoded.select("rid", "doc_id", "n_tokens", "known", "base", "tail").join(found, "rid").join(sums, "rid", "left")
     more, extra = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     floor = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
-    return out.select("doc_id", "n_tokens", (F.col("have") + extra).cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
-                      (F.col("base") + more - F.col("n_tokens") * floor).alias("base_score"), (F.col("model") + more).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("known") + extra).cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
+                      (F.col("base") + more - F.col("n_tokens") * floor).alias("base_score"), (F.col("network") + F.col("tail") + more).alias("score"))
 
 
 def op4_language_model(spark, sf_dir: str) -> DataFrame:
     mod, rest = HOLD
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = docs.filter(bucket("doc_id", mod) != rest)
-    counts = count_tokens(seen)
+    docs = docs.withColumn("train", bucket("doc_id", mod) != rest)
+    counts = count_tokens(docs.filter("train"))
     vocab = vocabulary(counts)
-    net = train(seen.select("text"), vocab)
-    out = score_texts(docs, net, vocab, counts)
+    encoded = encode(docs, vocab)
+    net = train(encoded, vocab)
+    out = score_texts(encoded, net, vocab, counts)
     return out.select("doc_id", (bucket("doc_id", mod) == rest).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

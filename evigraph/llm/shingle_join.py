@@ -38,12 +38,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, row_key, split_words, stored, text_slices
+from .common import mixed, read, row_key, split_words, stored, text_slices, word_hashes
 from .links import components
 
 WORDS = 5
@@ -68,20 +67,12 @@ def slack(n: int) -> int:
     return 1 + int(SLACK * n)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each text."""
     n = len(texts)
     words, owner = split_words(texts)
     coded = words.dictionary_encode()
-    spelled = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    spelled = word_hashes(coded.dictionary)
     h = spelled[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
     count = np.bincount(owner, minlength=n)
     first = np.cumsum(count) - count
@@ -89,14 +80,14 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         grams = np.zeros(len(h) - WORDS + 1, np.uint64)
         for k in range(WORDS):
             grams += h[k:len(h) - WORDS + 1 + k] * _FACTORS[k]
-        grams = _mixed(grams)
+        grams = mixed(grams)
     out = []
     for start, c in zip(first.tolist(), count.tolist()):
         if c >= WORDS:
             out.append(np.unique(grams[start:start + c - WORDS + 1]))
         elif c:
             whole = np.append(h[start:start + c], np.uint64(c)) * np.append(_FACTORS[:c], _FACTORS[WORDS])
-            out.append(_mixed(whole.sum(dtype=np.uint64, keepdims=True)))
+            out.append(mixed(whole.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
