@@ -129,6 +129,10 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return out
 
 
+def _prefixed(prefix: str, names: Column) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
+
+
 def record_fingerprint(record: Column, mappings=MAPPINGS) -> Column:
     """Hash of the known nested field paths of a JSON record."""
     known = sorted({p for m in mappings for p in m.paths()})
@@ -136,7 +140,7 @@ def record_fingerprint(record: Column, mappings=MAPPINGS) -> Column:
     paths = F.coalesce(F.json_object_keys(record), nothing)
     for field in sorted({m.field for m in mappings if isinstance(m, Listed)}):
         inner = F.json_object_keys(F.get_json_object(record, f"$.{field}[0]"))
-        paths = F.concat(paths, F.coalesce(F.transform(inner, lambda k, f=field: F.concat(F.lit(f"{f}[]."), k)), nothing))
+        paths = F.concat(paths, F.coalesce(_prefixed(f"{field}[].", inner), nothing))
     paths = F.array_intersect(paths, F.array(*map(F.lit, known)))
     return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
 

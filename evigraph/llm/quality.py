@@ -180,7 +180,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, levels: int = LEVELS,
     return Trees(feature, threshold, value, start, levels)
 
 
-def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             x = statistics(batch.column("text"))
@@ -188,7 +188,7 @@ def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
             yield pa.RecordBatch.from_arrays([batch.column("_label"), lists], names=["label", "x"])
 
-    return docs.select(F.col(text_col).alias("text"), "_label").mapInArrow(run, "label int, x array<double>")
+    return rows.select("text", "_label").mapInArrow(run, "label int, x array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
@@ -199,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     label = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     ids = label.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    rows = _featured(docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")), id_col, text_col).collect()
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id")
+    rows = _featured(sample).collect()
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     good = float(y.sum())
     if not 0 < good < len(y):

@@ -137,14 +137,18 @@ def templates(counted: DataFrame, children: int = CHILDREN, z: float = Z) -> Dat
         tree = tree.withColumn("_group", _set(level, F.lit("*")))
         branch = tree.filter(F.size("tmpl") > level).groupBy("host", "_group", "tmpl").agg(
             F.sum("seen").alias("_seen"), F.sum("good").alias("_good"))
-        pool = branch.groupBy("host", "_group").agg(F.sum("_seen").alias("_all"), F.sum("_good").alias("_fine"), F.count("*").alias("_wide"))
-        share, own = F.try_divide("_fine", "_all"), F.try_divide("_good", "_seen")
+        pool = branch.groupBy("host", "_group").agg(F.sum("_seen").alias("_all"), F.count("*").alias("_wide"))
+        own = F.try_divide("_good", "_seen")
+        middle = branch.filter("_seen > 0").groupBy("host", "_group").agg(F.percentile(own, 0.5, F.col("_seen")).alias("_mid"))
+        pool = _with(pool, middle, ("host", "_group"))
+        # Two labels of either kind are added, so that a share of 0 or 1 has a spread too.
+        share = (F.col("_mid") * F.col("_all") + 2) / (F.col("_all") + 4)
         spread = F.sqrt(share * (1 - share) / F.col("_seen"))
-        alike = (F.col("_seen") == 0) | F.coalesce(F.abs(own - share) <= z * spread + 1e-9, F.lit(True))
+        alike = (F.col("_seen") == 0) | F.coalesce(F.abs(own - share) <= z * spread, F.lit(True))
         tree = _with(_with(tree, branch, ("host", "_group", "tmpl")), pool, ("host", "_group"))
         merge = F.coalesce(alike & (F.col("_wide") > 1), F.lit(False))
         tree = tree.withColumn("tmpl", F.when(merge, F.col("_group")).otherwise(F.col("tmpl")))
-        tree = stored(tree.drop("_group", "_seen", "_good", "_all", "_fine", "_wide"), "tree")
+        tree = stored(tree.drop("_group", "_seen", "_good", "_all", "_mid", "_wide"), "tree")
     return tree
 
 
