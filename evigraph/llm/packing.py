@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from .common import read, stored, text_slices
 WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-# Words whose ids a worker remembers; only speed depends on it.
-REMEMBERED = 200_000
+# Words after which a worker begins to forget older ones; only speed depends on it.
+REMEMBERED = 150_000
 
 TOKEN_SCHEMA = "part long, row long, before long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -44,41 +45,88 @@ class Encoder:
 
     Byte-level pair encoding never merges across a space that stands before a word, so a
     text whose spaces all stand before words falls apart into words that can be encoded
-    on their own.  Any other text is encoded whole.
+    on their own, and many words can be encoded as one text: every token that begins with
+    a space begins a word.  Any other text is encoded whole.
     """
 
     _loose = re.compile(r" (?:\s|\Z)")
+    _space = "\u0120"  # how byte-level vocabularies write a space
+    _marks = ".,;:!?"
+    # The other bytes: printable ones of Latin-1 stand for themselves, the rest, in order, for 256 and up.
+    _bytes = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)], map(chr, range(256, 512))))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
         self.by_word = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.begins = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith(self._space)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.tails: dict[str, bytes] = {"": b""}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of letters with closing marks after a space: the letters are one piece, the marks another."""
+        core = word.rstrip(self._marks)
+        if not core.isalpha():
+            return None
+        tail = word[len(core):]
+        if tail not in self.tails:
+            self.tails[tail] = self._ids(tail).tobytes()
+        piece = core if core.isascii() else core.encode().decode("latin-1").translate(self._bytes)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(self._space + piece)]).tobytes() + self.tails[tail]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each follow a space."""
+        out = [self.new.get(w) or self.old.get(w) or self._plain(w) for w in words]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(missing), 20_000):
+            part = missing[at:at + 20_000]
+            ids = self._ids("".join([" " + words[i] for i in part]))
+            ends = np.r_[np.flatnonzero(self.begins[ids]), len(ids)] * self.dtype.itemsize
+            raw = ids.tobytes()
+            for i, a, b in zip(part, ends.tolist(), ends[1:].tolist()):
+                out[i] = raw[a:b]
+        if len(self.new) > REMEMBERED:  # the words of the last while stay known
+            self.old, self.new = self.new, {}
+        self.new.update(zip(words, out))
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = self.by_word and not self._loose.search(text) and not any(s in text for s in self.special)
-            words = text.split(" ") if plain else None
-            if words:
-                words = [words[0], *[" " + w for w in words[1:]]]
-            split.append(words)
-        new = list({w for words in split if words for w in words}.difference(self.known))
-        self.known.update((w, tuple(e.ids)) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        known, out = self.known, []
-        for text, words in zip(texts, split):
-            if words is None:
-                ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            else:
-                ids = list(chain.from_iterable([known[w] for w in words]))
-            ids.append(END)
-            out.append(np.array(ids, dtype=self.dtype))
-        return out
+        plain = [i for i, t in enumerate(texts) if t and self.by_word and t[0] != " " and not self._loose.search(t) and not any(s in t for s in self.special)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if plain:
+            for i, ids in zip(plain, self._split([texts[i] for i in plain])):
+                out[i] = ids
+        return [np.append(self._ids(t), self.dtype.type(END)) if ids is None else ids for t, ids in zip(texts, out)]
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The first word of a text follows no space; the end is a word of its own.
+        first = np.cumsum(count) - count
+        openers, place = np.unique(code[first], return_inverse=True)
+        known = [*self._words(words), *[self._ids(words[i]).tobytes() for i in openers], np.array([END], self.dtype).tobytes()]
+        code[first] = len(words) + place
+        code = np.insert(code, np.cumsum(count), len(known) - 1)
+        size = np.array([len(k) for k in known]) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        length = size[code]
+        where = np.repeat(start[code] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        ids = np.frombuffer(b"".join(known), self.dtype)[where]
+        ends = np.cumsum(length)[np.cumsum(count + 1) - 1]
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -89,7 +137,7 @@ def encoder(path: str) -> Encoder:
 def _tokenise(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = encoder(path), TaskContext.get().partitionId(), 0, 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=4 << 20):
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
             n = np.array([len(x) for x in ids], dtype=np.int64)
             starts = before + np.cumsum(n) - n
