@@ -103,9 +103,11 @@ def chunk_store(recipe_table: DataFrame) -> DataFrame:
     at = F.posexplode(F.sequence(F.lit(0), F.floor(F.length("recipe") / _ENTRY.size).cast("int") - 1)).alias("pos", "k")
     entry = F.expr(f"substring(recipe, k * {_ENTRY.size} + 1, {_ENTRY.size})")
     chunks = recipe_table.filter(F.length("recipe") > 0).select("recipe", at).select(entry.alias("_e"))
+    tail = F.hex(F.expr("substring(_e, 25, 4)"))  # little-endian
+    n_bytes = F.concat(*[F.substring(tail, k, 2) for k in (7, 5, 3, 1)])
     return chunks.groupBy("_e").agg(F.count("*").alias("uses")).select(
         F.hex(F.substring("_e", 1, 8)).alias("chunk_id"), F.hex(F.expr("substring(_e, 9, 16)")).alias("digest"),
-        F.conv(F.hex(F.reverse(F.expr("substring(_e, 25, 4)"))), 16, 10).cast("long").alias("n_bytes"), "uses")
+        F.conv(n_bytes, 16, 10).cast("long").alias("n_bytes"), "uses")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
