@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .audit import EXAM_GROUPS
-from .rank import rank_prior, scope_tokens
+from ..functions.tags import tags
+from ..functions.text import contains_any, map_value, match_text
+from .audit import EXAM_GROUPS, name_key
+from .rank import (ANCHOR_RELATIONS, CRITICAL_FACETS, DEFINITION_RELATIONS, SCOPE_RULES, SELF_RELATION, SPECIFIC_TAGS, facet_covered, rank_prior,
+                   scope_tokens)
 from .replay import flag, rate
 from .retrieve import top_k
 
@@ -38,53 +43,231 @@ def repair_cost_bias(mode: Column, cost: Column) -> Column:
     return _by_cost(mode, cost, 0.18, 0.04, -0.10, 0.0)
 
 
-def verification_actions(rows: DataFrame, rivals: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scored actions, and exam questions that stand for several exam items.
-
-    ``rows``: evidence rows per (session, candidate); ``rivals``: ``session_id, candidate_id,
-    node_id`` of the session's other candidates (the same node under a rival counts as
-    overlap); ``done``: ``session_id`` of sessions whose exams are known to be done.
+# --- fixed values: tags of an evidence text, token families, and what the tags mean for asking --------
+ACTION_TAGS = (
+    ("immune_status", ("hiv", "cd4", "t淋巴", "免疫", "艾滋", "机会性感染", "免疫抑制")),
+    ("imaging", ("ct", "影像", "x线", "胸片", "磨玻璃", "双肺")),
+    ("oxygenation", ("低氧", "血氧", "pao2", "氧分压", "肺泡", "氧合")),
+    ("respiratory", ("发热", "干咳", "咳嗽", "呼吸困难", "气促")),
+    ("pathogen", ("βd葡聚糖", "bdg", "病原", "痰", "balf", "病原学")),
+    ("pcp_specific", ("肺孢子", "pneumocystis", "pcp", "βd葡聚糖", "bdg")),
+    ("viral", ("核酸", "pcr", "新冠", "covid", "病毒载量", "hivrna")),
+    ("tuberculosis", ("结核", "盗汗", "抗酸", "分枝杆菌", "tb")),
+    ("systemic", ("皮疹", "咽痛", "关节疼痛", "腹泻", "淋巴结")),
+    ("risk", ("高危", "性行为", "接触史", "暴露")),
+)
+ACTION_TOKENS = (
+    ("ct", ("ct", "胸部ct", "影像", "磨玻璃")),
+    ("xray", ("x线", "胸片")),
+    ("oxygen", ("低氧", "血氧", "氧分压", "pao2", "氧合")),
+    ("hiv", ("hiv", "艾滋", "cd4", "病毒载量")),
+    ("pcr", ("核酸", "pcr")),
+    ("pcp", ("肺孢子", "pcp", "βd葡聚糖", "bdg")),
+    ("tb", ("结核", "盗汗", "抗酸", "分枝杆菌")),
+    ("risk", ("高危", "性行为", "暴露", "接触史")),
+    ("respiratory", ("咳嗽", "干咳", "呼吸困难", "气促")),
+)
+BACKGROUND_ASKS = ("immune_status", "underlying_infection", "general_risk", "constitutional_symptom", "viral_load", "population_risk")
+TELLING_ASKS = ("respiratory_symptom", "neurologic_symptom", "skin_symptom", "gi_symptom", "metabolic_definition", "detail", "general_detail",
+                "exposure_risk", "pathology", "tumor_marker", "respiratory", "systemic", "risk", "tuberculosis", "pcp_specific")
+BACKGROUND_NAMES = ("cd4", "免疫", "hiv感染", "hiv感染者", "hivaids", "发热", "发烧", "年龄", "性别")
+ASK_BONUS, ASK_PENALTY = 0.28, 0.22
+GENERAL_EXAM, SPECIFIC_EXAM = 0.78, 0.22
+EXAM_OF_MODE = {"needs_lab_test": "lab", "needs_imaging": "imaging", "needs_pathogen_test": "pathogen"}
+
+
+def action_tags(name: Column, hint: Column, rules=ACTION_TAGS) -> Column:
+    """Tags of an evidence text, with its question type."""
+    return F.array_distinct(F.concat(tags(name_key(name), rules), F.array(F.concat(F.lit("type:"), hint))))
+
+
+def recommended_match(rows: DataFrame, preferred: DataFrame, rules=ACTION_TAGS, tokens=ACTION_TOKENS) -> DataFrame:
+    """How well each evidence row answers the texts asked for, by who asked.
+
+    Equal names 1, one inside the other 0.85, shared tags 0.55 and more, shared token
+    families up to 0.65.  Texts are compared once per distinct spelling.  ``rows``:
+    ``session_id, candidate_id, node_id, name, hint``; ``preferred``: ``session_id,
+    candidate_id, text, source`` (``verifier`` or ``hypothesis``).  Returns ``verifier`` and
+    ``hypothesis`` scores per row key.
+    """
+    key = ["session_id", "candidate_id"]
+    want = rows.select(*key, "node_id", "name", "hint").distinct().join(preferred.select(*key, "text", "source").distinct(), key)
+    a, b = name_key(F.col("name")), name_key(F.col("text"))
+    once = want.select("name", "hint", "text").distinct().withColumns({
+        "_a": a, "_b": b, "_ta": action_tags(F.col("name"), F.col("hint"), rules), "_tb": tags(b, rules), "_ka": tags(a, tokens), "_kb": tags(b, tokens)})
+    some = (F.col("_a") != "") & (F.col("_b") != "")
+    name = F.when(F.col("_a") == F.col("_b"), 1.0).when(some & (F.contains("_a", F.col("_b")) | F.contains("_b", F.col("_a"))), 0.85).otherwise(0.0)
+    both = F.size(F.array_intersect("_ta", "_tb"))
+    tagged = F.when(both > 0, F.lit(0.55) + both / F.greatest(F.size(F.array_union("_ta", "_tb")), F.lit(1)) * 0.35).otherwise(0.0)
+    held = F.size(F.array_intersect("_ka", "_kb"))
+    shared = F.when(held > 0, held / F.greatest(F.least(F.size("_ka"), F.size("_kb")), F.lit(1)) * 0.65).otherwise(0.0)
+    once = once.withColumn("_n", name).withColumn("_n", F.when(F.col("_n") < 0.85, F.greatest("_n", tagged)).otherwise(F.col("_n")))
+    once = once.select("name", "hint", "text", F.when(F.col("_n") < 0.65, F.greatest("_n", shared)).otherwise(F.col("_n")).alias("match"))
+    of = lambda who: F.coalesce(F.max(F.when(F.col("source") == who, F.col("match"))), F.lit(0.0)).alias(who)
+    return want.join(once, ["name", "hint", "text"]).groupBy(*key, "node_id").agg(of("verifier"), of("hypothesis"))
+
+
+def low_cost_bonus(mode: Column, cost: Column, tag_array: Column, hint: Column, name: Column, background: Sequence[str] = BACKGROUND_NAMES) -> Column:
+    """Bonus of a cheap question that tells candidates apart, malus of one about the background."""
+    plain = F.filter(tag_array, lambda t: ~t.startswith("type:"))
+    lit = lambda names: F.array(*[F.lit(n) for n in names])
+    other = F.size(F.array_except(plain, lit(BACKGROUND_ASKS)))
+    cheap = mode.isin(*LOW_MODES) | (cost == "low")
+    return (F.when(~cheap, 0.0).when(contains_any(match_text(name, drop=" -_/+"), background), -ASK_PENALTY)
+            .when(F.arrays_overlap(plain, lit(TELLING_ASKS)), ASK_BONUS).when(hint.isin("symptom", "risk", "detail") & (other > 0), ASK_BONUS * 0.65)
+            .when((F.size(plain) > 0) & (other == 0), -ASK_PENALTY).otherwise(0.0))
+
+
+def action_signals(rows: DataFrame, rivals: DataFrame, preferred: DataFrame, rules=ACTION_TAGS, tokens=ACTION_TOKENS,
+                   background: Sequence[str] = BACKGROUND_NAMES) -> DataFrame:
+    """Scores of every evidence row as something to ask.
+
+    ``rows``: evidence rows per (session, candidate) with the question type ``hint``;
+    ``rivals``: ``session_id, candidate_id, node_id`` of all candidates of the session;
+    ``preferred``: see ``recommended_match``.
     """
-    n_rivals = rows.select("session_id", "candidate_id").distinct().groupBy("session_id").agg((F.count(F.lit(1)) - 1).alias("n_rivals"))
-    held = rivals.select("session_id", "candidate_id", "node_id").distinct().groupBy("session_id", "node_id").agg(F.count(F.lit(1)).alias("n_holders"))
-    own = rivals.select("session_id", "candidate_id", "node_id", F.lit(1).alias("_own")).distinct()
-    r = rows.join(n_rivals, "session_id").join(held, ["session_id", "node_id"], "left").join(own, ["session_id", "candidate_id", "node_id"], "left")
+    key = ["session_id", "candidate_id"]
+    n_rivals = rows.select(*key).distinct().groupBy("session_id").agg((F.count(F.lit(1)) - 1).alias("n_rivals"))
+    held = rivals.select(*key, "node_id").distinct().groupBy("session_id", "node_id").agg(F.count(F.lit(1)).alias("n_holders"))
+    own = rivals.select(*key, "node_id", F.lit(1).alias("_own")).distinct()
+    r = rows.join(n_rivals, "session_id").join(held, ["session_id", "node_id"], "left").join(own, [*key, "node_id"], "left")
+    r = r.join(recommended_match(rows, preferred, rules, tokens), [*key, "node_id"], "left")
+    r = r.withColumns({w: F.coalesce(w, F.lit(0.0)) for w in ("verifier", "hypothesis")})
+    m, c, v, h = F.col("mode"), F.col("cost"), F.col("verifier"), F.col("hypothesis")
     shared = F.coalesce("n_holders", F.lit(0)) - F.coalesce("_own", F.lit(0))
-    overlap = F.when(F.col("n_rivals") > 0, F.least(shared / F.greatest(F.col("n_rivals"), F.lit(1)), F.lit(1.0))).otherwise(0.0)
-    r = r.withColumn("overlap", overlap)
-    gain = F.greatest(F.col("contradiction") / 100 * (F.lit(1.0) - F.col("overlap") * 0.45), F.lit(0.0))
-    novelty = F.greatest(F.lit(1.0) - F.col("rel_w100") / 100 * 0.7 - F.col("overlap") * 0.2, F.lit(0.0))
-    m, c = F.col("mode"), F.col("cost")
-    r = r.withColumns({"gain": gain, "novelty": novelty, "burden": burden(m, c), "answerability": answerability(m, c)})
-    r = r.withColumn("action_score", F.col("priority") / 10000 + F.when(F.col("red_flag"), RED_FLAG_BONUS).otherwise(0.0) + accessibility(m, c)
-                     + F.col("answerability") * 0.45)
-    r = r.drop("n_rivals", "n_holders", "_own")
-    exam = m.isin(*EXAM_MODES)
-    known = done.select("session_id").distinct().withColumn("_done", F.lit(True))
-    r = r.join(known, "session_id", "left")
-    ask = r.where(~exam | F.coalesce("_done", F.lit(False))).drop("_done")
-    folded = r.where(exam & F.col("_done").isNull()).groupBy("session_id", "candidate_id").agg(
-        F.max(F.greatest(F.col("action_score") - 0.05, F.lit(0.0))).alias("action_score"), F.max("gain").alias("gain"), F.max("novelty").alias("novelty"),
-        F.count(F.lit(1)).alias("n_items"), F.max("red_flag").alias("red_flag"))
-    return ask, folded
-
-
-def repair_action_rank(actions: DataFrame, reason: Column, keep: int = 3) -> DataFrame:
-    """Best actions per session for a rejection reason; each reason weighs the same signals differently.
-
-    ``actions``: ``session_id, node_id, name, action_score, gain, novelty, overlap, burden,
-    answerability, mode, cost, role``.
+    r = r.withColumns({
+        "overlap": F.when(F.col("n_rivals") > 0, F.least(shared / F.greatest(F.col("n_rivals"), F.lit(1)), F.lit(1.0))).otherwise(0.0),
+        "recommended": F.greatest(v, h), "joint": F.when((v > 0) & (h > 0), F.least(v, h)).otherwise(F.greatest(v, h)),
+        "tags": action_tags(F.col("name"), F.col("hint"), rules), "burden": burden(m, c), "answerability": answerability(m, c)})
+    gain = F.col("contradiction") / 100 * (F.lit(1.0) - F.col("overlap") * 0.45) + F.col("recommended") * 0.35 + F.col("joint") * 0.25
+    novelty = F.lit(1.0) - F.col("rel_w100") / 100 * 0.7 - F.col("overlap") * 0.2 + F.col("recommended") * 0.15
+    r = r.withColumns({
+        "gain": F.greatest(gain, F.lit(0.0)), "novelty": F.greatest(novelty, F.lit(0.0)), "recommended_bonus": F.col("recommended") * 0.45,
+        "ask_bonus": low_cost_bonus(m, c, F.col("tags"), F.col("hint"), F.col("name"), background)})
+    r = r.withColumn("action_score", F.col("priority") / 10000 + F.when(F.col("red_flag"), RED_FLAG_BONUS).otherwise(0.0) + F.col("recommended_bonus")
+                     + accessibility(m, c) + F.col("ask_bonus") + F.col("answerability") * 0.45)
+    return r.drop("n_rivals", "n_holders", "_own").withColumn("exam_kind", map_value(m, EXAM_OF_MODE))
+
+
+def verification_actions(signals: DataFrame, exams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scored actions, and exam questions that stand for several exam items.
+
+    ``signals``: see ``action_signals``; ``exams``: ``session_id, exam_kind, availability,
+    asked`` for the kinds ``general, lab, imaging, pathogen`` (missing: unknown, not asked).
+    An exam item is asked directly once exams are known to be done, dropped when they are
+    not done, and folded into a question about exams (in general, or of its kind when the
+    general one was asked) while that is unknown.
     """
+    key, r = ["session_id", "candidate_id"], signals
+    state = lambda kind, p: kind.select("session_id", "exam_kind", F.col("availability").alias(f"{p}_av"), F.col("asked").alias(f"{p}_asked"))
+    r = r.join(state(exams.where("exam_kind = 'general'"), "g").drop("exam_kind"), "session_id", "left").join(
+        state(exams.where("exam_kind <> 'general'"), "k"), ["session_id", "exam_kind"], "left")
+    g, k = F.coalesce("g_av", F.lit("unknown")), F.coalesce("k_av", F.lit("unknown"))
+    no = lambda col: ~F.coalesce(col, F.lit(False))
+    way = (F.when(F.col("exam_kind").isNull(), "ask").when((g == "not_done") | (k == "not_done"), "drop").when(g != "unknown", "ask")
+           .when(no("g_asked"), "general").when((k == "unknown") & no("k_asked"), F.col("exam_kind")).otherwise("drop"))
+    r = r.withColumn("_way", way).drop("g_av", "g_asked", "k_av", "k_asked")
+    ask = r.where("_way = 'ask'").drop("_way")
+    folded = r.where("_way NOT IN ('ask', 'drop')").groupBy(*key, F.col("_way").alias("exam_question")).agg(
+        F.max(F.greatest(F.col("action_score") - 0.05, F.lit(0.0))).alias("action_score"),
+        *[F.max(x).alias(x) for x in ("gain", "novelty", "recommended", "joint", "recommended_bonus", "red_flag")], F.count(F.lit(1)).alias("n_items"))
+    return ask, folded.withColumn("answerability", F.when(F.col("exam_question") == "general", GENERAL_EXAM).otherwise(SPECIFIC_EXAM))
+
+
+# --- fixed values: evidence of common conditions ----------------------------------------------------
+ROLE_BACKGROUND_TAGS = ("immune_status", "general_risk", "underlying_infection")
+ROLE_BACKGROUND_NAMES = ("cd4", "t淋巴", "免疫功能低下", "免疫抑制", "hiv感染者", "hivaids", "发热", "发烧", "年龄", "性别", "既往病史")
+
+
+def action_role(label: Column, rel: Column, tag_array: Column, hint: Column, name: Column, background: Sequence[str] = ROLE_BACKGROUND_NAMES) -> Column:
+    """Which kind of evidence an action would add."""
+    common = F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in ROLE_BACKGROUND_TAGS])) | contains_any(match_text(name, drop=" -_/+"), background)
+    unless = lambda role: F.when(common, "background_context").otherwise(role)
+    has = lambda x: F.array_contains(tag_array, F.lit(x))
+    found = rel.isin("DIAGNOSED_BY", "CONFIRMED_BY", "DETECTED_BY", "HAS_LAB_FINDING", "HAS_IMAGING_FINDING")
+    return (F.when((label == "Pathogen") | (rel == "HAS_PATHOGEN") | has("type:pathogen"), "disease_specific_anchor")
+            .when(found & ((label == "ClinicalAttribute") | has("detail") | (hint == "detail")), "definition_anchor")
+            .when(found & label.isin("LabFinding", "LabTest", "ImagingFinding"), unless("disease_specific_anchor"))
+            .when((rel == "REQUIRES_DETAIL") | (label == "ClinicalAttribute"), unless("definition_anchor"))
+            .when(rel.isin("RISK_FACTOR_FOR", "APPLIES_TO") | label.isin("RiskFactor", "PopulationGroup"), unless("risk_or_comorbidity"))
+            .when((label == "ClinicalFinding") | (rel == "MANIFESTS_AS"), "phenotype_support").otherwise(unless("phenotype_support")))
+
+
+# --- fixed values: what a role is worth for a repair, and reasons that look for rivals ------------------
+ROLE_PRIORITY = {"disease_specific_anchor": 1.0, "definition_anchor": 0.92, "family_anchor": 0.72, "phenotype_support": 0.48,
+                 "risk_or_comorbidity": 0.28, "background_context": 0.0}
+SUPPORT_REASONS = ("missing_key_support", "hard_negative_key_evidence", "missing_required_anchor", "insufficient_evidence_family_coverage")
+RIVAL_REASONS = ("strong_alternative_not_ruled_out", "strong_unresolved_alternative_candidates", "anchored_alternative_exists")
+
+
+def role_gap_bonus(role: Column, missing: Column) -> Column:
+    """Bonus of an action whose role the answer still lacks."""
+    lacks = lambda r: F.array_contains(missing, F.lit(r))
+    return (F.when(F.array_contains(missing, role), 3.5).when(lacks("disease_specific_anchor") & (role == "definition_anchor"), 2.4)
+            .when(lacks("definition_anchor") & (role == "disease_specific_anchor"), 2.4)
+            .when(lacks("clear_confirmation") & role.isin("disease_specific_anchor", "definition_anchor"), 2.0).otherwise(0.0))
+
+
+def repair_score(reason: Column, forced: Column) -> Column:
+    """Score of an action for a repair; each kind of reason weighs the same signals differently."""
     c = F.col
-    role = F.when(c("role").isin("disease_specific_anchor", "definition_anchor"), 1.0).when(c("role") == "phenotype_support", 0.6).otherwise(0.2)
-    bias, bg = repair_cost_bias(c("mode"), c("cost")), F.when(c("role") == "background_context", 1.25).otherwise(0.0)
-    missing = c("action_score") + c("answerability") * 1.1 + role * 2.35 + bias + c("gain") * 0.45 - bg - c("burden") * 0.15
-    rival = (c("action_score") + c("gain") * 2.45 + (1.0 - c("overlap")) * 1.05 + F.when(c("role").isin("disease_specific_anchor", "definition_anchor"), 1.25).otherwise(0.0)
-             + role * 1.4 + c("answerability") * 0.85 + bias - bg - c("burden") * 0.1)
-    fresh = c("action_score") + c("novelty") * 2.15 + c("answerability") * 0.65 + role * 1.25 + bias - bg - c("burden") * 0.08
-    score = (F.when(reason.isin("missing_key_support", "hard_negative_key_evidence", "missing_required_anchor", "insufficient_evidence_family_coverage"), missing)
-             .when(reason == "strong_alternative_not_ruled_out", rival).otherwise(fresh))
-    return top_k(actions.withColumn("repair_score", score), ["session_id"], [F.desc("repair_score"), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
+    plain = lambda t: F.filter(t, lambda x: ~x.startswith("type:"))
+    asked_before = c("recent_type").isNotNull()
+    same_type = F.when(asked_before & (c("hint") == c("recent_type")), 0.2).otherwise(0.0)
+    new_type = F.when(asked_before & (c("hint") != c("recent_type")), 0.35).otherwise(0.0)
+    known = F.size(plain(c("recent_tags"))) > 0
+    shared = F.coalesce(F.arrays_overlap(plain(c("recent_tags")), plain(c("tags"))), F.lit(False))
+    new_family, same_family = F.when(known & ~shared, 0.35).otherwise(0.0), F.when(shared, 0.3).otherwise(0.0)
+    background = F.when(c("role") == "background_context", 1.25).otherwise(0.0)
+    bias, gap = repair_cost_bias(c("mode"), c("cost")), role_gap_bonus(c("role"), c("missing_roles"))
+    worth = map_value(c("role"), ROLE_PRIORITY, 0.2)
+    wanted = F.greatest(c("recommended"), c("joint"), c("verifier") * 0.9, c("hypothesis") * 0.75)
+    hard = F.when(wanted >= 0.9, 4.0).when(wanted >= 0.65, 2.5).when(wanted >= 0.35, 1.2).otherwise(0.0) + F.when(
+        (reason == "hard_negative_key_evidence") & (wanted > 0), 1.25).otherwise(0.0)
+    support = (c("action_score") + wanted * 5.2 + hard + c("joint") * 2.8 + c("verifier") * 2.1 + c("hypothesis") * 1.0 + c("recommended_bonus") * 2.4
+               + c("answerability") * 1.1 + worth * 2.35 + gap + bias + c("gain") * 0.45 + new_type * 0.55 + new_family * 0.85 - same_type * 0.5
+               - same_family * 0.85 - background - c("burden") * 0.15)
+    rival = (c("action_score") + c("gain") * 2.45 + (F.lit(1.0) - c("overlap")) * 1.05 + c("recommended") * 1.1 + c("joint") * 0.65
+             + F.when(c("current_answer").isNotNull() & (c("candidate_id") != c("current_answer")), 1.05).otherwise(0.0)
+             + F.when(c("role").isin("disease_specific_anchor", "definition_anchor"), 1.25).otherwise(0.0) + worth * 1.4 + c("answerability") * 0.85 + bias
+             + new_family * 0.75 - same_type * 0.35 - same_family * 1.75
+             - F.when((c("hint") == "lab") & (F.size(plain(c("tags"))) == 0), 1.35).otherwise(0.0) - background - c("burden") * 0.1)
+    fresh = (c("action_score") + c("novelty") * 2.15 + new_type * 2.1 + new_family * 1.75 + c("answerability") * 0.65 + worth * 1.25 + gap + bias
+             - same_type * 1.25 - same_family * 1.9 - background - c("burden") * 0.08)
+    return F.when(reason.isin(*SUPPORT_REASONS), support).when(forced | reason.isin(*RIVAL_REASONS), rival).otherwise(fresh)
+
+
+def repair_action_rank(actions: DataFrame, context: DataFrame, keep: int = 3) -> DataFrame:
+    """Best actions per session for what the verifier rejected.
+
+    ``actions``: rows of ``verification_actions`` with ``role``; ``context``: one row per
+    session with ``reject_reason, forced, current_answer, missing_roles, recent_type,
+    recent_tags``.
+    """
+    scored = actions.join(context, "session_id").withColumn("repair_score", repair_score(F.col("reject_reason"), F.coalesce("forced", F.lit(False))))
+    return top_k(scored, ["session_id"], [F.desc("repair_score"), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
+
+
+# --- fixed values: how a test the patient names and an evidence name belong together ---------------------
+EXAM_NAMES = {
+    "lab": ((("cd4", "t淋巴"), ("cd4", "t淋巴", "免疫")), (("βd葡聚糖", "bdg", "g试验", "葡聚糖"), ("βd葡聚糖", "bdg", "葡聚糖", "g试验")),
+            (("hivrna", "病毒载量"), ("hivrna", "病毒载量")), (("血氧", "动脉血气", "pao2", "spo2"), ("血氧", "氧分压", "pao2", "spo2", "低氧"))),
+    "imaging": ((("胸部ct", "ct", "胸片", "x线"), ("ct", "影像", "磨玻璃", "胸片", "x线")),),
+    "pathogen": ((("pcr", "核酸"), ("pcr", "核酸", "阳性", "检出")), (("痰检", "痰培养", "痰涂片"), ("痰", "培养", "涂片", "病原")),
+                 (("支气管肺泡", "肺泡灌洗", "bal", "balf"), ("支气管肺泡", "肺泡灌洗", "bal", "balf"))),
+}
+
+
+def exam_name_match(test: Column, name: Column, kind: Column, label: Column, rules=EXAM_NAMES) -> Column:
+    """Match of one mentioned test with one evidence name: 1, 0.85 by family, less by kind alone."""
+    a, b = match_text(test, drop=" -_/+"), match_text(name, drop=" -_/+")
+    some = (F.length(a) > 0) & (F.length(b) > 0)
+    family = F.lit(False)
+    for k, pairs in rules.items():
+        for tests, names in pairs:
+            family = family | ((kind == k) & contains_any(a, tests) & contains_any(b, names))
+    return (F.when(some & (F.contains(a, b) | F.contains(b, a)), 1.0).when(family, 0.85).when((kind == "imaging") & (label == "ImagingFinding"), 0.55)
+            .when((kind == "pathogen") & label.isin("Pathogen", "LabFinding", "LabTest"), 0.45).otherwise(0.0))
 
 
 def exam_signal_ratio(actions: DataFrame) -> DataFrame:
@@ -95,15 +278,21 @@ def exam_signal_ratio(actions: DataFrame) -> DataFrame:
     return s.groupBy("session_id").agg(F.count(F.lit(1)).alias("units"), rate(F.sum(flag(exam)), F.count(F.lit(1))).alias("exam_ratio"), *kinds)
 
 
-def exam_followup_rank(rows: DataFrame, mentioned: DataFrame, keep: int = 3) -> DataFrame:
-    """Evidence that the exam just mentioned can answer: same kind counts three, then the usual signals.
+def exam_followup_rank(candidates: DataFrame, mentioned: DataFrame, keep: int = 1, rules=EXAM_NAMES) -> DataFrame:
+    """The evidence that a mentioned test result is most likely about.
 
-    ``mentioned``: ``session_id, grp``.
+    ``candidates``: exam items with ``exam_kind, label, priority, contradiction, gain,
+    recommended, joint, recommended_bonus``; ``mentioned``: ``session_id, exam_kind, test``
+    (kind ``general``: the item's own kind counts).
     """
-    j = rows.join(mentioned.select("session_id", "grp").distinct().withColumn("_m", F.lit(3.0)), ["session_id", "grp"], "left")
-    score = F.coalesce("_m", F.lit(0.0)) + F.col("priority") / 10000 + F.col("contradiction") / 100 * 0.5
-    j = j.withColumn("followup_score", score).where("_m IS NOT NULL").drop("_m")
-    return top_k(j, ["session_id"], [F.desc("followup_score"), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
+    j = candidates.join(mentioned.select("session_id", F.col("exam_kind").alias("_k"), "test").distinct(), "session_id")
+    j = j.where((F.col("_k") == "general") | (F.col("_k") == F.col("exam_kind")))
+    match = F.max(exam_name_match(F.col("test"), F.col("name"), F.col("exam_kind"), F.col("label"), rules)).alias("name_match")
+    best = j.groupBy("session_id", "candidate_id", "node_id").agg(match).where("name_match > 0")
+    j = candidates.join(best, ["session_id", "candidate_id", "node_id"])
+    score = (F.col("name_match") * 3.0 + F.col("priority") / 10000 * 0.45 + F.col("contradiction") / 100 * 0.55 + F.col("gain") * 0.8
+             + F.col("recommended") * 1.1 + F.col("joint") * 1.0 + F.col("recommended_bonus") * 0.7)
+    return top_k(j.withColumn("followup_score", score), ["session_id"], [F.desc("followup_score"), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
 
 
 def repair_scope(pool: DataFrame, keep: int = 3) -> DataFrame:
@@ -175,22 +364,68 @@ def fallback_answer_scores(pool: DataFrame) -> DataFrame:
     return t.withColumn("prior", rank_prior(c("rank"))).drop("_best")
 
 
-def anchor_scope(rel: Column, label: Column, role: Column, candidate: Column, evidence: Column, specific: Column) -> dict[str, Column]:
-    """First matching scope of one piece of evidence and its reason."""
-    from ..functions.text import match_text
+# --- fixed values: words for a site of disease, families of pathogen names, words of a general diagnosis --
+SITE_WORDS = ("脑膜", "脑炎", "脑病", "肺炎", "肺部", "肺孢子", "呼吸道", "食管", "结肠", "肠炎", "胃炎", "肝炎", "肝癌", "胆道", "胰腺", "心内膜",
+              "骨髓", "视网膜", "眼", "皮肤", "软组织", "尿路", "泌尿")
+PATHOGEN_FAMILIES = (
+    ("水痘带状疱疹", ("水痘带状疱疹", "带状疱疹", "vzv")), ("巨细胞病毒", ("巨细胞病毒", "cmv")),
+    ("弓形虫", ("弓形虫", "toxoplasma", "toxoplasmagondii", "弓形虫病")), ("隐球菌", ("隐球菌", "cryptococcus")),
+    ("结核分枝杆菌", ("结核", "分枝杆菌", "mtb", "xpert", "抗酸")), ("肺孢子菌", ("肺孢子", "pcp", "pjp", "pneumocystis")),
+    ("人类疱疹病毒8", ("hhv8", "人类疱疹病毒8", "卡波西")), ("乙肝病毒", ("乙肝", "hbv", "乙型肝炎")), ("丙肝病毒", ("丙肝", "hcv", "丙型肝炎")),
+    ("hiv", ("hiv", "艾滋", "获得性免疫缺陷")), ("新冠", ("新冠", "sarscov2", "covid")),
+)
+GENERAL_WORDS = ("感染", "病", "阳性")
+
 
-    cand, ev = match_text(candidate), match_text(evidence)
-    same = (F.length(cand) > 0) & (F.length(ev) > 0) & (F.contains(cand, ev) | F.contains(ev, cand))
-    gap = F.size(F.array_except(scope_tokens(candidate), scope_tokens(evidence))) > 0
+def scope_gap(candidate: Column, evidence: Column, facets=SCOPE_RULES, general: Sequence[str] = GENERAL_WORDS) -> dict[str, Column]:
+    """Scope and reason when the evidence does not cover the critical facets of a candidate's name, else NULL.
+
+    Both are normalised names.  Evidence with facets of its own then speaks for another
+    scope; evidence more specific than a general candidate counts for the family only.
+    """
+    wanted = F.array(*[F.lit(x) for x in CRITICAL_FACETS])
+    crit, seen = F.array_intersect(scope_tokens(candidate, facets), wanted), scope_tokens(evidence, facets)
+    missing = F.array_sort(F.filter(crit, lambda t: ~facet_covered(t, seen)))
+    specific = (F.size(F.array_intersect(seen, wanted)) > 0) | F.array_contains(seen, F.lit("mycobacteria"))
+    lacks, broad = F.size(missing) > 0, (F.size(crit) == 0) & contains_any(candidate, general) & specific
+    return {"scope": F.when(lacks & specific, "competing_scope").when(lacks | broad, "family_scope"),
+            "reason": F.when(lacks, F.concat(F.lit("candidate_scope_not_observed:"), F.array_join(missing, ","))).when(
+                broad, "observed_evidence_more_specific_than_candidate")}
+
+
+def anchor_scope(rel: Column, label: Column, role: Column, candidate: Column, evidence: Column, tag_array: Column, background: Column,
+                 facets=SCOPE_RULES, sites: Sequence[str] = SITE_WORDS, pathogens=PATHOGEN_FAMILIES, general: Sequence[str] = GENERAL_WORDS) -> dict[str, Column]:
+    """First matching scope of one piece of evidence for a candidate, and its reason.
+
+    ``candidate`` and ``evidence`` are names, ``background`` flags evidence of common
+    conditions; the word tables are parameters.
+    """
+    cand, ev = match_text(candidate, drop=" -_/+"), match_text(evidence, drop=" -_/+")
+    some = (F.length(cand) > 0) & (F.length(ev) > 0)
+    within = some & (F.contains(cand, ev) | F.contains(ev, cand))
+    site_c, site_e = contains_any(cand, sites), contains_any(ev, sites)
+    families = tags(ev, pathogens)
+    named = F.exists(families, lambda f: F.contains(cand, f))
+    is_pathogen = (label == "Pathogen") | (rel == "HAS_PATHOGEN") | F.array_contains(tag_array, F.lit("type:pathogen"))
+    specific = F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in SPECIFIC_TAGS]))
+    gap = scope_gap(cand, ev, facets, general)
     reason = (
-        F.when(role == "background_context", "role_background_context").when(rel == "SELF_DISEASE_MATCH", "disease_self_match")
-        .when(gap, "candidate_scope_not_observed")
-        .when(((label == "Pathogen") | (rel == "HAS_PATHOGEN")) & rel.isin("RISK_FACTOR_FOR", "APPLIES_TO", "COMPLICATED_BY"), "pathogen_as_background_or_comorbidity")
-        .when((label == "Pathogen") | (rel == "HAS_PATHOGEN"), F.when(same, "pathogen_exact_match").otherwise("pathogen_not_named_in_candidate"))
-        .when(same, "normalized_name_match").when(rel.isin("DIAGNOSED_BY", "REQUIRES_DETAIL"), "definition_relation_direct")
-        .when(label.isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute") & (specific | rel.isin("HAS_LAB_FINDING", "HAS_IMAGING_FINDING")), "specific_family_match")
-        .when((label == "ClinicalFinding") | (rel == "MANIFESTS_AS"), "phenotype_support").when(specific, "specific_family_tag_match").otherwise("fallback_background"))
-    scope = (F.when(reason.isin("disease_self_match", "pathogen_exact_match", "normalized_name_match", "definition_relation_direct"), "exact_scope")
-             .when(reason.isin("specific_family_match", "specific_family_tag_match", "candidate_scope_not_observed"), "family_scope")
-             .when(reason == "phenotype_support", "phenotype_scope").otherwise("background_scope"))
-    return {"scope": scope, "reason": reason}
+        F.when(role == "background_context", "role_background_context").when(rel == SELF_RELATION, "disease_self_match")
+        .when(background, "background_keyword_or_family").when(gap["reason"].isNotNull(), gap["reason"])
+        .when(is_pathogen & rel.isin("RISK_FACTOR_FOR", "APPLIES_TO", "COMPLICATED_BY"), "pathogen_as_background_or_comorbidity")
+        .when(is_pathogen & some & ~site_c, "pathogen_exact_match").when(is_pathogen & some & (F.contains(cand, ev) | named), "pathogen_family_match")
+        .when(is_pathogen, "pathogen_not_named_in_candidate").when(within, "normalized_name_match")
+        .when(rel.isin(*DEFINITION_RELATIONS), "definition_relation_direct")
+        .when(label.isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute") & site_c & site_e, "site_specific_detail_match")
+        .when(label.isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute") & (specific | rel.isin(*ANCHOR_RELATIONS)), "specific_family_match")
+        .when((label == "ClinicalFinding") | (rel == "MANIFESTS_AS"), "phenotype_support").when(specific, "specific_family_tag_match")
+        .otherwise("fallback_background"))
+    return {"reason": reason, "gap": gap["scope"]}
+
+
+def scope_of(reason: Column, gap: Column) -> Column:
+    """The scope that an ``anchor_scope`` reason stands for."""
+    return (F.when(F.startswith(reason, F.lit("candidate_scope_not_observed")) | (reason == "observed_evidence_more_specific_than_candidate"), gap)
+            .when(reason.isin("disease_self_match", "pathogen_exact_match", "normalized_name_match", "definition_relation_direct", "site_specific_detail_match"), "exact_scope")
+            .when(reason.isin("pathogen_family_match", "specific_family_match", "specific_family_tag_match"), "family_scope")
+            .when(reason == "phenotype_support", "phenotype_scope").otherwise("background_scope"))

@@ -483,8 +483,10 @@ def case_skips(profiles: DataFrame, competitors: DataFrame, minimum: Mapping[str
     return p.select("disease_id", "competitor_id", F.explode(rows).alias("x")).select("disease_id", "competitor_id", "x.*")
 
 
-def case_id(case_type: Column, disease_id: Column, competitor_id: Column, index: int = 1) -> Column:
-    token = lambda c: F.coalesce(F.nullif(F.substring(F.replace(c, F.lit("merged_node_"), F.lit("")), 1, 8), F.lit("")), F.lit("unknown"))
+def case_id(case_type: Column, disease_id: Column, competitor_id: Column, index: int = 1, keep: int | None = None) -> Column:
+    """Id of a case from the whole disease ids; ``keep`` cuts them to so many characters, which may collide."""
+    bare = lambda c: F.replace(c, F.lit("merged_node_"), F.lit(""))
+    token = lambda c: F.coalesce(F.nullif(F.substring(bare(c), 1, keep) if keep else bare(c), F.lit("")), F.lit("unknown"))
     tail = f"{index:03d}"
     return F.when(case_type == "competitive", F.concat_ws("_", F.lit("kg_competitive"), token(disease_id), F.lit("vs"), token(competitor_id), F.lit(tail))).otherwise(
         F.concat_ws("_", F.lit("kg"), case_type, token(disease_id), F.lit(tail)))

@@ -48,6 +48,7 @@ SCOPE_RULES = (
     ("cervix", ("宫颈",)),
     ("mediastinum", ("纵隔",)),
     ("disseminated", ("播散", "全身", "多器官", "血培养", "血液培养", "血液分枝杆菌")),
+    ("iris", ("免疫重建", "iris", "抗病毒治疗后", "抗逆转录病毒治疗", "art", "art后", "病情稳定时突然恶化", "近期恶化", "重新恶化")),
     ("drug_resistant", ("耐药", "利福平")),
     ("malignancy", ("癌", "肉瘤", "淋巴瘤", "肿瘤", "恶性")),
     ("active_tb", ("活动性结核",)),
@@ -56,6 +57,11 @@ SCOPE_RULES = (
     ("mycobacteria", ("分枝杆菌", "抗酸")),
 )
 
+# --- fixed values: a candidate named by the observation itself; words that separate name tokens ------
+SELF_RELATION = "SELF_DISEASE_MATCH"
+TOKEN_BREAKS = ("感染", "疾病", "综合征", "阳性", "阴性", "检测", "抗体", "rna", "dna", "病毒", "细菌", "真菌", "计数", "<", ">", "小于", "大于", "低于", "升高", "降低")
+CLUSTER_EXACT, CLUSTER_GENERIC = 0.35, 0.28
+
 # --- fixed values: verifier codes ------------------------------------------------------------------
 ACCEPT_REASONS = ("key_support_sufficient", "alternatives_reasonably_ruled_out", "trajectory_stable")
 REJECT_REASONS = ("missing_key_support", "strong_alternative_not_ruled_out", "trajectory_insufficient")
@@ -213,28 +219,57 @@ def observed_evidence(states: DataFrame, slots: DataFrame) -> DataFrame:
     return best.select("session_id", "node_id", "b.*")
 
 
+def name_tokens(key: Column) -> Column:
+    """Parts of a normalised name between the separating words, two characters or longer."""
+    return F.array_distinct(F.filter(F.split(key, "|".join(TOKEN_BREAKS)), lambda t: F.length(t) >= 2))
+
+
+def _token_pairs(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
+    """``okey, pkey, match100`` of names, none inside the other, whose token sets have a Jaccard of at least ``minimum``."""
+    def tokens(df: DataFrame, key: str) -> DataFrame:
+        t = df.select(key, name_tokens(F.col(key)).alias("_t"))
+        return t.select(key, F.size("_t").alias(f"n_{key}"), F.explode("_t").alias("token"))
+
+    both = tokens(left, "okey").join(tokens(right, "pkey"), "token").groupBy("okey", "pkey", "n_okey", "n_pkey").agg(F.count(F.lit(1)).alias("i"))
+    share = F.col("i") / (F.col("n_okey") + F.col("n_pkey") - F.col("i"))
+    apart = ~(F.contains("okey", F.col("pkey")) | F.contains("pkey", F.col("okey")))
+    return both.where(apart & (share >= minimum)).select("okey", "pkey", F.floor(share * 100).cast("int").alias("match100"))
+
+
 def payload_match(observed: DataFrame, candidates: DataFrame, payloads: DataFrame, minimum: float = 0.72) -> DataFrame:
     """Best matching evidence of each candidate for each observed item.
 
-    Same node 1.0, same normalised name 0.96, one name inside the other 0.88.  Containment
-    is found on distinct names by gram index, then joined back.  ``candidates``:
-    ``session_id, candidate_id``; ``payloads``: ``candidate_id, node_id, name, rel, label``.
+    The candidate itself (by id or name) comes first, then the same node 1.0, the same
+    normalised name 0.96, one name inside the other 0.88, and names with similar token
+    sets.  Names are compared once per distinct spelling, and per candidate and spelling
+    only the best payload is kept before sessions are joined.  ``observed``: ``session_id,
+    node_id, name``; ``candidates``: ``session_id, candidate_id, candidate_name``;
+    ``payloads``: ``candidate_id, node_id, name, rel, label``.
     """
     from ..functions.names import containment_pairs
 
     key = lambda c: match_text(F.col(c), drop=" -_/+")
-    o = observed.withColumn("okey", key("name"))
+    o = observed.withColumn("okey", key("name")).select("session_id", "node_id", "okey")
     p = payloads.withColumn("pkey", key("name")).select("candidate_id", F.col("node_id").alias("payload_id"), "pkey", "rel", "label")
-    one, two = o.select(F.col("okey").alias("name")), p.select(F.col("pkey").alias("name"))
-    inside = containment_pairs(one, two).toDF("okey", "pkey").union(containment_pairs(two, one).toDF("pkey", "okey").select("okey", "pkey")).distinct()
-    pairs = o.select("session_id", "node_id", "okey").join(candidates.select("session_id", "candidate_id"), "session_id")
-    by_id = pairs.join(p.drop("pkey").withColumnRenamed("payload_id", "node_id"), ["candidate_id", "node_id"]).select(
-        "session_id", "candidate_id", "node_id", F.col("node_id").alias("payload_id"), "rel", "label", F.lit(100).alias("match100"))
-    named = pairs.join(inside, "okey").join(p, ["candidate_id", "pkey"]).select(
-        "session_id", "candidate_id", "node_id", "payload_id", "rel", "label", F.when(F.col("okey") == F.col("pkey"), 96).otherwise(88).alias("match100"))
-    best = by_id.unionByName(named).groupBy("session_id", "candidate_id", "node_id").agg(
-        F.max_by(F.struct("payload_id", "rel", "label", "match100"), F.struct("match100", "payload_id")).alias("b"))
-    return best.select("session_id", "candidate_id", "node_id", "b.*").where(F.col("match100") >= round(minimum * 100))
+    one, two = o.select("okey").where("okey <> ''").distinct(), p.select("pkey").where("pkey <> ''").distinct()
+    a, b = one.withColumnRenamed("okey", "name"), two.withColumnRenamed("pkey", "name")
+    inside = containment_pairs(a, b).toDF("okey", "pkey").union(containment_pairs(b, a).toDF("pkey", "okey").select("okey", "pkey"))
+    inside = inside.select("okey", "pkey", F.when(F.col("okey") == F.col("pkey"), 96).otherwise(88).alias("match100"))
+    alike = inside.unionByName(_token_pairs(one, two, minimum)).groupBy("okey", "pkey").agg(F.max("match100").alias("match100"))
+    pairs = o.join(candidates.select("session_id", "candidate_id", key("candidate_name").alias("ckey")), "session_id")
+    found = F.struct("payload_id", "rel", "label", "match100")
+    # the best payload of a candidate for a spelling does not depend on the session
+    by_name = p.groupBy("candidate_id", "pkey").agg(F.max_by(F.struct("payload_id", "rel", "label"), "payload_id").alias("x")).select("candidate_id", "pkey", "x.*")
+    best = pairs.select("candidate_id", "okey").distinct().join(alike, "okey").join(by_name, ["candidate_id", "pkey"])
+    best = best.groupBy("candidate_id", "okey").agg(F.max_by(found, F.struct("match100", "payload_id")).alias("b"))
+    named = pairs.join(best, ["candidate_id", "okey"]).select("session_id", "candidate_id", "node_id", "b.*")
+    by_id = pairs.join(p.drop("pkey").withColumn("node_id", F.col("payload_id")), ["candidate_id", "node_id"]).select(
+        "session_id", "candidate_id", "node_id", "payload_id", "rel", "label", F.lit(100).alias("match100"))
+    itself = pairs.where((F.col("node_id") == F.col("candidate_id")) | (F.col("okey") == F.col("ckey"))).select(
+        "session_id", "candidate_id", "node_id", F.col("candidate_id").alias("payload_id"), F.lit(SELF_RELATION).alias("rel"), F.lit("Disease").alias("label"), F.lit(100).alias("match100"))
+    first = F.struct((F.col("rel") == SELF_RELATION).cast("int").alias("s"), "match100", "payload_id")
+    out = itself.unionByName(by_id).unionByName(named).groupBy("session_id", "candidate_id", "node_id").agg(F.max_by(found, first).alias("b"))
+    return out.select("session_id", "candidate_id", "node_id", "b.*").where(F.col("match100") >= round(minimum * 100))
 
 
 def scope_tokens(text: Column, rules=SCOPE_RULES) -> Column:
@@ -324,9 +359,23 @@ def anchor_summary(matches: DataFrame) -> DataFrame:
     for n, label in zip(names, ("strong_anchor", "definition_anchor", "family_anchor", "provisional_anchor", "phenotype_supported", "background_supported", "negative_anchor")):
         tier = F.when(F.col(f"n_{n}") > 0, label) if tier is None else tier.when(F.col(f"n_{n}") > 0, label)
     exact = F.col("strong") + F.col("definition")
-    return out.withColumns({
+    competing = F.sum(F.when((F.col("bucket") == "family") & (F.col("scope") == "competing_scope"), F.col("score")).otherwise(0))
+    clash = m.groupBy("session_id", "candidate_id").agg(competing.alias("competing"))
+    provisional = F.floor(F.col("provisional") * 65 / 100).cast("bigint")
+    return out.join(clash, ["session_id", "candidate_id"]).withColumns({
         "anchor_tier": tier.otherwise("speculative"), "exact": exact,
-        "background_attractor": F.when(exact + F.col("family") == 0, F.col("background")).otherwise(0)})
+        "background_attractor": F.when(exact + F.col("family") == 0, F.col("background")).otherwise(0),
+        "observed": exact + F.col("family") + provisional,
+        "role_specificity": F.floor((exact * 100 + F.col("family") * 80 + provisional * 100 + F.col("phenotype") * 25) / 100).cast("bigint")})
+
+
+def scope_cluster(exact: Column, family: Column, provisional: Column, facets: Column, missing: Column, generic: Column, need: Column) -> Column:
+    """Bonus for covered scope, less for a candidate that is too general or lacks observed scope."""
+    seen = F.size(facets) > 0
+    up = (F.when((exact > 0) & (F.size(missing) == 0) & seen, CLUSTER_EXACT).when((family > 0) & seen, CLUSTER_EXACT * 0.45)
+          .when((provisional > 0) & seen, CLUSTER_EXACT * 0.2).otherwise(0.0))
+    return up - F.when(generic > 0, F.least(generic / 0.38, F.lit(1.0)) * CLUSTER_GENERIC).otherwise(0.0) - F.when(
+        need > 0, F.least(need * 0.35, F.lit(CLUSTER_GENERIC))).otherwise(0.0)
 
 
 def anchor_bonus(specificity: Column, cluster: Column, mismatch: Column, generic: Column) -> Column:
@@ -338,13 +387,18 @@ def anchor_bonus(specificity: Column, cluster: Column, mismatch: Column, generic
 
 
 def anchor_rerank(summary: DataFrame) -> DataFrame:
-    """Order candidates of a session by tier, anchors, penalties, score and name."""
-    w = Window.partitionBy("session_id").orderBy(
-        F.desc("_tier"), F.desc("exact"), F.desc("family"), F.desc("_role"), F.asc("background_attractor"), F.desc("score"), "candidate_name", "candidate_id")
+    """Order the candidates of a session by tier, scope, anchors, penalties, boosted score and name.
+
+    ``summary``: ``anchor_summary`` with ``candidate_name, score`` and the scope columns
+    ``cluster, specificity, mismatch, generic``; the score is boosted before it sorts.
+    """
     t = summary.withColumns({
         "_tier": map_value(F.col("anchor_tier"), TIER_PRIORITY, 1),
-        "_role": F.col("exact") * 20 + F.col("family") * 16 + F.col("provisional") * 13 + F.col("phenotype") * 5})
-    return t.withColumn("anchor_rank", F.row_number().over(w)).drop("_tier", "_role")
+        "boosted": F.greatest(F.col("score") + anchor_bonus(F.col("specificity"), F.col("cluster"), F.col("mismatch"), F.col("generic")), F.lit(0.0))})
+    w = Window.partitionBy("session_id").orderBy(
+        F.desc("_tier"), F.desc("cluster"), F.desc("exact"), F.desc("family"), F.desc("role_specificity"), F.desc("specificity"), F.desc("observed"),
+        F.asc("background_attractor"), F.asc("mismatch"), F.asc("generic"), F.desc("boosted"), "candidate_name", "candidate_id")  # few candidates a session
+    return t.withColumn("anchor_rank", F.row_number().over(w)).drop("_tier")
 
 
 def low_cost_profile(matches: DataFrame) -> DataFrame:
@@ -477,38 +531,39 @@ def verifier_repair(pool: DataFrame) -> DataFrame:
     return out.withColumn("repaired_rank", F.row_number().over(w))
 
 
-# --- fixed values: expected value of an action --------------------------------------------------------------
-BRANCH = {"positive": 0.55, "doubtful": 0.15}
+# --- fixed values: marks of evidence that costs an examination; a lead that counts ------------------
+COSTLY_MARKS = ("检查", "结果", "报告", "化验", "检测", "ct", "mri", "影像", "核酸", "pcr", "培养", "病原", "cd4", "病毒载量", "葡聚糖")
+LEAD = 50000
+RETRIES = 2
 
 
-def expected_reward(prior: Column, relation_bonus: Column, hypothesis: Column, contradiction: Column, red_flag: Column, asked: Column,
-                    rel: Column, base: float = BRANCH["positive"], doubtful: float = BRANCH["doubtful"]) -> dict[str, Column]:
-    """Three-branch value of an action: confirmed, denied, doubtful."""
-    p = base + F.when(red_flag, 0.1).otherwise(0.0) - F.when(asked, 0.15).otherwise(0.0) + F.when(rel == "REQUIRES_DETAIL", -0.1).when(
-        rel.isin("HAS_LAB_FINDING", "DIAGNOSED_BY"), 0.05).otherwise(0.0)
-    p = F.least(F.greatest(p, F.lit(0.1)), F.lit(0.9))
-    d = F.least(F.lit(doubtful), F.greatest(1.0 - p, F.lit(0.0)))
-    n = F.greatest(F.lit(0.05), 1.0 - p - d)
-    rp = prior * relation_bonus + hypothesis * 0.35
-    rn = prior * (contradiction * 0.35 + 0.25) + hypothesis * 0.10
-    rd = prior * 0.20 + contradiction * 0.10 + hypothesis * 0.05
-    best = F.greatest(p * rp, n * rn, d * rd)
-    return {"p_positive": p, "expected": p * rp + n * rn + d * rd,
-            "best_branch": F.when(d * rd == best, "doubtful").when(n * rn == best, "negative").otherwise("positive")}
+def costly_evidence(text: Column) -> Column:
+    """The text asks for something that needs an examination."""
+    return contains_any(match_text(text, drop=" -_/+"), COSTLY_MARKS)
 
 
-def escalate(pool: DataFrame, keep: int = 3) -> DataFrame:
-    """Sessions whose leading candidate has no anchor, repeats or lags while a rival is stronger.
+def escalate(pool: DataFrame, keep: int = 3, retries: int = RETRIES) -> DataFrame:
+    """Sessions whose leading candidate lacks key support while rivals wait: the rivals and the reasons.
 
-    ``pool``: ``session_id, candidate_id, candidate_name, rank, exact, family, times, score``.
+    A rival has more observed or exact anchors by more than ``LEAD`` millionths, or any anchor
+    of a high tier, or is named as an alternative.  Reasons: the leader has no anchor and a
+    stronger rival exists; its support was missed ``retries`` times (no stronger rival
+    needed); the evidence asked for is costly and a stronger rival exists.  ``pool``:
+    ``session_id, candidate_id, candidate_name, rank, reject_reason, observed, exact, family,
+    anchor_tier, alternative, times, costly_gap`` (the last two of the leader).
     """
-    strength = F.col("exact") * 2 + F.col("family")
-    p = pool.withColumn("_s", strength)
-    top = p.where("rank = 1").select("session_id", F.col("candidate_id").alias("leader"), F.col("_s").alias("_ls"), F.col("times").alias("_lt"))
-    rivals = p.where("rank > 1").join(top, "session_id").where(F.col("_s") > F.col("_ls"))
-    best = top_k(rivals, ["session_id"], [F.desc("_s"), F.desc("score"), F.col("candidate_name"), F.col("candidate_id")], keep, "rival_rank")
-    why = F.concat_ws(",", F.when(F.col("_ls") == 0, "zero_anchor"), F.when(F.col("_lt") >= 2, "repeated_rejection"))
-    return best.withColumn("reasons", why).where("reasons <> ''").select("session_id", "leader", "candidate_id", "rival_rank", "reasons")
+    lead = pool.where("rank = 1 AND reject_reason = 'missing_key_support'").select(
+        "session_id", F.col("candidate_id").alias("leader"), F.col("observed").alias("_o"), F.col("exact").alias("_e"), F.col("times").alias("_t"), F.col("costly_gap").alias("_c"))
+    rivals = pool.where("rank > 1").join(lead, "session_id")
+    stronger = (F.col("observed") > F.col("_o") + LEAD) | (F.col("exact") > F.col("_e") + LEAD)
+    anchored = F.col("anchor_tier").isin("strong_anchor", "definition_anchor", "family_anchor") & (F.col("observed") > 0)
+    rivals = rivals.where(stronger | anchored | F.col("alternative")).withColumn("_s", stronger)
+    best = top_k(rivals, ["session_id"], [F.desc("exact"), F.desc("observed"), F.desc("family"), F.col("candidate_name"), F.col("candidate_id")], keep, "rival_rank")
+    any_stronger = best.groupBy("session_id").agg(F.max("_s").alias("_any"))
+    why = F.concat_ws(",", F.when((F.col("_o") <= 0) & F.col("_any"), "zero_anchor"), F.when(F.col("_t") >= retries, "repeated_rejection"),
+                      F.when(F.col("_c") & F.col("_any"), "costly_gap"))
+    return best.join(any_stronger, "session_id").withColumn("reasons", why).where("reasons <> ''").select(
+        "session_id", "leader", "candidate_id", "rival_rank", "reasons")
 
 
 def remaining_low_cost(rows: DataFrame, keep: int = 12) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tags import tags
+from ..functions.vocab import EVIDENCE_GROUPS
 from ..operators import audit as a
 from ..operators import cases as c
+from ..sources import scan
+from ..sources.sinks import scratch_folder
 from .q_retrieve import SQL_PROFILE, candidates, evidence, links
 from .registry import query
 
@@ -67,59 +70,76 @@ def group_summary(t):
     return a.group_summary(items(t), diseases(t))
 
 
-LOW = 40
-SQL_THIN = f"""{SQL_ITEM},
-thin AS (SELECT * FROM item WHERE grp IN ('lab','pathogen') AND spec100 = 100 AND rel_w100 > 90 AND node_w100 > 80)"""
+SQL_FOLDER = """fdis AS (SELECT 'O' || o_orderkey AS disease_id, 'order ' || o_orderkey AS disease_name FROM orders
+  UNION ALL SELECT 'C' || c_custkey, c_name FROM customer),
+fitem AS (SELECT 'O' || l_orderkey AS disease_id, e.node_id, e.name, e.label, e.grp, e.rel, e.mode, e.cost, e.w100 * 100 AS priority, 85 AS spec100, l.rel_w100, e.w100 AS node_w100
+  FROM (SELECT l_orderkey, l_partkey, max(CAST(round(l_discount * 1000) AS BIGINT)) AS rel_w100 FROM lineitem GROUP BY 1, 2) l JOIN kg_evidence e ON e.node_id = 'P' || l_partkey)"""
 
 
-def thin(t):
-    """Only the strongest exam evidence, so that some diseases have little or none."""
-    return items(t).where("grp IN ('lab','pathogen') AND spec100 = 100 AND rel_w100 > 90 AND node_w100 > 80")
+def folder_diseases(t):
+    """Orders and customers as diseases: orders have little evidence, customers none."""
+    o = t.raw("orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("disease_id"),
+                               F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("disease_name"))
+    return o.unionByName(t.raw("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("disease_id"), F.col("c_name").alias("disease_name")))
 
 
-SQL_ISS = """iss AS (SELECT d.node_id AS disease_id, CASE WHEN n IS NULL THEN 'error' ELSE 'warning' END AS severity,
+def folder_items(t):
+    """Every part of every order as an evidence item of the order."""
+    li = t.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.round(F.col("l_discount") * 1000).cast("bigint")).alias("rel_w100"))
+    li = li.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("disease_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("node_id"), "rel_w100")
+    e = t.kg_evidence.select("node_id", "name", "label", "grp", "rel", "mode", "cost", (F.col("w100") * 100).alias("priority"), F.lit(85).alias("spec100"), F.col("w100").alias("node_w100"))
+    return li.join(e, "node_id")
+
+
+SQL_ISS = """iss AS (SELECT d.disease_id, CASE WHEN n IS NULL THEN 'error' ELSE 'warning' END AS severity,
   CASE WHEN n IS NULL THEN 'no_evidence' ELSE 'too_few_evidence' END AS code, coalesce(n, 0) AS evidence_count
-  FROM kg_disease d LEFT JOIN (SELECT disease_id, count(*) AS n FROM thin GROUP BY 1) x ON x.disease_id = d.node_id WHERE coalesce(n, 0) <= 6)"""
+  FROM fdis d LEFT JOIN (SELECT disease_id, count(*) AS n FROM fitem GROUP BY 1) x ON x.disease_id = d.disease_id WHERE coalesce(n, 0) <= 6)"""
 
 
-@query("audit_issues", f"WITH {SQL_THIN}, {SQL_ISS} SELECT * FROM iss")
+@query("audit_issues", f"WITH {SQL_FOLDER}, {SQL_ISS} SELECT * FROM iss")
 def audit_issues(t):
-    return a.audit_issues(thin(t), diseases(t))
+    return a.audit_issues(folder_items(t), folder_diseases(t))
 
 
 @query("disease_summary", f"""
-WITH {SQL_THIN}, {SQL_ISS},
+WITH {SQL_FOLDER}, {SQL_ISS},
 s AS (SELECT disease_id, count(*) AS evidence_count, CAST(sum((grp IN ('lab','imaging','pathogen'))::INT) AS BIGINT) AS exam_evidence_count,
   CAST(sum((mode IN ('direct_ask','history_known'))::INT) AS BIGINT) AS direct_ask_count, CAST(sum((cost = 'high')::INT) AS BIGINT) AS high_cost_count,
-  max(CASE WHEN grp = 'lab' THEN 1 END) AS hl, max(CASE WHEN grp = 'pathogen' THEN 1 END) AS hp FROM thin GROUP BY 1)
-SELECT d.node_id AS disease_id, coalesce(s.evidence_count, 0) AS evidence_count, coalesce(exam_evidence_count, 0) AS exam_evidence_count,
+  {', '.join(f"max(CASE WHEN grp = '{g}' THEN '{g}' END) AS h_{g}" for g in EVIDENCE_GROUPS)} FROM fitem GROUP BY 1)
+SELECT d.disease_id, coalesce(s.evidence_count, 0) AS evidence_count, coalesce(exam_evidence_count, 0) AS exam_evidence_count,
   coalesce(direct_ask_count, 0) AS direct_ask_count, coalesce(high_cost_count, 0) AS high_cost_count, (iss.code IS NOT NULL)::BIGINT AS issue_count,
   (coalesce(iss.severity, '') = 'error')::BIGINT AS error_count, (coalesce(iss.severity, '') = 'warning')::BIGINT AS warning_count,
-  concat_ws(',', CASE WHEN hl = 1 THEN 'lab' END, CASE WHEN hp = 1 THEN 'pathogen' END) AS groups_present
-FROM kg_disease d LEFT JOIN s ON s.disease_id = d.node_id LEFT JOIN iss ON iss.disease_id = d.node_id""")
+  concat_ws(',', {', '.join(f'h_{g}' for g in EVIDENCE_GROUPS)}) AS groups_present
+FROM fdis d LEFT JOIN s ON s.disease_id = d.disease_id LEFT JOIN iss ON iss.disease_id = d.disease_id""")
 def disease_summary(t):
-    return a.disease_summary(thin(t), a.audit_issues(thin(t), diseases(t)), diseases(t))
+    i, d = folder_items(t), folder_diseases(t)
+    return a.disease_summary(i, a.audit_issues(i, d), d)
 
 
 @query("low_evidence_list", f"""
-WITH {SQL_THIN}
-SELECT d.node_id AS disease_id, d.name AS disease_name, coalesce(n, 0) AS evidence_count FROM kg_disease d
-LEFT JOIN (SELECT disease_id, count(*) AS n FROM thin GROUP BY 1) x ON x.disease_id = d.node_id WHERE coalesce(n, 0) <= 3""")
+WITH {SQL_FOLDER}
+SELECT d.disease_id, d.disease_name, coalesce(n, 0) AS evidence_count FROM fdis d
+LEFT JOIN (SELECT disease_id, count(*) AS n FROM fitem GROUP BY 1) x ON x.disease_id = d.disease_id WHERE coalesce(n, 0) <= 3""")
 def low_evidence_list(t):
-    return a.low_evidence(thin(t), diseases(t), 3)
+    return a.low_evidence(folder_items(t), folder_diseases(t), 3)
 
 
 @query("scan_audit_reports", f"""
-WITH {SQL_THIN},
-x AS (SELECT disease_id, CASE WHEN node_w100 >= 94 THEN NULL ELSE mode END AS mode, CASE WHEN rel_w100 > 96 AND grp = 'lab' THEN NULL ELSE cost END AS cost FROM thin)
+WITH {SQL_FOLDER},
+x AS (SELECT disease_id, CASE WHEN node_w100 >= 94 THEN NULL ELSE mode END AS mode, CASE WHEN rel_w100 > 96 AND grp = 'lab' THEN NULL ELSE cost END AS cost FROM fitem)
 SELECT disease_id, concat_ws(',', max(CASE WHEN mode IS NULL THEN 'acquisition_mode' END), max(CASE WHEN cost IS NULL THEN 'evidence_cost' END)) AS missing_fields
 FROM x GROUP BY 1""")
 def scan_audit_reports(t):
-    i = thin(t).withColumns({"mode": F.when(F.col("node_w100") < 94, F.col("mode")),
-                             "cost": F.when(~((F.col("rel_w100") > 96) & (F.col("grp") == "lab")), F.col("cost"))})
-    fields = {"group": "grp", "relation_type": "rel", "priority": "priority", "relation_specificity": "spec100",
-              "acquisition_mode": "mode", "evidence_cost": "cost"}
-    ok, bad = a.valid_reports(i, fields)
+    """One report per order, written as JSON lines and read back; some items lack a field."""
+    item = F.struct(
+        F.col("node_id").alias("target_node_id"), F.col("name").alias("target_name"), F.col("label").alias("target_label"), F.col("grp").alias("group"),
+        F.col("rel").alias("relation_type"), (F.col("priority") / 10000).alias("priority"), (F.col("spec100") / 100).alias("relation_specificity"),
+        (F.col("rel_w100") / 100).alias("relation_weight"), F.when(F.col("node_w100") < 94, F.col("mode")).alias("acquisition_mode"),
+        F.when(~((F.col("rel_w100") > 96) & (F.col("grp") == "lab")), F.col("cost")).alias("evidence_cost"))
+    reports = folder_items(t).groupBy("disease_id").agg(F.collect_list(item).alias("evidence"))  # the lines of one order
+    folder = scratch_folder(t.spark, "reports")
+    reports.select(F.to_json(F.struct(F.struct("disease_id").alias("disease"), "evidence")).alias("value")).write.text(folder)
+    ok, bad = a.valid_reports(scan.scan_audit_reports(t.spark, folder), {f: f for f in a.REQUIRED_FIELDS})
     return ok.withColumn("missing_fields", F.lit("")).unionByName(bad)
 
 
@@ -232,12 +252,12 @@ def edge_dedupe(t):
 
 @query("minimum_groups", f"""
 WITH {SQL_EFAM},
-c AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id WHERE w100 > 93 GROUP BY 1, 2),
+c AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY {SQL_PRIO} DESC, n DESC, family) AS rank FROM c WHERE family <> 'general_symptom')
 SELECT disease_id, family, n, rank FROM o WHERE rank <= 8
 UNION ALL SELECT disease_id, family, n, 1 FROM c WHERE family = 'general_symptom' AND disease_id NOT IN (SELECT disease_id FROM o)""")
 def minimum_groups(t):
-    return a.minimum_groups(a.family_catalog(t.kg_pair.where("w100 > 93"), families(t)), ["disease_id"], 8)
+    return a.minimum_groups(a.family_catalog(t.kg_pair, families(t)), ["disease_id"], 8)
 
 
 @query("minimum_groups_by_group", f"""
@@ -453,7 +473,7 @@ REQ = (("S", 1, "viral_pathogen"), ("S", 1, "serology"), ("S", 2, "respiratory_s
 
 def catalog(t):
     """Required groups of every disease: its best families, plus one family no pool can cover."""
-    counts = a.family_catalog(t.kg_pair.where("w100 > 93"), families(t))
+    counts = a.family_catalog(t.kg_pair, families(t))
     best = a.minimum_groups(counts, ["disease_id"], 4)
     out = best.select("disease_id", F.col("rank").alias("group_no"), "family")
     return out.unionByName(diseases(t).select("disease_id", F.lit(9).alias("group_no"), F.lit("no_such_family").alias("family")))
@@ -471,7 +491,7 @@ def required(t):
 
 @query("catalog_join", f"""
 WITH {SQL_UNIQ}, {SQL_EFAM},
-cc AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id WHERE w100 > 93 GROUP BY 1, 2),
+cc AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY {SQL_PRIO} DESC, n DESC, family) AS rank FROM cc WHERE family <> 'general_symptom')
 SELECT o.disease_id, o.rank AS group_no, o.family AS families, 'catalog' AS source FROM o WHERE rank <= 4 AND EXISTS (SELECT 1 FROM uniq u JOIN efam USING (node_id) WHERE u.disease_id = o.disease_id AND efam.family = o.family)""")
 def catalog_join(t):
@@ -480,18 +500,18 @@ def catalog_join(t):
 
 @query("scan_requirements", f"""
 WITH {SQL_EFAM},
-cc AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id WHERE w100 > 93 GROUP BY 1, 2),
+cc AS (SELECT disease_id, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY {SQL_PRIO} DESC, n DESC, family) AS rank FROM cc WHERE family <> 'general_symptom'),
 r AS (SELECT d.s_nationkey AS name_key, o.disease_id, string_agg(family, '|' ORDER BY rank) AS required FROM o JOIN supplier d ON 'S' || d.s_suppkey = o.disease_id WHERE rank <= 4 GROUP BY 1, 2)
 SELECT CAST(name_key AS VARCHAR) AS name_key, min(disease_id) AS disease_id, arg_min(required, disease_id) AS required FROM r GROUP BY 1""")
 def scan_requirements(t):
-    from ..sources.scan import requirement_index
-
-    nation = t.raw("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("disease_id"), F.col("s_nationkey").cast("string").alias("name_key"))
+    """One requirement entry per disease, written as JSON lines and read back; the nation serves as the name."""
+    nation = t.raw("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("disease_id"), F.col("s_nationkey").cast("string").alias("disease_name"))
     cat = catalog(t).where("family <> 'no_such_family'").groupBy("disease_id").agg(F.array_sort(F.collect_list(F.struct("group_no", "family"))).alias("g"))
-    rows = cat.join(nation, "disease_id").select(
-        "disease_id", F.col("name_key").alias("disease_name"), F.transform("g", lambda x: F.array(x["family"])).alias("required"), F.col("disease_id").alias("ord"))
-    by_name = requirement_index(rows)[1]
+    entry = F.struct("disease_id", "disease_name", F.transform("g", lambda x: F.array(x["family"])).alias("required_family_groups"))
+    folder = scratch_folder(t.spark, "requirements")
+    cat.join(nation, "disease_id").select(F.to_json(entry).alias("value")).write.text(folder)
+    by_name = scan.scan_requirements(t.spark, folder)[1]
     return by_name.select("name_key", "disease_id", F.concat_ws("|", F.transform("required", lambda g: F.concat_ws("/", g))).alias("required"))
 
 
@@ -570,8 +590,8 @@ def skips(t):
 
 @query("build_cases", f"""
 WITH {SQL_BUILD}
-SELECT disease_id, case_type, reason, available, required, CASE WHEN reason <> 'generated' THEN '' WHEN case_type = 'competitive' THEN 'kg_competitive_' || substr(disease_id, 1, 8) || '_vs_' || substr(competitor_id, 1, 8) || '_001'
-  ELSE 'kg_' || case_type || '_' || substr(disease_id, 1, 8) || '_001' END AS case_id FROM skips""")
+SELECT disease_id, case_type, reason, available, required, CASE WHEN reason <> 'generated' THEN '' WHEN case_type = 'competitive' THEN 'kg_competitive_' || disease_id || '_vs_' || competitor_id || '_001'
+  ELSE 'kg_' || case_type || '_' || disease_id || '_001' END AS case_id FROM skips""")
 def build_cases(t):
     s = skips(t)
     cid = F.when(F.col("reason") == "generated", c.case_id(F.col("case_type"), F.col("disease_id"), F.col("competitor_id"))).otherwise("")
@@ -579,8 +599,8 @@ def build_cases(t):
 
 
 def qc_inputs(t):
-    """Cases made of every disease's symptom and exam items above a weight, with their QC facts."""
-    pos = tagged_items(t).where("node_w100 >= 92").withColumn("case_id", F.col("disease_id"))
+    """Cases made of all items of every disease, with their QC facts."""
+    pos = tagged_items(t).withColumn("case_id", F.col("disease_id"))
     has = lambda names: F.arrays_overlap("families", F.array(*[F.lit(n) for n in names]))
     role = c.evidence_role(F.col("grp"), F.col("rel"), F.col("families"), F.startswith("name", F.lit("old")), F.lit(False))
     conn = a.evidence_connectivity(items(t)).select("node_id", "high")
@@ -608,7 +628,7 @@ qp0 AS (SELECT u.*, fams, high, CASE
    WHEN list_has_any(fams, ['metabolic_definition','pathology']) THEN 'definition_anchor' WHEN grp = 'pathogen' THEN 'disease_specific_anchor'
    WHEN grp IN ('lab','imaging') AND list_has_any(fams, ['disease_specific_lab','serology','oxygenation','imaging','cns_imaging']) THEN 'disease_specific_anchor'
    WHEN grp = 'symptom' THEN 'phenotype_support' WHEN grp IN ('risk','detail') THEN 'risk_or_context' ELSE 'supporting_context' END AS role
-  FROM uniq u JOIN fl USING (node_id) JOIN cn USING (node_id) WHERE node_w100 >= 92),
+  FROM uniq u JOIN fl USING (node_id) JOIN cn USING (node_id)),
 qp AS (SELECT disease_id AS case_id, count(*) AS n, max(role IN ('disease_specific_anchor','definition_anchor')) AS anchor, min(high OR role = 'background_context') AS conn,
    max(role = 'disease_specific_anchor' AND grp IN ('lab','imaging','pathogen')) AS ci, max(list_contains(fams, 'metabolic_definition') AND grp IN ('lab','detail','risk')) AS cm,
    max(grp = 'imaging') AS ct, max(list_has_any(fams, ['neurologic_symptom','cns_imaging','cns_lab'])) AS cne,
@@ -656,7 +676,7 @@ def generation_manifest(t):
 
 @query("case_outputs", f"""
 WITH {SQL_UNIQ}
-SELECT 'kg_ordinary_' || substr(disease_id, 1, 8) || '_001' AS case_id, node_id AS slot_id, CASE WHEN priority >= 10000 THEN 'true' ELSE 'false' END AS value, grp, label, name AS alias FROM uniq""")
+SELECT 'kg_ordinary_' || disease_id || '_001' AS case_id, node_id AS slot_id, CASE WHEN priority >= 10000 THEN 'true' ELSE 'false' END AS value, grp, label, name AS alias FROM uniq""")
 def case_outputs(t):
     i = unique(t).withColumn("case_id", c.case_id(F.lit("ordinary"), F.col("disease_id"), F.lit("")))
     return c.slot_rows(i.where("priority >= 10000"), True).unionByName(c.slot_rows(i.where("priority < 10000"), False))

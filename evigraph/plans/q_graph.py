@@ -454,20 +454,25 @@ def low_targets(t, limit):
 PRUNE_LIMIT = 290
 
 
+def nodes_and_customers(t):
+    """All nodes of the merged graph, and the customers, whom no edge names."""
+    c = t.raw("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("PopulationGroup").alias("label"), F.col("c_name").alias("name"))
+    return t.g_node.select("node_id", "label", "name").unionByName(c)
+
+
 @query("semi_connected", """
-SELECT label, count(*) AS n FROM g_node n WHERE EXISTS (SELECT 1 FROM g_edge e WHERE e.type IN ('HAS_PATHOGEN', 'MANIFESTS_AS') AND e.w100 > 97 AND (e.source_id = n.node_id OR e.target_id = n.node_id))
-GROUP BY 1""")
+WITH n AS (SELECT node_id, label FROM g_node UNION ALL SELECT 'C' || c_custkey, 'PopulationGroup' FROM customer),
+ends AS (SELECT source_id AS id FROM g_edge UNION SELECT target_id FROM g_edge)
+SELECT label, count(*) AS n FROM n WHERE node_id IN (SELECT id FROM ends) GROUP BY 1""")
 def semi_connected(t):
-    e = t.g_edge.where(F.col("type").isin("HAS_PATHOGEN", "MANIFESTS_AS") & (F.col("w100") > 97))
-    return graph.connected_nodes(t.g_node, e).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return graph.connected_nodes(nodes_and_customers(t), t.g_edge).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("isolated_nodes", """
-SELECT node_id, label, name, label = 'Disease' AS kept FROM g_node WHERE node_id NOT IN (
-  SELECT source_id FROM g_edge WHERE type = 'HAS_PATHOGEN' AND w100 > 97 UNION SELECT target_id FROM g_edge WHERE type = 'HAS_PATHOGEN' AND w100 > 97)""")
+WITH n AS (SELECT node_id, label, name FROM g_node UNION ALL SELECT 'C' || c_custkey, 'PopulationGroup', c_name FROM customer)
+SELECT node_id, label, name, label = 'Disease' AS kept FROM n WHERE node_id NOT IN (SELECT source_id FROM g_edge UNION SELECT target_id FROM g_edge)""")
 def isolated_nodes(t):
-    e = t.g_edge.where((F.col("type") == "HAS_PATHOGEN") & (F.col("w100") > 97))
-    alone = graph.isolated_nodes(t.g_node, e)
+    alone = graph.isolated_nodes(nodes_and_customers(t), t.g_edge)
     return alone.select("node_id", "label", "name", (F.col("label") == "Disease").alias("kept"))
 
 
@@ -640,7 +645,7 @@ def type_counts(t):
 @query("graph_quality_report", """
 WITH n AS (SELECT * FROM kg_node UNION ALL SELECT NULL, 'Gadget', n_name, 0, NULL, NULL, NULL FROM nation
            UNION ALL SELECT 'S' || s_suppkey, 'Phase', s_name, 0, NULL, NULL, NULL FROM supplier WHERE s_acctbal > 9000),
-e AS (SELECT rel AS type, src AS s, dst AS t FROM kg_edge WHERE w100 > 97 UNION ALL SELECT 'LOOP', 'S' || s_suppkey, 'S' || s_suppkey FROM supplier WHERE s_acctbal < 0),
+e AS (SELECT rel AS type, src AS s, dst AS t FROM kg_edge UNION ALL SELECT 'LOOP', 'S' || s_suppkey, 'S' || s_suppkey FROM supplier WHERE s_acctbal < 0),
 ends AS (SELECT s AS id FROM e UNION SELECT t FROM e),
 alone AS (SELECT * FROM n WHERE node_id IS NULL OR node_id NOT IN (SELECT id FROM ends)),
 ev AS (SELECT * FROM n WHERE label IN ('ClinicalFinding','ClinicalAttribute','LabTest','LabFinding','ImagingFinding','Pathogen','RiskFactor','PopulationGroup'))
@@ -667,7 +672,7 @@ def graph_quality_report(t):
     sid = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     old = s.where("s_acctbal > 9000").select(sid.alias("node_id"), F.lit("Phase").alias("label"), F.col("s_name").alias("name"),
                                             zero.alias("w100"), null.alias("grp"), null.alias("mode"), null.alias("cost"))
-    e = t.kg_edge.where("w100 > 97").select(F.col("rel").alias("type"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"))
+    e = t.kg_edge.select(F.col("rel").alias("type"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"))
     loop = s.where("s_acctbal < 0").select(F.lit("LOOP").alias("type"), sid.alias("source_id"), sid.alias("target_id"))
     return graph.quality_report(t.kg_node.unionByName(extra).unionByName(old), e.unionByName(loop), deprecated=("Phase",))
 
@@ -687,13 +692,15 @@ def names_by_label(t):
 @query("run_summary", """
 SELECT path, count(DISTINCT chunk_id) AS chunks, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(edges) AS BIGINT) AS edges,
   CAST(sum(ok) AS BIGINT) AS successes, CAST(sum(1 - ok) AS BIGINT) AS failures FROM (
-  SELECT n.path, n.chunk_id, n.nodes, coalesce(e.edges, 0) AS edges, CASE WHEN coalesce(e.edges, 0) > 0 THEN 1 ELSE 0 END AS ok FROM
-   (SELECT path, chunk_id, count(*) AS nodes FROM chunk_node GROUP BY 1, 2) n LEFT JOIN
-   (SELECT path, chunk_id, count(*) AS edges FROM chunk_edge WHERE w100 > 20 GROUP BY 1, 2) e USING (path, chunk_id)) GROUP BY 1""")
+  SELECT 'guide_' || year(o_orderdate) || '.md' AS path, o_orderkey AS chunk_id, coalesce(n.nodes, 0) AS nodes, coalesce(e.edges, 0) AS edges, CASE WHEN coalesce(e.edges, 0) > 0 THEN 1 ELSE 0 END AS ok
+  FROM orders LEFT JOIN (SELECT chunk_id, count(*) AS nodes FROM chunk_node GROUP BY 1) n ON n.chunk_id = o_orderkey
+  LEFT JOIN (SELECT chunk_id, count(*) AS edges FROM chunk_edge GROUP BY 1) e ON e.chunk_id = o_orderkey) GROUP BY 1""")
 def run_summary(t):
-    n = t.chunk_node.groupBy("path", "chunk_id").agg(F.count(F.lit(1)).alias("nodes"))
-    e = t.chunk_edge.where("w100 > 20").groupBy("path", "chunk_id").agg(F.count(F.lit(1)).alias("edges"))
-    j = n.join(e, ["path", "chunk_id"], "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    """Every order is a chunk; one without lines has no extraction and counts as failed."""
+    chunk = t.raw("orders").select(F.concat(F.lit("guide_"), F.year("o_orderdate").cast("string"), F.lit(".md")).alias("path"), F.col("o_orderkey").alias("chunk_id"))
+    n = t.chunk_node.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("nodes"))
+    e = t.chunk_edge.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("edges"))
+    j = chunk.join(n, "chunk_id", "left").join(e, "chunk_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("nodes", "edges")})
     ok = (F.col("edges") > 0).cast("int")
     return j.groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"),
                                  F.sum(ok).alias("successes"), F.sum(1 - ok).alias("failures"))

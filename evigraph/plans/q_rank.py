@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ordered import Order
+from ..functions.text import contains_any, match_text
 from ..functions.vocab import EVIDENCE_GROUPS, FEEDBACK_MULTIPLIER
+from ..operators import actions as ac
 from ..operators import rank as k
 from ..operators import retrieve as r
 from .q_retrieve import SQL_R1, SQL_TOP3, SQL_R2, evidence, features, links, r1, seen, top3
@@ -127,12 +129,12 @@ def related(t):
 @query("evidence_feedback", f"""
 WITH {SQL_REL},
 st AS (SELECT session_id, candidate_id, CAST(floor(score * 100000000) AS BIGINT) AS start FROM top3),
-tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, pk, sk ORDER BY weight DESC, name, candidate_id) AS rn FROM rw WHERE weight > 0) WHERE rn <= 2),
+tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn, pk, sk ORDER BY weight DESC, name, candidate_id) AS rn FROM rw WHERE weight > 0) WHERE rn <= 5),
 f AS (SELECT t.session_id, t.candidate_id, list(CAST(delta * weight AS BIGINT) ORDER BY turn, pk, sk) AS xs FROM tk t GROUP BY 1, 2)
 SELECT st.session_id, st.candidate_id, CASE WHEN xs IS NULL THEN start ELSE list_reduce(xs, lambda a, x: greatest(a + x, 0), start) END AS score FROM st LEFT JOIN f USING (session_id, candidate_id)""")
 def evidence_feedback(t):
     start = top3(t).select("session_id", "candidate_id", F.floor(F.col("score") * 100000000).cast("bigint").alias("start"))
-    return k.evidence_feedback(related(t), start, Order(("session_id", "candidate_id"), O3, SLICE), 2)
+    return k.evidence_feedback(related(t), start, Order(("session_id", "candidate_id"), O3, SLICE))
 
 
 @query("feedback_fanout_stats", f"""
@@ -166,89 +168,217 @@ def observed_evidence(t):
     return observed(t)
 
 
+# Facet words that occur in the part names, and digits that stand for facets of the suppliers.
+FACETS = (("lung", ("ring", "11")), ("cns", ("bolt", "22")), ("skin", ("gear", "33")), ("disseminated", ("hot", "44")), ("iris", ("cold", "55")), ("tb", ("rod", "66")),
+          ("mycobacteria", ("plate",)))
+SITES, GENERAL = ("11", "22", "ring"), ("7",)
+PATHOGENS = (("rod", ("rod", "anvil")), ("1", ("bolt",)))
+TAG_RULES = (("immune_status", ("hot",)), ("pathogen", ("cold",)), ("respiratory", ("ring",)))
+
+
+def sql_words(rules, key):
+    one = ", ".join(f"CASE WHEN {' OR '.join(f"contains({key}, '{w}')" for w in words)} THEN '{n}' END" for n, words in rules)
+    return f"list_filter([{one}], lambda x: x IS NOT NULL)"
+
+
+def sql_any(words, key):
+    return "(" + " OR ".join(f"contains({key}, '{w}')" for w in words) + ")"
+
+
+SQL_FACET = sql_words(FACETS, "{c}")
+
+
+def observed_items(t):
+    """Observed evidence with names; a large order names the disease itself."""
+    e = observed(t).join(t.kg_evidence.select("node_id", "name"), "node_id").select("session_id", "node_id", "name", "polarity", "resolution")
+    s = t.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"))
+    d = t.raw("lineitem").where("l_quantity >= 45").join(s, "l_suppkey").select(
+        F.col("l_orderkey").alias("session_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("node_id"), "name",
+        F.lit("present").alias("polarity"), F.lit("clear").alias("resolution"))
+    return e.unionByName(d.distinct())
+
+
 SQL_MATCH = f"""{SQL_TOP3}, {SQL_OBSV},
-pl AS (SELECT k.candidate_id, k.feature_id AS payload_id, replace(e.name, ' ', '') AS pkey, k.rel, e.label, e.mode, e.cost FROM kg_link k JOIN kg_evidence e ON e.node_id = k.feature_id WHERE k.w100 > 95),
-oc AS (SELECT o.session_id, o.node_id, o.b, replace(e.name, ' ', '') AS okey, t.candidate_id, t.candidate_name, t.score FROM obsv o JOIN kg_evidence e USING (node_id) JOIN top3 t USING (session_id)),
-pm0 AS (SELECT oc.*, pl.payload_id, pl.rel, pl.label, pl.mode, pl.cost, CASE WHEN pl.payload_id = oc.node_id THEN 100 WHEN pkey = okey THEN 96 ELSE 88 END AS match100
-  FROM oc JOIN pl ON pl.candidate_id = oc.candidate_id AND (pl.payload_id = oc.node_id OR contains(pkey, okey) OR contains(okey, pkey))),
-pmx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, candidate_id, node_id ORDER BY match100 DESC, payload_id DESC) AS rn FROM pm0) WHERE rn = 1)"""
+obsi AS (SELECT o.session_id, o.node_id, e.name, b.p AS polarity, b.r AS resolution FROM obsv o JOIN kg_evidence e USING (node_id)
+  UNION ALL SELECT DISTINCT l_orderkey, 'S' || l_suppkey, s_name, 'present', 'clear' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 45),
+oc AS (SELECT o.session_id, o.node_id, o.name AS oname, o.polarity, o.resolution, replace(lower(o.name), ' ', '') AS okey, t.candidate_id, t.candidate_name, replace(lower(t.candidate_name), ' ', '') AS ckey, t.score
+  FROM obsi o JOIN top3 t USING (session_id)),
+bn AS (SELECT k.candidate_id, replace(e.name, ' ', '') AS pkey, max(k.feature_id) AS payload_id, arg_max(k.rel, k.feature_id) AS rel, arg_max(e.label, k.feature_id) AS label
+  FROM kg_link k JOIN kg_evidence e ON e.node_id = k.feature_id GROUP BY 1, 2),
+nm AS (SELECT dn.candidate_id, dn.okey, arg_max({{'i': payload_id, 'r': rel, 'l': label, 'm': CASE WHEN pkey = okey THEN 96 ELSE 88 END}}, (CASE WHEN pkey = okey THEN 96 ELSE 88 END, payload_id)) AS x
+  FROM (SELECT DISTINCT candidate_id, okey FROM oc) dn JOIN bn ON bn.candidate_id = dn.candidate_id AND (contains(pkey, okey) OR contains(okey, pkey)) GROUP BY 1, 2),
+pm0 AS (SELECT session_id, candidate_id, node_id, candidate_id AS payload_id, 'SELF_DISEASE_MATCH' AS rel, 'Disease' AS label, 100 AS match100, 1 AS s FROM oc WHERE node_id = candidate_id OR okey = ckey
+  UNION ALL SELECT oc.session_id, oc.candidate_id, oc.node_id, k.feature_id, k.rel, e.label, 100, 0 FROM oc JOIN kg_link k ON k.candidate_id = oc.candidate_id AND k.feature_id = oc.node_id JOIN kg_evidence e ON e.node_id = k.feature_id
+  UNION ALL SELECT oc.session_id, oc.candidate_id, oc.node_id, x.i, x.r, x.l, x.m, 0 FROM oc JOIN nm ON nm.candidate_id = oc.candidate_id AND nm.okey = oc.okey),
+pmx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, candidate_id, node_id ORDER BY s DESC, match100 DESC, payload_id DESC) AS rn FROM pm0) WHERE rn = 1)"""
 
 
 def matches(t):
-    names = t.kg_evidence.select("node_id", "name")
-    payloads = links(t).where("w100 > 95").select("candidate_id", F.col("feature_id").alias("node_id"), "rel").join(
+    payloads = links(t).select("candidate_id", F.col("feature_id").alias("node_id"), "rel").join(
         t.kg_evidence.select("node_id", "name", "label"), "node_id")
-    return k.payload_match(observed(t).join(names, "node_id"), top3(t), payloads)
+    return k.payload_match(observed_items(t), top3(t), payloads)
 
 
-@query("payload_match", f"WITH {SQL_MATCH} SELECT session_id, candidate_id, node_id, payload_id, match100 FROM pmx")
+@query("payload_match", f"WITH {SQL_MATCH} SELECT session_id, candidate_id, node_id, payload_id, rel, match100 FROM pmx")
 def payload_match(t):
-    return matches(t).select("session_id", "candidate_id", "node_id", "payload_id", "match100")
-
-
-SQL_ROLE = """CASE WHEN deg >= 200000 THEN 'background_context' WHEN label = 'Pathogen' OR rel = 'HAS_PATHOGEN' THEN 'disease_specific_anchor' WHEN rel IN ('DIAGNOSED_BY','REQUIRES_DETAIL') THEN 'definition_anchor'
-  WHEN rel IN ('HAS_LAB_FINDING','HAS_IMAGING_FINDING') THEN 'disease_specific_anchor' WHEN label = 'RiskFactor' THEN 'risk_or_comorbidity' ELSE 'phenotype_support' END"""
-SQL_SCOPE = "CASE WHEN match100 = 100 THEN 'exact_scope' WHEN rel IN ('HAS_PATHOGEN','HAS_LAB_FINDING') THEN 'family_scope' WHEN rel = 'MANIFESTS_AS' THEN 'phenotype_scope' ELSE 'background_scope' END"
+    return matches(t).select("session_id", "candidate_id", "node_id", "payload_id", "rel", "match100")
+
+
+def sql_scope(cand, ev, facets):
+    """Columns of the scope decision for normalised names ``cand`` and ``ev``; ``facets`` are those of the evidence."""
+    crit = f"list_filter({SQL_FACET.format(c=cand)}, lambda x: x <> 'mycobacteria')"
+    miss = f"""list_sort(list_filter({crit}, lambda c: NOT (list_contains({facets}, c) OR (c = 'disseminated' AND len(list_intersect({facets}, ['lung','cns','skin'])) >= 2))))"""
+    specific = f"len({facets}) > 0"
+    gap = f"CASE WHEN len({miss}) > 0 AND {specific} THEN 'competing_scope' WHEN len({miss}) > 0 OR (len({crit}) = 0 AND {sql_any(GENERAL, cand)} AND {specific}) THEN 'family_scope' END"
+    reason = f"""CASE WHEN len({miss}) > 0 THEN 'candidate_scope_not_observed:' || array_to_string({miss}, ',') WHEN len({crit}) = 0 AND {sql_any(GENERAL, cand)} AND {specific} THEN 'observed_evidence_more_specific_than_candidate' END"""
+    named = f"len(list_filter({sql_words(PATHOGENS, ev)}, lambda f: contains({cand}, f))) > 0"
+    whole = f"""CASE WHEN role = 'background_context' THEN 'role_background_context' WHEN rel = 'SELF_DISEASE_MATCH' THEN 'disease_self_match' WHEN bg THEN 'background_keyword_or_family'
+   WHEN {reason} IS NOT NULL THEN {reason}
+   WHEN (label = 'Pathogen' OR rel = 'HAS_PATHOGEN' OR list_contains(tags, 'type:pathogen')) THEN CASE WHEN rel IN ('RISK_FACTOR_FOR','APPLIES_TO','COMPLICATED_BY') THEN 'pathogen_as_background_or_comorbidity' WHEN NOT {sql_any(SITES, cand)} THEN 'pathogen_exact_match'
+     WHEN contains({cand}, {ev}) OR {named} THEN 'pathogen_family_match' ELSE 'pathogen_not_named_in_candidate' END
+   WHEN contains({cand}, {ev}) OR contains({ev}, {cand}) THEN 'normalized_name_match' WHEN rel IN ('DIAGNOSED_BY','REQUIRES_DETAIL') THEN 'definition_relation_direct'
+   WHEN label IN ('LabFinding','LabTest','ImagingFinding','ClinicalAttribute') AND {sql_any(SITES, cand)} AND {sql_any(SITES, ev)} THEN 'site_specific_detail_match'
+   WHEN label IN ('LabFinding','LabTest','ImagingFinding','ClinicalAttribute') AND (list_has_any(tags, ['pathogen','imaging']) OR rel IN ('HAS_PATHOGEN','HAS_LAB_FINDING','HAS_IMAGING_FINDING')) THEN 'specific_family_match'
+   WHEN label = 'ClinicalFinding' OR rel = 'MANIFESTS_AS' THEN 'phenotype_support' WHEN list_has_any(tags, ['pathogen','imaging']) THEN 'specific_family_tag_match' ELSE 'fallback_background' END"""
+    return gap, whole
+
+
+SQL_SCOPE_OF = """CASE WHEN reason LIKE 'candidate_scope_not_observed%' OR reason = 'observed_evidence_more_specific_than_candidate' THEN gap
+  WHEN reason IN ('disease_self_match','pathogen_exact_match','normalized_name_match','definition_relation_direct','site_specific_detail_match') THEN 'exact_scope'
+  WHEN reason IN ('pathogen_family_match','specific_family_match','specific_family_tag_match') THEN 'family_scope' WHEN reason = 'phenotype_support' THEN 'phenotype_scope' ELSE 'background_scope' END"""
+SQL_ETAGS = """list_distinct(list_filter([CASE WHEN coalesce(grp, '') <> '' THEN 'type:' || grp END, CASE WHEN label IN ('LabFinding','LabTest') THEN 'type:lab' WHEN label = 'ImagingFinding' THEN 'type:imaging' WHEN label = 'Pathogen' THEN 'type:pathogen' WHEN label = 'ClinicalAttribute' THEN 'type:detail' END,
+  CASE WHEN label = 'ImagingFinding' THEN 'imaging' WHEN label = 'Pathogen' THEN 'pathogen' WHEN label = 'ClinicalAttribute' THEN 'detail' END, CASE WHEN contains(ekey, 'hot') THEN 'immune_status' END, CASE WHEN contains(ekey, 'cold') THEN 'pathogen' END, CASE WHEN contains(ekey, 'ring') THEN 'respiratory' END], lambda x: x IS NOT NULL))"""
+SQL_AROLE = """CASE WHEN rel = 'SELF_DISEASE_MATCH' THEN 'disease_specific_anchor' WHEN bg THEN 'background_context' WHEN label IN ('Pathogen','Disease') OR rel = 'HAS_PATHOGEN' OR list_contains(tags, 'type:pathogen') THEN 'disease_specific_anchor'
+  WHEN rel IN ('DIAGNOSED_BY','REQUIRES_DETAIL') OR list_contains(tags, 'detail') THEN 'definition_anchor' WHEN rel IN ('HAS_LAB_FINDING','HAS_IMAGING_FINDING') AND label IN ('LabFinding','LabTest','ImagingFinding') THEN 'disease_specific_anchor'
+  WHEN list_has_any(tags, ['pathogen','imaging']) THEN 'disease_specific_anchor' WHEN label = 'ClinicalAttribute' THEN 'definition_anchor' WHEN label = 'RiskFactor' OR rel = 'RISK_FACTOR_FOR' THEN 'risk_or_comorbidity'
+  WHEN label = 'ClinicalFinding' OR rel = 'MANIFESTS_AS' THEN 'phenotype_support' ELSE 'background_context' END"""
+_GAP, _REASON = sql_scope("ckey", "ekey", "ef")
+BUCKETS = ("strong", "definition", "family", "provisional", "phenotype", "background", "negative")
 SQL_AM = f"""{SQL_MATCH},
 fr AS (SELECT session_id, node_id, count(DISTINCT candidate_id) AS deg FROM pmx GROUP BY 1, 2),
-am0 AS (SELECT pmx.*, b.p AS polarity, b.r AS resolution, deg, {SQL_ROLE} AS role, {SQL_SCOPE} AS scope FROM pmx JOIN fr USING (session_id, node_id)),
+am1 AS (SELECT pmx.session_id, pmx.candidate_id, pmx.node_id, pmx.payload_id, pmx.rel, pmx.label, pmx.match100, oc.polarity, oc.resolution, oc.oname, oc.ckey, oc.candidate_name, oc.score, deg, n.name AS ename, replace(lower(n.name), ' ', '') AS ekey, n.grp, n.mode, n.cost
+  FROM pmx JOIN oc USING (session_id, candidate_id, node_id) JOIN fr USING (session_id, node_id) JOIN kg_node n ON n.node_id = pmx.payload_id),
+am2 AS (SELECT *, {SQL_ETAGS} AS tags, {SQL_FACET.format(c='ekey')} AS ef FROM am1),
+am3 AS (SELECT *, list_contains(tags, 'immune_status') AND deg >= 2 AS bg FROM am2),
+am4 AS (SELECT *, {SQL_AROLE} AS role FROM am3),
+am5 AS (SELECT *, {_REASON} AS reason, {_GAP} AS gap FROM am4),
+am0 AS (SELECT *, {SQL_SCOPE_OF} AS scope FROM am5),
 am AS (SELECT *, CAST(floor((CASE WHEN polarity = 'present' AND resolution = 'clear' THEN 1.0 WHEN polarity = 'present' THEN 0.55 WHEN polarity = 'absent' AND resolution = 'clear' THEN 1.0 ELSE 0.0 END)::DOUBLE
-  * (CASE rel WHEN 'HAS_PATHOGEN' THEN 1.0 WHEN 'HAS_LAB_FINDING' THEN 0.85 WHEN 'HAS_IMAGING_FINDING' THEN 0.85 WHEN 'MANIFESTS_AS' THEN 0.45 WHEN 'REQUIRES_DETAIL' THEN 0.55 ELSE 0.35 END)::DOUBLE
-  * (CASE label WHEN 'Pathogen' THEN 1.0 WHEN 'LabFinding' THEN 0.85 WHEN 'ImagingFinding' THEN 0.85 WHEN 'ClinicalAttribute' THEN 0.55 WHEN 'ClinicalFinding' THEN 0.35 ELSE 0.25 END)::DOUBLE
-  * (CASE scope WHEN 'exact_scope' THEN 1.0 WHEN 'family_scope' THEN 0.72 WHEN 'phenotype_scope' THEN 0.35 ELSE 0.12 END)::DOUBLE / log2(deg + 2) * 1000000 + 0.000001::DOUBLE) AS BIGINT) AS ascore FROM am0),
+  * (CASE rel WHEN 'SELF_DISEASE_MATCH' THEN 1.0 WHEN 'HAS_PATHOGEN' THEN 1.0 WHEN 'HAS_LAB_FINDING' THEN 0.85 WHEN 'HAS_IMAGING_FINDING' THEN 0.85 WHEN 'MANIFESTS_AS' THEN 0.45 WHEN 'REQUIRES_DETAIL' THEN 0.55 ELSE 0.35 END)::DOUBLE
+  * (CASE label WHEN 'Disease' THEN 1.0 WHEN 'Pathogen' THEN 1.0 WHEN 'LabFinding' THEN 0.85 WHEN 'ImagingFinding' THEN 0.85 WHEN 'ClinicalAttribute' THEN 0.55 WHEN 'ClinicalFinding' THEN 0.35 ELSE 0.25 END)::DOUBLE
+  * (CASE scope WHEN 'exact_scope' THEN 1.0 WHEN 'family_scope' THEN 0.72 WHEN 'phenotype_scope' THEN 0.35 WHEN 'competing_scope' THEN 0.24 ELSE 0.12 END)::DOUBLE / log2(deg + 2) * 1000000 + 0.000001::DOUBLE) AS BIGINT) AS ascore FROM am0),
 bk AS (SELECT *, CASE WHEN polarity = 'absent' AND resolution = 'clear' AND scope <> 'background_scope' AND (role IN ('disease_specific_anchor','definition_anchor') OR rel IN ('HAS_PATHOGEN','HAS_LAB_FINDING','HAS_IMAGING_FINDING')) THEN 'negative'
-   WHEN polarity <> 'present' THEN NULL WHEN scope = 'background_scope' OR role IN ('background_context') THEN 'background'
-   WHEN scope = 'family_scope' AND role IN ('disease_specific_anchor','definition_anchor') THEN 'family'
+   WHEN polarity <> 'present' THEN NULL WHEN scope = 'background_scope' THEN 'background'
+   WHEN scope IN ('family_scope','competing_scope') AND role IN ('disease_specific_anchor','definition_anchor') THEN 'family'
+   WHEN role = 'background_context' THEN 'background'
    WHEN role IN ('definition_anchor','disease_specific_anchor') THEN CASE WHEN resolution <> 'clear' THEN 'provisional' WHEN role = 'definition_anchor' THEN 'definition' ELSE 'strong' END
    WHEN role = 'phenotype_support' THEN 'phenotype' ELSE 'background' END AS bucket FROM am),
-su AS (SELECT session_id, candidate_id, any_value(candidate_name) AS candidate_name, any_value(score) AS score, {', '.join(f"CAST(sum(CASE WHEN bucket = '{b}' THEN ascore ELSE 0 END) AS BIGINT) AS {b}, {n_(f"bucket = '{b}'")} AS n_{b}" for b in ('strong','definition','family','provisional','phenotype','background','negative'))} FROM bk GROUP BY 1, 2),
-summ AS (SELECT *, strong + definition AS exact, CASE WHEN strong + definition + family = 0 THEN background ELSE 0 END AS background_attractor, CASE WHEN n_strong > 0 THEN 'strong_anchor' WHEN n_definition > 0 THEN 'definition_anchor'
-  WHEN n_family > 0 THEN 'family_anchor' WHEN n_provisional > 0 THEN 'provisional_anchor' WHEN n_phenotype > 0 THEN 'phenotype_supported' WHEN n_background > 0 THEN 'background_supported' WHEN n_negative > 0 THEN 'negative_anchor' ELSE 'speculative' END AS anchor_tier FROM su)"""
+su AS (SELECT session_id, candidate_id, any_value(candidate_name) AS candidate_name, any_value(ckey) AS ckey, any_value(score) AS score, {', '.join(f"CAST(sum(CASE WHEN bucket = '{b}' THEN ascore ELSE 0 END) AS BIGINT) AS {b}, {n_(f"bucket = '{b}'")} AS n_{b}" for b in BUCKETS)},
+  CAST(sum(CASE WHEN bucket = 'family' AND scope = 'competing_scope' THEN ascore ELSE 0 END) AS BIGINT) AS competing,
+  list_distinct(flatten(coalesce(list(list_concat(ef, {SQL_FACET.format(c="replace(lower(oname), ' ', '')")})) FILTER (polarity = 'present' AND resolution IN ('clear','hedged')), []))) AS seen FROM bk GROUP BY 1, 2),
+summ AS (SELECT *, strong + definition AS exact, CASE WHEN strong + definition + family = 0 THEN background ELSE 0 END AS background_attractor, strong + definition + family + provisional * 65 // 100 AS observed,
+  ((strong + definition) * 100 + family * 80 + (provisional * 65 // 100) * 100 + phenotype * 25) // 100 AS role_specificity, CASE WHEN n_strong > 0 THEN 'strong_anchor' WHEN n_definition > 0 THEN 'definition_anchor'
+  WHEN n_family > 0 THEN 'family_anchor' WHEN n_provisional > 0 THEN 'provisional_anchor' WHEN n_phenotype > 0 THEN 'phenotype_supported' WHEN n_background > 0 THEN 'background_supported' WHEN n_negative > 0 THEN 'negative_anchor' ELSE 'speculative' END AS anchor_tier FROM su),
+sp1 AS (SELECT *, list_filter({SQL_FACET.format(c='ckey')}, lambda x: x <> 'mycobacteria') AS crit, list_filter(seen, lambda x: x <> 'mycobacteria') AS scrit FROM summ),
+sp2 AS (SELECT *, list_filter(crit, lambda c: NOT (list_contains(seen, c) OR (c = 'disseminated' AND len(list_intersect(seen, ['lung','cns','skin'])) >= 2))) AS miss FROM sp1),
+sp3 AS (SELECT *, CASE WHEN len(crit) > 0 THEN (len(crit) - len(miss)) / len(crit) * 0.7::DOUBLE + least((len(crit) - len(miss)) * 0.08::DOUBLE, 0.24) ELSE 0.0::DOUBLE END AS specificity,
+  CASE WHEN ({sql_any(GENERAL, 'ckey')} AND len(crit) = 0 AND len(scrit) > 0) OR (len(list_intersect(scrit, ['lung','cns','skin'])) > 0 AND len(list_intersect(crit, ['lung','cns','skin'])) = 0) THEN 0.38::DOUBLE ELSE 0.0::DOUBLE END AS generic,
+  CASE WHEN exact + family + provisional + phenotype > 0 AND len(miss) > 0 THEN least(len(miss) * 0.18::DOUBLE, 0.54) ELSE 0.0::DOUBLE END + CASE WHEN list_contains(miss, 'iris') THEN 0.22::DOUBLE ELSE 0.0::DOUBLE END
+   + CASE WHEN list_contains(miss, 'disseminated') THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END AS need FROM sp2),
+sp4 AS (SELECT *, competing / 1000000 + need AS mismatch, CASE WHEN exact > 0 AND len(miss) = 0 AND len(seen) > 0 THEN 0.35::DOUBLE WHEN family > 0 AND len(seen) > 0 THEN 0.35::DOUBLE * 0.45::DOUBLE WHEN provisional * 65 // 100 > 0 AND len(seen) > 0 THEN 0.35::DOUBLE * 0.2::DOUBLE ELSE 0.0::DOUBLE END
+  - CASE WHEN generic > 0 THEN least(generic / 0.38::DOUBLE, 1.0) * 0.28::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN need > 0 THEN least(need * 0.35::DOUBLE, 0.28) ELSE 0.0::DOUBLE END AS cluster FROM sp3),
+sp AS (SELECT *, strong / 1000000 * 2.4::DOUBLE + definition / 1000000 * 2.4::DOUBLE + family / 1000000 * 1.1::DOUBLE + provisional / 1000000 * 0.95::DOUBLE + phenotype / 1000000 * 0.35::DOUBLE + background / 1000000 * 0.10::DOUBLE
+  + specificity * 0.42::DOUBLE + cluster - negative / 1000000 * 1.45::DOUBLE - background_attractor / 1000000 * 0.82::DOUBLE - mismatch * 0.92::DOUBLE - generic * 0.85::DOUBLE AS bonus FROM sp4)"""
 
 
 def anchored_matches(t):
-    m = matches(t).join(observed(t).select("session_id", "node_id", "polarity", "resolution"), ["session_id", "node_id"])
+    c = F.col
+    m = matches(t).join(observed_items(t).select("session_id", "node_id", c("name").alias("oname"), "polarity", "resolution"), ["session_id", "node_id"])
+    m = m.join(top3(t).select("session_id", "candidate_id", "candidate_name"), ["session_id", "candidate_id"])
+    m = m.join(t.kg_node.select(c("node_id").alias("payload_id"), c("name").alias("ename"), "grp", "mode", "cost"), "payload_id")
     deg = m.groupBy("session_id", "node_id").agg(F.count_distinct("candidate_id").alias("deg"))
-    m = m.join(deg, ["session_id", "node_id"])
-    none = F.array().cast("array<string>")
-    scope = (F.when(F.col("match100") == 100, "exact_scope").when(F.col("rel").isin("HAS_PATHOGEN", "HAS_LAB_FINDING"), "family_scope")
-             .when(F.col("rel") == "MANIFESTS_AS", "phenotype_scope").otherwise("background_scope"))
-    m = m.withColumns({"role": k.anchor_role(F.col("rel"), F.col("label"), none, F.col("deg") >= 200000), "scope": scope})
-    return m.withColumn("score", k.anchor_strength(F.col("polarity"), F.col("resolution"), F.col("rel"), F.col("label"), F.col("deg"), F.col("scope")))
+    m = m.join(deg, ["session_id", "node_id"]).withColumn("tags", k.evidence_tags(c("label"), F.coalesce("grp", F.lit("")), c("ename"), TAG_RULES))
+    m = m.withColumn("bg", F.array_contains("tags", F.lit("immune_status")) & (c("deg") >= 2))
+    m = m.withColumn("role", k.anchor_role(c("rel"), c("label"), c("tags"), c("bg")))
+    d = ac.anchor_scope(c("rel"), c("label"), c("role"), c("candidate_name"), c("ename"), c("tags"), c("bg"), FACETS, SITES, PATHOGENS, GENERAL)
+    m = m.withColumns(d).withColumn("scope", ac.scope_of(c("reason"), c("gap")))
+    return m.withColumn("score", k.anchor_strength(c("polarity"), c("resolution"), c("rel"), c("label"), c("deg"), c("scope")))
+
 
+SUMMARY = ("strong", "definition", "family", "provisional", "phenotype", "background", "negative", "exact", "background_attractor", "observed", "role_specificity", "anchor_tier")
 
-@query("anchor_summary", f"WITH {SQL_AM} SELECT session_id, candidate_id, strong, definition, family, provisional, phenotype, background, negative, exact, background_attractor, anchor_tier FROM summ")
+
+@query("anchor_summary", f"WITH {SQL_AM} SELECT session_id, candidate_id, {', '.join(SUMMARY)} FROM summ")
 def anchor_summary(t):
-    return k.anchor_summary(anchored_matches(t)).select(
-        "session_id", "candidate_id", "strong", "definition", "family", "provisional", "phenotype", "background", "negative", "exact", "background_attractor", "anchor_tier")
+    return k.anchor_summary(anchored_matches(t)).select("session_id", "candidate_id", *SUMMARY)
+
+
+def scoped_summary(t):
+    """Anchor summaries with the scope profile of each candidate; few matches per candidate and session."""
+    c = F.col
+    m = anchored_matches(t)
+    real = (c("polarity") == "present") & c("resolution").isin("clear", "hedged")
+    facets = F.concat(k.scope_tokens(c("ename"), FACETS), k.scope_tokens(c("oname"), FACETS))
+    seen = m.groupBy("session_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list(F.when(real, facets)))).alias("seen"))
+    pool = top3(t).select("session_id", "candidate_id", "candidate_name", "score")
+    s = k.anchor_summary(m).join(seen, ["session_id", "candidate_id"]).join(pool, ["session_id", "candidate_id"])
+    name = match_text(c("candidate_name"), drop=" -_/+")
+    p = k.scope_profile(k.scope_tokens(name, FACETS), c("seen"), contains_any(name, GENERAL), c("exact") + c("family") + c("provisional") + c("phenotype") > 0)
+    s = s.withColumns({"missing": p["missing_facets"], "specificity": p["scope_specificity"], "generic": p["generic_penalty"], "need": p["requirement_missing"]})
+    half = F.floor(c("provisional") * 65 / 100)
+    return s.withColumns({"mismatch": c("competing") / 1000000 + c("need"),
+                          "cluster": k.scope_cluster(c("exact"), c("family"), half, c("seen"), c("missing"), c("generic"), c("need"))})
+
+
+@query("anchor_bonus_apply", f"WITH {SQL_AM} SELECT session_id, candidate_id, specificity, generic, mismatch, cluster, bonus, greatest(score + bonus, 0.0) AS boosted FROM sp")
+def anchor_bonus_apply(t):
+    s = scoped_summary(t).withColumn("bonus", k.anchor_bonus(F.col("specificity"), F.col("cluster"), F.col("mismatch"), F.col("generic")))
+    return s.select("session_id", "candidate_id", "specificity", "generic", "mismatch", "cluster", "bonus", F.greatest(F.col("score") + F.col("bonus"), F.lit(0.0)).alias("boosted"))
 
 
 @query("anchor_rerank", f"""
 WITH {SQL_AM}
-SELECT session_id, candidate_id, anchor_tier, greatest(score + (strong / 1000000 * 2.4 + definition / 1000000 * 2.4 + family / 1000000 * 1.1 + provisional / 1000000 * 0.95 + phenotype / 1000000 * 0.35 + background / 1000000 * 0.10
-  + 0.0::DOUBLE * 0.42 + 0.0::DOUBLE - negative / 1000000 * 1.45 - background_attractor / 1000000 * 0.82 - 0.0::DOUBLE * 0.92 - 0.0::DOUBLE * 0.85), 0.0) AS boosted,
+SELECT session_id, candidate_id, anchor_tier, greatest(score + bonus, 0.0) AS boosted,
  row_number() OVER (PARTITION BY session_id ORDER BY CASE anchor_tier WHEN 'strong_anchor' THEN 5 WHEN 'definition_anchor' THEN 5 WHEN 'family_anchor' THEN 4 WHEN 'provisional_anchor' THEN 3 WHEN 'phenotype_supported' THEN 2 WHEN 'negative_anchor' THEN 0 ELSE 1 END DESC,
-  exact DESC, family DESC, exact * 20 + family * 16 + provisional * 13 + phenotype * 5 DESC, background_attractor, score DESC, candidate_name, candidate_id) AS anchor_rank FROM summ""")
+  cluster DESC, exact DESC, family DESC, role_specificity DESC, specificity DESC, observed DESC, background_attractor, mismatch, generic, greatest(score + bonus, 0.0) DESC, candidate_name, candidate_id) AS anchor_rank FROM sp""")
 def anchor_rerank(t):
-    pool = top3(t).select("session_id", "candidate_id", "candidate_name", "score")
-    s = k.anchor_summary(anchored_matches(t)).join(pool, ["session_id", "candidate_id"])
-    z = F.lit(0.0)
-    s = k.anchor_rerank(s).withColumn("boosted", F.greatest(F.col("score") + k.anchor_bonus(z, z, z, z), z))
-    return s.select("session_id", "candidate_id", "anchor_tier", "boosted", "anchor_rank")
+    return k.anchor_rerank(scoped_summary(t)).select("session_id", "candidate_id", "anchor_tier", "boosted", "anchor_rank")
+
+
+_LGAP, _LREASON = sql_scope("ckey", "ekey", "ef")
+
+
+@query("anchor_scope", f"""
+WITH x0 AS (SELECT k.rel, e.label, e.grp, replace(e.name, ' ', '') AS ekey, lower(d.name) AS ckey FROM kg_link k JOIN kg_evidence e ON e.node_id = k.feature_id JOIN kg_disease d ON d.node_id = k.candidate_id),
+x1 AS (SELECT *, {SQL_ETAGS} AS tags, {SQL_FACET.format(c='ekey')} AS ef, false AS bg FROM x0),
+x2 AS (SELECT *, {SQL_AROLE} AS role FROM x1),
+x3 AS (SELECT *, {_LREASON} AS reason, {_LGAP} AS gap FROM x2)
+SELECT rel, reason, {SQL_SCOPE_OF} AS scope, count(*) AS n FROM x3 GROUP BY 1, 2, 3""")
+def anchor_scope(t):
+    """Scope of every link of the graph for the candidate that holds it."""
+    c = F.col
+    x = links(t).join(t.kg_evidence.select(c("node_id").alias("feature_id"), "label", "grp", "name"), "feature_id").join(
+        t.kg_disease.select(c("node_id").alias("candidate_id"), c("name").alias("candidate_name")), "candidate_id")
+    x = x.withColumn("tags", k.evidence_tags(c("label"), c("grp"), c("name"), TAG_RULES))
+    x = x.withColumn("role", k.anchor_role(c("rel"), c("label"), c("tags"), F.lit(False)))
+    d = ac.anchor_scope(c("rel"), c("label"), c("role"), c("candidate_name"), c("name"), c("tags"), F.lit(False), FACETS, SITES, PATHOGENS, GENERAL)
+    return x.withColumns(d).groupBy("rel", "reason", ac.scope_of(c("reason"), c("gap")).alias("scope")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("low_cost_profile", f"""
 WITH {SQL_AM},
-ok AS (SELECT * FROM am WHERE polarity = 'present' AND resolution = 'clear' AND scope <> 'background_scope' AND mode = 'direct_ask' AND role IN ('phenotype_support','risk_or_comorbidity','definition_anchor'))
-SELECT session_id, candidate_id, count(*) AS low_cost_items, count(DISTINCT role) AS low_cost_families, count(*) >= 2 AND count(DISTINCT role) >= 2 AS satisfied FROM ok GROUP BY 1, 2""")
+lf AS (SELECT *, list_filter(list_distinct(list_transform(list_filter(tags, lambda x: x NOT LIKE 'type:%'), lambda x: CASE x WHEN 'respiratory' THEN 'respiratory_symptom' WHEN 'detail' THEN 'general_detail' ELSE x END)), lambda x: x <> 'immune_status') AS fam,
+  CASE WHEN scope = 'background_scope' THEN 'background_context' WHEN scope IN ('family_scope','competing_scope') AND role IN ('disease_specific_anchor','definition_anchor') THEN 'family_anchor' ELSE role END AS arole FROM am),
+ok AS (SELECT session_id, candidate_id, CASE WHEN len(fam) > 0 THEN fam WHEN arole = 'phenotype_support' THEN ['phenotype'] WHEN arole = 'risk_or_comorbidity' THEN ['risk_or_comorbidity'] WHEN arole = 'definition_anchor' THEN ['definition_detail'] WHEN arole = 'family_anchor' THEN ['family_anchor'] ELSE [] END AS f FROM lf
+  WHERE polarity = 'present' AND resolution = 'clear' AND scope <> 'background_scope' AND role <> 'background_context' AND coalesce(mode, '') = 'direct_ask')
+SELECT session_id, candidate_id, count(DISTINCT rowid_) AS low_cost_items, count(DISTINCT x) AS low_cost_families, count(DISTINCT rowid_) >= 2 AND count(DISTINCT x) >= 2 AS satisfied
+FROM (SELECT session_id, candidate_id, row_number() OVER () AS rowid_, f FROM ok WHERE len(f) > 0), unnest(f) AS u(x) GROUP BY 1, 2""")
 def low_cost_profile(t):
-    m = anchored_matches(t).join(t.kg_evidence.select(F.col("node_id").alias("payload_id"), "mode", "cost"), "payload_id")
-    return k.low_cost_profile(m.withColumn("families", F.array().cast("array<string>")))
-
-
-# Facet words that occur in the part names.
-FACETS = (("lung", ("ring",)), ("cns", ("bolt",)), ("skin", ("gear",)), ("disseminated", ("hot",)), ("iris", ("cold",)), ("tb", ("rod",)), ("mycobacteria", ("plate",)))
-SQL_FACET = "list_filter([" + ", ".join(f"CASE WHEN contains({{c}}, '{w[0]}') THEN '{n}' END" for n, w in FACETS) + "], lambda x: x IS NOT NULL)"
+    c = F.col
+    m = anchored_matches(t)
+    role = F.when(c("scope") == "background_scope", "background_context").when(
+        c("scope").isin("family_scope", "competing_scope") & c("role").isin("disease_specific_anchor", "definition_anchor"), "family_anchor").otherwise(c("role"))
+    return k.low_cost_profile(m.withColumns({"role": role, "families": k.canonical_tags(c("tags")), "mode": F.coalesce("mode", F.lit("")), "cost": F.coalesce("cost", F.lit("high"))}))
 
 
 @query("scope_tokens", f"SELECT p_name AS name, array_to_string({SQL_FACET.format(c='p_name')}, ',') AS facets, count(*) AS n FROM part GROUP BY 1, 2")
@@ -275,9 +405,6 @@ def scope_profile(t):
                     s["generic_penalty"].alias("generic_penalty"), s["requirement_missing"].alias("requirement_missing"))
 
 
-TAG_RULES = (("immune_status", ("hot",)), ("pathogen", ("cold",)), ("respiratory", ("ring",)))
-
-
 @query("evidence_tags", """
 WITH b AS (SELECT node_id, grp, label, name FROM kg_evidence),
 x AS (SELECT node_id, 'type:' || grp AS tag FROM b UNION SELECT node_id, CASE label WHEN 'LabFinding' THEN 'type:lab' WHEN 'ImagingFinding' THEN 'type:imaging' WHEN 'Pathogen' THEN 'type:pathogen' WHEN 'ClinicalAttribute' THEN 'type:detail' END FROM b
@@ -422,14 +549,22 @@ def verifier_repair_rerank(t):
 
 @query("escalate_competition", f"""
 WITH {SQL_R1}, {SQL_RPOOL},
-e AS (SELECT session_id, candidate_id, candidate_name, rank, score, CASE WHEN rank = 1 AND exact < 300000 THEN 0 ELSE exact * 2 + family END AS s, times FROM rp),
-r AS (SELECT e.*, t.candidate_id AS leader, t.s AS ls, t.times AS lt, row_number() OVER (PARTITION BY e.session_id ORDER BY e.s DESC, e.score DESC, e.candidate_name, e.candidate_id) AS rival_rank
-  FROM e JOIN e t ON t.session_id = e.session_id AND t.rank = 1 WHERE e.rank > 1 AND e.s > t.s)
-SELECT session_id, leader, candidate_id, rival_rank, concat_ws(',', CASE WHEN ls = 0 THEN 'zero_anchor' END, CASE WHEN lt >= 2 THEN 'repeated_rejection' END) AS reasons FROM r WHERE rival_rank <= 3 AND (ls = 0 OR lt >= 2)""")
+e AS (SELECT rp.session_id, candidate_id, candidate_name, rank, alt, rr, times, CASE WHEN rank = 1 AND exact < 300000 THEN 0 ELSE exact END AS exact, CASE WHEN rank = 1 AND exact < 300000 THEN 0 ELSE family END AS family,
+  CASE WHEN exact > 400000 THEN 'strong_anchor' WHEN exact > 250000 THEN 'family_anchor' ELSE 'speculative' END AS tier, CASE WHEN contains(candidate_name, '3') THEN true ELSE false END AS costly FROM rp),
+l AS (SELECT session_id, candidate_id AS leader, exact + family AS lo, exact AS le, times AS lt, costly AS lc FROM e WHERE rank = 1 AND rr = 'missing_key_support'),
+v AS (SELECT e.*, leader, lo, lt, lc, exact + family > lo + 50000 OR exact > le + 50000 AS stronger FROM e JOIN l USING (session_id) WHERE rank > 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY exact DESC, exact + family DESC, family DESC, candidate_name, candidate_id) AS rival_rank FROM v WHERE stronger OR alt OR (tier IN ('strong_anchor','family_anchor') AND exact + family > 0)) WHERE rival_rank <= 3),
+y AS (SELECT *, max(stronger) OVER (PARTITION BY session_id) AS any_stronger FROM b),
+z AS (SELECT *, concat_ws(',', CASE WHEN lo <= 0 AND any_stronger THEN 'zero_anchor' END, CASE WHEN lt >= 2 THEN 'repeated_rejection' END, CASE WHEN lc AND any_stronger THEN 'costly_gap' END) AS reasons FROM y)
+SELECT session_id, leader, candidate_id, rival_rank, reasons FROM z WHERE reasons <> ''""")
 def escalate_competition(t):
-    weak = (F.col("rank") == 1) & (F.col("exact") < 300000)
-    p = repair_pool(t).withColumns({"exact": F.when(weak, 0).otherwise(F.col("exact")), "family": F.when(weak, 0).otherwise(F.col("family"))})
-    return k.escalate(p)
+    c = F.col
+    weak = (c("rank") == 1) & (c("exact") < 300000)
+    tier = F.when(c("exact") > 400000, "strong_anchor").when(c("exact") > 250000, "family_anchor").otherwise("speculative")
+    asked = F.when(F.contains("candidate_name", F.lit("3")), "胸部 CT 报告").otherwise("既往史")
+    p = repair_pool(t).withColumns({"anchor_tier": tier, "costly_gap": k.costly_evidence(asked)})
+    p = p.withColumns({"exact": F.when(weak, 0).otherwise(c("exact")), "family": F.when(weak, 0).otherwise(c("family"))})
+    return k.escalate(p.withColumn("observed", c("exact") + c("family")))
 
 
 @query("remaining_low_cost", f"""
@@ -440,20 +575,3 @@ SELECT session_id, node_id, priority, rank FROM (SELECT *, row_number() OVER (PA
 def remaining_low_cost(t):
     rows = r.r2_evidence(top3(t), evidence(t), seen(t))
     return k.remaining_low_cost(rows).select("session_id", "node_id", "priority", "rank")
-
-
-@query("action_expected_reward", f"""
-WITH {SQL_TOP3},
-{SQL_R2.format(pool='top3')},
-x AS (SELECT r2.*, t.score AS h, priority / 10000 AS prior, contradiction / 100 AS c, CASE rel WHEN 'HAS_PATHOGEN' THEN 1.2::DOUBLE ELSE 0.75::DOUBLE END AS rb,
-  least(greatest(0.55::DOUBLE + CASE WHEN red_flag THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN rel_w100 > 98 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE rel WHEN 'REQUIRES_DETAIL' THEN -0.1::DOUBLE WHEN 'HAS_LAB_FINDING' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 0.1), 0.9) AS p FROM r2 JOIN top3 t USING (session_id, candidate_id)),
-y AS (SELECT *, least(0.15::DOUBLE, greatest(1.0::DOUBLE - p, 0.0)) AS d FROM x),
-z AS (SELECT *, greatest(0.05::DOUBLE, 1.0::DOUBLE - p - d) AS n, prior * rb + h * 0.35 AS rp, prior * (c * 0.35 + 0.25) + h * 0.10 AS rn, prior * 0.20 + c * 0.10 + h * 0.05 AS rd FROM y)
-SELECT session_id, candidate_id, node_id, p AS p_positive, p * rp + n * rn + d * rd AS expected,
-  CASE WHEN d * rd = greatest(p * rp, n * rn, d * rd) THEN 'doubtful' WHEN n * rn = greatest(p * rp, n * rn, d * rd) THEN 'negative' ELSE 'positive' END AS best_branch FROM z""")
-def action_expected_reward(t):
-    c = F.col
-    pool = top3(t)
-    rows = r.r2_evidence(pool, evidence(t), seen(t)).join(pool.select("session_id", "candidate_id", c("score").alias("h")), ["session_id", "candidate_id"])
-    d = k.expected_reward(c("priority") / 10000, F.when(c("rel") == "HAS_PATHOGEN", 1.2).otherwise(0.75), c("h"), c("contradiction") / 100, c("red_flag"), c("rel_w100") > 98, c("rel"))
-    return rows.select("session_id", "candidate_id", "node_id", *[v.alias(n) for n, v in d.items()])

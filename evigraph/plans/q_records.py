@@ -74,18 +74,18 @@ def exam_kind_sync(t):
 
 @query("exam_result_link", f"""
 WITH x AS (SELECT o.session_id, 'R' || turn || '_' || o.pk AS result_id, e.grp AS family, CASE polarity WHEN 'present' THEN 'positive' WHEN 'absent' THEN 'negative' ELSE 'unknown' END AS direction
-   FROM obs o JOIN kg_evidence e USING (node_id) WHERE e.grp IN ('lab','imaging','pathogen') AND turn <= 2),
-c AS (SELECT DISTINCT o.session_id, o.node_id, e.grp AS family, e.w100 AS priority FROM obs o JOIN kg_evidence e USING (node_id) WHERE turn > 2),
-j AS (SELECT x.session_id, x.result_id, c.node_id, x.direction, row_number() OVER (PARTITION BY x.session_id, x.result_id ORDER BY c.priority DESC, c.node_id) AS lr
-   FROM (SELECT DISTINCT * FROM x) x JOIN c ON c.session_id = x.session_id AND c.family = x.family WHERE direction <> 'unknown'),
-b AS (SELECT session_id, node_id, arg_min({{'r': result_id, 'd': direction}}, (lr, result_id)) AS b FROM j WHERE lr <= 3 GROUP BY 1, 2)
+   FROM obs o JOIN kg_evidence e USING (node_id) WHERE e.grp IN ('lab','imaging','pathogen')),
+c AS (SELECT DISTINCT o.session_id, o.node_id, e.grp AS family, e.w100 AS priority FROM obs o JOIN kg_evidence e USING (node_id)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY session_id, family ORDER BY priority DESC, node_id) AS lr FROM c),
+j AS (SELECT x.session_id, x.result_id, cr.node_id, x.direction, lr FROM (SELECT DISTINCT * FROM x) x JOIN cr ON cr.session_id = x.session_id AND cr.family = x.family WHERE direction <> 'unknown' AND lr <= 3),
+b AS (SELECT session_id, node_id, arg_min({{'r': result_id, 'd': direction}}, (lr, result_id, direction)) AS b FROM j GROUP BY 1, 2)
 SELECT session_id, node_id, b.r AS result_id, CASE b.d WHEN 'negative' THEN 'absent' ELSE 'present' END AS polarity FROM b""")
 def exam_result_link(t):
     o = t.obs.join(t.kg_evidence.select("node_id", "grp", "w100"), "node_id")
     d = F.when(F.col("polarity") == "present", "positive").when(F.col("polarity") == "absent", "negative").otherwise("unknown")
-    res = o.where(F.col("grp").isin("lab", "imaging", "pathogen") & (F.col("turn") <= 2)).select(
+    res = o.where(F.col("grp").isin("lab", "imaging", "pathogen")).select(
         "session_id", F.concat_ws("_", F.concat(F.lit("R"), F.col("turn")), "pk").alias("result_id"), F.col("grp").alias("family"), d.alias("direction")).distinct()
-    cand = o.where("turn > 2").select("session_id", "node_id", F.col("grp").alias("family"), F.col("w100").alias("priority")).distinct()
+    cand = o.select("session_id", "node_id", F.col("grp").alias("family"), F.col("w100").alias("priority")).distinct()
     return rc.exam_result_link(res, cand)
 
 
@@ -171,15 +171,16 @@ def entity_link(t):
 
 # -- relation repair ---------------------------------------------------------------------------------------
 
-def weak_edges(t):
-    return typed_edges(t).where("w100 > 60")
+def found_edges(t):
+    """Edges of the first extraction: finished lines.  The open lines are the edges proposed later."""
+    return typed_edges(t).where("linestatus = 'F'")
 
 
 def suspicious(t):
-    return rc.suspicious_nodes(t.chunk_node, weak_edges(t))
+    return rc.suspicious_nodes(t.chunk_node, found_edges(t))
 
 
-SQL_SUS = """we AS (SELECT * FROM chunk_edge WHERE w100 > 60),
+SQL_SUS = """we AS (SELECT * FROM chunk_edge WHERE linestatus = 'F'),
 ends AS (SELECT chunk_id, source_id AS id FROM we UNION SELECT chunk_id, target_id FROM we),
 sus AS (SELECT n.* FROM chunk_node n WHERE NOT EXISTS (SELECT 1 FROM ends WHERE ends.chunk_id = n.chunk_id AND ends.id = n.local_id)),
 one AS (SELECT chunk_id, local_id, max(label) AS label, max(name) AS name FROM chunk_node GROUP BY 1, 2)"""
@@ -195,10 +196,10 @@ def suspicious_nodes(t):
 
 
 def proposed(t):
-    """Proposed edges: the weak lines of a chunk, some of them faulty."""
+    """Proposed edges: the open lines of a chunk, some of them faulty."""
     q = F.col("quantity")
     s, p = F.concat(F.lit("S"), F.col("sk").cast("string")), F.concat(F.lit("P"), F.col("pk").cast("string"))
-    return t.chunk_line.where("edge_w100 <= 60").select(
+    return t.chunk_line.where("linestatus = 'O'").select(
         "chunk_id", F.struct("pos", "pk", "sk").alias("ord"), F.when(q == 11, F.lit(" ")).when(q == 12, p).when(F.col("rel") == "RISK_FACTOR_FOR", p).otherwise(s).alias("source_id"),
         F.when(q == 13, F.lit("nobody")).when(q == 12, p).when(F.col("rel") == "RISK_FACTOR_FOR", s).otherwise(p).alias("target_id"),
         F.when(q == 14, F.lit("LIKES")).when(q == 15, F.lit("COMPLICATED_BY")).otherwise(F.col("rel")).alias("type"), F.when(q != 16, F.col("p_name")).alias("evidence_text"), F.lit("").alias("condition"),
@@ -208,7 +209,7 @@ def proposed(t):
 SQL_PROP = f"""{SQL_SUS},
 pp AS (SELECT chunk_id, (pos, pk, sk) AS ord, pos, pk, sk, CASE WHEN quantity = 11 THEN ' ' WHEN quantity = 12 THEN 'P' || pk WHEN rel = 'RISK_FACTOR_FOR' THEN 'P' || pk ELSE 'S' || sk END AS source_id,
   CASE WHEN quantity = 13 THEN 'nobody' WHEN quantity = 12 THEN 'P' || pk WHEN rel = 'RISK_FACTOR_FOR' THEN 'S' || sk ELSE 'P' || pk END AS target_id,
-  CASE WHEN quantity = 14 THEN 'LIKES' WHEN quantity = 15 THEN 'COMPLICATED_BY' ELSE rel END AS type, CASE WHEN quantity <> 16 THEN p_name END AS evidence_text, quantity / 20 AS weight, node_w100 / 100 AS confidence, detail FROM chunk_line WHERE edge_w100 <= 60),
+  CASE WHEN quantity = 14 THEN 'LIKES' WHEN quantity = 15 THEN 'COMPLICATED_BY' ELSE rel END AS type, CASE WHEN quantity <> 16 THEN p_name END AS evidence_text, quantity / 20 AS weight, node_w100 / 100 AS confidence, detail FROM chunk_line WHERE linestatus = 'O'),
 su2 AS (SELECT DISTINCT chunk_id, local_id FROM sus),
 pr AS (SELECT p.*, CASE WHEN trim(p.source_id) = '' THEN 'missing_endpoint_id' WHEN a.label IS NULL OR b.label IS NULL THEN 'unknown_node_id' WHEN x.local_id IS NULL AND y.local_id IS NULL THEN 'no_suspicious_endpoint'
    WHEN p.source_id = p.target_id THEN 'self_loop' WHEN p.type = 'LIKES' THEN 'invalid_edge_type' WHEN p.type = 'COMPLICATED_BY' THEN 'implausible_direction' WHEN p.evidence_text IS NULL THEN 'missing_evidence_text'
@@ -221,7 +222,7 @@ san AS (SELECT *, CASE WHEN r1 IS NOT NULL THEN r1 WHEN kr <= 2 THEN 'kept' ELSE
 
 
 def sanitized(t):
-    old = weak_edges(t).withColumn("condition", F.lit(""))
+    old = found_edges(t).withColumn("condition", F.lit(""))
     return rc.sanitize_added_edges(proposed(t), t.chunk_node, suspicious(t), old, 2)
 
 
@@ -239,7 +240,7 @@ SELECT c.chunk_id, coalesce(x.n, 0) AS added, coalesce(g.n, 0) AS dropped, CASE
 FROM (SELECT DISTINCT chunk_id FROM chunk_node) c LEFT JOIN (SELECT chunk_id, count(*) AS n, min('repair_edge_' || substr(sha1(chunk_id || '|' || source_id || '|' || type || '|' || target_id || '||' || evidence_text), 1, 12)) AS first_id FROM ad GROUP BY 1) x USING (chunk_id)
 LEFT JOIN (SELECT chunk_id, count(*) AS n FROM gone GROUP BY 1) g USING (chunk_id)""")
 def apply_repair(t):
-    out = rc.apply_repair(t.chunk_node, weak_edges(t), sanitized(t), suspicious(t).where("label = 'ClinicalAttribute'"), 0.5)
+    out = rc.apply_repair(t.chunk_node, found_edges(t), sanitized(t), suspicious(t).where("label = 'ClinicalAttribute'"), 0.5)
     first = out["added"].groupBy("chunk_id").agg(F.min("edge_id").alias("first_id"))
     return out["status"].join(first, "chunk_id", "left").select("chunk_id", "added", "dropped", "status", "first_id")
 

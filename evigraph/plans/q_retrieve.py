@@ -352,11 +352,11 @@ def profile_status_counts(t):
 @query("outer_profile", """
 SELECT d.node_id AS candidate_id, d.name AS candidate_name, contains(d.name, '11')::INT + contains(d.name, '2')::INT AS matched_keywords,
   count(k.feature_id) AS relation_count, count(DISTINCT k.feature_id) AS feature_count
-FROM kg_disease d LEFT JOIN kg_link k ON k.candidate_id = d.node_id AND k.rel = 'HAS_PATHOGEN' AND k.w100 > 95
+FROM kg_disease d LEFT JOIN kg_link k ON k.candidate_id = d.node_id
 WHERE contains(d.name, '11') OR contains(d.name, '2') GROUP BY 1, 2, 3""")
 def outer_profile(t):
     return r.outer_profile(candidates(t).select("candidate_id", "candidate_name"),
-                           links(t).where("rel = 'HAS_PATHOGEN' AND w100 > 95"), ["11", "2"])
+                           links(t), ["11", "2"])
 
 
 @query("cold_start_topk", """
@@ -388,11 +388,11 @@ def question_rank(t):
 WITH ln AS (SELECT session_id, p_name AS name, max(CAST(50 + p_size AS BIGINT)) AS sim100 FROM obs JOIN part ON p_partkey = pk WHERE polarity = 'present' GROUP BY 1, 2),
 gate AS (SELECT session_id FROM ln GROUP BY 1 HAVING max(sim100) >= 72),
 m AS (SELECT DISTINCT o.session_id, k.candidate_id, e.name FROM obs o JOIN kg_evidence e ON e.node_id = o.node_id
-      JOIN kg_link k ON k.feature_id = o.node_id WHERE o.polarity = 'present' AND k.w100 > 90)
+      JOIN kg_link k ON k.feature_id = o.node_id WHERE o.polarity = 'present')
 SELECT m.session_id, m.candidate_id, sum(sim100) / count(*) / 100 AS link_similarity FROM m JOIN ln ON ln.session_id = m.session_id AND ln.name = m.name
 WHERE m.session_id IN (SELECT session_id FROM gate) GROUP BY 1, 2""")
 def link_confidence(t):
     o = t.obs.where("polarity = 'present'").join(t.kg_evidence.select("node_id", "name", "w100"), "node_id")
     sims = o.select("session_id", "name", (F.floor(F.col("w100") / 2) + 50).alias("sim100"))
-    matched = o.select("session_id", "name", F.col("node_id").alias("feature_id")).join(links(t).where("w100 > 90"), "feature_id")
+    matched = o.select("session_id", "name", F.col("node_id").alias("feature_id")).join(links(t), "feature_id")
     return r.link_confidence(sims, matched)

@@ -135,10 +135,10 @@ class Tables:
 
     @cached_property
     def kg_edge(self) -> DataFrame:
-        """Directed edges; risk factors point at the disease, the rest away from it."""
-        ev = self.kg_evidence.select(F.col("node_id").alias("evidence_id"), "rel", "label")
+        """Directed edges; risk factors and every second size point at the disease, the rest away from it."""
+        ev = self.kg_evidence.select(F.col("node_id").alias("evidence_id"), "rel", "label", F.col("w100").alias("_size"))
         e = self.kg_pair.join(ev, "evidence_id")
-        into = F.col("rel") == "RISK_FACTOR_FOR"
+        into = (F.col("rel") == "RISK_FACTOR_FOR") | (F.col("_size") % 4 == 0)
         return e.select(
             F.when(into, F.col("evidence_id")).otherwise(F.col("disease_id")).alias("src"),
             F.when(into, F.col("disease_id")).otherwise(F.col("evidence_id")).alias("dst"),
@@ -253,7 +253,7 @@ class Tables:
             F.concat_ws("_", F.lit("e"), "pos", "pk", "sk").alias("edge_id"),
             F.concat(F.lit("S"), F.col("sk").cast("string")).alias("source_id"),
             F.concat(F.lit("P"), F.col("pk").cast("string")).alias("target_id"),
-            F.col("edge_w100").alias("w100"), "detail")
+            F.col("edge_w100").alias("w100"), "detail", "linestatus")
 
     @cached_property
     def alias_file(self) -> DataFrame:
@@ -339,10 +339,10 @@ SELECT 'S' || l_suppkey AS disease_id, 'P' || l_partkey AS evidence_id,
        max(CAST(round(l_discount * 1000) AS BIGINT)) AS w100, count(*) AS n_occ
 FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "kg_edge": """
-SELECT CASE WHEN rel = 'RISK_FACTOR_FOR' THEN evidence_id ELSE disease_id END AS src,
-       CASE WHEN rel = 'RISK_FACTOR_FOR' THEN disease_id ELSE evidence_id END AS dst,
-       rel, CASE WHEN rel = 'RISK_FACTOR_FOR' THEN label ELSE 'Disease' END AS src_label,
-       CASE WHEN rel = 'RISK_FACTOR_FOR' THEN 'Disease' ELSE label END AS dst_label, p.w100, p.n_occ
+SELECT CASE WHEN rel = 'RISK_FACTOR_FOR' OR e.w100 % 4 = 0 THEN evidence_id ELSE disease_id END AS src,
+       CASE WHEN rel = 'RISK_FACTOR_FOR' OR e.w100 % 4 = 0 THEN disease_id ELSE evidence_id END AS dst,
+       rel, CASE WHEN rel = 'RISK_FACTOR_FOR' OR e.w100 % 4 = 0 THEN label ELSE 'Disease' END AS src_label,
+       CASE WHEN rel = 'RISK_FACTOR_FOR' OR e.w100 % 4 = 0 THEN 'Disease' ELSE label END AS dst_label, p.w100, p.n_occ
 FROM kg_pair p JOIN kg_evidence e ON e.node_id = p.evidence_id""",
     "g_node": """
 SELECT 'merged_node_' || substr(sha1(label || '::' || name), 1, 12) AS node_id, label, name, name AS canonical_name,
@@ -386,7 +386,7 @@ SELECT chunk_id, pos, pk, sk, path, 'S' || sk, 'Disease', 'Supplier#' || lpad(CA
        edge_w100, detail FROM chunk_line WHERE quantity >= 10""",
     "chunk_edge": """
 SELECT chunk_id, pos, pk, sk, path, rel, 'e_' || pos || '_' || pk || '_' || sk AS edge_id,
-       'S' || sk AS source_id, 'P' || pk AS target_id, edge_w100 AS w100, detail FROM chunk_line""",
+       'S' || sk AS source_id, 'P' || pk AS target_id, edge_w100 AS w100, detail, linestatus FROM chunk_line""",
     "alias_file": f"""
 SELECT 1 AS file, label, CASE WHEN split_part(alias, ' ', 1) IN ('red','blue') THEN 'blue' ELSE 'large' END
        || ' ' || split_part(alias, ' ', 2) AS canonical, alias

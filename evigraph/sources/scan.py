@@ -109,6 +109,26 @@ def requirement_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_id, by_name
 
 
+# A report and a requirement entry; fields that are not listed are ignored.
+AUDIT_REPORT = (
+    "disease struct<disease_id:string, disease_name:string, disease_label:string>, evidence array<struct<target_node_id:string, target_name:string, "
+    "target_label:string, group:string, relation_type:string, priority:double, relation_specificity:double, relation_weight:double, "
+    "acquisition_mode:string, evidence_cost:string>>")
+REQUIREMENT = "disease_id string, disease_name string, required_family_groups array<array<string>>"
+
+
+def scan_audit_reports(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Evidence items of audit reports, one report per line (or per file): ``disease_id`` and the item's fields."""
+    df = spark.read.schema(AUDIT_REPORT).option("multiLine", multi_line).json(path)
+    return df.select("disease.disease_id", F.inline("evidence"))
+
+
+def scan_requirements(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Required family groups by id and by normalised name, from entries in one or many files; the smallest id wins."""
+    df = spark.read.schema(REQUIREMENT).option("multiLine", multi_line).json(path)
+    return requirement_index(df.select("disease_id", "disease_name", F.col("required_family_groups").alias("required"), F.col("disease_id").alias("ord")))
+
+
 def scan_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Cases (JSON lines or one JSON array) and their slots as rows."""
     df = spark.read.schema(CASE).option("multiLine", path.endswith(".json")).json(path)
