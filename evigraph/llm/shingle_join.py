@@ -381,7 +381,8 @@ def candidate_blocks(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, D
     shared = stored(dealt.mapInArrow(_shared, "id long, shared long"), "shared").groupBy("id").agg(F.sum("shared").alias("shared"))
     able = classes.withColumnRenamed("short", "id").join(shared, "id").filter(F.col("shared") >= _least_slack(F.col("n")))
     able = stored(able.select("node", "class"), "able")
-    whole = texts.join(able, "node").select("node", "class", "text").mapInArrow(_whole, WHOLE_SCHEMA)
+    # Merged at every size: whether the nodes happen to be few enough to broadcast must not change the plan.
+    whole = texts.join(able.hint("merge"), "node").select("node", "class", "text").mapInArrow(_whole, WHOLE_SCHEMA)
     whole = stored(whole, "whole")
     cut = whole.select("batch", "hashes").mapInArrow(_by_range(ranges), "range int, batch long, hashes binary").repartition(ranges, "range")
     often = cut.mapInArrow(_frequencies, "batch long, range int, often binary")
