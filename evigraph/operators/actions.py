@@ -377,50 +377,43 @@ PATHOGEN_FAMILIES = (
 GENERAL_WORDS = ("感染", "病", "阳性")
 
 
-def scope_gap(candidate: Column, evidence: Column, facets=SCOPE_RULES, general: Sequence[str] = GENERAL_WORDS) -> dict[str, Column]:
-    """Scope and reason when the evidence does not cover the critical facets of a candidate's name, else NULL.
-
-    Both are normalised names.  Evidence with facets of its own then speaks for another
-    scope; evidence more specific than a general candidate counts for the family only.
-    """
-    wanted = F.array(*[F.lit(x) for x in CRITICAL_FACETS])
-    crit, seen = F.array_intersect(scope_tokens(candidate, facets), wanted), scope_tokens(evidence, facets)
-    missing = F.array_sort(F.filter(crit, lambda t: ~facet_covered(t, seen)))
-    specific = (F.size(F.array_intersect(seen, wanted)) > 0) | F.array_contains(seen, F.lit("mycobacteria"))
-    lacks, broad = F.size(missing) > 0, (F.size(crit) == 0) & contains_any(candidate, general) & specific
-    return {"scope": F.when(lacks & specific, "competing_scope").when(lacks | broad, "family_scope"),
-            "reason": F.when(lacks, F.concat(F.lit("candidate_scope_not_observed:"), F.array_join(missing, ","))).when(
-                broad, "observed_evidence_more_specific_than_candidate")}
-
-
-def anchor_scope(rel: Column, label: Column, role: Column, candidate: Column, evidence: Column, tag_array: Column, background: Column,
-                 facets=SCOPE_RULES, sites: Sequence[str] = SITE_WORDS, pathogens=PATHOGEN_FAMILIES, general: Sequence[str] = GENERAL_WORDS) -> dict[str, Column]:
-    """First matching scope of one piece of evidence for a candidate, and its reason.
-
-    ``candidate`` and ``evidence`` are names, ``background`` flags evidence of common
-    conditions; the word tables are parameters.
+def anchor_scope(df: DataFrame, candidate: str, evidence: str, facets=SCOPE_RULES, sites: Sequence[str] = SITE_WORDS, pathogens=PATHOGEN_FAMILIES,
+                 general: Sequence[str] = GENERAL_WORDS) -> DataFrame:
+    """``df`` with the first matching ``scope`` of its evidence for its candidate, and the ``reason``.
+
+    ``candidate`` and ``evidence`` are name columns; ``rel, label, role, tags`` and ``bg`` (evidence
+    of common conditions) are read; the word tables are parameters.  A candidate whose
+    critical facets the evidence lacks gets another scope: competing if the evidence has
+    facets of its own.  Steps are columns, so that no expression is repeated in the plan.
     """
-    cand, ev = match_text(candidate, drop=" -_/+"), match_text(evidence, drop=" -_/+")
-    some = (F.length(cand) > 0) & (F.length(ev) > 0)
-    within = some & (F.contains(cand, ev) | F.contains(ev, cand))
-    site_c, site_e = contains_any(cand, sites), contains_any(ev, sites)
-    families = tags(ev, pathogens)
-    named = F.exists(families, lambda f: F.contains(cand, f))
-    is_pathogen = (label == "Pathogen") | (rel == "HAS_PATHOGEN") | F.array_contains(tag_array, F.lit("type:pathogen"))
-    specific = F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in SPECIFIC_TAGS]))
-    gap = scope_gap(cand, ev, facets, general)
+    c = F.col
+    lit = lambda names: F.array(*[F.lit(x) for x in names])
+    out = df.withColumns({"_cand": match_text(c(candidate), drop=" -_/+"), "_ev": match_text(c(evidence), drop=" -_/+")})
+    out = out.withColumns({
+        "_crit": F.array_intersect(scope_tokens(c("_cand"), facets), lit(CRITICAL_FACETS)), "_seen": scope_tokens(c("_ev"), facets), "_fam": tags(c("_ev"), pathogens),
+        "_sc": contains_any(c("_cand"), sites), "_se": contains_any(c("_ev"), sites), "_wide": contains_any(c("_cand"), general),
+        "_some": (F.length("_cand") > 0) & (F.length("_ev") > 0), "_holds": F.contains("_cand", c("_ev")), "_held": F.contains("_ev", c("_cand"))})
+    out = out.withColumns({
+        "_miss": F.array_sort(F.filter("_crit", lambda t: ~facet_covered(t, c("_seen")))),
+        "_own": (F.size(F.array_intersect("_seen", lit(CRITICAL_FACETS))) > 0) | F.array_contains("_seen", F.lit("mycobacteria")),
+        "_named": F.exists("_fam", lambda f: F.contains(c("_cand"), f)), "_spec": F.arrays_overlap("tags", lit(SPECIFIC_TAGS)),
+        "_path": (c("label") == "Pathogen") | (c("rel") == "HAS_PATHOGEN") | F.array_contains("tags", F.lit("type:pathogen"))})
+    lacks, broad = F.size("_miss") > 0, (F.size("_crit") == 0) & c("_wide") & c("_own")
+    exam = c("label").isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute")
     reason = (
-        F.when(role == "background_context", "role_background_context").when(rel == SELF_RELATION, "disease_self_match")
-        .when(background, "background_keyword_or_family").when(gap["reason"].isNotNull(), gap["reason"])
-        .when(is_pathogen & rel.isin("RISK_FACTOR_FOR", "APPLIES_TO", "COMPLICATED_BY"), "pathogen_as_background_or_comorbidity")
-        .when(is_pathogen & some & ~site_c, "pathogen_exact_match").when(is_pathogen & some & (F.contains(cand, ev) | named), "pathogen_family_match")
-        .when(is_pathogen, "pathogen_not_named_in_candidate").when(within, "normalized_name_match")
-        .when(rel.isin(*DEFINITION_RELATIONS), "definition_relation_direct")
-        .when(label.isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute") & site_c & site_e, "site_specific_detail_match")
-        .when(label.isin("LabFinding", "LabTest", "ImagingFinding", "ClinicalAttribute") & (specific | rel.isin(*ANCHOR_RELATIONS)), "specific_family_match")
-        .when((label == "ClinicalFinding") | (rel == "MANIFESTS_AS"), "phenotype_support").when(specific, "specific_family_tag_match")
+        F.when(c("role") == "background_context", "role_background_context").when(c("rel") == SELF_RELATION, "disease_self_match")
+        .when(c("bg"), "background_keyword_or_family").when(lacks, F.concat(F.lit("candidate_scope_not_observed:"), F.array_join("_miss", ",")))
+        .when(broad, "observed_evidence_more_specific_than_candidate")
+        .when(c("_path") & c("rel").isin("RISK_FACTOR_FOR", "APPLIES_TO", "COMPLICATED_BY"), "pathogen_as_background_or_comorbidity")
+        .when(c("_path") & c("_some") & ~c("_sc"), "pathogen_exact_match").when(c("_path") & c("_some") & (c("_holds") | c("_named")), "pathogen_family_match")
+        .when(c("_path"), "pathogen_not_named_in_candidate").when(c("_some") & (c("_holds") | c("_held")), "normalized_name_match")
+        .when(c("rel").isin(*DEFINITION_RELATIONS), "definition_relation_direct").when(exam & c("_sc") & c("_se"), "site_specific_detail_match")
+        .when(exam & (c("_spec") | c("rel").isin(*ANCHOR_RELATIONS)), "specific_family_match")
+        .when((c("label") == "ClinicalFinding") | (c("rel") == "MANIFESTS_AS"), "phenotype_support").when(c("_spec"), "specific_family_tag_match")
         .otherwise("fallback_background"))
-    return {"reason": reason, "gap": gap["scope"]}
+    out = out.withColumns({"reason": reason, "_gap": F.when(lacks & c("_own"), "competing_scope").otherwise("family_scope")})
+    return out.withColumn("scope", scope_of(c("reason"), c("_gap"))).drop(
+        "_cand", "_ev", "_crit", "_seen", "_fam", "_sc", "_se", "_wide", "_some", "_holds", "_held", "_miss", "_own", "_named", "_spec", "_path", "_gap")
 
 
 def scope_of(reason: Column, gap: Column) -> Column:

@@ -78,9 +78,12 @@ def clean_documents(docs: DataFrame) -> DataFrame:
             n = _count("_l", lambda x: F.when(touch(x) & (F.regexp_replace(x["s"], pattern, repl) != x["s"]), 1).otherwise(0))
         else:
             n = _count("_l", lambda x: F.when(touch(x), F.regexp_count(x["s"], F.lit(pattern))).otherwise(0))
-        df = df.withColumn(stat, n)
-        return df.withColumn("_l", F.transform("_l", lambda x: F.struct(
-            x["h"].alias("h"), F.when(touch(x), F.regexp_replace(x["s"], pattern, repl)).otherwise(x["s"]).alias("s"))))
+        done = F.transform("_l", lambda x: F.struct(
+            x["h"].alias("h"), F.when(touch(x), F.regexp_replace(x["s"], pattern, repl)).otherwise(x["s"]).alias("s")))
+        # Most texts hold nothing for most rules: one search then saves counting and replacing.
+        df = df.withColumn("_g", F.exists("_l", lambda x: x["s"].rlike(pattern)))
+        df = df.withColumns({stat: F.when(F.col("_g"), n).otherwise(F.lit(0).cast("bigint")), "_r": F.when(F.col("_g"), done).otherwise(F.col("_l"))})
+        return df.withColumn("_l", F.col("_r")).drop("_g", "_r")
 
     for pattern, repl, stat in SYMBOLS:
         df = rule(df, pattern, repl, stat)

@@ -300,8 +300,7 @@ def anchored_matches(t):
     m = m.join(deg, ["session_id", "node_id"]).withColumn("tags", k.evidence_tags(c("label"), F.coalesce("grp", F.lit("")), c("ename"), TAG_RULES))
     m = m.withColumn("bg", F.array_contains("tags", F.lit("immune_status")) & (c("deg") >= 2))
     m = m.withColumn("role", k.anchor_role(c("rel"), c("label"), c("tags"), c("bg")))
-    d = ac.anchor_scope(c("rel"), c("label"), c("role"), c("candidate_name"), c("ename"), c("tags"), c("bg"), FACETS, SITES, PATHOGENS, GENERAL)
-    m = m.withColumns(d).withColumn("scope", ac.scope_of(c("reason"), c("gap")))
+    m = ac.anchor_scope(m, "candidate_name", "ename", FACETS, SITES, PATHOGENS, GENERAL)
     return m.withColumn("score", k.anchor_strength(c("polarity"), c("resolution"), c("rel"), c("label"), c("deg"), c("scope")))
 
 
@@ -318,12 +317,15 @@ def scoped_summary(t):
     c = F.col
     m = anchored_matches(t)
     real = (c("polarity") == "present") & c("resolution").isin("clear", "hedged")
-    facets = F.concat(k.scope_tokens(c("ename"), FACETS), k.scope_tokens(c("oname"), FACETS))
+    m = m.withColumns({"_fe": k.scope_tokens(c("ename"), FACETS), "_fo": k.scope_tokens(c("oname"), FACETS)})
+    facets = F.concat("_fe", "_fo")
     seen = m.groupBy("session_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list(F.when(real, facets)))).alias("seen"))
     pool = top3(t).select("session_id", "candidate_id", "candidate_name", "score")
     s = k.anchor_summary(m).join(seen, ["session_id", "candidate_id"]).join(pool, ["session_id", "candidate_id"])
-    name = match_text(c("candidate_name"), drop=" -_/+")
-    p = k.scope_profile(k.scope_tokens(name, FACETS), c("seen"), contains_any(name, GENERAL), c("exact") + c("family") + c("provisional") + c("phenotype") > 0)
+    s = s.withColumn("_name", match_text(c("candidate_name"), drop=" -_/+"))
+    s = s.withColumns({"_facets": k.scope_tokens(c("_name"), FACETS), "_wide": contains_any(c("_name"), GENERAL),
+                       "_any": c("exact") + c("family") + c("provisional") + c("phenotype") > 0})
+    p = k.scope_profile(c("_facets"), c("seen"), c("_wide"), c("_any"))
     s = s.withColumns({"missing": p["missing_facets"], "specificity": p["scope_specificity"], "generic": p["generic_penalty"], "need": p["requirement_missing"]})
     half = F.floor(c("provisional") * 65 / 100)
     return s.withColumns({"mismatch": c("competing") / 1000000 + c("need"),
@@ -360,9 +362,8 @@ def anchor_scope(t):
     x = links(t).join(t.kg_evidence.select(c("node_id").alias("feature_id"), "label", "grp", "name"), "feature_id").join(
         t.kg_disease.select(c("node_id").alias("candidate_id"), c("name").alias("candidate_name")), "candidate_id")
     x = x.withColumn("tags", k.evidence_tags(c("label"), c("grp"), c("name"), TAG_RULES))
-    x = x.withColumn("role", k.anchor_role(c("rel"), c("label"), c("tags"), F.lit(False)))
-    d = ac.anchor_scope(c("rel"), c("label"), c("role"), c("candidate_name"), c("name"), c("tags"), F.lit(False), FACETS, SITES, PATHOGENS, GENERAL)
-    return x.withColumns(d).groupBy("rel", "reason", ac.scope_of(c("reason"), c("gap")).alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    x = x.withColumns({"bg": F.lit(False), "role": k.anchor_role(c("rel"), c("label"), c("tags"), F.lit(False))})
+    return ac.anchor_scope(x, "candidate_name", "name", FACETS, SITES, PATHOGENS, GENERAL).groupBy("rel", "reason", "scope").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("low_cost_profile", f"""

@@ -100,9 +100,8 @@ def test_payload_match_legs(spark):
 
 def scope(spark, rel, label, candidate, evidence, tags=(), role="x", background=False):
     df = spark.createDataFrame([(rel, label, role, candidate, evidence, list(tags), background)],
-                               "rel string, label string, role string, c string, e string, t array<string>, b boolean")
-    d = ac.anchor_scope(F.col("rel"), F.col("label"), F.col("role"), F.col("c"), F.col("e"), F.col("t"), F.col("b"))
-    r = df.select(d["reason"].alias("reason"), ac.scope_of(d["reason"], d["gap"]).alias("scope")).first()
+                               "rel string, label string, role string, c string, e string, tags array<string>, bg boolean")
+    r = ac.anchor_scope(df, "c", "e").first()
     return r.scope, r.reason
 
 
