@@ -10,6 +10,7 @@ from ..functions.vocab import EVIDENCE_GROUPS, FEEDBACK_MULTIPLIER
 from ..operators import actions as ac
 from ..operators import rank as k
 from ..operators import retrieve as r
+from ..sources.sinks import written
 from .q_retrieve import SQL_R1, SQL_TOP3, SQL_R2, evidence, features, links, r1, seen, top3
 from .q_replay import SQL_FOCUS, focus
 from .registry import query
@@ -213,10 +214,10 @@ pm0 AS (SELECT session_id, candidate_id, node_id, candidate_id AS payload_id, 'S
 pmx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, candidate_id, node_id ORDER BY s DESC, match100 DESC, payload_id DESC) AS rn FROM pm0) WHERE rn = 1)"""
 
 
-def matches(t):
+def matches(t, pool=None):
     payloads = links(t).select("candidate_id", F.col("feature_id").alias("node_id"), "rel").join(
         t.kg_evidence.select("node_id", "name", "label"), "node_id")
-    return k.payload_match(observed_items(t), top3(t), payloads)
+    return k.payload_match(observed_items(t), top3(t) if pool is None else pool, payloads)
 
 
 @query("payload_match", f"WITH {SQL_MATCH} SELECT session_id, candidate_id, node_id, payload_id, rel, match100 FROM pmx")
@@ -293,15 +294,16 @@ sp AS (SELECT *, strong / 1000000 * 2.4::DOUBLE + definition / 1000000 * 2.4::DO
 
 def anchored_matches(t):
     c = F.col
-    m = matches(t).join(observed_items(t).select("session_id", "node_id", c("name").alias("oname"), "polarity", "resolution"), ["session_id", "node_id"])
-    m = m.join(top3(t).select("session_id", "candidate_id", "candidate_name"), ["session_id", "candidate_id"])
+    pool = written(top3(t).select("session_id", "candidate_id", "candidate_name", "score"), "pool")
+    m = written(matches(t, pool), "matches").join(observed_items(t).select("session_id", "node_id", c("name").alias("oname"), "polarity", "resolution"), ["session_id", "node_id"])
+    m = m.join(pool, ["session_id", "candidate_id"]).withColumnRenamed("score", "base_score")
     m = m.join(t.kg_node.select(c("node_id").alias("payload_id"), c("name").alias("ename"), "grp", "mode", "cost"), "payload_id")
     deg = m.groupBy("session_id", "node_id").agg(F.count_distinct("candidate_id").alias("deg"))
     m = m.join(deg, ["session_id", "node_id"]).withColumn("tags", k.evidence_tags(c("label"), F.coalesce("grp", F.lit("")), c("ename"), TAG_RULES))
     m = m.withColumn("bg", F.array_contains("tags", F.lit("immune_status")) & (c("deg") >= 2))
     m = m.withColumn("role", k.anchor_role(c("rel"), c("label"), c("tags"), c("bg")))
     m = ac.anchor_scope(m, "candidate_name", "ename", FACETS, SITES, PATHOGENS, GENERAL)
-    return m.withColumn("score", k.anchor_strength(c("polarity"), c("resolution"), c("rel"), c("label"), c("deg"), c("scope")))
+    return written(m.withColumn("score", k.anchor_strength(c("polarity"), c("resolution"), c("rel"), c("label"), c("deg"), c("scope"))), "anchors")
 
 
 SUMMARY = ("strong", "definition", "family", "provisional", "phenotype", "background", "negative", "exact", "background_attractor", "observed", "role_specificity", "anchor_tier")
@@ -320,7 +322,7 @@ def scoped_summary(t):
     m = m.withColumns({"_fe": k.scope_tokens(c("ename"), FACETS), "_fo": k.scope_tokens(c("oname"), FACETS)})
     facets = F.concat("_fe", "_fo")
     seen = m.groupBy("session_id", "candidate_id").agg(F.array_distinct(F.flatten(F.collect_list(F.when(real, facets)))).alias("seen"))
-    pool = top3(t).select("session_id", "candidate_id", "candidate_name", "score")
+    pool = m.select("session_id", "candidate_id", "candidate_name", c("base_score").alias("score")).distinct()
     s = k.anchor_summary(m).join(seen, ["session_id", "candidate_id"]).join(pool, ["session_id", "candidate_id"])
     s = s.withColumn("_name", match_text(c("candidate_name"), drop=" -_/+"))
     s = s.withColumns({"_facets": k.scope_tokens(c("_name"), FACETS), "_wide": contains_any(c("_name"), GENERAL),
