@@ -49,7 +49,8 @@ def test_chunks_follow_content(spark):
     store = exact_dedup.chunk_store(exact_dedup.recipes(docs_frame(spark, [(1, LONG), (2, LONG), (3, "x")])))
     rows = store.collect()
     assert sum(r.n_bytes * r.uses for r in rows) == 2 * len(raw) + 1
-    assert Counter(r.uses for r in rows) == {2: len(set(pieces(raw))), 1: 1}
+    # the text repeats itself, so a chunk may be used several times in each of the two documents
+    assert len(rows) == len(pieces(raw)) + 1 and sorted(r.uses % 2 for r in rows) == [0] * len(pieces(raw)) + [1]
 
 
 NEAR = [*EDGE, *[(100 + i, " ".join(f"v{j}" if j % 97 != i else f"u{i}" for j in range(300))) for i in range(40)],
