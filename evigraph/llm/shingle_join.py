@@ -113,15 +113,16 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- first filter: shared hashes of the beginnings
 
-BEGIN_SCHEMA = "range int, ids binary, owner binary, hashes binary, several binary"
+BEGIN_SCHEMA = "range int, ids binary, owner binary, hashes binary, several binary, certain binary, times binary"
 
 
 def _beginnings(ranges: int):
     """Beginnings of the distinct sets of a slice, by range of the hash; every hash goes on once.
 
     ``ids`` of the sets (their digests' first half), and for each hash its ``owner`` among
-    them and whether ``several`` sets of the slice have it.  The sets beside the owner are
-    sent as ids without hashes: they share it for certain.
+    them and whether ``several`` sets of the slice have it.  The sets beside the owner share
+    it for certain: they are counted here and sent as ``certain`` ids and how many ``times``,
+    to the range of the id, so that near copies are dealt out like everything else.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=8 << 20):
@@ -136,19 +137,22 @@ def _beginnings(ranges: int):
             flat, owner = flat[order], owner[order]
             new = np.r_[True, flat[1:] != flat[:-1]]
             several = np.r_[~new[1:], False][new]
-            rows = [(0, ids[owner[~new]].tobytes(), b"", b"", b"")] if (~new).any() else []
+            # Sorted as unsigned numbers, so the ids of a range are side by side.
+            certain, times = np.unique(ids[owner[~new]].view(np.uint64), return_counts=True)
             flat, owner = flat[new], owner[new]
-            part = _range_of(flat, ranges)
-            ends = np.searchsorted(part, np.arange(ranges + 1))
+            ends = np.searchsorted(_range_of(flat, ranges), np.arange(ranges + 1))
+            stops = np.searchsorted(_range_of(certain, ranges), np.arange(ranges + 1))
+            rows = []
             for r in range(ranges):
-                cut = slice(ends[r], ends[r + 1])
-                if ends[r] < ends[r + 1]:
+                cut, sure = slice(ends[r], ends[r + 1]), slice(stops[r], stops[r + 1])
+                if ends[r] < ends[r + 1] or stops[r] < stops[r + 1]:
                     held, place = np.unique(owner[cut], return_inverse=True)
-                    rows.append((r, ids[held].tobytes(), place.astype("<u4").tobytes(), flat[cut].tobytes(), several[cut].tobytes()))
+                    rows.append((r, ids[held].tobytes(), place.astype("<u4").tobytes(), flat[cut].tobytes(), several[cut].tobytes(),
+                                 certain[sure].tobytes(), times[sure].astype("<u4").tobytes()))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                names=["range", "ids", "owner", "hashes", "several"])
+                names=["range", "ids", "owner", "hashes", "several", "certain", "times"])
     return run
 
 
@@ -156,31 +160,35 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def _rows(batch: pa.RecordBatch, *columns: str):
+    return zip(*[batch.column(c).to_pylist() for c in columns])
+
+
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, shared`` over the ranges of one task: how many of a set's hashes other sets have too."""
-    ids, hashes, several, certain = [], [], [], []
+    ids, hashes, several, found, times = [], [], [], [], []
     for batch in batches:
-        for i, o, h, s in zip(*[batch.column(c).to_pylist() for c in ("ids", "owner", "hashes", "several")]):
-            own = np.frombuffer(i, np.int64)
-            if not h:
-                certain.append(own)
-                continue
-            ids.append(own[np.frombuffer(o, "<u4")])
+        for i, o, h, s, c, t in _rows(batch, "ids", "owner", "hashes", "several", "certain", "times"):
+            ids.append(np.frombuffer(i, np.int64)[np.frombuffer(o, "<u4")])
             hashes.append(np.frombuffer(h, np.uint64))
             several.append(np.frombuffer(s, bool))
-    found = certain
-    if ids:
-        i, h, s = np.concatenate(ids), np.concatenate(hashes), np.concatenate(several)
+            found.append(np.frombuffer(c, np.int64))
+            times.append(np.frombuffer(t, "<u4"))
+    if not ids:
+        return
+    i, h, s = np.concatenate(ids), np.concatenate(hashes), np.concatenate(several)
+    if len(h):
         order = np.lexsort((i, h))
         i, h, s = i[order], h[order], s[order]
         head = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])]  # one set, sent by two batches, is one
         s = np.logical_or.reduceat(s, np.flatnonzero(head))
         i, h = i[head], h[head]
         same = h[1:] == h[:-1]
-        found = [*certain, i[np.r_[False, same] | np.r_[same, False] | s]]
-    if found:
-        unique, count = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(count)], names=["id", "shared"])
+        found.append(i[np.r_[False, same] | np.r_[same, False] | s])
+        times.append(np.ones(len(found[-1]), "<u4"))
+    unique, place = np.unique(np.concatenate(found), return_inverse=True)
+    count = np.bincount(place, np.concatenate(times), len(unique)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(count)], names=["id", "shared"])
 
 
 # -- second filter: numbers of sets of all hashes
@@ -205,10 +213,6 @@ def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch_id += 1
 
 
-def _rows(batch: pa.RecordBatch, *columns: str):
-    return zip(*[batch.column(c).to_pylist() for c in columns])
-
-
 def _by_range(ranges: int):
     """``range, batch, hashes``: the hashes of a slice that lie in a range, in the order of its sets."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

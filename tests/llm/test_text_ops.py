@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -74,6 +75,25 @@ def test_near_keep_and_empty(spark):
     assert shingle_join.similar_groups(docs.limit(0)).collect() == []
 
 
+def test_beginnings_of_near_copies_are_dealt_out():
+    """Near copies in one slice: no range gets more than its share, and the counts are those of counting."""
+    texts = [" ".join(f"v{j}" if j % 97 != i else f"u{i}" for j in range(300)) for i in range(90)]
+    ranges = 8
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = [r for b in shingle_join._beginnings(ranges)([batch]) for r in b.to_pylist()]
+    sent = {k: sum(len(v) for r in rows if r["range"] == k for v in r.values() if isinstance(v, bytes)) for k in range(ranges)}
+    assert max(sent.values()) < 3 * sum(sent.values()) / ranges
+    schema = pa.schema([("range", pa.int32()), *[(c, pa.binary()) for c in rows[0] if c != "range"]])
+    got = Counter()
+    for k in range(ranges):
+        for b in shingle_join._shared([pa.RecordBatch.from_pylist([r for r in rows if r["range"] == k], schema)]):
+            got.update(dict(zip(b.column("id").to_pylist(), b.column("shared").to_pylist())))
+    sets = shingle_join.shingle_sets(pa.array(texts))
+    begin = {shingle_join._short(shingle_join._digest(s)): s[: len(s) - shingle_join.needed(len(s)) + shingle_join.slack(len(s))].tolist() for s in sets}
+    often = Counter(h for b in begin.values() for h in b)
+    assert got == Counter({i: n for i, b in begin.items() if (n := sum(often[h] > 1 for h in b))})
+
+
 def test_divide_skip_finds_what_counting_finds():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2000, size=(12, 120))
