@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 5).
 
-Each source is shuffled by the md5 of its ids and read as one long stream of words, cut
-into blocks of ``BLOCK`` words.  The mix is a row of slots, one block each.  Slot ``i`` has
+Each source is shuffled by the md5 of its ids and read as one long stream of words, again
+and again from its start.  The mix is a row of slots of ``BLOCK`` words.  Slot ``i`` has
 the point ``frac(i / golden ratio)``, kept as a 31-bit integer; the point falls into one
 source's stretch of the cumulative targets, so every source's share of any run of slots is
 off by a logarithmic number of slots only.  The slots of a source are ranked, and rank
-``r`` takes block ``r mod blocks``: one pass over the source after another.
+``r`` takes words ``BLOCK r`` to ``BLOCK (r + 1)``, up to the source's target in whole
+words.  What the points leave of a target is taken by a closing slot, so every source,
+however small, gives its target.
 
 Everything is DataFrame work.  Positions (of documents in a stream, of slots in a source)
 are prefix sums in two levels: per bucket first, then a window inside the bucket, so a
@@ -86,22 +88,12 @@ def _positions(sized: DataFrame, buckets: int) -> DataFrame:
     return joined.select("r.row_key", "r.source", "r.size", (F.col("_base") + F.col("_in")).alias("start"))
 
 
-def pieces(sized: DataFrame, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
-    """Which words of which row lie in which block: ``source, block, row_key, skip, words``."""
-    at = _positions(sized, buckets)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    at = at.withColumn("block", F.explode(F.sequence(first, last)))
-    begin = F.greatest("start", F.col("block") * block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return at.select("source", "block", "row_key", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
-
-
-def schedule(spark, shares: DataFrame, block: int = BLOCK, run: int = RUN, most: int = MOST) -> DataFrame:
-    """``slot, source, pass, block`` of the mix, in slot order by ``slot``."""
+def schedule(spark, shares: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """``slot, source, skip, words`` of the mix: the words that a slot takes of its source's repeated stream."""
     total = F.sum("target").over(Window.partitionBy())
     upto = Window.orderBy(F.col("source").asc_nulls_last())
     stretch = shares.filter("target > 0").select(
-        "source", F.ceil(F.col("source_size") / block).alias("blocks"),
+        "source", F.round("target").cast("long").alias("aim"),
         F.floor(F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / total * POINTS).alias("low"),
         F.floor(F.sum("target").over(upto) / total * POINTS).alias("high"))
     # One row per run of slots, made from the one-row total, then one row per slot.
@@ -122,17 +114,25 @@ def schedule(spark, shares: DataFrame, block: int = BLOCK, run: int = RUN, most:
     inside = Window.partitionBy("source", "run").orderBy("slot")
     ranked = placed.withColumn("_in", F.row_number().over(inside) - 1)
     ranked = ranked.alias("p").join(base.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.run") == F.col("b.run")))
-    rank = F.col("_base") + F.col("_in")
-    out = ranked.select("slot", "p.source", F.floor(rank / F.col("blocks")).alias("pass"), F.pmod(rank, F.col("blocks")).alias("block"))
-    return out.filter(F.col("pass") < most)
+    skip = (F.col("_base") + F.col("_in")) * block
+    out = ranked.select("slot", "p.source", skip.alias("skip"), F.least(F.lit(block), F.col("aim") - skip).alias("words")).filter("words > 0")
+    # A closing slot for what the points leave of a target; a row per source.
+    held = stretch.alias("s").join(counts.groupBy("source").agg(F.sum("_n").alias("n")).alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
+    skip = F.coalesce("n", F.lit(0)) * block
+    rest = held.select("s.source", skip.alias("skip"), (F.col("aim") - skip).alias("words")).filter("words > 0")
+    rest = rest.crossJoin(F.broadcast(words.select(count.alias("n"))))  # one row
+    after = F.col("n") + F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    return out.unionByName(rest.select(after.cast("long").alias("slot"), "source", "skip", "words"))
 
 
 def drawn(sized: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
     """``row_key, doc_id, source, size, copies, taken``: words taken from all rows of one key together."""
-    uses = schedule(sized.sparkSession, shares, block).groupBy("source", "block").agg(F.count("*").alias("uses"))
-    cut = pieces(sized, block)
-    both = cut.alias("c").join(uses.alias("u"), F.col("c.source").eqNullSafe(F.col("u.source")) & (F.col("c.block") == F.col("u.block")))
-    taken = both.groupBy("c.row_key").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    words = schedule(sized.sparkSession, shares, block).groupBy("source").agg(F.sum("words").alias("words"))
+    words = words.alias("w").join(shares.alias("s"), F.col("w.source").eqNullSafe(F.col("s.source"))).select(
+        "s.source", F.floor(F.col("words") / F.col("source_size")).alias("passes"), F.pmod("words", "source_size").alias("rest"))
+    at = _positions(sized, BUCKETS).alias("r").join(F.broadcast(words).alias("w"), F.col("r.source").eqNullSafe(F.col("w.source")))  # a row per source
+    part = F.greatest(F.lit(0), F.least(F.col("rest") - F.col("start"), F.col("size")))
+    taken = at.groupBy("r.row_key").agg(F.sum(F.col("passes") * F.col("size") + part).alias("taken"))
     once = sized.groupBy("row_key", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
     return once.join(taken, "row_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 

@@ -148,6 +148,26 @@ def test_mix_edges(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_small_sources_give_their_target(spark):
+    """Sources of less than a block, or of a block and a bit, beside a large one; blocks as in production."""
+    sizes = {"b": 20, "c": 40, "d": 100, "e": 300, None: 35, "a": 50000}
+    rows = [(1000 * k + i, s, "w " * 5) for k, (s, n) in enumerate(sizes.items()) for i in range(n // 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert len({r.source_size for r in got}) == len(sizes)
+    for size in sizes.values():
+        target = {r.target for r in got if r.source_size == size}.pop()
+        assert abs(sum(r.taken for r in got if r.source_size == size) - target) <= 1
+    shares = mixing.targets(mixing.sizes(docs))
+    slots = mixing.schedule(spark, shares).collect()
+    assert len({r.slot for r in slots}) == len(slots)
+    assert sum(r.words for r in slots) == sum(round(r.target) for r in shares.collect())
+    words_out = Counter()
+    for r in mixing.mixed(docs).collect():
+        words_out[r.source] += len(words(r.text))
+    assert words_out[None] == 105 and words_out["b"] == 60
+
+
 def test_mixed_rows(spark):
     rows = [(1000 + i, f"a{i} " * (1 + i % 50)) for i in range(200)]
     docs = docs_frame(spark, rows)
