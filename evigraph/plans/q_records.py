@@ -247,10 +247,15 @@ def apply_repair(t):
 
 # -- sources and sinks ----------------------------------------------------------------------------------------
 
+# Documents in a text file of the corpus.
+FILE_DOCS = 500
+
+
 @query("scan_corpus", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def scan_corpus(t):
     folder = sinks.scratch_folder(t.spark, "corpus")
-    t.raw("documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
+    # Many bounded files per source, written by every task that reads documents: a file comes back as one row.
+    t.raw("documents").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", FILE_DOCS).text(folder)
     d = scan.scan_corpus(t.spark, folder, "*.txt")
     return d.groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("source")).agg(F.sum(F.length("text")).alias("chars"))
 
