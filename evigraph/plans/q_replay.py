@@ -367,7 +367,7 @@ SQL_TURNM = f"""{n_('verifier_called')} AS verifier_called_count,
 def focus_cases(t):
     """One row per case that has turns: answer, truth, accept, timeline, final turn."""
     res = results(t)
-    hit = rp.name_match(res.where("answer <> ''").select("case_id", F.col("answer").alias("name")), truths(t), None)
+    hit = rp.name_match(res.where("answer <> ''").select("case_id", F.col("answer").alias("name")), truths(t))
     cases = res.join(hit.select("case_id", F.col("family_hit").alias("correct")), "case_id", "left").withColumns({
         "correct": F.coalesce("correct", F.lit(False)), "accepted": rp.is_stop_accepted(F.col("stop_reason"))})
     return cases.select("case_id", "case_type", "status", F.col("answer").alias("final_answer"), "stop_reason", "correct", "accepted")
@@ -379,7 +379,7 @@ def focus_correct(t):
 
     f = focus(t).withColumn("_k", rp.name_key(F.col("answer")))
     tr = truths(t).select("case_id", rp.name_key(F.col("name")).alias("expected"))
-    table = match_table(f.select(F.col("_k").alias("name")), tr.select(F.col("expected").alias("name")), True, None)
+    table = match_table(f.select(F.col("_k").alias("name")), tr.select(F.col("expected").alias("name")), True, rp.FAMILY_RATIO)
     good = f.select("case_id", F.col("_k").alias("name")).distinct().join(table, "name").join(tr, ["case_id", "expected"], "left_semi")
     good = good.select("case_id", F.col("name").alias("_k"), F.lit(True).alias("correct")).distinct()
     return f.join(good, ["case_id", "_k"], "left").withColumn("correct", F.coalesce("correct", F.lit(False))).drop("_k")
