@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_model, lattice, mixing, packing, quality, shingle_join, toxicity, url_filter
+from . import (
+    chat, exact_dedup, hard_negatives, language_model, lattice, mixing, packing, piece_table, quality, secret_scan, shingle_join,
+    toxicity, url_filter,
+)
 
 QUERIES = {f.__name__: f for f in (
     lattice.op1_near_vectors,
@@ -15,6 +18,9 @@ QUERIES = {f.__name__: f for f in (
     packing.op8_packing,
     shingle_join.op9_shingle_join,
     quality.op10_quality,
+    hard_negatives.op11_hard_negatives,
+    secret_scan.op12_secret_scan,
+    piece_table.op13_fill_in_middle,
 )}
 ORACLES = {
     "op1_near_vectors": lattice.SQL,
@@ -22,4 +28,6 @@ ORACLES = {
     "op5_source_mix": mixing.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_shingle_join": shingle_join.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_fill_in_middle": piece_table.SQL,
 }
