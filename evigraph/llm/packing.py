@@ -181,8 +181,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, keep_ids: bool = True) -> Data
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    # One row of two numbers for each task that read the corpus.
-    placed = tokens.join(F.broadcast(bases), "part")
+    # One row of two numbers for each task that read the corpus; stored, so its size is known to the join.
+    placed = tokens.join(stored(bases, "bases"), "part")
     rows = placed.select("doc_id", "n", (F.col("base") + F.col("before")).alias("start"), "ids")
     return rows.mapInArrow(_cut(window, keep_ids), PIECE_SCHEMA)
 
