@@ -1,9 +1,10 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 Toxic documents go; of equal texts the first stays; of near-duplicates the first stays; the
-sources are mixed to their weights (documents are repeated, dropped, or cut once per source);
-what remains is packed into sequences.  Every stage but the last returns the columns of its
-input.  Missing columns fail, NULLs and empty tables are handled as the operators say.
+sources are mixed to their weights (documents are repeated, dropped, or cut at the borders of
+blocks); what remains is packed into sequences, whose token ids are returned piece by piece.
+Every stage but the last returns the columns of its input.  Missing columns fail, NULLs and
+empty tables are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences."""
-    return packing.pack(packing.tokenise(docs), keep_ids=False).drop("ids")
+    """Pieces of full sequences with their token ids."""
+    return packing.pack(packing.tokenise(docs))
 
 
 STAGES = [
