@@ -46,7 +46,7 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run_equals_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] and out.count() > 0
 
 
 def test_edges_go_through(spark, sf):
