@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, match_text
+from ..sources.sinks import written
 from .audit import EXAM_GROUPS, name_key
 from .replay import flag
 from .retrieve import top_k
@@ -312,48 +313,110 @@ def competition_score(t: str = "t", c: str = "c") -> dict[str, Column]:
         "n_target_only": F.size(F.array_except(f"{t}.disc_keys", f"{c}.all_keys"))}
 
 
+def nearest_by_keys(tokens: DataFrame, weights: dict[str, float], rest: float, scored: Callable[[DataFrame], DataFrame], k: int,
+                    order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best partners of every set, without a threshold: ``(best, open)``.
+
+    ``tokens``: distinct ``id, kind, key``.  A pair's score is at most the weighted sum of
+    the Jaccards of its kinds plus ``rest``.  ``scored`` takes ``target_id, competitor_id``
+    and adds ``score`` and what ``order`` names.
+
+    Keys are looked up from the rarest on, twice as many in each round.  A partner not met
+    yet shares only keys that come later, so its Jaccard in a kind is at most the part of
+    the keys still to come; once the ``k``-th score found is above the sum of these bounds
+    the set is done, and its common keys are never looked up.  ``open`` holds the ids whose
+    ``k``-th score does not pass ``rest``: partners that share no key may still enter.
+    """
+    freq = tokens.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("f"))
+    by_rarity = Window.partitionBy("id", "kind").orderBy("f", "key")
+    ranked = written(tokens.join(freq, ["kind", "key"]).select("id", "kind", "key", (F.row_number().over(by_rarity) - 1).alias("pos")), "keys")
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    size = written(ranked.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n")).withColumn("w", weight[F.col("kind")]), "key-counts")
+    active, best, done, upto = size.select("id").distinct(), None, 0, 4
+    while True:
+        probe = ranked.where((F.col("pos") >= done) & (F.col("pos") < upto)).join(active, "id", "left_semi")
+        pairs = probe.withColumnRenamed("id", "target_id").join(ranked.select(F.col("id").alias("competitor_id"), "kind", "key"), ["kind", "key"])
+        found = scored(pairs.where("target_id <> competitor_id").select("target_id", "competitor_id").distinct())
+        found = found if best is None else best.drop("rank").unionByName(found).dropDuplicates(["target_id", "competitor_id"])
+        best = written(top_k(found, ["target_id"], order, k), "nearest")
+        low = best.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_low"))
+        left = F.greatest(F.col("n") - upto, F.lit(0))
+        bound = size.groupBy("id").agg(F.sum(F.col("w") * left / F.col("n")).alias("_bound"), F.max(left).alias("_left")).join(low, "id", "left")
+        short = F.coalesce("_n", F.lit(0)) < k
+        active = written(bound.where((F.col("_left") > 0) & (short | (F.col("_low") <= F.col("_bound") + rest + 1e-9))).select("id"), "active")
+        if active.isEmpty():
+            return best, bound.where(short | (F.col("_low") <= rest + 1e-9)).select("id")
+        done, upto = upto, 2 * upto
+
+
+def nearest_sets(sets: DataFrame, k: int) -> DataFrame:
+    """``a, b, inter, similarity, rank``: the ``k`` most similar other sets of each (Jaccard above 0); ``sets``: distinct ``id, key``.
+
+    Of equal similarity the larger overlap comes first, then the smaller id.
+    """
+    sets = written(sets.select("id", "key"), "sets")  # read in every round
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        out = set_similarity(pairs.toDF("a", "b"), sets)
+        return out.select(F.col("a").alias("target_id"), F.col("b").alias("competitor_id"), F.col("similarity").alias("score"), "inter")
+
+    best, _ = nearest_by_keys(sets.withColumn("kind", F.lit("key")), {"key": 1.0}, 0.0, scored, k,
+                              [F.desc("score"), F.desc("inter"), F.col("competitor_id")])
+    return best.select(F.col("target_id").alias("a"), F.col("competitor_id").alias("b"), "inter", F.col("score").alias("similarity"), "rank")
+
+
 def rank_competitors(profiles: DataFrame, names: DataFrame, k: int = 1) -> DataFrame:
-    """Best ``k`` competitors of each disease among those that share an evidence key with it.
+    """Best ``k`` competitors of each disease among all others that score above 0.
 
-    Not all pairs are built.  A few real competitors per disease, found through its rarest
-    keys, give a score that the best ``k`` reach at least.  With that bound, one of the
-    four key sets must be similar enough that a shared key lies in the disease's rare
-    prefix, so only that prefix is looked up.
+    Competitors are found through shared keys (:func:`nearest_by_keys`).  A disease whose
+    best do not pass what exam groups and relations alone can give also meets diseases it
+    shares no key with.  Those differ only by their groups and relations, a handful of
+    combinations, and by name, so of each combination only the first by name can enter.
     """
-    kinds = ("low_keys", "symptom_keys", "risk_keys", "exam_names")
-    tokens = profiles.select("disease_id", F.explode(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("keys")) for kind in kinds])).alias("x"))
-    tokens = tokens.select(F.concat_ws("|", "disease_id", "x.kind").alias("id"), "disease_id", F.col("x.kind").alias("kind"),
-                           F.explode("x.keys").alias("_k"))
-    tokens = tokens.select("id", "disease_id", "kind", F.concat_ws(":", "kind", "_k").alias("key"))
-    rare = _rarity(tokens.select("id", "key")).withColumn("disease_id", F.substring_index("id", "|", 1))
+    profiles, names = written(profiles, "profiles"), written(names, "names")  # read in every round
+    kinds = {"low_keys": W_LOW, "symptom_keys": W_SYMPTOM, "risk_keys": W_RISK, "exam_names": W_EXAM * 0.5}
+    rest = W_EXAM * 0.5
+
+    def keys(of: Sequence[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("keys")) for kind in of])
+        return profiles.select(F.col("disease_id").alias("id"), F.explode(each).alias("x")).select("id", "x.kind", F.explode("x.keys").alias("key"))
+
     cols = [c for c in profiles.columns if c.endswith(("keys", "names", "groups", "relations"))]
     t = profiles.select(F.col("disease_id").alias("target_id"), *cols).alias("t")
-    c = profiles.select(F.col("disease_id").alias("competitor_id"), *cols).alias("c")
+    c = profiles.select(F.col("disease_id").alias("competitor_id"), *cols).join(
+        names.select(F.col("disease_id").alias("competitor_id"), F.col("disease_name").alias("competitor_name")), "competitor_id").alias("c")
 
     def scored(pairs: DataFrame) -> DataFrame:
         j = pairs.join(t, "target_id").alias("t").join(c, "competitor_id")
-        return j.select("target_id", "competitor_id", *[v.alias(n) for n, v in competition_score().items()])
-
-    # 1. seeds: two holders of each of the two rarest keys per set
-    holders = tokens.groupBy("key").agg(F.min("disease_id").alias("h1"), F.max("disease_id").alias("h2"))
-    probe = rare.where("pos < 2").select(F.col("disease_id").alias("target_id"), "key").distinct()
-    seeds = probe.join(holders, "key").select("target_id", F.explode(F.array("h1", "h2")).alias("competitor_id"))
-    seeds = seeds.where(F.col("target_id") != F.col("competitor_id")).distinct()
-    bound = top_k(scored(seeds), ["target_id"], [F.desc("score"), F.col("competitor_id")], k, "_r")
-    bound = bound.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_low"))
-    bound = bound.select("target_id", F.when(F.col("_n") >= k, F.col("_low")).otherwise(F.lit(0.0)).alias("bound"))
-    # 2. a pair that reaches the bound has a key-set Jaccard of at least tau in one kind
-    fixed = W_EXAM * 0.5
-    tau = (F.coalesce("bound", F.lit(0.0)) - fixed) / (W_LOW + W_SYMPTOM + W_RISK + W_EXAM * 0.5)
-    reach = rare.join(bound.withColumnRenamed("target_id", "disease_id"), "disease_id", "left").withColumn("tau", tau)
-    keep = F.when(F.col("tau") > 0, F.col("n") - F.ceil(F.col("n") * F.col("tau") - 1e-9) + 1).otherwise(F.col("n"))
-    probe = reach.where(F.col("pos") < keep).select(F.col("disease_id").alias("target_id"), "key").distinct()
-    pairs = probe.join(tokens.select(F.col("disease_id").alias("competitor_id"), "key"), "key")
-    pairs = pairs.where(F.col("target_id") != F.col("competitor_id")).select("target_id", "competitor_id").distinct()
-    out = scored(pairs).join(names.select(F.col("disease_id").alias("competitor_id"), F.col("disease_name").alias("competitor_name")), "competitor_id")
-    return top_k(out, ["target_id"], [F.desc("score"), F.desc("n_shared"), F.desc("n_target_only"), F.col("competitor_name"),
-                                      F.col("competitor_id")], k)
+        out = j.select("target_id", "competitor_id", "competitor_name", *[v.alias(n) for n, v in competition_score().items()])
+        return out.where("score > 0")
+
+    order = [F.desc("score"), F.desc("n_shared"), F.desc("n_target_only"), F.col("competitor_name"), F.col("competitor_id")]
+    best, weak = nearest_by_keys(keys(list(kinds)), kinds, rest, scored, k, order)
+    weak = written(weak, "weak")
+    # Diseases without any key belong here too.
+    bare = profiles.select(F.col("disease_id").alias("id")).join(keys(list(kinds)).select("id").distinct(), "id", "left_anti")
+    weak = weak.unionByName(bare)
+    # Groups and relations are closed vocabularies, so there are few combinations of them.
+    combination = F.to_json(F.struct(F.sort_array("exam_groups").alias("g"), F.sort_array("exam_relations").alias("r")))
+    kind = profiles.select("disease_id", combination.alias("combination"), "exam_groups", "exam_relations")
+    place = Window.partitionBy("combination").orderBy("disease_name", "disease_id")
+    member = kind.join(names, "disease_id").select(F.col("disease_id").alias("competitor_id"), "combination", F.row_number().over(place).alias("place"))
+    words = kind.select("combination", F.explode(F.concat(F.transform("exam_groups", lambda x: F.concat(F.lit("g:"), x)),
+                                                          F.transform("exam_relations", lambda x: F.concat(F.lit("r:"), x)))).alias("word")).distinct()
+    alike = words.join(words.withColumnRenamed("combination", "other"), "word").select("combination", "other").distinct()
+    # A place is taken by those already met through any key, so as many more are looked at.
+    any_key = keys(["all_keys", "exam_names"])
+    met = any_key.join(weak, "id", "left_semi").withColumnRenamed("id", "target_id").join(
+        any_key.withColumnRenamed("id", "competitor_id"), ["kind", "key"]).where("target_id <> competitor_id").select("target_id", "competitor_id").distinct()
+    met = written(met, "met")
+    known = met.join(member, "competitor_id").groupBy("target_id", F.col("combination").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    want = weak.withColumnRenamed("id", "target_id").join(kind.select(F.col("disease_id").alias("target_id"), "combination"), "target_id").join(alike, "combination")
+    want = want.join(known, ["target_id", "other"], "left").select("target_id", F.col("other").alias("combination"), (F.coalesce("n", F.lit(0)) + k + 1).alias("upto"))
+    more = want.join(member, "combination").where("place <= upto AND target_id <> competitor_id").select("target_id", "competitor_id")
+    extra = scored(met.unionByName(more).distinct())
+    out = best.drop("rank").unionByName(extra.select(*[x for x in best.columns if x != "rank"])).dropDuplicates(["target_id", "competitor_id"])
+    return top_k(out, ["target_id"], order, k)
 
 
 def competitive_negatives(pairs: DataFrame, items: DataFrame, positives: DataFrame, names: DataFrame) -> DataFrame:

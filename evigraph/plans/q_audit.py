@@ -397,11 +397,12 @@ def set_similarity(t):
 @query("competitor_pairs", f"""
 WITH {SQL_UNIQ},
 k AS (SELECT disease_id, ekey FROM flg WHERE low_cost), s AS (SELECT disease_id, count(*) AS n FROM k GROUP BY 1),
-i AS (SELECT x.disease_id AS a, y.disease_id AS b, count(*) AS n FROM k x JOIN k y ON y.ekey = x.ekey AND x.disease_id < y.disease_id GROUP BY 1, 2)
-SELECT a, b, i.n AS inter, i.n / (sa.n + sb.n - i.n) AS similarity FROM i JOIN s sa ON sa.disease_id = a JOIN s sb ON sb.disease_id = b WHERE i.n / (sa.n + sb.n - i.n) >= 0.2""")
+i AS (SELECT x.disease_id AS a, y.disease_id AS b, count(*) AS n FROM k x JOIN k y ON y.ekey = x.ekey AND x.disease_id <> y.disease_id GROUP BY 1, 2),
+j AS (SELECT a, b, i.n AS inter, i.n / (sa.n + sb.n - i.n) AS similarity FROM i JOIN s sa ON sa.disease_id = a JOIN s sb ON sb.disease_id = b)
+SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, inter DESC, b) AS rank FROM j QUALIFY rank <= 5""")
 def competitor_pairs(t):
     k = unique(t).withColumns(c.cost_pool_flags()).where("low_cost").select(F.col("disease_id").alias("id"), F.col("ekey").alias("key"))
-    return c.similar_sets(k, 0.2).select("a", "b", "inter", "similarity")
+    return c.nearest_sets(k, 5)
 
 
 def sql_j(name: str, kind: str) -> str:
@@ -421,13 +422,13 @@ kg AS (SELECT DISTINCT disease_id AS d, grp AS k FROM hv), kt AS (SELECT DISTINC
 {', '.join(sql_j(x, 'k' + x) for x in _K)},
 ali AS (SELECT x.disease_id AS a, y.disease_id AS b, count(*) AS n FROM disc x JOIN uniq y ON y.ekey = x.ekey AND x.disease_id <> y.disease_id GROUP BY 1, 2),
 dn AS (SELECT disease_id, count(*) AS n FROM disc GROUP BY 1),
-pr AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM li UNION ALL SELECT a, b FROM yi UNION ALL SELECT a, b FROM ri UNION ALL SELECT a, b FROM ei)),
+pr AS (SELECT x.node_id AS a, y.node_id AS b FROM kg_disease x JOIN kg_disease y ON x.node_id <> y.node_id),
 sc AS (SELECT pr.a AS target_id, pr.b AS competitor_id, {sql_jx('l')} * 0.40::DOUBLE + {sql_jx('y')} * 0.25::DOUBLE + {sql_jx('r')} * 0.20::DOUBLE
    + ({sql_jx('e')} * 0.5::DOUBLE + {sql_jx('g')} * 0.25::DOUBLE + {sql_jx('t')} * 0.25::DOUBLE) * 0.15::DOUBLE AS score, coalesce(li.n, 0) AS n_shared, coalesce(dn.n, 0) - coalesce(ali.n, 0) AS n_target_only
   FROM pr {' '.join(f"LEFT JOIN {x}i ON {x}i.a = pr.a AND {x}i.b = pr.b LEFT JOIN {x}s {x}a ON {x}a.d = pr.a LEFT JOIN {x}s {x}b ON {x}b.d = pr.b" for x in _K)}
   LEFT JOIN ali ON ali.a = pr.a AND ali.b = pr.b LEFT JOIN dn ON dn.disease_id = pr.a),
 best AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, n_shared DESC, n_target_only DESC, d.name, competitor_id) AS rank
-  FROM sc JOIN kg_disease d ON d.node_id = sc.competitor_id) WHERE rank <= {{k}})"""
+  FROM sc JOIN kg_disease d ON d.node_id = sc.competitor_id WHERE score > 0) WHERE rank <= {{k}})"""
 
 
 def competitors(t, k):

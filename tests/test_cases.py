@@ -24,24 +24,46 @@ def test_similar_sets_match_brute_force(spark):
         assert got == {(a, b) for a in s for b in s if a < b and jac(s[a], s[b]) >= t}
 
 
+def test_nearest_sets_match_brute_force(spark):
+    s = sets(1, 60, 30, 12) | {f"e{i}": {f"only{i}"} for i in range(3)}
+    df = spark.createDataFrame([(d, x) for d, ks in s.items() for x in ks], "id string, key string")
+    got = sorted((r.a, r["rank"], r.b, r.inter) for r in c.nearest_sets(df, 4).collect())
+    want = []
+    for a in s:
+        best = sorted((b for b in s if b != a and s[a] & s[b]), key=lambda b: (-jac(s[a], s[b]), -len(s[a] & s[b]), b))[:4]
+        want += [(a, i + 1, b, len(s[a] & s[b])) for i, b in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_rank_competitors_match_brute_force(spark):
-    low, sym, risk, exam = sets(1, 30, 25, 10), sets(2, 30, 25, 6), sets(3, 30, 25, 5), sets(4, 30, 25, 8)
-    grp = {d: {"lab"} if i % 2 else {"lab", "imaging"} for i, d in enumerate(low)}
-    rows = [(d, *[sorted(x[d]) for x in (low, sym, risk, exam, grp, grp)], sorted(low[d]), sorted(low[d] | exam[d])) for d in low]
+    """All pairs that score above 0, those alike in groups and relations only among them."""
+    low, sym, risk, exam = sets(1, 40, 25, 10), sets(2, 40, 25, 6), sets(3, 40, 25, 5), sets(4, 40, 25, 8)
+    for i, d in enumerate(low):
+        if i % 3 == 0:  # nothing in common with any other; some have no key at all
+            for kind in (low, sym, risk, exam):
+                kind[d] = {f"{d}-{j}" for j in range(2)} if i % 2 else set()
+    grp = {d: ({"lab"}, {"lab", "imaging"}, set(), {"pathogen"})[i % 4] for i, d in enumerate(low)}
+    rel = {d: ({"HAS_PATHOGEN"}, {"DIAGNOSED_BY", "HAS_PATHOGEN"}, set())[i % 5 % 3] for i, d in enumerate(low)}
+    all_keys = {d: low[d] | {"common"} if i % 7 == 0 else low[d] for i, d in enumerate(low)}
+    disc = {d: set(sorted(low[d])[:4]) | {"common"} for d in low}
+    rows = [(d, *[sorted(x[d]) for x in (low, sym, risk, exam, grp, rel, disc, all_keys)]) for d in low]
     p = spark.createDataFrame(rows, "disease_id string, low_keys array<string>, symptom_keys array<string>, risk_keys array<string>, exam_names array<string>, exam_groups array<string>, exam_relations array<string>, disc_keys array<string>, all_keys array<string>")
-    names = p.select("disease_id", F.col("disease_id").alias("disease_name"))
+    names = p.select("disease_id", F.concat(F.lit("n"), F.substring("disease_id", 3, 1)).alias("disease_name"))
 
     def score(a, b):
-        exam_part = jac(exam[a], exam[b]) * 0.5 + jac(grp[a], grp[b]) * 0.25 + jac(grp[a], grp[b]) * 0.25
+        exam_part = jac(exam[a], exam[b]) * 0.5 + jac(grp[a], grp[b]) * 0.25 + jac(rel[a], rel[b]) * 0.25
         return jac(low[a], low[b]) * 0.4 + jac(sym[a], sym[b]) * 0.25 + jac(risk[a], risk[b]) * 0.2 + exam_part * 0.15
 
     got = {}
-    for r in c.rank_competitors(p, names, 2).collect():
+    for r in c.rank_competitors(p, names, 4).collect():
         got.setdefault(r.target_id, {})[r.rank] = r.competitor_id
+    apart = 0
     for a in low:
-        shares = [b for b in low if b != a and (low[a] & low[b] or sym[a] & sym[b] or risk[a] & risk[b] or exam[a] & exam[b])]
-        best = sorted(shares, key=lambda b: (-score(a, b), -len(low[a] & low[b]), -len(low[a] - (low[b] | exam[b])), b))[:2]
-        assert [got[a][i + 1] for i in range(len(best))] == best
+        order = lambda b: (-score(a, b), -len(low[a] & low[b]), -len(disc[a] - all_keys[b]), "n" + b[2], b)  # noqa: B023, E731
+        best = sorted((b for b in low if b != a and score(a, b) > 0), key=order)[:4]
+        assert [got.get(a, {})[i + 1] for i in range(len(best))] == best and len(got.get(a, {})) == len(best)
+        apart += sum(not (low[a] & low[b] or sym[a] & sym[b] or risk[a] & risk[b] or exam[a] & exam[b]) for b in best)
+    assert apart > 20
 
 
 def test_cover_selection(spark):
