@@ -1,4 +1,6 @@
 import json
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,16 +54,74 @@ def test_requirements_first_wins(spark):
     assert [(r.name_key, r.required) for r in by_name.collect()] == [("flu", [["a"]])]
 
 
-def test_session_state_stream_matches_a_loop(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "value").orderBy("event_id").collect()
-    got = {(r.session_id, r.turn): (r.suppressed, r.fail_count) for r in catalog.QUERIES["stream_session_state"](spark, sf).collect()}
-    until, fails = {}, {}
-    for e in events:
-        k, bad = (e.user_id, e.event_type), e.value < 20
-        fails[e.user_id] = fails.get(e.user_id, 0) + 1 if bad else 0
-        assert got[(e.user_id, e.event_id)] == (e.event_id < until.get(k, -1), fails[e.user_id])
-        if bad:
-            until[k] = max(until.get(k, -1), e.event_id + 2)
+def session_rows(n=240):
+    """Events of a few sessions with ties in time, blanks and repeated deliveries."""
+    rnd = random.Random(4)
+    at = datetime(2024, 1, 1)
+    rows = [(i % 4, at + timedelta(minutes=i // 3), i, rnd.choice(["a", "b", " ", None]), rnd.choice(["", f"D{i}"]), rnd.choice([None, f"N{i % 5}"]),
+             rnd.choice(["present", "absent", "unclear"]), rnd.choice(["", f"t{i % 6}"]), rnd.choice([None, "s1", "s2"]), rnd.choice("xy"), rnd.random() < 0.5) for i in range(n)]
+    return rows, "session_id long, ts timestamp, event_id long, name string, display string, node_id string, polarity string, evidence string, slot string, key string, failed boolean"
+
+
+def batch_state(rows):
+    """The same folds, session by session, in order."""
+    out, rank = {}, {"present": 3, "unclear": 2}
+    for s in {r[0] for r in rows}:
+        mine, until, fails = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2])), {}, 0
+        for turn, (_, ts, i, name, _, _, _, _, _, key, failed) in enumerate(mine, 1):
+            fails = fails + 1 if failed else 0
+            out["turn", s, st.place_text(ts, i)] = (turn, turn < until.get(key, -1), fails)
+            if failed:
+                until[key] = max(until.get(key, -1), turn + 2)
+        for name in {r[3] for r in mine if r[3] and r[3].strip()}:
+            m = [r for r in mine if r[3] == name]
+            first = lambda k: next((r[k] for r in m if r[k]), None)  # noqa: B023, E731
+            out["mention", s, name] = (max((r[6] for r in m), key=lambda p: rank.get(p, 1)), first(5), first(4), len({r[7] for r in m if r[7]}), len(m))
+        for slot in {r[8] for r in mine if r[8]}:
+            m = [r for r in mine if r[8] == slot]
+            out["slot", s, slot] = (m[-1][6], len({r[7] for r in m if r[7]}), len(m))
+    return out
+
+
+def streamed(spark, rows, schema, batches, folder, **settings):
+    """Newest version of every state row after the given batches (lists of rows)."""
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        live = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        with st.state_settings(spark):
+            st.run_available(st.stream_session_state(live, **settings), f"{folder}/out", f"{folder}/mark", "update")
+    pick = {"turn": ("turn", "suppressed", "fail_count"), "mention": ("polarity", "node_id", "display", "n_evidence", "n_turns"), "slot": ("polarity", "n_evidence", "n_turns")}
+    last = st.latest(spark, f"{folder}/out", ["kind", "session_id", "item"]).collect()
+    return {(r.kind, r.session_id, r["item"]): tuple(r[c] for c in pick[r.kind]) for r in last}, {r["item"] for r in last if r.late}
+
+
+def test_session_state_does_not_depend_on_order_or_batches(spark, tmp_path):
+    rows, schema = session_rows()
+    mixed = random.Random(1).sample(rows, len(rows))
+    got, late = streamed(spark, rows, schema, [mixed[:90], mixed[60:200], mixed[200:]], str(tmp_path))  # 30 rows come twice
+    assert got == batch_state(rows) and not late
+
+
+def test_session_state_releases_old_turns(spark, tmp_path):
+    """Turns in order leave the buffer and are answered the same; one behind its place is marked."""
+    rows, schema = session_rows()
+    behind = rows.pop(9)
+    got, late = streamed(spark, rows, schema, [rows[:120], rows[120:], [behind]], str(tmp_path), lateness=timedelta(minutes=5))
+    want = batch_state(rows)
+    assert {k: v for k, v in got.items() if k[0] == "turn" and k[2] not in late} == {k: v for k, v in want.items() if k[0] == "turn"}
+    assert late == {st.place_text(behind[1], behind[2])}
+
+
+def test_first_results_do_not_depend_on_batches(spark, tmp_path):
+    rows = [(i % 7, (i * 37) % 50, i, float(i)) for i in range(100)]
+    schema = "case_id long, ts long, event_id long, value double"
+    want = sorted(min(((r[1], r[2], r[3]), r[0]) for r in rows if r[0] == c) for c in range(7))
+    for parts in (1, 5):
+        folder = str(tmp_path / str(parts))
+        spark.createDataFrame(rows, schema).repartition(parts).write.parquet(f"{folder}/in")
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        got = st.first_results(live, f"{folder}/out", f"{folder}/mark", ["case_id"], ["ts", "event_id"]).collect()
+        assert sorted(((r.ts, r.event_id, r.value), r.case_id) for r in got) == want
 
 
 def test_fold_does_not_depend_on_partitions(spark):
