@@ -55,33 +55,35 @@ def containment_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(left_name, right_name, ratio)`` with a sequence ratio of at least ``threshold``.
 
-    A ratio of *t* leaves at most (1 - t) of all characters unmatched.  A left name of
-    length L cut into more parts than can be hit by unmatched characters has one part that
-    survives as a substring of the right name, close to its old place; only such pairs
-    reach the ratio itself.  Nothing above the threshold is lost.
+    A ratio of *t* leaves at most (1 - t) of the characters of both names unmatched.  A left
+    name of length L is cut into one segment more than that can be, for the longest partner
+    allowed; so one segment survives whole in the partner.  Segments are indexed by L, their
+    number and their text.  A right name looks only into the lengths that its own allows,
+    and for each segment only at the places where it can lie: a shift of s before the
+    segment and the rest of the difference in length behind it already cost their
+    characters.  Nothing above the threshold is lost.
     """
     slack = 1.0 - threshold
     spread = (2.0 - threshold) / threshold  # largest length ratio that can reach the threshold
-    a = left.select(F.col("name").alias("left_name")).where("left_name <> ''").distinct()
-    b = right.select(F.col("name").alias("right_name")).where("right_name <> ''").distinct()
-    a = a.withColumn("_l", F.length("left_name"))
-    a = a.withColumn("_d", F.floor(F.col("_l") * (1.0 + spread) * slack + 1e-9).cast("int"))
-    # part k of d+1 covers characters [k*L/(d+1), (k+1)*L/(d+1))
-    parts = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda k: F.struct(
-        F.floor(k * F.col("_l") / (F.col("_d") + 1)).cast("int").alias("from"),
-        F.floor((k + 1) * F.col("_l") / (F.col("_d") + 1)).cast("int").alias("to")))
-    a = a.select("left_name", "_l", "_d", F.explode(parts).alias("_p")).where("_p.to > _p.from")
-    a = a.select("left_name", "_l", "_d", F.col("_p.from").alias("_at"),
-                 F.substr(F.col("left_name"), F.col("_p.from") + 1, F.col("_p.to") - F.col("_p.from")).alias("part"))
-    widest = int(1.0 / ((1.0 + spread) * slack)) + 1  # no part is longer than this
-    bl = b.withColumn("_r", F.length("right_name"))
-    bl = bl.withColumn("_w", F.explode(F.sequence(F.lit(1), F.least(F.col("_r"), F.lit(widest)))))
-    starts = F.sequence(F.lit(0), F.col("_r") - F.col("_w"))
-    bl = bl.select("right_name", "_r", "_w", F.explode(starts).alias("_bt"))
-    bl = bl.withColumn("part", F.substr(F.col("right_name"), F.col("_bt") + 1, F.col("_w")))
-    near = (F.abs(F.col("_at") - F.col("_bt")) <= F.col("_d")) & (
-        2.0 * F.least("_l", "_r") / (F.col("_l") + F.col("_r")) >= threshold)
-    pairs = a.join(bl, "part").where(near).select("left_name", "right_name").distinct()
+    eps = 1e-9
+    size, other = F.col("_l"), F.col("_r")
+    spare = F.floor(size * (1.0 + spread) * slack + eps).cast("int")
+    # segment k of spare + 1 covers characters [k * L / (spare + 1), (k + 1) * L / (spare + 1))
+    begin = F.floor(F.col("_k") * size / (spare + 1)).cast("int")
+    end = F.floor((F.col("_k") + 1) * size / (spare + 1)).cast("int")
+    a = left.select(F.col("name").alias("left_name")).where("left_name <> ''").distinct().withColumn("_l", F.length("left_name"))
+    a = a.withColumn("_k", F.explode(F.sequence(F.lit(0), spare))).withColumn("_at", begin).withColumn("_w", end - begin).where("_w > 0")
+    a = a.select("left_name", "_l", "_k", F.substr("left_name", F.col("_at") + 1, F.col("_w")).alias("segment"))
+    b = right.select(F.col("name").alias("right_name")).where("right_name <> ''").distinct().withColumn("_r", F.length("right_name"))
+    b = b.withColumn("_l", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(other / spread - eps)).cast("int"), F.floor(other * spread + eps).cast("int"))))
+    b = b.where(2.0 * F.least(size, other) / (size + other) >= threshold - eps)
+    b = b.withColumn("_k", F.explode(F.sequence(F.lit(0), spare))).withColumn("_at", begin).withColumn("_w", end - begin).where("_w > 0 AND _w <= _r")
+    unmatched = F.floor((size + other) * slack + eps)
+    low = F.greatest(F.lit(0), F.col("_at") + F.ceil((other - size - unmatched) / 2).cast("int"))
+    high = F.least(other - F.col("_w"), F.col("_at") + F.floor((other - size + unmatched) / 2).cast("int"))
+    b = b.withColumn("_from", low).withColumn("_to", high).where("_from <= _to").withColumn("_p", F.explode(F.sequence("_from", "_to")))
+    b = b.select("right_name", "_l", "_k", F.substr("right_name", F.col("_p") + 1, F.col("_w")).alias("segment")).distinct()
+    pairs = a.join(b, ["_l", "_k", "segment"]).select("left_name", "right_name").distinct()
     out = pairs.withColumn("ratio", sequence_ratio("left_name", "right_name"))
     return out.where(F.col("ratio") >= threshold)
 

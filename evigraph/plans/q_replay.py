@@ -136,6 +136,28 @@ def name_match(t):
     return rp.name_match(a, truths(t))
 
 
+@query("similar_names", """
+WITH nm AS (SELECT DISTINCT p_name AS name FROM part), typo AS (SELECT DISTINCT p_name AS right_name,
+  CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, k) || substr(p_name, k + 2) WHEN 1 THEN substr(p_name, 1, k) || 'q' || substr(p_name, k + 1)
+    ELSE substr(p_name, 1, k) || 'q' || substr(p_name, k + 2) END AS left_name
+  FROM (SELECT *, (p_partkey // 3) % length(p_name) AS k FROM part)),
+l AS (SELECT DISTINCT left_name FROM typo),
+prs AS (SELECT l.left_name, nm.name AS right_name, length(l.left_name) AS a, length(nm.name) AS b, levenshtein(l.left_name, nm.name) AS d FROM l, nm),
+-- one edit: all but the edited characters match; names of up to 13 characters with two edits stay below the border
+one AS (SELECT left_name, right_name, 2.0::DOUBLE * (CASE WHEN a = b THEN a - d ELSE least(a, b) END) / (a + b) AS ratio FROM prs WHERE d <= 1)
+SELECT left_name, right_name, ratio FROM one WHERE ratio >= 0.92::DOUBLE""")
+def similar_names(t):
+    """Names with a missing, an added or a replaced letter against the clean ones."""
+    from ..functions.names import similar_pairs
+
+    part = t.raw("part").select("p_name", "p_partkey", F.pmod(F.floor(F.col("p_partkey") / 3), F.length("p_name")).cast("int").alias("k"))
+    head = F.substr("p_name", F.lit(1), F.col("k"))
+    tail = lambda n: F.substr("p_name", F.col("k") + n, F.length("p_name"))
+    kind = F.col("p_partkey") % 3
+    typo = F.when(kind == 0, F.concat(head, tail(2))).when(kind == 1, F.concat(head, F.lit("q"), tail(1))).otherwise(F.concat(head, F.lit("q"), tail(2)))
+    return similar_pairs(part.select(typo.alias("name")), part.select(F.col("p_name").alias("name")), 0.92)
+
+
 @query("truth_positive", f"WITH {SQL_SLOTS} SELECT grp, value, pos, count(*) AS n FROM sp GROUP BY 1, 2, 3")
 def truth_positive(t):
     return slots(t).groupBy("grp", "value", rp.truth_positive(F.col("value")).alias("pos")).agg(F.count(F.lit(1)).alias("n"))

@@ -76,3 +76,21 @@ def test_containment_and_similarity_match_brute_force(spark):
     assert got == {(x, y) for x in left for y in right if x in y}
     sim = {(r.left_name, r.right_name) for r in names.similar_pairs(a, b, 0.8).collect()}
     assert sim == {(x, y) for x in left for y in right if SequenceMatcher(None, x, y).ratio() >= 0.8}
+
+
+def test_similar_names_lose_nothing(spark):
+    """Random names of few letters, with many near ones, against the ratio of all pairs."""
+    rnd = random.Random(7)
+    base = ["".join(rnd.choices("abcde ", k=rnd.randint(1, 26))) for _ in range(60)]
+    near = []
+    for s in base:
+        x = list(s)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(x) + 1)
+            x[at:at + rnd.randint(0, 1)] = rnd.choice(["", "z", "a"])
+        near.append("".join(x))
+    a = spark.createDataFrame([(x,) for x in base + ["", None]], "name string")
+    b = spark.createDataFrame([(x,) for x in near + base[:20]], "name string")
+    for t in (0.6, 0.88, 1.0):
+        want = {(x, y) for x in set(base) for y in set(near + base[:20]) if x and y and SequenceMatcher(None, x, y).ratio() >= t}
+        assert {(r.left_name, r.right_name) for r in names.similar_pairs(a, b, t).collect()} == want and want
