@@ -13,6 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import containment_pairs
 from ..functions.tags import Rule, tags
 from ..functions.text import blank, let, map_value, match_text
 from ..functions.vocab import EVIDENCE_GROUPS, LABEL_GROUP
@@ -235,6 +236,25 @@ def family_tags(text: Column, group: Column, rules: Mapping[str, Sequence[Rule]]
     return let(found, lambda x: F.when(F.size(x) == 0, fallback).otherwise(x))
 
 
+def family_rows(evidence: DataFrame, rules: DataFrame, always: Mapping[str, str] | None = None) -> DataFrame:
+    """``evidence_id, grp, family`` by a rule table of any size; as :func:`family_tags` does by literal rules.
+
+    ``evidence``: ``evidence_id, name, grp``; ``rules``: ``grp, family, term`` with group
+    ``*`` for all.  Every distinct name meets the distinct terms once, through an index on
+    character grams in which a term is looked up by its rarest gram; the terms found then
+    bring their families.
+    """
+    always = {"imaging": "imaging", "pathogen": "pathogen"} if always is None else always
+    e = evidence.select("evidence_id", F.lower("name").alias("name"), "grp")
+    hits = containment_pairs(rules.select(F.col("term").alias("name")), e.select("name")).toDF("term", "name")
+    by_name = hits.join(rules.withColumnRenamed("grp", "rule_grp"), "term").select("name", "rule_grp", "family").distinct()
+    found = e.join(by_name, "name").where("rule_grp = '*' OR rule_grp = grp").select("evidence_id", "grp", "family")
+    fixed = map_value(F.col("grp"), always, "")
+    found = found.unionByName(e.select("evidence_id", "grp", fixed.alias("family")).where("family <> ''")).distinct()
+    rest = e.select("evidence_id", "grp").join(found.select("evidence_id").distinct(), "evidence_id", "left_anti")
+    return found.unionByName(rest.select("evidence_id", "grp", map_value(F.col("grp"), FALLBACK_FAMILY, "general_detail").alias("family")))
+
+
 def family_priority(col: Column, priority: Mapping[str, int] = FAMILY_PRIORITY) -> Column:
     return map_value(col, priority, 0)
 

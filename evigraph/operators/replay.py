@@ -451,13 +451,45 @@ def median_of(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFr
     distinct values, which for turn numbers are few.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if not keys:
+        return _median_of_counts(counts, name)
+    by = Window.partitionBy(*keys)
     run = counts.withColumns({"_hi": F.sum("_n").over(by.orderBy("_v")), "_total": F.sum("_n").over(by)})
     run = run.withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
     left, right = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
     at = lambda p: F.max(F.when((F.col("_lo") <= p) & (p <= F.col("_hi")), F.col("_v")))
-    grouped = run.groupBy(*keys) if keys else run.groupBy()
-    return grouped.agg(((at(left) + at(right)) / 2).alias(name))
+    return run.groupBy(*keys).agg(((at(left) + at(right)) / 2).alias(name))
+
+
+# Equal stretches between the smallest and the largest value in which the median is looked for.
+STRETCHES = 1024
+
+
+def _median_of_counts(counts: DataFrame, name: str) -> DataFrame:
+    """Median of all values of ``_v, _n`` by distributed selection; one row, NULL for no values.
+
+    Counts per stretch of the value range say in which stretches the two middle values
+    lie; only the distinct values of these are put in order.
+    """
+    ends = counts.agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.sum("_n").alias("_total"))
+    wide = F.col("_max").cast("double") - F.col("_min")
+    stretch = F.when(wide > 0, F.least(F.lit(STRETCHES - 1), F.floor((F.col("_v") - F.col("_min")) / wide * STRETCHES))).otherwise(F.lit(0))
+    placed = counts.join(F.broadcast(ends), F.lit(True)).withColumn("_s", stretch.cast("int"))  # one row
+    sizes = placed.groupBy("_s").agg(F.sum("_n").alias("_n"), F.first("_total").alias("_total"))
+    # At most STRETCHES entries in one row.
+    state = F.struct(F.lit(0).cast("long").alias("hi"), F.array().cast("array<struct<s:int,lo:bigint,hi:bigint>>").alias("all"))
+    run = F.aggregate(F.sort_array("_all"), state, lambda acc, x: F.struct(
+        (acc["hi"] + x["n"]).alias("hi"), F.concat(acc["all"], F.array(F.struct(x["s"].alias("s"), (acc["hi"] + 1).alias("lo"), (acc["hi"] + x["n"]).alias("hi")))).alias("all")), lambda acc: acc["all"])
+    total = F.col("_total")
+    one = sizes.agg(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"))).alias("_all"), F.max("_total").alias("_total")).select(
+        run.alias("_run"), F.floor((total + 1) / 2).alias("_left"), F.ceil((total + 1) / 2).alias("_right"))
+    hit = one.select("_left", "_right", F.explode("_run").alias("r")).where("(r.lo <= _left AND _left <= r.hi) OR (r.lo <= _right AND _right <= r.hi)")
+    hit = hit.select("_left", "_right", F.col("r.s").alias("_s"), F.col("r.lo").alias("_base"))  # two rows at most
+    near = placed.select("_s", "_v", "_n").join(F.broadcast(hit), "_s")
+    by = Window.partitionBy("_s").orderBy("_v")
+    near = near.withColumn("_hi", F.col("_base") - 1 + F.sum("_n").over(by)).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
+    at = lambda p: F.max(F.when((F.col("_lo") <= F.col(p)) & (F.col(p) <= F.col("_hi")), F.col("_v")))
+    return near.groupBy().agg(((at("_left") + at("_right")) / 2).alias(name))
 
 
 def reason_counts(turns: DataFrame, reason: Column, *keys: str, default: str | None = None) -> DataFrame:

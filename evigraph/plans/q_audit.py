@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.tags import tags
@@ -225,6 +227,16 @@ def family_tags(t):
     return families(t).select(F.col("evidence_id").alias("node_id"), F.explode("families").alias("family"))
 
 
+@query("family_rule_file", f"WITH {SQL_EFAM} SELECT node_id, family FROM efam")
+def family_rule_file(t):
+    """The same families by a rule file and the term index."""
+    rules = {g: dict(rs) for g, rs in RULES.items()} | {"*": dict(COMMON)}
+    folder = scratch_folder(t.spark, "rules")
+    t.spark.createDataFrame([(json.dumps(rules),)], "value string").write.text(folder)
+    rows = a.family_rows(t.kg_evidence.select(F.col("node_id").alias("evidence_id"), "name", "grp"), scan.scan_family_rules(t.spark, folder))
+    return rows.select(F.col("evidence_id").alias("node_id"), "family")
+
+
 @query("family_catalog", f"""
 WITH {SQL_EFAM} SELECT disease_id, grp, family, count(*) AS n FROM kg_pair JOIN efam ON efam.node_id = evidence_id GROUP BY 1, 2, 3""")
 def family_catalog(t):

@@ -282,6 +282,27 @@ def scan_graph_json(t):
     return n.select(F.lit("node").alias("kind"), "id", "name", "weight").unionByName(e.select(F.lit("edge").alias("kind"), "id", F.col("source_id").alias("name"), F.lit(None).cast("double").alias("weight")))
 
 
+@query("scan_graph_objects", """
+SELECT 'node' AS kind, 'P' || p_partkey AS id, p_name AS name, p_size / 50 AS weight FROM part UNION ALL SELECT 'edge', 'e' || p_partkey, p_brand, NULL FROM part
+UNION ALL SELECT 'summary', p_brand || ' ' || (p_partkey // 200), CAST(count(*) AS VARCHAR), NULL FROM part GROUP BY p_brand, p_partkey // 200""")
+def scan_graph_objects(t):
+    """Graph files of one object each, parts in files of bounded size."""
+    pid = F.col("p_partkey").cast("string")
+    node = F.struct(F.concat(F.lit("P"), pid).alias("id"), F.lit("ClinicalFinding").alias("label"), F.col("p_name").alias("name"), (F.col("p_size") / 50).alias("weight"))
+    edge = F.struct(F.concat(F.lit("e"), pid).alias("id"), F.lit("MANIFESTS_AS").alias("type"), F.col("p_brand").alias("source_id"), F.concat(F.lit("P"), pid).alias("target_id"))
+    part = t.raw("part").withColumn("file", F.floor(F.col("p_partkey") / 200))
+    brands = part.groupBy("file", "p_brand").count().groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws(" ", "p_brand", F.col("file").cast("string")), F.col("count").cast("string")))).alias("summary"))
+    graph_file = part.groupBy("file").agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges")).join(brands, "file")
+    folder = sinks.scratch_folder(t.spark, "graph-objects")
+    graph_file.select("file", F.to_json(F.struct("nodes", "edges", "summary")).alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    n, e, s = scan.scan_graph_objects(t.spark, folder)
+    none = F.lit(None).cast("double").alias("weight")
+    return n.select(F.lit("node").alias("kind"), "id", "name", "weight").unionByName(
+        e.select(F.lit("edge").alias("kind"), "id", F.col("source_id").alias("name"), none)).unionByName(
+        s.select(F.lit("summary").alias("kind"), F.col("key").alias("id"), F.col("value").alias("name"), none))
+
+
 @query("scan_alias_rules", """
 WITH k AS (SELECT label, regexp_replace(lower(alias), '\\s+', '', 'g') AS akey, canonical FROM alias_file UNION SELECT label, regexp_replace(lower(canonical), '\\s+', '', 'g'), canonical FROM alias_file
   UNION SELECT label, regexp_replace(lower(name), '\\s+', '', 'g'), 'DELETE' FROM delete_name)

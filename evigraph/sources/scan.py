@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank, clean_text, lookup_key, strip
 from ..functions.vocab import ALIAS_FILE_LABEL
@@ -64,6 +65,37 @@ def scan_graph_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     return (df.select(F.inline("nodes")), df.select(F.inline("edges")), df.select(F.explode("summary")))
 
 
+def scan_graph_objects(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node, edge and summary frames of graph files that hold one JSON object each.
+
+    Files are read whole and in parallel, so a graph is best cut into many of bounded size.
+    A file that is no object with a ``nodes`` and an ``edges`` array fails the read, or
+    with ``strict`` off gives no rows; a ``summary`` that is no object is empty.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    kind = lambda field: F.substring(F.schema_of_variant(F.variant_get("v", field, "variant")), 1, 5)
+    whole = F.coalesce((kind("$.nodes") == "ARRAY") & (kind("$.edges") == "ARRAY"), F.lit(False))
+    raw = raw.withColumn("v", F.when(whole, F.col("v")).when(F.lit(strict), F.raise_error(F.concat(F.lit("no nodes and edges arrays in "), "file"))))
+
+    def rows(field: str, types: str) -> DataFrame:
+        item = raw.select(F.explode(F.variant_get("v", f"$.{field}", "array<variant>")).alias("x"))
+        wanted = T.StructType.fromDDL(types) if isinstance(types, str) else types
+        return item.select(*[F.try_variant_get("x", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in wanted.fields])
+
+    fields = {f.name: f.dataType for f in T.StructType.fromDDL(GRAPH).fields} if isinstance(GRAPH, str) else {f.name: f.dataType for f in GRAPH.fields}
+    summary = raw.select(F.explode(F.try_variant_get("v", "$.summary", "map<string, string>")))
+    return rows("nodes", fields["nodes"].elementType), rows("edges", fields["edges"].elementType), summary
+
+
+def scan_family_rules(spark: SparkSession, path: str) -> DataFrame:
+    """``grp, family, term`` of rule files: ``{group: {family: [terms]}}``, group ``*`` for all; terms are trimmed and lower-cased."""
+    raw = spark.read.text(path, wholetext=True).select(
+        F.explode(F.from_json("value", "map<string, map<string, array<string>>>")).alias("grp", "f"))
+    rows = raw.select("grp", F.explode("f").alias("family", "terms")).select("grp", "family", F.explode("terms").alias("term"))
+    return rows.withColumn("term", F.lower(F.trim("term"))).where("term <> ''").distinct()
+
+
 def alias_rows(files: DataFrame, labels: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(file, label, canonical, alias)`` and ``(file, label, name)`` to delete.
 

@@ -1,10 +1,14 @@
+import json
 import random
+import statistics
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import names, ordered, tags, text
+from evigraph.operators import audit, replay
+from evigraph.sources import scan
 
 
 def one(spark, expr, **cols):
@@ -94,3 +98,34 @@ def test_similar_names_lose_nothing(spark):
     for t in (0.6, 0.88, 1.0):
         want = {(x, y) for x in set(base) for y in set(near + base[:20]) if x and y and SequenceMatcher(None, x, y).ratio() >= t}
         assert {(r.left_name, r.right_name) for r in names.similar_pairs(a, b, t).collect()} == want and want
+
+
+def test_median_without_keys(spark):
+    rnd = random.Random(3)
+    for values in ([5], [1, 2], [1, 1, 9], [rnd.randint(0, 5) for _ in range(100)], [rnd.random() * 1e6 for _ in range(301)], [-3, None, 8, 8], [7, 7, 7]):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        want = statistics.median([v for v in values if v is not None])
+        assert replay.median_of(df, [], "v", "m").first().m == pytest.approx(want)
+    assert replay.median_of(spark.createDataFrame([(None,)], "v double"), [], "v", "m").first().m is None
+
+
+def test_family_rules_of_any_size(spark, tmp_path):
+    (tmp_path / "rules.json").write_text(json.dumps({"lab": {"rna": ["RNA", " load "], "cell": ["cd4"]}, "risk": {"exposure": ["contact"]}, "*": {"worse": ["worse", ""]}}))
+    rules = scan.scan_family_rules(spark, str(tmp_path))
+    rows = [("1", "HIV RNA load", "lab"), ("2", "CD4 worse", "lab"), ("3", "contact", "symptom"), ("4", "Contact cd4", "risk"), ("5", "x", "imaging"), ("6", None, "lab")]
+    got = audit.family_rows(spark.createDataFrame(rows, "evidence_id string, name string, grp string"), rules).collect()
+    assert sorted((r.evidence_id, r.family) for r in got) == [
+        ("1", "rna"), ("2", "cell"), ("2", "worse"), ("3", "general_symptom"), ("4", "exposure"), ("5", "imaging"), ("6", "general_lab")]
+
+
+def test_graph_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"nodes": [{"id": "n1", "name": "x", "weight": 0.5, "other": [1]}], "edges": [{"id": "e1", "source_id": "n1"}], "summary": {"k": 3}}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"nodes": [], "edges": [], "summary": 7}))
+    n, e, s = scan.scan_graph_objects(spark, str(tmp_path))
+    assert [(r.id, r.name, r.weight) for r in n.collect()] == [("n1", "x", 0.5)]
+    assert [(r.id, r.source_id, r.target_id) for r in e.collect()] == [("e1", "n1", None)] and [tuple(r) for r in s.collect()] == [("k", "3")]
+    (tmp_path / "c.json").write_text('{"nodes": {}}')
+    (tmp_path / "d.json").write_text("broken")
+    assert scan.scan_graph_objects(spark, str(tmp_path), strict=False)[0].count() == 1
+    with pytest.raises(Exception, match="no nodes and edges"):
+        scan.scan_graph_objects(spark, str(tmp_path))[0].collect()
