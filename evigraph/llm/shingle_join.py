@@ -273,7 +273,11 @@ def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- search
 
 class Search:
-    """Inverted lists over some sets, searched with DivideSkip."""
+    """Inverted lists over some sets, searched with DivideSkip.
+
+    Sets can be dropped; the lists are packed anew whenever half of their entries are gone,
+    so that dropping costs no more than building.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
@@ -282,10 +286,23 @@ class Search:
         order = np.argsort(flat, kind="stable")
         self.doc = doc[order]
         self.hash, self.start, self.length = np.unique(flat[order], return_index=True, return_counts=True)
-
-    def linked(self, query: np.ndarray, known: np.ndarray | None = None, similar: int = SIMILAR) -> np.ndarray:
-        """Documents similar to the query, leaving out those marked in ``known``."""
+        self.alive, self.gone = np.ones(len(sets), bool), 0
+
+    def drop(self, ids: np.ndarray) -> None:
+        """Leave out some sets from now on."""
+        self.alive[ids] = False
+        self.gone += int(self.sizes[ids].sum())
+        if len(self.doc) and 2 * self.gone >= len(self.doc):
+            keep = self.alive[self.doc]
+            length = np.add.reduceat(keep, self.start, dtype=np.int64)
+            self.doc, self.hash, self.length = self.doc[keep], self.hash[length > 0], length[length > 0]
+            self.start, self.gone = np.cumsum(self.length) - self.length, 0
+
+    def linked(self, query: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+        """Sets similar to the query, dropped ones left out."""
         n = len(query)
+        if not len(self.hash):
+            return np.zeros(0, np.int64)
         t = needed(n, similar)
         at = np.minimum(np.searchsorted(self.hash, query), len(self.hash) - 1)
         at = at[self.hash[at] == query]
@@ -302,8 +319,7 @@ class Search:
         merged = np.sort(self.doc[places], kind="stable")
         ids, hits = np.unique(merged, return_counts=True)
         fits = (hits >= t - set_aside) & (self.sizes[ids] * 100 >= similar * n) & (self.sizes[ids] * similar <= 100 * n)
-        if known is not None:
-            fits &= ~known[ids]
+        fits &= self.alive[ids]
         ids, hits = ids[fits], hits[fits]
         left = set_aside
         for k in long_:  # binary probes, dropping documents that can no longer get there
@@ -319,26 +335,38 @@ class Search:
         return ids[100 * hits >= similar * (n + self.sizes[ids] - hits)]
 
 
-def _root(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def _connect(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges ``node, smallest connected node`` of one group; with two sides only pairs across them are searched."""
-    index = np.flatnonzero(side == side.max())
-    queries = np.flatnonzero(side == side.min())
-    search = Search([sets[i] for i in index])
-    root = np.arange(len(node))
-    for q in queries.tolist():
-        for i in search.linked(sets[q], root[index] == root[q]).tolist():
-            a, b = root[q], root[index[i]]
-            if a != b:
-                low, high = (a, b) if node[a] <= node[b] else (b, a)
-                root[root == high] = low
-    return [(int(node[i]), int(node[r])) for i, r in enumerate(root) if r != i]
+    """Edges ``node, smallest connected node`` of one group; with two sides only pairs across them are searched.
+
+    Connected parts are walked one after the other.  A set is dropped from the lists when
+    it is reached, so every set is found once and asks once, and a group of copies costs
+    one search that finds them all and many that find nothing left.
+    """
+    members = [np.flatnonzero(side == x) for x in np.unique(side)]
+    searches = [Search([sets[i] for i in m]) for m in members]
+    home = np.searchsorted(np.unique(side), side)
+    place = np.empty(len(node), np.int64)
+    for m in members:
+        place[m] = np.arange(len(m))
+    part = np.full(len(node), -1)
+    for first in members[0].tolist():
+        if part[first] >= 0:
+            continue
+        part[first] = first
+        searches[home[first]].drop(place[[first]])
+        ahead = [first]
+        while ahead:
+            i = ahead.pop()
+            other = len(members) - 1 - home[i]
+            found = searches[other].linked(sets[i])
+            searches[other].drop(found)
+            found = members[other][found]
+            part[found] = first
+            ahead += found.tolist()
+    reached = np.flatnonzero(part >= 0)
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, part[reached], node[reached])
+    return [(int(node[i]), int(least[part[i]])) for i in reached if node[i] != least[part[i]]]
 
 
 def _search_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,13 +402,19 @@ def _least_slack(n: Column, similar: int = SIMILAR) -> Column:
     return 1 + F.floor(SLACK * F.ceil(n * similar / 100))
 
 
-def _ranges(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+# About so many hashes lie in a range; a task that counts them holds one range.
+RANGE_HASHES = 1 << 21
+
+
+def _ranges(classes: DataFrame) -> int:
+    """As many ranges as the hashes of all sets need, and no fewer than the session's partitions."""
+    hashes = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // RANGE_HASHES))
 
 
 def candidate_blocks(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node, hashes`` of the sets that pass the first filter, and ``node, block`` of those that pass both."""
-    ranges = _ranges(texts.sparkSession)
+    ranges = _ranges(classes)
     dealt = texts.select("text").mapInArrow(_beginnings(ranges), BEGIN_SCHEMA).repartition(ranges, "range")
     shared = stored(dealt.mapInArrow(_shared, "id long, shared long"), "shared").groupBy("id").agg(F.sum("shared").alias("shared"))
     able = classes.withColumnRenamed("short", "id").join(shared, "id").filter(F.col("shared") >= _least_slack(F.col("n")))

@@ -244,3 +244,33 @@ def test_capped_targets(spark):
     assert got["a"] == pytest.approx(30)
     level = (2100 - 30 - 270) / 3
     assert got["b"] == pytest.approx(2 * level) and got["c"] == pytest.approx(level) and got[None] == pytest.approx(270)
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_connected_parts_are_those_of_all_pairs(two):
+    """Groups of near copies, chains and strangers; also only across two sides, a node on both."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, size=(9, 70)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(70) < rng.choice([0.02, 0.1]), rng.integers(0, 2**62, 70).astype(np.uint64), base[i % 9])) for i in range(300)]
+    sets += [np.unique(base[0][:40]), np.arange(5, dtype=np.uint64), *[np.arange(i, i + 60, dtype=np.uint64) for i in range(0, 90, 3)]]
+    node = rng.permutation(len(sets)).astype(np.int64)
+    side = np.arange(len(sets)) % 2 if two else np.zeros(len(sets), int)
+    sets.append(sets[4])
+    node, side = np.append(node, node[4]), np.append(side, 1 if two else 0)
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if (not two or side[i] != side[j]) and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i in range(len(sets)):
+        least[root(i)] = min(least.get(root(i), 10**9), int(node[i]))
+    want = {(int(node[i]), least[root(i)]) for i in range(len(sets)) if node[i] != least[root(i)]}
+    assert set(shingle_join._connect(node, side, sets)) == want and want
