@@ -133,13 +133,18 @@ def _prefixed(prefix: str, names: Column) -> Column:
     return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
 
 
+def _items(record: Column, field: str) -> Column:
+    """The fields of every item of a list in a JSON record; NULL if it is no list."""
+    return F.transform(F.from_json(F.get_json_object(record, f"$.{field}"), "array<string>"), lambda x: F.json_object_keys(x))
+
+
 def record_fingerprint(record: Column, mappings=MAPPINGS) -> Column:
-    """Hash of the known nested field paths of a JSON record."""
+    """Hash of the known nested field paths of a JSON record, over all items of its lists."""
     known = sorted({p for m in mappings for p in m.paths()})
     nothing = F.array().cast("array<string>")
     paths = F.coalesce(F.json_object_keys(record), nothing)
     for field in sorted({m.field for m in mappings if isinstance(m, Listed)}):
-        inner = F.json_object_keys(F.get_json_object(record, f"$.{field}[0]"))
+        inner = F.array_distinct(F.flatten(F.filter(_items(record, field), lambda x: x.isNotNull())))
         paths = F.concat(paths, F.coalesce(_prefixed(f"{field}[].", inner), nothing))
     paths = F.array_intersect(paths, F.array(*map(F.lit, known)))
     return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
@@ -163,24 +168,32 @@ def _turns(record: Column, m: Listed | Fielded) -> Column:
 
 
 def from_records(df: DataFrame, record: str, mappings=MAPPINGS) -> DataFrame:
-    """``df`` with ``layout`` (name of the mapping) and ``turns``."""
+    """``df`` with ``layout`` (name of the mapping) and ``turns``.
+
+    Both are NULL where no mapping fits, also where an item of a list lacks a field of the
+    mapping that fits the record as a whole: no turn is lost without notice.
+    """
     by_hash = {fingerprint(m.paths()): m for m in mappings}
     mark, layout, turns = record_fingerprint(F.col(record), mappings), F.lit(None).cast("string"), F.lit(None)
     for h, m in by_hash.items():
-        layout = F.when(F.col("_mark") == h, m.name).otherwise(layout)
-        turns = F.when(F.col("_mark") == h, _turns(F.col(record), m)).otherwise(turns)
+        fits = F.col("_mark") == h
+        if isinstance(m, Listed):
+            own = F.array(F.lit(m.role), F.lit(m.text))
+            fits &= F.coalesce(F.forall(_items(F.col(record), m.field), lambda x: F.size(F.array_intersect(x, own)) == 2), F.lit(False))
+        layout = F.when(fits, m.name).otherwise(layout)
+        turns = F.when(fits, _turns(F.col(record), m)).otherwise(turns)
     return df.withColumn("_mark", mark).withColumns({"layout": layout, "turns": turns}).drop("_mark")
 
 
 def from_rows(df: DataFrame, mappings=ROW_MAPPINGS) -> DataFrame:
-    """``conv_id, turns`` of a table with one row per turn; other columns are not read."""
+    """``conv_id, turns`` of a table with one row per turn, roles as given; other columns are not read."""
     there = schema_paths(df.schema)
     known = {fingerprint(m.paths()): m for m in mappings}
     names = {p for m in mappings for p in m.paths()}
     found = known.get(fingerprint([p for p in there if p in names]))
     if found is None:
         raise ValueError(f"no mapping for the field paths {sorted(there)}")
-    turn = F.struct(F.col(found.turn).alias("turn"), _role(F.col(found.role)).alias("role"),
+    turn = F.struct(F.col(found.turn).alias("turn"), F.coalesce(F.col(found.role), F.lit("")).alias("role"),
                     F.coalesce(F.col(found.text), F.lit("")).alias("text"))
     rows = df.select(F.col(found.conversation).alias("conv_id"), turn.alias("_t"))
     turns = F.transform(F.array_sort(F.collect_list("_t"), _by_turn), lambda t: F.struct(t["role"], t["text"]))
@@ -220,13 +233,16 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
         unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")))
 
 
-def masked_text(formatted: Column, mask: Column) -> Column:
-    """What stands under the loss mask, unescaped."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("text"))
-    return F.aggregate(mask, start, lambda acc, r: F.struct(
-        (acc["at"] + r["length"]).alias("at"),
-        F.when(r["trained"], F.concat(acc["text"], unescape(F.substr(formatted, acc["at"].cast("int"), r["length"].cast("int")))))
-        .otherwise(acc["text"]).alias("text")), lambda acc: acc["text"])
+def masked_text(formatted: Column, mask: Column, template: Template = Template()) -> Column:
+    """What stands under the loss mask, unescaped.
+
+    The text is cut at the ends of turns once, and the three runs of a turn are measured
+    inside its own piece, so a long conversation is read in proportion to its length.
+    """
+    turns = F.filter(F.split(formatted, _quoted(template.close)), lambda x: x != "")
+    text = lambda x, i: F.substr(x, F.get(mask, 3 * i)["length"].cast("int") + 1, F.get(mask, 3 * i + 1)["length"].cast("int"))
+    said = F.transform(turns, lambda x, i: F.when(F.get(mask, 3 * i + 1)["trained"], unescape(text(x, i))).otherwise(F.lit("")))
+    return F.array_join(said, "")
 
 
 def _quoted(text: str) -> str:

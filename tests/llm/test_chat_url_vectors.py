@@ -197,3 +197,19 @@ def test_components_of_paths_and_stars(spark):
 
 def test_fingerprint_ignores_order():
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b", "a"]) == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_no_turn_is_lost_in_mixed_lists(spark):
+    """An item with other fields than the mapping's gives NULL turns; a NULL text is empty; roles of rows stay as given."""
+    records = {
+        "whole": '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": null, "id": 3}]}',
+        "mixed": '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "text": "lost"}]}',
+        "late": '{"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}',
+        "odd": '{"messages": [{"role": "user", "content": "a"}, 7]}',
+    }
+    got = {r.name: r for r in chat.from_records(spark.createDataFrame(list(records.items()), "name string, record string"), "record").collect()}
+    assert [(t.role, t.text) for t in got["whole"].turns] == [("user", "a"), ("assistant", "")]
+    assert all(got[n].turns is None and got[n].layout is None for n in ("mixed", "late", "odd"))
+    rows = spark.createDataFrame([(1, 0, "Human", "x"), (1, 1, "gpt", "y"), (1, 2, "assistant", "z"), (1, 3, None, "n")], "conv_id long, turn long, role string, text string")
+    out = chat.format_turns(chat.from_rows(rows)).select(chat.read_back(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    assert [t.role for t in out.t] == ["Human", "gpt", "assistant", ""] and out.loss == "z"
