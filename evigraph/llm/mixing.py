@@ -133,13 +133,14 @@ def schedule(shares: DataFrame, run: int = RUN, step: int = STEP) -> DataFrame:
     begin = F.col("run") * run
     slots = runs.repartition("run").select("run", F.explode(F.sequence(begin, F.least(begin + run, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("point", F.pmod(F.pmod("slot", F.lit(POINTS)) * step, F.lit(POINTS))).withColumn("cell", F.floor(F.col("point") / CELL))
-    placed = slots.join(cells, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    # Sizes of generated rows are guessed far too low, so the joins on them are never left to be broadcasts.
+    placed = slots.join(cells.hint("merge"), "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     placed = placed.select("slot", "run", "source", "blocks", "need")
     counts = placed.groupBy("source", "run").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("source", "run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     ranked = placed.withColumn("_in", F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1).alias("p")
-    ranked = ranked.join(base.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.run") == F.col("b.run")))
+    ranked = ranked.join(base.hint("merge").alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.run") == F.col("b.run")))
     rank = (F.col("_base") + F.col("_in")).cast("long")
     out = ranked.select("slot", "p.source", "blocks", "need", rank.alias("rank")).filter("rank < need")
     # Reduced factors, so that no product leaves 64 bits.
@@ -163,7 +164,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``doc_id, source, size, source_size, target, taken`` for every row."""
     sized = sizes(docs, id_col, text_col, source_col)
     shares = stored(blocks(targets(sized), block, fewest), "targets")
-    uses = schedule(shares, step=step).groupBy("source", "block").agg(F.count("*").alias("uses")).alias("u")
+    uses = stored(schedule(shares, step=step).groupBy("source", "block").agg(F.count("*").alias("uses")), "uses").alias("u")
     parts = _parts(sized, shares).alias("p").join(uses, F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
     taken = parts.groupBy("row_key").agg(F.sum((F.col("to") - F.col("from")) * F.col("uses")).alias("taken"))
     once = sized.groupBy("row_key", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
@@ -188,7 +189,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = sizes(docs, id_col, text_col, source_col)
     shares = stored(blocks(targets(sized), block, fewest), "targets")
     parts = _parts(sized, shares).alias("p").join(
-        schedule(shares, step=step).alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
+        stored(schedule(shares, step=step), "slots").alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
     parts = parts.select("row_key", "start", "size", "pass", "p.block", "slot", "from", "to")
     order = Window.partitionBy("row_key", "start", "pass").orderBy("block")
     stretches = parts.withColumn("_s", F.col("block") - F.row_number().over(order)).groupBy("row_key", "start", "pass", "_s").agg(
