@@ -2,12 +2,14 @@
 
 Texts are folded: lower case, look-alike letters of other scripts and full-width letters
 to Latin, digits and signs that stand for letters to those letters, invisible characters
-dropped.  The lexicon is learned from ``TRAIN_ROWS`` labelled rows: words and beginnings
-of words are counted by label in Spark, and those kept are significantly toxic after
-allowing for the number of candidates; a term's weight is its smoothed log odds.  One
-Aho-Corasick automaton finds all terms at once.  A hit inside an exception phrase (a pair
-of neighbouring words that is mostly harmless in training) does not count.  The sum of
-weights, also divided by the length of the text, goes through a logistic curve.
+dropped; ``i``, ``l`` and ``1`` are written for one another, so all become ``i``.  The
+lexicon is learned from ``TRAIN_ROWS`` labelled rows: whole words, and beginnings of words
+up to ``LONGEST`` letters, are counted by label in Spark, and all are kept that are
+significantly toxic after allowing for the number of candidates; a term's weight is its
+smoothed log odds.  One Aho-Corasick automaton finds all terms at once.  A hit inside an
+exception phrase (a pair of neighbouring words that is mostly harmless in training) does
+not count.  The sum of weights, also divided by the length of the text, goes through a
+logistic curve.  Terms and phrases have no cap: the training rows bound them.
 
 Defined cases: NULL and empty texts have no hits and get the score of hit-free texts;
 NULL labels are not learned from; without training rows of both labels the lexicon is
@@ -35,19 +37,19 @@ from .common import bucket, read, stored, text_slices
 # Letters that look like Latin ones, and signs written for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s",
-    "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ӏ": "l", "ո": "n", "ս": "u", "ѵ": "v", "ԝ": "w",
-    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
+    "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ӏ": "i", "ո": "n", "ս": "u", "ѵ": "v", "ԝ": "w",
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "l": "i",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-# Terms are words or beginnings of words of SHORTEST to LONGEST letters.
+# Terms are words of SHORTEST letters or more, or beginnings of words of SHORTEST to LONGEST letters.
 SHORTEST, LONGEST = 3, 12
 # A term must be this pure, and its chance of arising by luck among all candidates below LUCK.
 PURE, LUCK = 0.8, 0.05
 # Scores from here on mean toxic.
 REJECT = 0.7
-# Labelled rows learned from (smallest hashes of the id), terms and exception phrases kept (most frequent first).
-TRAIN_ROWS, MAX_TERMS, MAX_PHRASES = 30000, 5000, 2000
+# Labelled rows learned from (smallest hashes of the id).
+TRAIN_ROWS = 30000
 
 _FOLD = {ord(a): b for a, b in (LOOKALIKES | SUBSTITUTES).items()} | {ord(c): None for c in INVISIBLE}
 _WORD = re.compile(r"[^\W_]+")
@@ -64,6 +66,17 @@ def fold(text: str | None) -> str:
     return _BANG.sub("i", text) if "!" in text else text
 
 
+def _word_before(text: str, start: int) -> str:
+    """The last word that ends before ``start``, however far away."""
+    end = start
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    begin = end
+    while begin and text[begin - 1].isalnum():
+        begin -= 1
+    return text[begin:end]
+
+
 @dataclass(frozen=True)
 class Model:
     terms: tuple[tuple[str, float], ...] = ()
@@ -88,9 +101,8 @@ class Model:
             if start and text[start - 1].isalnum():
                 continue
             word = _WORD.match(text, start).group()
-            before = _WORD.findall(text, max(0, start - 40), start)
-            after = _WORD.search(text, start + len(word), start + len(word) + 40)
-            yield term, weight, f"{before[-1] if before else ''} {word}", f"{word} {after.group() if after else ''}"
+            after = _WORD.search(text, start + len(word))
+            yield term, weight, f"{_word_before(text, start)} {word}", f"{word} {after.group() if after else ''}"
 
     def features(self, raw: str | None) -> tuple[float, float]:
         """Log of the total weight, and the total weight per ten words."""
@@ -115,7 +127,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            (toxic if label else clean).update({w[:LONGEST + 1] for w in _WORD.findall(fold(text)) if len(w) >= SHORTEST})
+            (toxic if label else clean).update({w for w in _WORD.findall(fold(text)) if len(w) >= SHORTEST})
         words = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())],
@@ -130,9 +142,10 @@ def _lexicon(train: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, int]
         return (), n_toxic, n_clean
     words = train.select("text", "label").mapInArrow(_count_words, "word string, toxic long, clean long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    begin = F.explode(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))).alias("k")
-    # A term that reaches its word's end is marked by its own row; longer words share the beginning.
-    terms = words.select("word", "toxic", "clean", begin).select(F.expr("substring(word, 1, k)").alias("term"), "toxic", "clean")
+    length = F.length("word")
+    ends = F.sequence(F.lit(SHORTEST), F.least(length, F.lit(LONGEST)))
+    ends = F.when(length > LONGEST, F.concat(ends, F.array(length))).otherwise(ends)
+    terms = words.select("word", "toxic", "clean", F.explode(ends).alias("k")).select(F.expr("substring(word, 1, k)").alias("term"), "toxic", "clean")
     terms = terms.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = n_toxic / (n_toxic + n_clean)
     seen = F.col("toxic") + F.col("clean")
@@ -142,14 +155,19 @@ def _lexicon(train: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, int]
     pure = scored.filter((F.col("toxic") + 0.5) / (seen + 1.0) >= PURE)
     # Bounded at the luck of the largest possible number of candidates: the terms counted above.
     candidates = max(1, terms.count())
-    kept = pure.filter(F.col("gain") >= math.log(candidates / LUCK)).orderBy(F.desc("toxic"), "term").limit(4 * MAX_TERMS)
+    kept = pure.filter(F.col("gain") >= math.log(candidates / LUCK))
     found = {r["term"]: (r["toxic"], r["clean"]) for r in kept.collect()}
     # Of beginnings with the same counts the longest says the same more exactly.
-    exact = {t: c for t, c in found.items() if not any(found.get(t + x) == c for x in {u[len(t)] for u in found if len(u) == len(t) + 1 and u.startswith(t)})}
+    vague = {t[:-1] if len(t) <= LONGEST else t[:LONGEST] for t, c in found.items() if found.get(t[:-1] if len(t) <= LONGEST else t[:LONGEST]) == c}
+    exact = {t: c for t, c in found.items() if t not in vague}
     # A term behind another term adds nothing.
-    short = [t for t in sorted(exact, key=lambda t: (-exact[t][0], t)) if not any(t[:k] in exact for k in range(SHORTEST, len(t)))]
+    short: list[str] = []
+    for t in sorted(exact):
+        if not short or not t.startswith(short[-1]):
+            short.append(t)
+    short.sort(key=lambda t: (-exact[t][0], t))
     weight = lambda t, c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-    return tuple((t, weight(*exact[t])) for t in short[:MAX_TERMS]), n_toxic, n_clean
+    return tuple((t, weight(*exact[t])) for t in short), n_toxic, n_clean
 
 
 def _phrases(train: DataFrame, terms) -> frozenset[str]:
@@ -166,7 +184,7 @@ def _phrases(train: DataFrame, terms) -> frozenset[str]:
 
     found = train.select("text", "label").mapInArrow(run, "phrase string, toxic long, clean long").groupBy("phrase").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    mild = found.filter("clean >= 3 AND toxic * 4 <= clean").orderBy(F.desc("clean"), "phrase").limit(MAX_PHRASES)
+    mild = found.filter("clean >= 3 AND toxic * 4 <= clean")
     return frozenset(r["phrase"] for r in mild.collect())
 
 

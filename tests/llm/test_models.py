@@ -1,5 +1,7 @@
 """Toxicity, quality and the language model: edge cases, held-out accuracy, brute force."""
 
+import collections
+import itertools
 import math
 
 import numpy as np
@@ -48,13 +50,67 @@ def toxic_model(spark):
 
 def test_lexicon_folds_and_exceptions(toxic_model):
     terms = dict(toxic_model.terms)
-    assert any("grubler".startswith(t) for t in terms) and all(w > 0 for w in terms.values())
+    assert any(toxicity.fold("grubler").startswith(t) for t in terms) and all(w > 0 for w in terms.values())
     plain = toxic_model.score("woak wobl wocm")
-    for text in ("a grubler b", "GRUBLERS", "grub1er".replace("1", "l"), "gruble\u200br", "\u0261rubler", "grubl3r", "ｇｒｕｂｌｅｒ", "grubler!"):
+    for text in ("a grubler b", "GRUBLERS", "grub1er", "grubIer", "gruble\u200br", "\u0261rubler", "grubl3r", "ｇｒｕｂｌｅｒ", "grubler!"):
         assert toxic_model.score(text) > 0.7 > plain, text
     assert toxic_model.score("xgrubler") == plain
     assert plain == toxic_model.score("") == toxic_model.score(None) < 0.5
-    assert "garden snarkoid" not in toxic_model.phrases or toxic_model.score("garden snarkoid") == plain
+
+
+def test_hits_equal_plain_search(toxic_model):
+    """Every word that starts with a term is one hit, with its neighbours at any distance; phrases with either neighbour take it out."""
+    rng = np.random.default_rng(3)
+    parts = ["grubler", "Grub1ers", "snarkoid", "garden", "xgrubler", "snark", "woak", "_", "...", " " * 90, "\n", "q" * 70, "а", "5nark0id-5narkoid"]
+    model = toxicity.Model((*toxic_model.terms, ("pnevmonouitra", 2.0)), frozenset({"garden " + toxicity.fold("snarkoid")}), (-2.0, 1.0, 0.5))
+    for n in (0, 1, 2, 40, 400):
+        text = " ".join(rng.choice(parts, n))
+        folded = toxicity.fold(text)
+        words = ["".join(g) for ok, g in itertools.groupby(folded, str.isalnum) if ok]
+        total, hits = 0.0, 0
+        for i, word in enumerate(words):
+            near = {f"{words[i - 1] if i else ''} {word}", f"{word} {words[i + 1] if i + 1 < len(words) else ''}"}
+            for term, weight in model.terms:
+                if word.startswith(term):
+                    hits += 1
+                    total += 0.0 if near & model.phrases else weight
+        assert len(list(model.hits(folded))) == hits
+        x, y = model.features(text)
+        assert x == pytest.approx(math.log1p(total)) and y == pytest.approx(10 * total / max(1, len(folded.split())))
+
+
+def test_lexicon_equals_counts_by_hand(spark):
+    """Terms and weights equal a plain count over words and beginnings; words beyond the longest beginning count whole; nothing is capped."""
+    long_word = "abcdefghabcdefgh"
+    rows = [(i, f"plain{i % 7} " + (f"{long_word}{'xy'[i % 2]} snarkoid{i % 3}" if i % 4 == 0 else "calm words"), int(i % 4 == 0)) for i in range(240)]
+    docs = docs_frame(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    counts = collections.defaultdict(lambda: [0, 0])
+    for _, text, y in rows:
+        for word in set(toxicity.fold(text).split()):
+            if len(word) >= toxicity.SHORTEST:
+                for k in {*range(toxicity.SHORTEST, min(len(word), toxicity.LONGEST) + 1), len(word)}:
+                    counts[word[:k], word][1 - y] += 1
+    terms = collections.defaultdict(lambda: [0, 0])
+    for (term, _), (t, c) in counts.items():
+        terms[term][0] += t
+        terms[term][1] += c
+    n_toxic = sum(y for _, _, y in rows)
+    rate, bar = n_toxic / len(rows), math.log(len(terms) / toxicity.LUCK)
+    kept = {t: (a, b) for t, (a, b) in terms.items()
+            if a >= 2 and (a + 0.5) / (a + b + 1) >= toxicity.PURE and a * math.log(a / (a + b) / rate) + (b * math.log(b / (a + b) / (1 - rate)) if b else 0) >= bar}
+    one_more = lambda t, u: len(u) == len(t) + 1 <= toxicity.LONGEST or len(t) == toxicity.LONGEST < len(u) and u.startswith(t)
+    exact = {t for t in kept if not any(u.startswith(t) and one_more(t, u) and kept[u] == kept[t] for u in kept)}
+    short = {t for t in exact if not any(t != u and t.startswith(u) for u in exact)}
+    weight = {t: math.log((kept[t][0] + 0.5) / (n_toxic + 1)) - math.log((kept[t][1] + 0.5) / (len(rows) - n_toxic + 1)) for t in short}
+    assert dict(model.terms) == pytest.approx(weight) and len(short) >= 2
+
+
+def test_exception_phrase_is_learned(spark):
+    rows = [(i, f"calm{i % 9} " + ("you snarkoid" if i % 4 == 0 else "garden snarkoid fair" if i % 40 == 1 else "talk"), int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.learn(docs_frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "garden " + toxicity.fold("snarkoid") in model.phrases
+    assert model.score("garden" + " " * 200 + "snarkoid") == model.score("talk") < 0.7 < model.score("you snarkoid")
 
 
 def test_longer_texts_dilute(toxic_model):
