@@ -41,6 +41,16 @@ def test_exact_keep_and_empty(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).collect() == []
 
 
+def test_shared_identifiers_are_told_apart(spark):
+    """Chunks that share an identifier by chance are told apart by digest or length, at their place."""
+    a, b, c, d = (7, 1, 1, 300), (7, 1, 2, 300), (9, 5, 5, 20), (7, 1, 1, 301)
+    lists = [[a, c], [b, c], [a, c], [c, a], [d, c], [c], [], [b, c], [], [a, b], [b, a]]
+    rows = [(i % 3, i, 50 - i, i, str(x), b"".join(e[0].to_bytes(8, "big") for e in x), x) for i, x in enumerate(lists)]
+    got = exact_dedup.grouped(spark.createDataFrame(rows, exact_dedup.RECIPE_SCHEMA)).collect()
+    want = {(50 - i, 50 - max(j for j, y in enumerate(lists) if y == x), lists.count(x)) for i, x in enumerate(lists)}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == want and len(got) == len(lists)
+
+
 def test_chunks_follow_content(spark):
     raw = exact_dedup.normalise(LONG)
     ends = exact_dedup.cut_points(raw)
