@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import tags
@@ -248,6 +248,99 @@ def repair_action_rank(actions: DataFrame, context: DataFrame, keep: int = 3) ->
     return top_k(scored, ["session_id"], [F.desc("repair_score"), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
 
 
+# --- fixed values: what can be learned without an examination ---------------------------------------------
+EXAM_MODES = ("needs_lab_test", "needs_imaging", "needs_pathogen_test")
+ASK_MODES = ("direct_ask", "history_known")
+OBSERVABLE_LABELS = ("ClinicalFinding", "RiskFactor", "ClinicalAttribute", "PopulationGroup")
+PROBE_BACKGROUND = ("hiv", "艾滋", "cd4", "t淋巴", "免疫", "年龄", "性别", "发热", "既往病史")
+# The action at hand stays unless the best is ahead by more than this.
+EXPLORER_LEAD = 0.2
+
+
+def observable(mode: Column, cost: Column, label: Column) -> Column:
+    """The action asks for something that costs no examination; NULL counts as empty."""
+    m, c, at = (F.coalesce(x, F.lit("")) for x in (mode, cost, label))
+    return ~m.isin(*EXAM_MODES) & (c != "high") & (m.isin(*ASK_MODES) | (c == "low") | at.isin(*OBSERVABLE_LABELS))
+
+
+def explorer_score() -> Column:
+    """Worth of a cheap question: answerability, gain, novelty, role, and a family not touched last."""
+    c = F.col
+    plain = lambda t: F.filter(F.coalesce(t, F.array().cast("array<string>")), lambda x: (x != "") & ~x.startswith("type:"))
+    recent = plain(c("recent_tags"))
+    other = (F.size(recent) > 0) & ~F.coalesce(F.arrays_overlap(recent, plain(c("tags"))), F.lit(False))
+    return (c("action_score") + c("answerability") * 1.2 + c("gain") * 1.1 + c("novelty") * 0.65 + c("ask_bonus") * 1.6
+            + map_value(c("role"), ROLE_PRIORITY, 0.2) * 1.55 + F.when(other, 0.45).otherwise(0.0)
+            - F.when(c("role") == "background_context", 1.15).otherwise(0.0) - c("burden") * 0.15)
+
+
+def _explored(actions: DataFrame, context: DataFrame) -> DataFrame:
+    """All actions of the sessions of ``context`` with ``explorer_score`` and ``_pool``: what the explorer may choose."""
+    c = F.col
+    scored = actions.join(context, "session_id").withColumns({"explorer_score": explorer_score(), "_low": observable(c("mode"), c("cost"), c("label"))})
+    definition = F.coalesce(c("_low") & (c("rel").isin(*DEFINITION_RELATIONS) | ((c("hint") == "detail") & c("label").isin("ClinicalAttribute", "LabFinding"))
+                                         | ((c("ask_bonus") > 0) & (c("label") == "ClinicalAttribute"))), F.lit(False))
+    session = Window.partitionBy("session_id")  # a session has few actions: candidates times the evidence limit
+    scored = scored.withColumn("_definition", definition).withColumn(
+        "_only", F.coalesce(c("definition_only"), F.lit(False)) & F.max("_definition").over(session))
+    return scored.withColumn("_pool", c("_low") & (~c("_only") | c("_definition")))
+
+
+EXPLORER_ORDER = ("explorer_score", "action_score")
+
+
+def explorer_rank(actions: DataFrame, context: DataFrame, keep: int = 3) -> DataFrame:
+    """Best questions per session that cost no examination.
+
+    ``actions``: rows of ``verification_actions`` with ``role``; ``context``: one row per
+    session with ``recent_tags`` and ``definition_only`` (fall back to definitions, if the
+    session has any, after examinations without result).  Ties: the better action score,
+    then name, node and candidate.  Sessions without such a question give no row.
+    """
+    pool = _explored(actions, context).where("_pool").drop("_low", "_definition", "_only", "_pool")
+    return top_k(pool, ["session_id"], [*map(F.desc, EXPLORER_ORDER), F.col("name"), F.col("node_id"), F.col("candidate_id")], keep)
+
+
+def explorer_choice(actions: DataFrame, context: DataFrame, lead: float = EXPLORER_LEAD) -> DataFrame:
+    """``session_id, candidate_id, node_id, explorer_score, by_explorer``: what is asked next.
+
+    ``context`` also has ``selected_candidate, selected_node``, the action at hand (NULL: none).
+    It stays if it is within ``lead`` of the best; an action that is no cheap question counts as -1.
+    ``explorer_score`` is the score of the best question, NULL where there is none.
+    """
+    c = F.col
+    explored = _explored(actions, context)
+    mine = (c("candidate_id") == c("selected_candidate")) & (c("node_id") == c("selected_node"))
+    order = F.struct(*[(-c(x)).alias(f"_{x}") for x in EXPLORER_ORDER], "name", "node_id", "candidate_id")
+    out = explored.groupBy("session_id").agg(
+        F.min(F.when(c("_pool"), order)).alias("best"), F.max(F.when(mine & c("_low"), c("explorer_score"))).alias("own"),
+        F.first("selected_candidate").alias("sc"), F.first("selected_node").alias("sn"))
+    best = -c("best._explorer_score")
+    stays = c("best").isNull() | (c("sn").isNotNull() & (F.coalesce("own", F.lit(-1.0)) >= best - lead))
+    pick = lambda old, new: F.when(stays, c(old)).otherwise(c(new))
+    out = out.select("session_id", pick("sc", "best.candidate_id").alias("candidate_id"), pick("sn", "best.node_id").alias("node_id"),
+                     best.alias("explorer_score"), (~stays).alias("by_explorer"))
+    return out.where("node_id IS NOT NULL")
+
+
+def cold_start_probe(probes: DataFrame, background: Sequence[str] = PROBE_BACKGROUND, expansion: bool = True) -> DataFrame:
+    """``session_id, candidate_id, node_id, probe_score``: the question to begin a session with.
+
+    ``probes``: ``session_id, candidate_id, node_id, name, label, hint, priority, weight, gain,
+    red_flag`` of what was not asked yet.  Questions about the background lose much while a
+    session has others, little when it has none, so both orders are kept in one aggregate.
+    """
+    c = F.col
+    common = contains_any(match_text(F.concat_ws(" ", "name", "label", "hint"), drop=" -_/+"), background)
+    score = c("priority") + c("weight") + c("gain") * 1.5 + F.when(c("red_flag"), 2.0).otherwise(0.0) + (2.2 if expansion else 0.0)
+    score = score + F.when(c("label") == "ClinicalFinding", 0.35).when(c("label").isin("RiskFactor", "PopulationGroup") & c("candidate_id").isNotNull(), -0.35).otherwise(0.0)
+    p = probes.withColumns({"_s": score, "_common": common})
+    order = lambda loss: F.min(F.struct(-(c("_s") - F.when(c("_common"), loss).otherwise(0.0)), "name", "node_id", "candidate_id"))
+    both = p.groupBy("session_id").agg(order(2.4).alias("mixed"), order(0.35).alias("alone"), F.min("_common").alias("only"))
+    best = both.select("session_id", F.when(c("only"), c("alone")).otherwise(c("mixed")).alias("b"))
+    return best.select("session_id", "b.candidate_id", "b.node_id", (-c("b.col1")).alias("probe_score"))
+
+
 # --- fixed values: how a test the patient names and an evidence name belong together ---------------------
 EXAM_NAMES = {
     "lab": ((("cd4", "t淋巴"), ("cd4", "t淋巴", "免疫")), (("βd葡聚糖", "bdg", "g试验", "葡聚糖"), ("βd葡聚糖", "bdg", "葡聚糖", "g试验")),

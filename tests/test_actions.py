@@ -143,3 +143,50 @@ def test_escalation_reasons(spark):
     got = {r.session_id: r.reasons for r in k.escalate(df).collect()}
     assert got == {1: "zero_anchor", 3: "repeated_rejection", 4: "costly_gap", 7: "repeated_rejection"}
     assert spark.range(1).select(k.costly_evidence(F.lit("胸部 CT 报告"))).first()[0] is True
+
+
+EXPLORE = ("session_id long, candidate_id string, node_id string, name string, label string, rel string, hint string, mode string, cost string, role string, tags array<string>, "
+           "action_score double, answerability double, gain double, novelty double, ask_bonus double, burden double")
+
+
+def explore(spark):
+    one = lambda s, n, label, rel, hint, mode, cost, role, score, tags=("phenotype",), bonus=0.0: (
+        s, "D1", n, n, label, rel, hint, mode, cost, role, list(tags), score, 1.0, 0.0, 0.0, bonus, 0.0)
+    return spark.createDataFrame([
+        one(1, "cough", "ClinicalFinding", "MANIFESTS_AS", "symptom", "direct_ask", "low", "phenotype_support", 2.0),
+        one(1, "ct", "ImagingFinding", "HAS_IMAGING_FINDING", "imaging", "needs_imaging", "high", "disease_specific_anchor", 9.0),
+        one(1, "detail", "ClinicalAttribute", "REQUIRES_DETAIL", "detail", "direct_ask", "low", "definition_anchor", 1.0, ("detail",)),
+        one(1, "age", "PopulationGroup", "APPLIES_TO", "risk", None, None, "background_context", 2.1),
+        one(2, "ct", "ImagingFinding", "HAS_IMAGING_FINDING", "imaging", "needs_imaging", "high", "disease_specific_anchor", 9.0),
+        one(3, "b", "ClinicalFinding", "MANIFESTS_AS", "symptom", "direct_ask", "low", "phenotype_support", 2.0),
+        one(3, "a", "ClinicalFinding", "MANIFESTS_AS", "symptom", "direct_ask", "low", "phenotype_support", 2.0),
+        one(3, "near", "ClinicalFinding", "MANIFESTS_AS", "symptom", "direct_ask", "low", "phenotype_support", 1.9),
+    ], EXPLORE)
+
+
+def test_explorer_takes_cheap_questions_only(spark):
+    ctx = spark.createDataFrame([(1, ["phenotype", "type:symptom"], False), (2, None, False), (3, [], None)],
+                                "session_id long, recent_tags array<string>, definition_only boolean")
+    got = {(r.session_id, r["rank"]): (r.node_id, pytest.approx(r.explorer_score)) for r in ac.explorer_rank(explore(spark), ctx).collect()}
+    # a new family adds 0.45; background loses 1.15 and has no role; examinations never enter; ties go by name
+    assert got == {(1, 1): ("detail", 1.0 + 1.2 + 0.92 * 1.55 + 0.45), (1, 2): ("cough", 2.0 + 1.2 + 0.48 * 1.55), (1, 3): ("age", 2.1 + 1.2 - 1.15),
+                   (3, 1): ("a", 3.2 + 0.744), (3, 2): ("b", 3.2 + 0.744), (3, 3): ("near", 3.1 + 0.744)}
+    only = spark.createDataFrame([(1, [], True), (3, [], True)], "session_id long, recent_tags array<string>, definition_only boolean")
+    assert [(r.session_id, r.node_id) for r in ac.explorer_rank(explore(spark), only, keep=1).orderBy("session_id").collect()] == [(1, "detail"), (3, "a")]
+
+
+def test_explorer_keeps_the_action_at_hand_within_its_lead(spark):
+    ctx = spark.createDataFrame([(1, [], False, "D1", "ct"), (2, [], False, "D1", "ct"), (3, [], False, "D1", "near")],
+                                "session_id long, recent_tags array<string>, definition_only boolean, selected_candidate string, selected_node string")
+    got = {r.session_id: (r.node_id, r.by_explorer) for r in ac.explorer_choice(explore(spark), ctx).collect()}
+    assert got == {1: ("cough", True), 2: ("ct", False), 3: ("near", False)}
+    assert {r.session_id: r.node_id for r in ac.explorer_choice(explore(spark), ctx, lead=0.05).collect()}[3] == "a"
+
+
+def test_cold_start_avoids_background_while_there_is_other(spark):
+    rows = [(1, "D1", "n1", "HIV 感染", "RiskFactor", "risk", 9.0, 1.0, 1.0, True), (1, "D1", "n2", "干咳", "ClinicalFinding", "symptom", 8.0, 1.0, 1.0, True),
+            (2, None, "n3", "年龄", "PopulationGroup", "risk", 1.0, 0.0, 0.0, False), (2, None, "n4", "CD4 计数", "LabFinding", "lab", 1.0, 0.0, 0.0, False)]
+    probes = spark.createDataFrame(rows, "session_id long, candidate_id string, node_id string, name string, label string, hint string, priority double, weight double, gain double, red_flag boolean")
+    got = {r.session_id: (r.node_id, round(r.probe_score, 6)) for r in ac.cold_start_probe(probes).collect()}
+    assert got == {1: ("n2", round(8 + 1 + 1.5 + 2 + 2.2 + 0.35, 6)), 2: ("n4", round(1 + 2.2 - 0.35, 6))}
+    assert ac.cold_start_probe(probes.limit(0)).collect() == []
