@@ -74,11 +74,6 @@ def map_value(col: Column, mapping: Mapping[str, object], default: object = None
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def spelling_map(spellings: Mapping[str, Iterable[str]]) -> dict[str, str]:
-    """``{canonical: spellings}`` turned into ``{spelling: canonical}``."""
-    return {s: canonical for canonical, group in spellings.items() for s in group}
-
-
 def hash_id(prefix: str, *parts: Column, sep: str = "|", digits: int = 12) -> Column:
     """``prefix`` plus the first hex digits of the SHA-1 of the joined parts."""
     joined = F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

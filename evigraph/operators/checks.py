@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, contains_any, map_value, spelling_map, strip, vocabulary_key
+from ..functions.text import blank, contains_any, map_value, strip, vocabulary_key
 from ..functions.vocab import (
     CLINICIAN_MARKERS, COST_SPELLINGS, COSTS, DETAIL_LEVELS, GENERIC_IMAGING_NAMES, LAB_TEST_PATTERNS, LABELS,
     MODE_COST, MODE_SPELLINGS, PATHOGEN_MARKERS, RELATION_TYPES,
@@ -48,12 +48,12 @@ def safe_name(col: Column) -> Column:
 def normalize_mode(col: Column) -> Column:
     """Canonical acquisition mode of a free spelling, NULL when unknown."""
     raw = strip(col)
-    return F.when(raw.isin(*MODE_COST), raw).otherwise(map_value(vocabulary_key(raw), spelling_map(MODE_SPELLINGS)))
+    return F.when(raw.isin(*MODE_COST), raw).otherwise(map_value(vocabulary_key(raw), MODE_SPELLINGS))
 
 
 def normalize_cost(col: Column) -> Column:
     raw = strip(col)
-    return F.when(raw.isin(*COSTS), raw).otherwise(map_value(vocabulary_key(raw), spelling_map(COST_SPELLINGS)))
+    return F.when(raw.isin(*COSTS), raw).otherwise(map_value(vocabulary_key(raw), COST_SPELLINGS))
 
 
 def infer_mode(label: Column, text: Column, pathogen_markers: Sequence[str] = PATHOGEN_MARKERS,

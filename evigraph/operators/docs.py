@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, strip
+from ..functions.text import contains_any, let, strip
 
 # --- fixed values: cleaning patterns ---------------------------------------------------------
 ZERO_WIDTH = "[\\u200b\\u200c\\u200d\\u2060]"
@@ -35,6 +35,10 @@ UNITS = ((r"(?i)(?:个|cells)\s*/\s*(?:μL|uL|ul)", "/μL", "normalized_cells_pe
          (r"(?i)(?:拷贝|copies)\s*/\s*mL", "copies/mL", "normalized_copies_per_ml_count"),
          (r"(?i)pg\s*/\s*mL", "pg/mL", "normalized_pg_per_ml_count"),
          (r"(?i)mg\s*/\s*L", "mg/L", "normalized_mg_per_l_count"))
+# What a text must hold for a rule to find anything, by the count the rule fills.
+NEEDS = {**{stat: (mark,) for mark, _, stat in SYMBOLS}, "collapsed_internal_spaces": ("  ", "\t"), "normalized_ranges": ("~", "～"),
+         "normalized_cd4_term_count": ("4",), "normalized_cd8_term_count": ("8",), "normalized_p24_term_count": ("24",),
+         "normalized_hiv_rna_term_count": ("RNA", "RNa", "RnA", "Rna", "rNA", "rNa", "rnA", "rna"), **{stat: ("/",) for _, _, stat in UNITS}}
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SENTENCE_END = r"(?<=[。！？.!?])\s*"
 
@@ -61,6 +65,8 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     df = df.withColumn("normalized_fullwidth_ascii_count", F.regexp_count("_t", F.lit("[！-～]")).cast("bigint"))
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     df = df.withColumn("_t", F.translate("_t", wide, "".join(chr(ord(c) - 0xFEE0) for c in wide)))
+    # No rule makes a text that a later rule looks for, so what the whole text lacks no line will hold.
+    df = df.withColumn("_has", F.struct(*[contains_any(F.col("_t"), n).alias(stat) for stat, n in NEEDS.items()]))
     line = lambda s: F.struct(s.rlike("^#{1,5}").alias("h"), s.alias("s"))
     df = df.withColumn("_l", F.transform(F.split("_t", "\n"), line))
     # headings: one blank after the marks, trimmed words
@@ -80,10 +86,9 @@ def clean_documents(docs: DataFrame) -> DataFrame:
             n = _count("_l", lambda x: F.when(touch(x), F.regexp_count(x["s"], F.lit(pattern))).otherwise(0))
         done = F.transform("_l", lambda x: F.struct(
             x["h"].alias("h"), F.when(touch(x), F.regexp_replace(x["s"], pattern, repl)).otherwise(x["s"]).alias("s")))
-        # Most texts hold nothing for most rules: one search then saves counting and replacing.
-        df = df.withColumn("_g", F.exists("_l", lambda x: x["s"].rlike(pattern)))
-        df = df.withColumns({stat: F.when(F.col("_g"), n).otherwise(F.lit(0).cast("bigint")), "_r": F.when(F.col("_g"), done).otherwise(F.col("_l"))})
-        return df.withColumn("_l", F.col("_r")).drop("_g", "_r")
+        df = df.withColumns({stat: F.when(F.col("_has")[stat], n).otherwise(F.lit(0).cast("bigint")),
+                             "_r": F.when(F.col("_has")[stat], done).otherwise(F.col("_l"))})
+        return df.withColumn("_l", F.col("_r")).drop("_r")
 
     for pattern, repl, stat in SYMBOLS:
         df = rule(df, pattern, repl, stat)
@@ -109,7 +114,7 @@ def drop_repeats(df: DataFrame) -> DataFrame:
     tally = lambda k: F.size(F.filter("_k", lambda v: v == k)).cast("bigint")
     df = df.withColumns({"removed_duplicate_headings": tally("twin"), "collapsed_blank_lines": tally("run")})
     kept = F.filter(F.zip_with("_l", "_k", lambda x, k: F.when(k == "blank", F.lit("")).when(k == "keep", x["s"])), lambda s: s.isNotNull())
-    return df.withColumn("cleaned", F.concat(F.regexp_replace(F.array_join(kept, "\n"), r"\s+$", ""), F.lit("\n"))).drop("_t", "_l", "_n", "_k")
+    return df.withColumn("cleaned", F.concat(F.regexp_replace(F.array_join(kept, "\n"), r"\s+$", ""), F.lit("\n"))).drop("_t", "_l", "_n", "_k", "_has")
 
 
 COUNTS = ("removed_bom", "removed_zero_width", "replaced_full_width_spaces", "normalized_headings", "removed_duplicate_headings",
@@ -153,15 +158,20 @@ def sections(docs: DataFrame, path: str = "path", text: str = "text", title: Col
         F.get(z["p"], i).alias("heading_path"), i.alias("h"))))
     df = df.withColumn("_s", F.filter(F.concat(F.array(lead), own), lambda x: x.isNotNull()))
     base = F.lit("") if title is None else title
-    first_level = F.transform("_h", lambda h: F.when(h["level"] == 1, h["name"]))
-    df = df.withColumn("_title", first_level)
-    out = df.select(path, F.posexplode("_s").alias("section_no", "s"), "_l", "_title", base.alias("_base"))
-    body = F.slice("_l", F.when(F.col("s.h") >= 0, F.col("s.from") + 2).otherwise(F.lit(1)),
-                   F.col("s.to") - F.when(F.col("s.h") >= 0, F.col("s.from") + 1).otherwise(F.lit(0)))
-    seen = F.filter(F.slice("_title", 1, F.col("s.h") + 1), lambda x: x.isNotNull())
+    # Each section takes its own lines and title here, so no section row carries the document.
+    df = df.withColumn("_title", F.transform("_h", lambda h: F.when(h["level"] == 1, h["name"])))
+    body = lambda ls, x: F.slice(ls, F.when(x["h"] >= 0, x["from"] + 2).otherwise(F.lit(1)),
+                                 x["to"] - F.when(x["h"] >= 0, x["from"] + 1).otherwise(F.lit(0)))
+    named = lambda ts: F.aggregate(ts, F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("all")),
+                                   lambda acc, v: let(F.coalesce(v, acc["now"]), lambda t: F.struct(t.alias("now"), F.concat(acc["all"], F.array(t)).alias("all"))))["all"]
+    df = df.withColumn("_title", named("_title"))
+    df = df.withColumn("_s", let(F.struct(F.col("_l").alias("l"), F.col("_title").alias("t"), F.col("_s").alias("s")), lambda z: F.transform(z["s"], lambda x: F.struct(
+        x["from"].alias("from"), x["to"].alias("to"), x["level"].alias("level"), x["heading_path"].alias("heading_path"),
+        F.get(z["t"], x["h"]).alias("title"), strip(F.array_join(body(z["l"], x), "\n")).alias("body")))))
+    out = df.select(path, base.alias("_base"), F.posexplode("_s").alias("section_no", "s"))
     out = out.select(path, "section_no", F.col("s.heading_path").alias("heading_path"), F.col("s.level").alias("level"),
-                     F.coalesce(F.try_element_at(seen, F.lit(-1)), "_base").alias("title"), (F.col("s.from") + 1).alias("line_start"),
-                     F.col("s.to").alias("line_end"), strip(F.array_join(body, "\n")).alias("body"))
+                     F.coalesce("s.title", "_base").alias("title"), (F.col("s.from") + 1).alias("line_start"),
+                     F.col("s.to").alias("line_end"), F.col("s.body").alias("body"))
     return out.where((F.col("body") != "") | (F.size("heading_path") > 0))
 
 

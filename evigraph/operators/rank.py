@@ -430,7 +430,7 @@ def rank_prior(rank: Column) -> Column:
     return F.greatest(F.lit(0.08) - (rank - 1) * 0.02, F.lit(0.0))
 
 
-def trajectory_groups(trajectories: DataFrame) -> DataFrame:
+def trajectory_groups(trajectories: DataFrame, slice_rows: int = 1024) -> DataFrame:
     """Consistency, diversity, agent score and final score per (session, answer).
 
     ``trajectories``: ``session_id, answer, score100, terminal, actions`` with ``actions`` the
@@ -442,11 +442,18 @@ def trajectory_groups(trajectories: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("score100").alias("s"), F.max("score100").alias("m"), F.sum(flag(F.col("terminal"))).alias("t"))
     total = base.groupBy("session_id").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"))
     sets = trajectories.groupBy(*key, "actions").agg(F.count(F.lit(1)).alias("k"))
-    a = sets.select(*key, F.col("actions").alias("a"), F.col("k").alias("ka"))
-    b = sets.select(*key, F.col("actions").alias("b"), F.col("k").alias("kb"))
-    inter = F.size(F.array_intersect("a", "b"))
-    sim = F.floor(inter * 1000000 / F.greatest(F.size("a") + F.size("b") - inter, F.lit(1)))
-    cross = a.join(b, key).where(F.col("a") < F.col("b")).groupBy(*key).agg(F.sum(sim * F.col("ka") * F.col("kb")).alias("x"))
+    # Only sets with an action in common meet, at the first action they share; frequent actions are
+    # dealt into slices.  Pairs are summed up where they meet and never leave the task.
+    posted = sets.select(*key, F.explode("actions").alias("action"), "actions", "k")
+    load = posted.groupBy(*key, "action").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices"))
+    posted = posted.join(load, [*key, "action"])
+    a = posted.select(*key, "action", F.pmod(F.xxhash64("actions"), "slices").alias("slice"), F.col("actions").alias("a"), F.col("k").alias("ka"))
+    b = posted.select(*key, "action", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"),
+                      F.col("actions").alias("b"), F.col("k").alias("kb"))
+    shared = F.array_intersect("a", "b")
+    meets = a.join(b, [*key, "action", "slice"]).where((F.col("a") < F.col("b")) & (F.get(shared, F.lit(0)) == F.col("action")))
+    sim = F.floor(F.size(shared) * 1000000 / (F.size("a") + F.size("b") - F.size(shared)))
+    cross = meets.groupBy(*key).agg(F.sum(sim * F.col("ka") * F.col("kb")).alias("x"))
     same = sets.groupBy(*key).agg(F.sum(F.floor(F.col("k") * (F.col("k") - 1) / 2) * 1000000).alias("y"))
     out = base.join(total, "session_id").join(same, key).join(cross, key, "left")
     pairs = F.floor(F.col("n") * (F.col("n") - 1) / 2)
