@@ -168,7 +168,8 @@ def sections(docs: DataFrame, path: str = "path", text: str = "text", title: Col
     df = df.withColumn("_s", let(F.struct(F.col("_l").alias("l"), F.col("_title").alias("t"), F.col("_s").alias("s")), lambda z: F.transform(z["s"], lambda x: F.struct(
         x["from"].alias("from"), x["to"].alias("to"), x["level"].alias("level"), x["heading_path"].alias("heading_path"),
         F.get(z["t"], x["h"]).alias("title"), strip(F.array_join(body(z["l"], x), "\n")).alias("body")))))
-    out = df.select(path, base.alias("_base"), F.posexplode("_s").alias("section_no", "s"))
+    # The outer form: a plain explode infers a filter on the array, which is pushed down and builds it twice.
+    out = df.select(path, base.alias("_base"), F.posexplode_outer("_s").alias("section_no", "s")).where("s IS NOT NULL")
     out = out.select(path, "section_no", F.col("s.heading_path").alias("heading_path"), F.col("s.level").alias("level"),
                      F.coalesce("s.title", "_base").alias("title"), (F.col("s.from") + 1).alias("line_start"),
                      F.col("s.to").alias("line_end"), F.col("s.body").alias("body"))
@@ -266,7 +267,7 @@ def chunks(secs: DataFrame, cfg: ChunkConfig = ChunkConfig(), path: str = "path"
         size = F.when(huge, -1).when(fits, joined).otherwise(x["_n"])
         return F.struct(size.alias("size"), no.alias("no"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    marks = arr.select(path, F.inline(F.aggregate("_a", zero, step)["out"]))
+    marks = arr.select(path, F.inline_outer(F.aggregate("_a", zero, step)["out"]))
     m = s.join(marks, [path, "section_no"]).where("kind <> 'huge'")
     parts = m.groupBy(path, "no").agg(F.array_sort(F.collect_list(F.struct(
         "section_no", "kind", "title", "heading_path", "line_start", "line_end", "_r"))).alias("_g"))
@@ -304,7 +305,7 @@ def detect_tables(docs: DataFrame, path: str = "path", text: str = "text", conte
             F.coalesce(F.array_min(F.filter(g, lambda y: y >= i + 2)), F.size(m)) - 1, i + 1).alias("to"))))
 
     df = df.withColumn("_m", shape)
-    df = df.withColumn("_b", let(F.col("_m"), blocks)).where(F.size("_b") > 0)
+    df = df.withColumn("_b", let(F.col("_m"), blocks))
     # a start inside the block before it is part of that block
     zero = F.slice("_b", 1, 0)
     keep = F.aggregate(F.col("_b"), zero, lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["to"] >= x["from"], F.lit(False)), acc).otherwise(
@@ -315,7 +316,7 @@ def detect_tables(docs: DataFrame, path: str = "path", text: str = "text", conte
     # lines that may serve as context, found once per document
     df = df.withColumn("_c", F.filter(F.zip_with(F.transform("_l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), "_m",
                                                  lambda x, m: F.when(~m["row"] & (x["s"] != ""), x)), lambda x: x.isNotNull()))
-    out = df.select(path, F.posexplode("_b").alias("table_no", "b"), "_l", "_h", "_c")
+    out = df.select(path, F.posexplode_outer("_b").alias("table_no", "b"), "_l", "_h", "_c").where("b IS NOT NULL")
     text_of = lambda a: F.transform(a, lambda x: x["s"])
     before = text_of(F.filter("_c", lambda x: x["i"] < F.col("b.from")))
     after = text_of(F.filter("_c", lambda x: x["i"] > F.col("b.to")))
