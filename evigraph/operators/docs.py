@@ -7,16 +7,12 @@ ever split over rows and put together again.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import contains_any, let, strip
+from ..functions.text import WS, contains_any, let, strip
 
 # --- fixed values: cleaning patterns ---------------------------------------------------------
 ZERO_WIDTH = "[\\u200b\\u200c\\u200d\\u2060]"
@@ -40,7 +36,8 @@ NEEDS = {**{stat: (mark,) for mark, _, stat in SYMBOLS}, "collapsed_internal_spa
          "normalized_cd4_term_count": ("4",), "normalized_cd8_term_count": ("8",), "normalized_p24_term_count": ("24",),
          "normalized_hiv_rna_term_count": ("RNA", "RNa", "RnA", "Rna", "rNA", "rNa", "rnA", "rna"), **{stat: ("/",) for _, _, stat in UNITS}}
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-SENTENCE_END = r"(?<=[。！？.!?])\s*"
+SENTENCE_END = f"(?<=[。！？.!?])[{WS}]*"
+PARAGRAPH_END = f"\\n[{WS}]*\\n"
 
 
 def _count(lines: str, value) -> Column:
@@ -196,48 +193,51 @@ class ChunkConfig:
 
 
 
-def _pack_sentences(paragraph: str, limit: int) -> list[str]:
+def _pack_sentences(paragraph: Column, limit: Column) -> Column:
     """Sentences of a long paragraph put together up to ``limit`` characters each."""
-    out: list[str] = []
-    for s in (x for x in re.split(SENTENCE_END, paragraph) if x.strip()):
-        if out and len(out[-1]) + len(s) <= limit:
-            out[-1] += s
-        else:
-            out.append(s)
-    return [x.strip() for x in out if x.strip()]
-
-
-def _split_body(body: str, head: int, limit: int) -> list[str]:
-    """Bodies of the parts of one oversized section."""
-    parts: list[list[str]] = [[]]
-    size = head
-    for p in (x.strip() for x in re.split(r"\n\s*\n", body) if x.strip()):
-        if parts[-1] and size + len(p) + 2 > limit:
-            parts.append([])
-            size = head
-        pieces = [p] if len(p) <= limit else _pack_sentences(p, limit)
-        for i, piece in enumerate(pieces):
-            parts[-1].append(piece)
-            size += len(piece) + 2
-            if i < len(pieces) - 1:  # all but the last piece of a long paragraph stand alone
-                parts.append([])
-                size = head
-    return ["\n\n".join(p) for p in parts if p]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_body(bodies: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for body, head, limit in bodies:
-        yield pd.Series([_split_body(b, h, m) for b, h, m in zip(body, head, limit)])
+    sentences = F.filter(F.split(paragraph, SENTENCE_END), lambda x: strip(x) != "")
+    zero = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["now"] == "") | (F.length(acc["now"]) + F.length(x) <= limit)
+        return F.struct(F.when(fits, F.concat(acc["now"], x)).otherwise(x).alias("now"),
+                        F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"))
+
+    packed = F.aggregate(sentences, zero, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return F.filter(F.transform(packed, strip), lambda x: x != "")
+
+
+def split_body(body: Column, head: Column, limit: Column) -> Column:
+    """Bodies of the parts of one oversized section, each with room for ``head`` characters.
+
+    A paragraph opens a part if the open one has no room for it; all but the last piece of
+    a long paragraph end their part.  One fold over the pieces; an empty body has no part.
+    """
+    paragraphs = F.filter(F.transform(F.split(body, PARAGRAPH_END), strip), lambda x: x != "")
+    cut = lambda p: let(F.when(F.length(p) <= limit, F.array(p)).otherwise(_pack_sentences(p, limit)), lambda ps: F.transform(
+        ps, lambda x, i: F.struct(x.alias("text"), (i == 0).alias("first"), (i == F.size(ps) - 1).alias("last"), F.length(p).alias("whole"))))
+    none = F.array().cast("array<string>")
+    zero = F.struct(head.cast("int").alias("size"), F.lit(False).alias("end"), none.alias("now"), none.alias("done"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n")))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["end"] | (x["first"] & (F.size(acc["now"]) > 0) & (acc["size"] + x["whole"] + 2 > limit))
+        return let(new, lambda n: F.struct(
+            (F.when(n, head).otherwise(acc["size"]) + F.length(x["text"]) + 2).cast("int").alias("size"), (~x["last"]).alias("end"),
+            F.when(n, F.array(x["text"])).otherwise(F.concat(acc["now"], F.array(x["text"]))).alias("now"),
+            F.when(n, closed(acc)).otherwise(acc["done"]).alias("done")))
+
+    parts = F.aggregate(F.flatten(F.transform(paragraphs, cut)), zero, step, closed)
+    return F.filter(parts, lambda x: x != "")
 
 
 def split_oversized(secs: DataFrame, maximum: int, path: str = "path") -> DataFrame:
     """Parts of sections longer than ``maximum``: by paragraph, then by sentence."""
     s = secs.withColumn("_text", render(F.col("heading_path"), F.col("body")))
     s = s.where(F.length("_text") > maximum).withColumn("_head", strip(heading_block(F.col("heading_path"))))
-    s = s.withColumn("_parts", split_body("body", F.length("_head"), F.lit(maximum)))
+    s = s.withColumn("_parts", split_body(F.col("body"), F.length("_head"), F.lit(maximum)))
     s = s.withColumn("_parts", F.when(F.size("_parts") == 0, F.array(F.lit(""))).otherwise(F.col("_parts")))
-    s = s.select(path, "section_no", "title", "heading_path", "line_start", "line_end", "_head", F.posexplode("_parts").alias("part", "_b"))
+    s = s.select(path, "section_no", "title", "heading_path", "line_start", "line_end", "_head", F.posexplode_outer("_parts").alias("part", "_b"))
     text = F.array_join(F.filter(F.array("_head", "_b"), lambda x: x != ""), "\n\n")
     s = s.withColumn("text", strip(text))
     cid = F.substring(F.sha1(F.concat_ws(":", F.col(path).cast("string"), F.col("line_start"), F.col("part"), F.col("text"))), 1, 12)
@@ -294,40 +294,43 @@ def _common(a: Column, b: Column) -> Column:
 def detect_tables(docs: DataFrame, path: str = "path", text: str = "text", context: int = 4) -> DataFrame:
     """Pipe-table blocks with heading path and up to four context lines on each side."""
     df = docs.withColumn("_l", F.split(F.regexp_replace(F.col(text), f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK))
-    shape = F.transform("_l", lambda x: F.struct(x.rlike(TABLE_LINE).alias("row"), x.rlike(TABLE_SEPARATOR).alias("sep")))
-    present = lambda arr: F.filter(arr, lambda v: v.isNotNull())
-
-    def blocks(m: Column) -> Column:
-        """First and last line of every table start; the end is the line before the next other line."""
-        starts = present(F.transform(m, lambda x, i: F.when(x["row"] & F.coalesce(F.get(m, i + 1)["sep"], F.lit(False)), i)))
-        gaps = present(F.transform(m, lambda x, i: F.when(~x["row"], i)))
-        return let(gaps, lambda g: F.transform(starts, lambda i: F.struct(i.alias("from"), F.greatest(
-            F.coalesce(F.array_min(F.filter(g, lambda y: y >= i + 2)), F.size(m)) - 1, i + 1).alias("to"))))
-
-    df = df.withColumn("_m", shape)
-    df = df.withColumn("_b", let(F.col("_m"), blocks))
-    # a start inside the block before it is part of that block
-    zero = F.slice("_b", 1, 0)
-    keep = F.aggregate(F.col("_b"), zero, lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["to"] >= x["from"], F.lit(False)), acc).otherwise(
-        F.concat(acc, F.array(x))))
-    df = df.withColumn("_b", keep)
-    df = df.withColumn("_h", F.filter(F.transform("_l", lambda x, i: F.when(x.rlike(HEADING), F.struct(
-        i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("name")))), lambda h: h.isNotNull()))
-    # lines that may serve as context, found once per document
-    df = df.withColumn("_c", F.filter(F.zip_with(F.transform("_l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), "_m",
-                                                 lambda x, m: F.when(~m["row"] & (x["s"] != ""), x)), lambda x: x.isNotNull()))
-    out = df.select(path, F.posexplode_outer("_b").alias("table_no", "b"), "_l", "_h", "_c").where("b IS NOT NULL")
-    text_of = lambda a: F.transform(a, lambda x: x["s"])
-    before = text_of(F.filter("_c", lambda x: x["i"] < F.col("b.from")))
-    after = text_of(F.filter("_c", lambda x: x["i"] > F.col("b.to")))
+    bar = lambda x: F.contains(x, F.lit("|"))
+    df = df.withColumn("_m", F.transform("_l", lambda x: F.struct((bar(x) & x.rlike(TABLE_LINE)).alias("row"), (bar(x) & x.rlike(TABLE_SEPARATOR)).alias("sep"),
+                                                                  strip(x).alias("s"), x.alias("x"))))
+    df = df.withColumn("_m", let(F.col("_m"), lambda m: F.transform(m, lambda x, i: F.struct(
+        i.alias("i"), x["row"].alias("row"), (x["row"] & F.coalesce(F.get(m, i + 1)["sep"], F.lit(False))).alias("start"), (~x["row"] & (x["s"] != "")).alias("near"),
+        x["s"].alias("s"), F.when(F.startswith(x["x"], F.lit("#")), F.struct(F.length(F.regexp_extract(x["x"], HEADING, 1)).alias("level"),
+                                                                            F.regexp_extract(x["x"], HEADING, 2).alias("name"))).alias("h")))))
+    # One fold over the lines: the open table (-1: none), the number of context lines so far, the heading path.
     none = F.array().cast("array<string>")
-    trail = F.aggregate(F.filter("_h", lambda h: h["at"] <= F.col("b.from")), none,
-                        lambda acc, h: F.concat(F.slice(acc, 1, h["level"] - 1), F.array(h["name"])))
-    return out.select(
-        path, "table_no", F.col("b.from").alias("start_index"), F.col("b.to").alias("end_index"), trail.alias("heading_path"),
-        F.array_join(F.slice("_l", F.col("b.from") + 1, F.col("b.to") - F.col("b.from") + 1), "\n").alias("table_text"),
-        F.array_join(F.slice(before, F.greatest(F.size(before) - context + 1, F.lit(1)), context), "\n").alias("before_context"),
-        F.array_join(F.slice(after, 1, context), "\n").alias("after_context"))
+    table = "struct<from:int,to:int,before:int,after:int,heading_path:array<string>>"
+    zero = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("before"), F.lit(0).alias("n"), none.alias("path"), none.alias("trail"),
+                    F.array().cast(f"array<{table}>").alias("done"))
+
+    def closed(acc: Column, at: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(acc["open"].alias("from"), (at - 1).cast("int").alias("to"), acc["before"].alias("before"),
+                                                      acc["n"].alias("after"), acc["trail"].alias("heading_path"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        ends = (acc["open"] >= 0) & ~x["row"] & (x["i"] >= acc["open"] + 2)
+        opens = (acc["open"] < 0) & x["start"]
+        return F.struct(
+            F.when(opens, x["i"]).when(ends, -1).otherwise(acc["open"]).alias("open"), F.when(opens, acc["n"]).otherwise(acc["before"]).alias("before"),
+            (acc["n"] + x["near"].cast("int")).alias("n"),
+            F.when(x["h"].isNotNull(), F.concat(F.slice(acc["path"], 1, x["h"]["level"] - 1), F.array(x["h"]["name"]))).otherwise(acc["path"]).alias("path"),
+            F.when(opens, acc["path"]).otherwise(acc["trail"]).alias("trail"), F.when(ends, closed(acc, x["i"])).otherwise(acc["done"]).alias("done"))
+
+    df = df.withColumn("_b", let(F.col("_m"), lambda m: F.aggregate(
+        m, zero, step, lambda acc: F.when(acc["open"] >= 0, closed(acc, F.size(m))).otherwise(acc["done"]))))
+    df = df.withColumn("_c", F.transform(F.filter("_m", lambda x: x["near"]), lambda x: x["s"]))
+    # Each table takes its own lines here, so no table row carries the document.
+    lines = lambda a, at, n: F.array_join(F.slice(a, at, n), "\n")
+    df = df.withColumn("_b", let(F.struct(F.col("_l").alias("l"), F.col("_c").alias("c"), F.col("_b").alias("b")), lambda z: F.transform(z["b"], lambda b: F.struct(
+        b["from"].alias("start_index"), b["to"].alias("end_index"), b["heading_path"].alias("heading_path"),
+        lines(z["l"], b["from"] + 1, b["to"] - b["from"] + 1).alias("table_text"),
+        lines(z["c"], F.greatest(b["before"] - context + 1, F.lit(1)), F.least(b["before"], F.lit(context))).alias("before_context"),
+        lines(z["c"], b["after"] + 1, F.lit(context)).alias("after_context")))))
+    return df.select(path, F.posexplode_outer("_b").alias("table_no", "b")).where("b IS NOT NULL").select(path, "table_no", "b.*")
 
 
 def run_summary(results: DataFrame, *keys: str) -> DataFrame:
