@@ -98,12 +98,64 @@ def sections(t):
                     F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("")).alias("heading"), F.length("body").alias("body_length"), F.sha1("body").alias("digest"))
 
 
-@query("chunks")
+# Sections with their heading paths, and the parts of those longer than a limit, stated as recursions.
+SQL_PATHS = """hp AS (SELECT id, 0 AS sec, CAST([] AS VARCHAR[]) AS path FROM (SELECT DISTINCT id FROM ss)
+  UNION ALL SELECT s.id, s.sec, list_append(list_slice(hp.path, 1, s.level - 1), s.hname) FROM hp JOIN ss s ON s.id = hp.id AND s.sec = hp.sec + 1),
+hb AS (SELECT s.id, s.sec, s.line_start, s.line_end, s.body, s.level > 0 AS headed,
+  trim(array_to_string([repeat('#', CAST(i AS INTEGER)) || ' ' || path[i] for i in range(1, len(path) + 1)], chr(10))) AS head FROM ss s JOIN hp ON hp.id = s.id AND hp.sec = s.sec),
+rn AS (SELECT *, CASE WHEN head = '' THEN body WHEN body = '' THEN head ELSE head || chr(10) || chr(10) || body END AS r FROM hb WHERE body <> '' OR headed)"""
+
+
+def sql_parts(limit):
+    """``id, sec, line_start, line_end, part, chunk_id, text`` of the sections of ``rn`` longer than ``limit``."""
+    return f"""big AS (SELECT * FROM rn WHERE length(r) > {limit}),
+pa AS (SELECT id, sec, generate_subscripts(ps, 1) AS par, unnest(ps) AS p FROM (SELECT id, sec,
+  [y for y in [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in string_split_regex(body, '\\n\\s*\\n')] if y <> ''] AS ps FROM big)),
+se AS (SELECT id, sec, par, generate_subscripts(xs, 1) AS k, unnest(xs) AS x FROM (SELECT id, sec, par,
+  [y for y in [regexp_replace(x, '^\\s+', '') for x in regexp_extract_all(p, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+')] if y <> ''] AS xs FROM pa WHERE length(p) > {limit})),
+sp AS (SELECT id, sec, par, k, length(x) AS size, 0 AS g FROM se WHERE k = 1
+  UNION ALL SELECT e.id, e.sec, e.par, e.k, CASE WHEN sp.size + length(e.x) <= {limit} THEN sp.size + length(e.x) ELSE length(e.x) END, CASE WHEN sp.size + length(e.x) <= {limit} THEN sp.g ELSE sp.g + 1 END
+  FROM sp JOIN se e ON e.id = sp.id AND e.sec = sp.sec AND e.par = sp.par AND e.k = sp.k + 1),
+pc AS (SELECT id, sec, par, 0 AS g, p AS x, length(p) AS whole FROM pa WHERE length(p) <= {limit}
+  UNION ALL SELECT id, sec, par, g, trim(string_agg(x, '' ORDER BY k)), 0 FROM sp JOIN se USING (id, sec, par, k) GROUP BY 1, 2, 3, 4),
+pk AS (SELECT pc.id, pc.sec, x, length(pa.p) AS whole, g = 0 AS first, g = max(g) OVER (PARTITION BY pc.id, pc.sec, pc.par) AS last, row_number() OVER (PARTITION BY pc.id, pc.sec ORDER BY pc.par, g) AS k,
+  CASE WHEN head = '' THEN 0 ELSE length(head) END AS room FROM pc JOIN pa USING (id, sec, par) JOIN big USING (id, sec)),
+pt AS (SELECT id, sec, k, room + length(x) + 2 AS size, last, 0 AS part FROM pk WHERE k = 1
+  UNION ALL SELECT n.id, n.sec, n.k, CASE WHEN NOT pt.last OR (n.first AND pt.size + n.whole + 2 > {limit}) THEN n.room ELSE pt.size END + length(n.x) + 2, n.last,
+    CASE WHEN NOT pt.last OR (n.first AND pt.size + n.whole + 2 > {limit}) THEN pt.part + 1 ELSE pt.part END
+  FROM pt JOIN pk n ON n.id = pt.id AND n.sec = pt.sec AND n.k = pt.k + 1),
+pb AS (SELECT id, sec, part, string_agg(x, chr(10) || chr(10) ORDER BY k) AS b FROM pt JOIN pk USING (id, sec, k) GROUP BY 1, 2, 3),
+px AS (SELECT id, sec, line_start, line_end, coalesce(part, 0) AS part, trim(CASE WHEN head = '' THEN coalesce(b, '') WHEN b IS NULL THEN head ELSE head || chr(10) || chr(10) || b END) AS text
+  FROM big LEFT JOIN pb USING (id, sec)),
+parts AS (SELECT *, 'chunk_' || substr(sha1(concat_ws(':', id, line_start, part, text)), 1, 12) AS chunk_id FROM px)"""
+
+
+CHUNK = docs.ChunkConfig()
+
+
+@query("chunks", f"""
+WITH RECURSIVE {SQL_SEC},
+ss AS (SELECT page_id AS id, sec, line_start, line_end, level, hname, body FROM sec),
+{SQL_PATHS}, {sql_parts(CHUNK.maximum)},
+ck AS (SELECT *, length(r) AS n, row_number() OVER (PARTITION BY id ORDER BY sec) AS k FROM rn WHERE r <> ''),
+cs AS (SELECT id, k, CASE WHEN n > {CHUNK.maximum} THEN -1 ELSE n END AS size, 1 AS no, CASE WHEN n > {CHUNK.maximum} THEN 'huge' ELSE 'fresh' END AS kind FROM ck WHERE k = 1
+  UNION ALL SELECT id, k, CASE kind WHEN 'huge' THEN -1 WHEN 'more' THEN size + 2 + n ELSE n END, CASE WHEN kind = 'more' THEN no ELSE no + 1 END, kind FROM (
+    SELECT c.id, c.k, c.n, cs.size, cs.no, CASE WHEN c.n > {CHUNK.maximum} THEN 'huge' WHEN cs.size < 0 THEN 'fresh'
+      WHEN cs.size + 2 + c.n <= {CHUNK.target} OR (cs.size < {CHUNK.minimum} AND cs.size + 2 + c.n <= {CHUNK.maximum}) THEN 'more' ELSE 'next' END AS kind
+    FROM cs JOIN ck c ON c.id = cs.id AND c.k = cs.k + 1)),
+cg AS (SELECT id, no, arg_min(line_start, k) AS line_start, arg_min(line_end, k) AS first_end, max(line_end) AS line_end, arg_min(CASE WHEN kind = 'next' THEN r ELSE '' END, k) AS first_text,
+  arg_min(kind, k) AS first_kind, length(trim(string_agg(r, chr(10) || chr(10) ORDER BY k))) AS char_count FROM cs JOIN ck USING (id, k) WHERE kind <> 'huge' GROUP BY 1, 2)
+SELECT id AS page_id, 'chunk_' || substr(sha1(concat_ws(':', id, line_start, first_end, CASE WHEN first_kind = 'next' THEN first_text END)), 1, 12) AS chunk_id, line_start, line_end, char_count FROM cg
+UNION ALL SELECT id, chunk_id, line_start, line_end, length(text) FROM parts""")
 def chunks(t):
-    return docs.chunks(page_sections(t), docs.ChunkConfig(), "page_id").select("page_id", "chunk_id", "line_start", "line_end", "char_count")
+    return docs.chunks(page_sections(t), CHUNK, "page_id").select("page_id", "chunk_id", "line_start", F.col("line_end").cast("bigint").alias("line_end"), "char_count")
 
 
-@query("split_oversized")
+@query("split_oversized", f"""
+WITH RECURSIVE {SQL_SEC.replace("FROM page_md", "FROM (SELECT doc_id AS page_id, '# ' || source || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS md FROM documents)")},
+ss AS (SELECT page_id AS id, sec, line_start, line_end, level, hname, body FROM sec),
+{SQL_PATHS}, {sql_parts(1000)}
+SELECT id AS path, part, chunk_id, length(text) AS char_count FROM parts""")
 def split_oversized(t):
     d = docs.sections(t.raw("documents").select(F.col("doc_id").alias("path"), F.concat(F.lit("# "), "source", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text")))
     return docs.split_oversized(d, 1000).select("path", "part", "chunk_id", "char_count")

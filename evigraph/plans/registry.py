@@ -29,7 +29,9 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEW_SQL[n]}\n)" for n in needed)
     if body.lstrip().upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body.lstrip()[5:]}"
+        rest = body.lstrip()[5:].lstrip()
+        recursive = rest.upper().startswith("RECURSIVE ")
+        return f"WITH {'RECURSIVE ' if recursive else ''}{ctes},\n{rest[10:] if recursive else rest}"
     return f"WITH {ctes}\n{body}"
 
 
