@@ -190,3 +190,18 @@ def test_cold_start_avoids_background_while_there_is_other(spark):
     got = {r.session_id: (r.node_id, round(r.probe_score, 6)) for r in ac.cold_start_probe(probes).collect()}
     assert got == {1: ("n2", round(8 + 1 + 1.5 + 2 + 2.2 + 0.35, 6)), 2: ("n4", round(1 + 2.2 - 0.35, 6))}
     assert ac.cold_start_probe(probes.limit(0)).collect() == []
+
+
+def test_trajectory_groups_equal_all_pairs(spark):
+    import itertools
+    import random
+    rnd = random.Random(2)
+    made = [(s, rnd.choice("AB"), rnd.randrange(101), rnd.random() < 0.5, sorted(rnd.sample("pqrstuvw", rnd.randrange(5)))) for s in (1, 2) for _ in range(60)]
+    made += [(3, "A", 50, True, ["p"]), (4, "A", 10, False, []), (4, "A", 20, False, [])]
+    df = spark.createDataFrame(made, "session_id int, answer string, score100 long, terminal boolean, actions array<string>")
+    for rows_a_slice in (3, 1024):
+        got = {(r.session_id, r.answer): r.diversity for r in k.trajectory_groups(df, rows_a_slice).collect()}
+        for key in {(m[0], m[1]) for m in made}:
+            sets = [set(m[4]) for m in made if (m[0], m[1]) == key]
+            alike = [1000000 if a == b else len(a & b) * 1000000 // len(a | b) for a, b in itertools.combinations(sets, 2)]
+            assert got[key] == pytest.approx(1 - sum(alike) / len(alike) / 1000000 if alike else 0.0)

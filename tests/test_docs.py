@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from evigraph.operators import docs
 
@@ -58,3 +61,71 @@ def test_tables_with_context(spark):
     t = docs.detect_tables(spark.createDataFrame([("p", md)], "path string, text string")).collect()
     assert [(r.start_index, r.end_index, r.heading_path, r.before_context, r.after_context) for r in t] == [
         (3, 5, ["H"], "# H\nbefore", "after\nno separator")]
+
+
+def plain_parts(body, head, limit):
+    """Parts of a section's body by plain loops."""
+    parts, size = [[]], head
+    for p in (x.strip() for x in re.split(r"\n\s*\n", body) if x.strip()):
+        if parts[-1] and size + len(p) + 2 > limit:
+            parts.append([])
+            size = head
+        pieces = [p]
+        if len(p) > limit:
+            pieces = []
+            for s in (x for x in re.split(r"(?<=[。！？.!?])\s*", p) if x.strip()):
+                if pieces and len(pieces[-1]) + len(s) <= limit:
+                    pieces[-1] += s
+                else:
+                    pieces.append(s)
+            pieces = [x.strip() for x in pieces]
+        for i, piece in enumerate(pieces):
+            parts[-1].append(piece)
+            size += len(piece) + 2
+            if i < len(pieces) - 1:
+                parts.append([])
+                size = head
+    return ["\n\n".join(p) for p in parts if p]
+
+
+def test_parts_equal_plain_loops(spark):
+    rnd = random.Random(11)
+    word = lambda: rnd.choice(("a", "bb", "ccc。", "d.", "ee!", "f?", "长句子", "g\u3000", "...", " ", "\t"))
+    bodies = ["", "   ", "x" * 90, ".", "!!!"] + ["".join(rnd.choice((word(), word(), word(), "\n\n", "\n \n", "\n")) for _ in range(rnd.randrange(200))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    for head, limit in ((0, 25), (7, 40)):
+        got = dict(df.select("id", docs.split_body(F.col("body"), F.lit(head), F.lit(limit))).collect())
+        assert got == {i: plain_parts(b, head, limit) for i, b in enumerate(bodies)}
+
+
+def plain_tables(text, context=4):
+    """Tables of a text by plain loops."""
+    lines, out, path, i = text.split("\n"), [], [], 0
+    row = lambda x: re.match(docs.TABLE_LINE, x) is not None
+    trail = []
+    for x in lines:
+        if m := re.match(docs.HEADING, x):
+            path = path[: len(m[1]) - 1] + [m[2]]
+        trail.append(path)
+    near = [(k, x.strip()) for k, x in enumerate(lines) if x.strip() and not row(x)]
+    while i < len(lines):
+        if row(lines[i]) and i + 1 < len(lines) and re.match(docs.TABLE_SEPARATOR, lines[i + 1]):
+            end = i + 2
+            while end < len(lines) and row(lines[end]):
+                end += 1
+            out.append((len(out), i, end - 1, trail[i], "\n".join(lines[i:end]), "\n".join([x for k, x in near if k < i][-context:]), "\n".join([x for k, x in near if k >= end][:context])))
+            i = end
+        else:
+            i += 1
+    return out
+
+
+def test_tables_equal_plain_loops(spark):
+    rnd = random.Random(3)
+    line = lambda: rnd.choice(("| a | b |", "| a | b |", "|---|---|", "|---|---|", "---|---|", "# H", "### K", "text", "", " more ", "| open"))
+    texts = ["", "| a |", "|---|", "| a |\n|---|"] + ["\n".join(line() for _ in range(rnd.randrange(40))).rstrip("\n") for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    found = {i: [] for i in range(len(texts))}
+    for r in docs.detect_tables(df).collect():
+        found[r.path].append((r.table_no, r.start_index, r.end_index, r.heading_path, r.table_text, r.before_context, r.after_context))
+    assert {k: sorted(v) for k, v in found.items()} == {i: plain_tables(x) for i, x in enumerate(texts)}
