@@ -360,17 +360,28 @@ def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[pa
     return np.frombuffer(b"".join(raw), "<i2").astype(np.int32), np.array([len(x) // 2 for x in raw]), held
 
 
+def lane_cuts(n: int) -> tuple[np.ndarray, int]:
+    """Beginnings and common length of the lanes of ``n`` tokens.
+
+    Lanes cover every token; where the length does not divide ``n``, neighbours overlap by
+    a token, so fewer tokens than there are lanes are met twice.
+    """
+    lanes = max(1, min(LANES, n // (2 * WINDOW)))
+    width = -(-n // lanes)
+    return np.arange(lanes) * (n - width) // max(1, lanes - 1), width
+
+
 def _train(vocab, flat: np.ndarray, part: int):
     """Trains a copy of the network on the texts of a partition; the first eighth only if ``part`` is 0."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen = Trainer(fresh(vocab.value).filled(flat)), 0
         for tokens, lengths, _ in _blocks(batches):
-            lanes = max(1, min(LANES, len(tokens) // (2 * WINDOW)))
-            width = len(tokens) // lanes
+            begins, width = lane_cuts(len(tokens))
             width = max(1, width // 8) if part == 0 else width
+            lanes = len(begins)
             start = np.zeros(len(tokens), bool)
             start[np.r_[0, np.cumsum(lengths)[:-1]]] = True
-            grid = (np.arange(lanes) * (len(tokens) // lanes))[:, None] + np.arange(width)[None, :]
+            grid = begins[:, None] + np.arange(width)[None, :]
             target, first = tokens[grid].T, start[grid].T.copy()
             first[0] = True
             before = np.where(first, SHORT + SHAPES, tokens[np.maximum(grid - 1, 0)].T)

@@ -260,6 +260,16 @@ def test_gradients_by_differences():
         assert (loss(flat + step) - loss(flat - step)) / 2e-2 == pytest.approx(g[i], rel=0.05, abs=5e-3)
 
 
+@pytest.mark.parametrize("n", (1, 2, 31, 32, 1000, 16 * 2 * 511 + 5, 16 * 2 * 512, 3_999_999, 4_000_123))
+def test_lanes_cover_every_token(n):
+    begins, width = lm.lane_cuts(n)
+    met = np.zeros(n + 1, int)
+    np.add.at(met, begins, 1)
+    np.add.at(met, begins + width, -1)
+    met = np.cumsum(met)[:n]
+    assert met.min() == 1 and met.sum() - n < len(begins)
+
+
 def test_base_score_and_counts(spark, monkeypatch):
     """Against plain counting, also with almost every word looked up in the join."""
     rows = [*EDGE, *[(40 + i, f"common words and r{i} r{i // 2}") for i in range(30)]]
