@@ -34,7 +34,7 @@ WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 # Words after which a worker begins to forget older ones; only speed depends on it.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 TOKEN_SCHEMA = "part long, row long, before long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
