@@ -55,3 +55,24 @@ def test_a_session_meets_the_head_of_a_list_only(spark, monkeypatch):
     _, _, summary, have = graph(spark)
     r.r1_candidates(have, summary).collect()
     assert seen[0].where("session_id = 50").count() == 10
+
+
+def test_evidence_of_a_candidate_skips_what_the_session_saw(spark, monkeypatch):
+    """Long lists, rows in ties, a pool that holds a candidate twice; no second ranking of all rows met."""
+    ranked_again = []
+    monkeypatch.setattr(r, "top_k", lambda *a, **k: ranked_again.append(a))
+    items = [("D1", f"N{i}", 10000 - 100 * (i // 2), 85, f"name {i}", "MANIFESTS_AS") for i in range(60)]
+    items += [("D1", "N3", 9900, 85, "name 3", "HAS_LAB_FINDING"), *[("D2", f"N{i}", 500, 45, "x", "MANIFESTS_AS") for i in range(4)]]
+    ev = spark.createDataFrame(items, "candidate_id string, node_id string, priority long, contradiction int, name string, rel string")
+    saw = [(1, "N0"), (1, "N3"), (1, "N99"), *[(2, f"N{i}") for i in range(0, 58)], (4, None), (None, "N0")]
+    pool = [(1, "D1"), (2, "D1"), (3, "D1"), (3, "D1"), (1, "D2"), (4, "D3"), (4, "D2")]
+    got = r.r2_evidence(spark.createDataFrame(pool, "session_id long, candidate_id string"), ev,
+                        spark.createDataFrame(saw, "session_id long, node_id string"))
+    want = []
+    for s, c in sorted(set(pool)):
+        left = [x for x in items if x[0] == c and (s, x[1]) not in saw]
+        left = sorted(left, key=lambda x: (-x[2], -x[3], x[4], x[1], x[5]))
+        left = [x for x in left for _ in range(pool.count((s, c)))][:10]
+        want += [(s, c, x[1], x[5], i + 1) for i, x in enumerate(left)]
+    assert sorted(map(tuple, got.select("session_id", "candidate_id", "node_id", "rel", "rank").collect())) == sorted(want)
+    assert not ranked_again
