@@ -191,6 +191,47 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(count)], names=["id", "shared"])
 
 
+# Id ranges that the counts of one task are cut into; a fixed number, so that rows grow with the tasks alone.
+COUNT_PARTS = 64
+COUNT_HELD = 1 << 22  # counts a task holds before it adds up those of one id
+
+
+def _packed_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part, ids, counts``: what :func:`_shared` finds, one row per range of the id."""
+    for batch in _shared(batches):
+        ids, count = (batch.column(c).to_numpy() for c in ("id", "shared"))
+        part = _range_of(ids.view(np.uint64), COUNT_PARTS).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ids, count = ids[order], count[order]
+        ends = np.cumsum(np.bincount(part, minlength=COUNT_PARTS))
+        cuts = [(p, a, b) for p, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if a < b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([ids[a:b].tobytes() for _, a, b in cuts], pa.binary()),
+             pa.array([count[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["part", "ids", "counts"])
+
+
+def _added(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    unique, place = np.unique(np.concatenate(ids), return_inverse=True)
+    return unique, np.bincount(place, np.concatenate(counts), len(unique)).astype(np.int64)
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, shared``: the counts of every id added up; all of an id are in one task, which holds each id once."""
+    ids, counts, held = [], [], 0
+    for batch in batches:
+        for i, c in _rows(batch, "ids", "counts"):
+            ids.append(np.frombuffer(i, np.int64))
+            counts.append(np.frombuffer(c, np.int64))
+            held += len(ids[-1])
+            if held >= COUNT_HELD:
+                one = _added(ids, counts)
+                ids, counts = [one[0]], [one[1]]
+                held = 0
+    if ids:
+        unique, total = _added(ids, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(total)], names=["id", "shared"])
+
+
 # -- second filter: numbers of sets of all hashes
 
 WHOLE_SCHEMA = "batch long, nodes binary, sizes binary, hashes binary"
@@ -416,7 +457,8 @@ def candidate_blocks(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, D
     """``node, hashes`` of the sets that pass the first filter, and ``node, block`` of those that pass both."""
     ranges = _ranges(classes)
     dealt = texts.select("text").mapInArrow(_beginnings(ranges), BEGIN_SCHEMA).repartition(ranges, "range")
-    shared = stored(dealt.mapInArrow(_shared, "id long, shared long"), "shared").groupBy("id").agg(F.sum("shared").alias("shared"))
+    counts = dealt.mapInArrow(_packed_counts, "part int, ids binary, counts binary").repartition("part")
+    shared = stored(counts.mapInArrow(_summed, "id long, shared long"), "shared")
     able = classes.withColumnRenamed("short", "id").join(shared, "id").filter(F.col("shared") >= _least_slack(F.col("n")))
     able = stored(able.select("node", "class"), "able")
     # Merged at every size: whether the nodes happen to be few enough to broadcast must not change the plan.

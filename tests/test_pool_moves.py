@@ -1,7 +1,9 @@
 """Steps behind the pools: what they return, and that a pool that lies session by session stays where it is."""
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
 
+from evigraph.llm import shingle_join
 from evigraph.operators import actions as ac
 from evigraph.operators import rank as k
 from evigraph.operators import retrieve as r
@@ -101,3 +103,20 @@ def one_session(spark):
     t = Tables(spark, folder)
     t.__dict__["_top3"] = spark.createDataFrame([(1, "S1", "s", 1.0, 1)], "session_id long, candidate_id string, candidate_name string, score double, rank int")
     return t
+
+
+def test_shared_hashes_are_counted_once_per_id_in_rows_that_do_not_grow_with_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    found = [(np.unique(rng.integers(-2**63, 2**63 - 1, 400)), rng) for _ in range(3)]
+    found = [pa.RecordBatch.from_arrays([pa.array(np.sort(np.r_[ids, [7, 8]])), pa.array(r.integers(1, 9, len(ids) + 2))], names=["id", "shared"]) for ids, r in found]
+    monkeypatch.setattr(shingle_join, "_shared", lambda batches: iter(batches))
+    monkeypatch.setattr(shingle_join, "COUNT_HELD", 100)
+    packed = list(shingle_join._packed_counts(found))
+    assert all(b.num_rows <= shingle_join.COUNT_PARTS for b in packed)
+    want = {}
+    for b in found:
+        for i, n in zip(*[c.to_pylist() for c in b.columns]):
+            want[i] = want.get(i, 0) + n
+    got = [x for b in shingle_join._summed(packed) for x in zip(*[c.to_pylist() for c in b.columns])]
+    assert dict(got) == want and len(got) == len(want)
+    assert list(shingle_join._summed([])) == []
