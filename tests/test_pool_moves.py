@@ -65,11 +65,11 @@ def test_link_confidence_leaves_out_untrusted_sessions_and_counts_a_name_once(sp
     links = spark.createDataFrame(
         [(1, "a", "P1", 80), (1, "a", "P2", 60), (1, "b", "P3", 51), (2, "a", "P1", 71), (3, None, "P1", 99), (3, "b", "P3", 52), (None, "a", "P1", 90)],
         "session_id long, name string, feature_id string, sim100 long")
-    graph = spark.createDataFrame([(f"S{c}", "P1") for c in range(150)] + [("S0", "P2"), ("S0", "P2"), ("S0", "P3"), ("S200", "P2")],
+    graph = spark.createDataFrame([(f"S{c}", "P1") for c in range(150)] + [("S0", "P2"), ("S0", "P2"), ("S0", "P3"), ("S200", "P2"), (None, "P2")],
                                   "candidate_id string, feature_id string")
     out = r.link_confidence(links, graph)
     got = {(x.session_id, x.candidate_id): x.link_similarity for x in out.collect()}
-    assert got == {(1, "S0"): 131 / 2 / 100, (1, "S200"): 0.8, (3, "S0"): 0.52, **{(1, f"S{c}"): 0.8 for c in range(1, 150)}}
+    assert got == {(1, "S0"): 131 / 2 / 100, (1, "S200"): 0.8, (1, None): 0.8, (3, "S0"): 0.52, **{(1, f"S{c}"): 0.8 for c in range(1, 150)}}
 
 
 def test_profiles_meet_sessions_without_unasked_columns(spark, monkeypatch):
