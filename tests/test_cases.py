@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from evigraph.functions.overlap import Overlap
 from evigraph.operators import cases as c
 from evigraph.operators import rank as k
 from evigraph.operators import replay as rp
@@ -107,3 +109,21 @@ def test_facet_cover(spark):
     seen = F.array(F.lit("lung"), F.lit("cns"))
     row = spark.range(1).select(k.facet_covered(F.lit("disseminated"), seen).alias("d"), k.facet_covered(F.lit("tb"), seen).alias("t")).first()
     assert row.d and not row.t
+
+
+def test_pairs_of_sets_are_not_rows(spark):
+    """A key that all sets hold gives no joined pair: pairs are compared inside tiles and only the chosen ones leave."""
+    df = spark.createDataFrame([(f"d{i:03d}", x) for i in range(300) for x in ("common", f"k{i % 40}", f"m{i % 7}")], "id string, key string")
+    out = c.nearest_sets(df, 2)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.a: (r.b, r.inter, r.similarity) for r in out.where("rank = 1").collect()}
+    assert len(got) == 300 and got["d000"] == ("d280", 3, 1.0) and got["d001"] == ("d281", 3, 1.0)
+
+
+def test_overlap_counts_frequent_and_rare_keys():
+    rnd = random.Random(5)
+    a, b = ([[f"k{int(rnd.expovariate(0.02))}" for _ in range(rnd.randrange(12))] for _ in range(n)] for n in (70, 90))
+    a, b = ([sorted(set(x)) for x in y] for y in (a, b))
+    o = Overlap(pa.chunked_array([a], pa.list_(pa.string())), pa.chunked_array([b], pa.list_(pa.string())))
+    assert 0 < o.frequent.sum() < len(o.frequent)
+    assert o.rows(10, 70).tolist() == [[len(set(x) & set(y)) for y in b] for x in a[10:]]
