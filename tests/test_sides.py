@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from evigraph.operators import actions as ac
-from evigraph.operators import retrieve as r
 from evigraph.plans import q_audit, q_rank
 from evigraph.plans.views import Tables
 
@@ -21,3 +20,15 @@ def test_scope_of_prepared_sides(spark):
     cols = ["cid", "eid", "reason", "scope"]
     assert sorted(map(str, one.select(*cols).collect())) == sorted(map(str, two.select(*cols).collect()))
     assert set(one.columns) == set(two.columns)
+
+
+def test_evidence_is_dealt_over_more_tasks(spark, sf, monkeypatch):
+    whole = q_audit.items(Tables(spark, sf))
+    monkeypatch.setattr("evigraph.plans.views.TASK_LINES", 500)
+    dealt = q_audit.items(Tables(spark, sf))
+    tasks = -(-Tables(spark, sf).n_lines // 500)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    by = [line.strip() for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert "candidate_id" in by[0] and "feature_id" in by[1] and all("l_suppkey" in line for line in by[2:]) and len(by) > 2 and all(line.endswith(f", {tasks}") for line in by)
+    assert sorted(map(tuple, whole.select("disease_id", "node_id", "profile_rank").collect())) == sorted(
+        map(tuple, dealt.select("disease_id", "node_id", "profile_rank").collect()))
