@@ -140,3 +140,31 @@ def test_queries_of_actions_equal_their_sql(spark):
         want = con.execute(f"select {', '.join(cols)} from ({catalog.ORACLES[name]})").fetchall()
         near = lambda rows: sorted(str([round(float(v), 7) if isinstance(v, float) or hasattr(v, "quantize") else v for v in x]) for x in rows)
         assert near(map(tuple, got.select(*cols).collect())) == near(want) and want, name
+
+
+def moves(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan.count("Join")
+
+
+def test_statuses_meet_the_rows_of_a_session_in_one_move(spark):
+    rows = spark.createDataFrame([(1, "D1", "N1", "a"), (1, "D1", "N2", "b"), (1, "D2", "N3", "a"), (1, "D2", "N4", None), (2, "D1", "N1", "a"), (None, "D1", "N1", "a")],
+                                 "session_id long, candidate_id string, node_id string, name string").repartition(3)
+    states = spark.createDataFrame([(1, "N1", "absent"), (1, None, "present"), (None, "N1", "present")], "session_id long, node_id string, polarity string")
+    slots = spark.createDataFrame([(1, "N1", "present"), (1, "N2", "unclear"), (1, "a", "present"), (1, None, "present"), (2, "b", "absent")], "session_id long, slot_key string, polarity string")
+    out = r.evidence_status(rows, states, slots)
+    assert moves(out)[1] == 0 and out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(session_id") == 1
+    got = {(x.session_id, x.node_id): (x.polarity, x.status, x.status_source) for x in out.collect()}
+    assert got == {(1, "N1"): ("absent", "negative", "state"), (1, "N2"): ("unclear", "unknown", "slot"), (1, "N3"): ("present", "matched", "slot"),
+                   (1, "N4"): ("unclear", "unknown", "none"), (2, "N1"): ("unclear", "unknown", "none"), (None, "N1"): ("unclear", "unknown", "none")}
+    assert set(out.columns) == {*rows.columns, "polarity", "status", "status_source"}
+
+
+def test_questions_meet_what_was_asked_in_one_move(spark):
+    q = spark.createDataFrame([(1, f"N{i}", f"n{i}", i % 2, 0.5, 0.4, i / 10) for i in range(8)] + [(None, "N1", "x", 0, 0.1, 0.1, 0.1)],
+                              "session_id long, node_id string, name string, red_flag int, weight double, gain double, priority double").repartition(3)
+    asked = spark.createDataFrame([(1, "N7"), (1, "N7"), (1, "N99"), (1, None), (None, "N1"), (2, "N1")], "session_id long, node_id string")
+    out = r.question_rank(q, asked, 5)
+    assert moves(out)[1] == 0
+    got = [(x.session_id, x.node_id, x.rank, round(x.question_score, 6)) for x in out.orderBy("session_id", "rank").collect()]
+    assert got == [(None, "N1", 1, 0.35), (1, "N5", 1, 3.6), (1, "N3", 2, 3.4), (1, "N1", 3, 3.2), (1, "N6", 4, 1.7), (1, "N4", 5, 1.5)]
