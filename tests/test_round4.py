@@ -168,3 +168,30 @@ def test_questions_meet_what_was_asked_in_one_move(spark):
     assert moves(out)[1] == 0
     got = [(x.session_id, x.node_id, x.rank, round(x.question_score, 6)) for x in out.orderBy("session_id", "rank").collect()]
     assert got == [(None, "N1", 1, 0.35), (1, "N5", 1, 3.6), (1, "N3", 2, 3.4), (1, "N1", 3, 3.2), (1, "N6", 4, 1.7), (1, "N4", 5, 1.5)]
+
+
+def test_matches_bring_the_rows_they_stand_for(spark):
+    """Items and candidates that come twice, a candidate named by an item, an item without a match."""
+    items = spark.createDataFrame([(1, "N1", "hot ring", "present"), (1, "N1", "hot ring", "present"), (1, "N2", "ring", "absent"), (1, "D2", "x", "present"), (1, "N9", "zzz", "present"),
+                                   (2, "N5", "second", "unclear"), (None, "N1", "ring", "present")], "session_id long, node_id string, name string, polarity string")
+    pool = spark.createDataFrame([(1, "D1", "first", 0.5), (1, "D1", "other", 0.7), (1, "D2", "second", 0.1), (2, "D2", "second", 0.2)],
+                                 "session_id long, candidate_id string, candidate_name string, score double")
+    pay = spark.createDataFrame([("D1", "N1", "hot ring", "A", "L"), ("D1", "N3", "ring", "B", "L"), ("D2", "N2", "cold ring", "A", "L"), ("D2", "N4", "old ring", "C", "M")],
+                                "candidate_id string, node_id string, name string, rel string, label string")
+    plain = k.payload_match(items, pool, pay)
+    want = plain.join(items.select("session_id", "node_id", "polarity"), ["session_id", "node_id"]).join(pool.select("session_id", "candidate_id", "score"), ["session_id", "candidate_id"])
+    got = k.payload_match(items, pool, pay, bring=("polarity", "score"))
+    cols = ("session_id", "candidate_id", "node_id", "payload_id", "rel", "label", "match100", "polarity", "score")
+    assert as_text(got, cols) == as_text(want, cols) and got.count() == 9
+
+
+def test_anchors_are_summed_up_in_one_pass(spark):
+    cols = "session_id long, candidate_id string, polarity string, resolution string, rel string, role string, scope string, score long, families array<string>, mode string, cost string, label string"
+    role = ("definition_anchor", "disease_specific_anchor", "phenotype_support")
+    rows = [(i % 3, f"D{i % 2}", "present", "clear", "A", role[i % 3], "exact_scope" if i % 2 else "competing_scope", 10 + i, ["x"] if i % 4 else [], "direct_ask", "low", "L") for i in range(24)]
+    m = spark.createDataFrame(rows, cols)
+    s, low = k.anchor_summary(m), k.low_cost_profile(m)
+    assert moves(s)[1] == 0 and moves(low)[1] == 0
+    assert {(x.session_id, x.candidate_id): x.competing for x in s.collect()} == {
+        (a, f"D{b}"): sum(x[7] for x in rows if x[:2] == (a, f"D{b}") and x[6] == "competing_scope" and x[5] != "phenotype_support") for a in range(3) for b in range(2)}
+    assert {(x.session_id, x.candidate_id): (x.low_cost_items, x.low_cost_families) for x in low.collect()}[0, "D0"] == (4, 2)
